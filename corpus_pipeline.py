@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, quality
-from tidemark.llm.common import cut
+from tidemark.llm import exact_dedup, minhash, mixing, packing, quality
+from tidemark.llm.common import cut, keep_rows
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +16,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest identifier; of rows that repeat it, one."""
-    found = exact_dedup.exact_dedup(docs, keep="largest")
-    gone = cut(found.where("not kept").select("doc_id", "text_sha256").distinct(), "gone")
-    # a row goes if its identifier goes; a repeated identifier keeps one of its equal rows
-    return exact_dedup.drop_copies(docs, gone)
+    kept = exact_dedup.exact_dedup(docs, keep="largest").where("kept").select("doc_id")
+    return keep_rows(docs, cut(kept, "kept"), "doc_id", "text")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates (five words, 0.8), the document with the smallest
+    identifier."""
+    kept = minhash.near_dedup(docs).where("kept").select("doc_id")
+    return keep_rows(docs, cut(kept, "kept"), "doc_id", "text")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]

@@ -59,6 +59,16 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, small: int = 1_000_000, ho
     return df.join(F.broadcast(ids) if ids.count() <= small else ids, key, how)
 
 
+def keep_rows(docs: DataFrame, ids: DataFrame, key: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``ids`` (a written table of one column; its null
+    matches null). Of rows that repeat both key and text, one is kept."""
+    repeated = ids.groupBy(key).count().where("count > 1").limit(1).count()
+    chosen = ids.distinct().withColumnRenamed(key, "_kept_key")
+    small = ids.count() <= 1_000_000
+    out = docs.join(F.broadcast(chosen) if small else chosen, docs[key].eqNullSafe(chosen["_kept_key"]), "left_semi")
+    return out.dropDuplicates([key, text_col]) if repeated else out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
