@@ -34,7 +34,7 @@ from tidemark.llm.tokens import by_bytes
 LENGTH = 400
 GRAM = 24            # bytes whose hash picks anchors
 STEPS = (16, 1)      # starts of a run when it is split
-SLICE = 4 << 20
+SLICE = 1 << 20      # bytes of text worked on at once; some 100 bytes of arrays for each
 BESIDE = 24 << 20    # bytes of packed places that may be broadcast beside the texts
 
 
