@@ -136,7 +136,7 @@ def mix(
     sums = ranked.groupBy("rank", "bucket").agg(F.sum("size").alias("s"))
     before = sums.select("rank", "bucket", (F.sum("s").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("s")).alias("before"))
     inside = Window.partitionBy("rank", "bucket").orderBy("id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked.select("*", (F.sum("size").over(inside) - F.col("size")).alias("inside")).join(F.broadcast(before) if len(found) * BUCKETS <= 500_000 else before, ["rank", "bucket"]).select(
+    placed = ranked.select("*", (F.sum("size").over(inside) - F.col("size")).alias("inside")).join(before.hint("merge"), ["rank", "bucket"]).select(
         "id", "tie", "size", "rank", "source_size", "target", (F.col("before") + F.col("inside")).alias("start"))
 
     slots_all = sum(p["slots"] for p in plans)
