@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
-from tidemark.functions.text import has_any, normalise, one_line, plain
+from tidemark.functions.text import has_any, let, normalise, one_line, plain
 
 # ---------------------------------------------------------------- fixed values
 INTEGER, DASH = r"^\s*0*(\d{1,4})\s*$", r"^\s*[-–—]?\s*$"
@@ -32,10 +32,9 @@ def tidy_rows(rows: Column) -> Column:
 
 
 def looks_like_name(cell: Column) -> Column:
-    p = normalise(cell)
-    return (F.length(p).between(4, 140) & ~cell.rlike(INTEGER) & ~cell.rlike(DASH) & cell.rlike("[a-zA-Z]{3}")
+    return let(normalise(cell), lambda p: (F.length(p).between(4, 140) & ~cell.rlike(INTEGER) & ~cell.rlike(DASH) & cell.rlike("[a-zA-Z]{3}")
             & ~p.rlike("^(" + "|".join(NOT_NAMES) + ")") & ~p.rlike(TOTAL_ROW) & ~p.rlike(LEVEL_ROW)
-            & (F.regexp_count(p, F.lit(" ")) <= 14) & ~cell.contains(";") & (F.regexp_count(cell, F.lit(r"\.")) <= 2))
+            & (F.regexp_count(p, F.lit(" ")) <= 14) & ~cell.contains(";") & (F.regexp_count(cell, F.lit(r"\.")) <= 2)))
 
 
 def level_of(cells: Column) -> Column:
@@ -61,27 +60,33 @@ def classify_row(cells: Column, level: Column, city: str) -> Column:
         F.lit("").alias("name"), F.lit("").alias("req"), none("decimal(12,2)").alias("pay"), none("double").alias("week"),
         none("double").alias("day"), F.lit("").alias("place"), F.array().cast("array<int>").alias("ints"))
 
-    def step(a: Column, c: Column) -> Column:
-        p = normalise(c)
-        n = F.nullif(F.regexp_extract(c, INTEGER, 1), F.lit("")).try_cast("int")
-        number = n.isNotNull()
-        pay = F.when(a["pay"].isNull() & F.lower(F.replace(c, F.lit(" "), F.lit(""))).contains("r$"), parse.parse_money(c))
-        paid = ~number & pay.isNotNull()
-        hours = ~number & ~paid & a["week"].isNull() & (p.contains("hora") | p.rlike(r"\d+\s*h\b"))
-        week = F.when(hours, parse.weekly_workload(c))
-        weekly = week.isNotNull()
-        left = ~number & ~paid & ~weekly
-        req = left & (F.length(c) > 40) & has_any(p, REQUIRES)
-        place = left & ~req & p.contains(plain(city)) & (F.length(p) <= 90) if plain(city) else F.lit(False)
-        name = left & ~req & ~place & (a["name"] == "") & looks_like_name(c)
-        new = F.struct(
-            F.when(name, c).otherwise(a["name"]).alias("name"), F.when(req, F.trim(F.concat_ws(" ", a["req"], c))).otherwise(a["req"]).alias("req"),
-            F.coalesce(a["pay"], F.when(~number, pay)).alias("pay"), F.coalesce(a["week"], week).alias("week"),
-            F.coalesce(a["day"], F.when(hours, parse.daily_workload(c))).alias("day"), F.when(place, c).otherwise(a["place"]).alias("place"),
-            F.when(number, F.concat(a["ints"], F.array(n))).otherwise(a["ints"]).alias("ints"))
-        return F.when(c == "", a).otherwise(new)
-
-    a = F.aggregate(cells, zero, step)
+    def facts(c: Column) -> Column:
+        """All that a cell could be, each parser run once."""
+        return let(normalise(c), lambda p: F.struct(
+            c.alias("c"), F.nullif(F.regexp_extract(c, INTEGER, 1), F.lit("")).try_cast("int").alias("n"),
+            F.when(F.lower(F.replace(c, F.lit(" "), F.lit(""))).contains("r$"), parse.parse_money(c)).alias("pay"),
+            F.when(p.contains("hora") | p.rlike(r"\d+\s*h\b"), F.struct(parse.weekly_workload(c).alias("week"), parse.daily_workload(c).alias("day"))).alias("h"),
+            ((F.length(c) > 40) & has_any(p, REQUIRES)).alias("req"),
+            ((p.contains(plain(city)) & (F.length(p) <= 90)) if plain(city) else F.lit(False)).alias("place"), looks_like_name(c).alias("name")))
+
+    def step(a: Column, f: Column) -> Column:
+        number = f["n"].isNotNull()
+        paid = ~number & a["pay"].isNull() & f["pay"].isNotNull()
+        hours = ~number & ~paid & a["week"].isNull() & f["h"].isNotNull()
+        left = ~number & ~paid & ~(hours & f["h"]["week"].isNotNull())
+        req = left & f["req"]
+        place = left & ~req & f["place"]
+        name = left & ~req & ~place & (a["name"] == "") & f["name"]
+        return F.struct(
+            F.when(name, f["c"]).otherwise(a["name"]).alias("name"), F.when(req, F.trim(F.concat_ws(" ", a["req"], f["c"]))).otherwise(a["req"]).alias("req"),
+            F.coalesce(a["pay"], F.when(paid, f["pay"])).alias("pay"), F.coalesce(a["week"], F.when(hours, f["h"]["week"])).alias("week"),
+            F.coalesce(a["day"], F.when(hours, f["h"]["day"])).alias("day"), F.when(place, f["c"]).otherwise(a["place"]).alias("place"),
+            F.when(number, F.concat(a["ints"], F.array(f["n"]))).otherwise(a["ints"]).alias("ints"))
+
+    return let(F.aggregate(F.transform(F.filter(cells, lambda c: c != ""), facts), zero, step), lambda a: _row(a, level))
+
+
+def _row(a: Column, level: Column) -> Column:
     usable = F.filter(a["ints"], lambda i: i <= 5000)
     return F.struct(
         a["name"].alias("name"), a["req"].alias("requirements"), F.coalesce(parse.education(a["req"]), level).alias("education"),

@@ -30,6 +30,11 @@ _ONE, _MORE = _letters()
 _ASCII = {c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _translate(col: Column, table: dict[str, str]) -> Column:
     return F.translate(col, "".join(table), "".join(table.values()))
 
@@ -41,13 +46,11 @@ def fold(col: Column) -> Column:
 
 def normalise(col: Column) -> Column:
     """Lower-case ASCII letters and digits, everything else one space, trimmed. Null stays null."""
-    out = _translate(col, _ONE)
-    wide = "[" + "".join(_MORE) + "]"
-    many = out
+    many = col
     for c, plain in _MORE.items():
         many = F.replace(many, F.lit(c), F.lit(plain))
-    out = F.when(out.rlike(wide), many).otherwise(out)
-    out = F.regexp_replace(F.lower(out), r"\p{M}+", "")
+    out = F.when(col.rlike("[" + "".join(_MORE) + "]"), many).otherwise(col)
+    out = F.regexp_replace(F.lower(_translate(out, _ONE)), r"\p{M}+", "")
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
@@ -84,7 +87,7 @@ def marker_pattern(marker: str) -> str:
 
 def locate(folded: Column, markers: Iterable[str]) -> Column:
     """1-based place of the first marker in list order that occurs in a fold; null if none does."""
-    return F.coalesce(*[F.nullif(F.regexp_instr(folded, F.lit(marker_pattern(m))), F.lit(0)) for m in markers])
+    return let(folded, lambda f: F.coalesce(*[F.nullif(F.regexp_instr(f, F.lit(marker_pattern(m))), F.lit(0)) for m in markers]))
 
 
 def labelled(text: Column, markers: Iterable[str], window: int) -> Column:

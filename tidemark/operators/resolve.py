@@ -52,6 +52,34 @@ def position_slug(name: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(F.replace(normalise(name), F.lit(" "), F.lit("-")), 1, 160), F.lit("")), F.lit("cargo"))
 
 
+def _by_name(d: DataFrame, k: DataFrame, first: Column) -> DataFrame:
+    """(id, one, score) of drafts and stored rows with similar institutions and names.
+
+    What is compared are distinct combinations of what the rule looks at. Names of Jaccard t or more
+    share one of their rarest |x| - ceil(t |x|) + 1 tokens, so the join is on those only.
+    """
+    least = NAME_THRESHOLD - SAME_BOARD
+    mine = d.select("it", "nt", F.year("published").alias("year"), normalise(F.col("board")).alias("nboard")).distinct().where(F.size("nt") > 0)
+    theirs = k.groupBy("kit", "knt", "kyear", "kboard").agg(first).where(F.size("knt") > 0)
+    rare = theirs.select(F.explode("knt").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+
+    def prefixed(rows: DataFrame, names: str) -> DataFrame:
+        keep = [c for c in rows.columns]
+        token = rows.select("*", F.explode(names).alias("t")).join(rare, "t", "left")
+        ranked = token.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"))
+        n = F.size(names)
+        return ranked.select(*keep, F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("p")).select(*keep, "p.t")
+
+    left, right = prefixed(mine, "nt"), prefixed(theirs, "knt").withColumnRenamed("t", "kt")
+    near = (left.join(right, F.col("t") == F.col("kt"))
+            .where(jaccard(F.col("it"), F.col("kit")) >= INSTITUTION_THRESHOLD).where(F.coalesce(F.col("year") == F.col("kyear"), F.lit(True))))
+    score = jaccard(F.col("nt"), F.col("knt")) + F.when(F.col("nboard") == F.col("kboard"), SAME_BOARD).otherwise(0.0)
+    best = near.withColumn("score", score).where(F.col("score") >= NAME_THRESHOLD).groupBy("it", "nt", "year", "nboard").agg(
+        F.min_by(F.struct("one", "score"), F.struct(-F.col("score"), "one")).alias("b")).select("it", "nt", F.col("year").alias("y"), F.col("nboard").alias("nb"), "b.one", "b.score")
+    own = d.withColumn("y0", F.year("published")).withColumn("nb0", normalise(F.col("board"))).select("id", F.col("it").alias("it0"), F.col("nt").alias("nt0"), "y0", "nb0")
+    return own.join(best, (F.col("it0") == F.col("it")) & (F.col("nt0") == F.col("nt")) & F.col("y0").eqNullSafe(F.col("y")) & F.col("nb0").eqNullSafe(F.col("nb"))).select("id", "one", "score")
+
+
 def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
     """(draft, known, reason): the stored opportunity each draft belongs to.
 
@@ -68,22 +96,20 @@ def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
                      dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("kkey"),
                      token_set(F.col("institution")).alias("kit"), token_set(F.col("name")).alias("knt"))
 
-    def hits(joined: DataFrame, order: int, reason: str) -> DataFrame:
-        return joined.select("id", "kid", "first_seen", F.lit(order).alias("rule"), F.lit(reason).alias("reason"), F.lit(0.0).alias("score"))
+    # one stored row speaks for all that a rule cannot tell apart: the first seen of them
+    first = F.min(F.struct("first_seen", "kid")).alias("one")
+
+    def hits(joined: DataFrame, order: int, reason: str, score: Column | float = 0.0) -> DataFrame:
+        score = F.lit(score) if isinstance(score, float) else score
+        return joined.select("id", "one.kid", "one.first_seen", F.lit(order).alias("rule"), F.lit(reason).alias("reason"), score.alias("score"))
 
-    by_key = hits(d.join(k, d["key"] == k["kkey"]), 1, "dedup_key")
-    by_hash = hits(d.where("document_hash <> ''").join(k.withColumn("h", F.explode("hashes")), F.col("document_hash") == F.col("h")), 2, "document_hash")
-    by_url = hits(d.where("url <> ''").join(k.withColumn("u", F.explode("urls")), F.col("url") == F.col("u")), 3, "url")
+    by_key = hits(d.join(k.groupBy("kkey").agg(first), F.col("key") == F.col("kkey")), 1, "dedup_key")
+    by_hash = hits(d.where("document_hash <> ''").join(k.withColumn("h", F.explode("hashes")).groupBy("h").agg(first), F.col("document_hash") == F.col("h")), 2, "document_hash")
+    by_url = hits(d.where("url <> ''").join(k.withColumn("u", F.explode("urls")).groupBy("u").agg(first), F.col("url") == F.col("u")), 3, "url")
     numbered = d.where("number <> ''").withColumn("n", normalise(F.col("number"))).join(
-        k.where("knumber <> ''").withColumn("kn", normalise(F.col("knumber"))), F.col("n") == F.col("kn"))
+        k.where("knumber <> ''").withColumn("kn", normalise(F.col("knumber"))).groupBy("kn", "kit").agg(first), F.col("n") == F.col("kn"))
     by_number = hits(numbered.where(jaccard(F.col("it"), F.col("kit")) >= NUMBER_THRESHOLD), 4, "edital_number")
-    # institutions whose token sets have a Jaccard of half or more share their rarest tokens: block on tokens
-    near = (d.withColumn("t", F.explode("it")).join(k.withColumn("kt", F.explode("kit")), F.col("t") == F.col("kt"))
-            .where(jaccard(F.col("it"), F.col("kit")) >= INSTITUTION_THRESHOLD)
-            .where(F.coalesce(F.year("published") == F.col("kyear"), F.lit(True)))
-            .dropDuplicates(["id", "kid"]))
-    score = jaccard(F.col("nt"), F.col("knt")) + F.when(normalise(F.col("board")) == F.col("kboard"), SAME_BOARD).otherwise(0.0)
-    by_name = near.select("id", "kid", "first_seen", F.lit(5).alias("rule"), F.lit("similarity").alias("reason"), score.alias("score")).where(F.col("score") >= NAME_THRESHOLD)
-    all_ = by_key.union(by_hash).union(by_url).union(by_number).union(by_name)
+    by_name = _by_name(d, k, first)
+    all_ = by_key.union(by_hash).union(by_url).union(by_number).union(hits(by_name, 5, "similarity", F.col("score")))
     best = all_.groupBy("id").agg(F.min_by(F.struct("kid", "reason"), F.struct("rule", -F.col("score"), "first_seen", "kid")).alias("m"))
     return drafts.select("id").join(best, "id", "left").select(F.col("id").alias("draft"), F.col("m.kid").alias("known"), F.coalesce("m.reason", F.lit("new")).alias("reason"))

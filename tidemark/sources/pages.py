@@ -83,7 +83,6 @@ class _Page(HTMLParser):
             self.open[-1]["caption"] += data
 
 
-@F.pandas_udf(SCHEMA)
 def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
         out = []
@@ -102,10 +101,9 @@ def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with the struct column ``page``: text, title, links, tables, shape."""
-    return pages.withColumn("page", _parsed(html))
+    return pages.withColumn("page", F.pandas_udf(_parsed, SCHEMA)(html))
 
 
-@F.pandas_udf("string")
 def _joined(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
     def one(base, href):
         try:
@@ -118,7 +116,7 @@ def _joined(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
 def links(pages: DataFrame, allowed: Column, url: str = "url") -> DataFrame:
     """(url of the page, place, link, label): canonical allowed links, each once, where first seen."""
     rows = pages.select(F.col(url).alias("page_url"), F.posexplode("page.links").alias("place", "l"))
-    rows = rows.select("page_url", "place", F.col("l.label").alias("label"), canonical(_joined("page_url", F.col("l.url"))).alias("link"))
+    rows = rows.select("page_url", "place", F.col("l.label").alias("label"), canonical(F.pandas_udf(_joined, "string")("page_url", F.col("l.url"))).alias("link"))
     return rows.where((F.col("link") != "") & host_allowed(F.col("link"), allowed)).groupBy("page_url", "link").agg(
         F.min("place").alias("place"), F.min_by("label", "place").alias("label"))
 
