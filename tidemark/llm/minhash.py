@@ -7,8 +7,9 @@ confirmed on the full shingle sets.
 
 Texts with the same shingle set are one class from the start. In a bucket, members are compared
 with one central member first; only members that this leaves in another component than the
-bucket's main one are compared with all the rest, by signature, in blocks. So no bucket is capped,
-copies are never expanded to pairs, and no link that could join two components is left untried.
+bucket's main one are compared with all the rest, in blocks: signatures give neighbourhoods of
+components that may link, the full sets of a neighbourhood decide. So no bucket is capped, copies
+are never expanded to pairs, and no link that could join two components is left untried.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, flat_bytes, mix, prefix_hash, span_hash, with_ids, words_of
@@ -31,6 +32,7 @@ SIGMAS = 5           # standard errors of the estimate that a candidate may lie
 HOT = 512            # members from which a bucket is salted
 BLOCK = 128          # stragglers of a bucket compared in one task
 OTHERS = 4096        # members they are compared with in one task
+SET_BLOCK, SET_OTHERS = 64, 512   # the same where the full sets are there
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,10 +95,12 @@ def pack_bits(m: np.ndarray) -> bytes:
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity of packed signatures (rows of uint8) from equal groups of bits, corrected for
     the groups that are equal by chance."""
-    differ = np.unpackbits(a ^ b, axis=-1, count=BITS * PERMS)
-    same = 1 - differ.reshape(*differ.shape[:-1], PERMS, BITS).any(-1).mean(-1)
+    x = a ^ b
+    x |= x >> 2
+    x |= x >> 1                      # the lowest bit of each group of four says whether any differs
+    differ = np.bitwise_count(x & np.uint8(0x11)).sum(-1, dtype=np.int64)
     chance = 1 / (1 << BITS)
-    return (same - chance) / (1 - chance)
+    return (1 - differ / PERMS - chance) / (1 - chance)
 
 
 def _floor(threshold: float) -> float:
@@ -166,47 +170,115 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([u, v]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(u) + len(v) - common))
+                ok.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _stragglers(members: DataFrame, threshold: float) -> DataFrame:
-    """Possible pairs across components in buckets that hold more than one: each member outside
-    the bucket's main component against all members of other components, in blocks.
+def _forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the pairs (left, right) join two trees when taken in order."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    keep = np.zeros(len(left), bool)
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            keep[i] = True
+    return keep
+
+
+def _blocks(members: DataFrame, group: str, block: int, others: int) -> DataFrame:
+    """Members (group, a, comp, ...) of groups with more than one component, dealt to blocks
+    (group, i, j): those outside the group's largest component (odd) in parts i, and all members in
+    parts j, so that every pair across components meets in one block."""
+    size = members.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = size.groupBy(group).agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
+    mixed = cut(mixed.select(group, F.col("top.comp").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("parts"),
+                             F.ceil(F.col("n") / others).cast("int").alias("rest")), "mixed")
+    columns = members.columns
+    own = members.join(mixed, group)
+    h = F.xxhash64("a")
+    odd = own.where("comp <> main").select(*columns, F.lit(True).alias("odd"), F.pmod(h, F.col("parts")).cast("int").alias("i"), F.explode(F.expr("sequence(0, rest - 1)")).alias("j"))
+    all_ = own.select(*columns, F.lit(False).alias("odd"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.pmod(h, F.col("rest")).cast("int").alias("j"))
+    return odd.union(all_)
+
+
+def _across(pdf: pd.DataFrame, low: float) -> Iterator[tuple[int, np.ndarray, pd.DataFrame, pd.DataFrame]]:
+    """(row of the odd side, rows of the other, both sides) whose signatures leave a link between
+    components possible."""
+    left, right = pdf[pdf.odd], pdf[~pdf.odd]
+    if not len(left) or not len(right):
+        return
+    s = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1)
+    comp = right.comp.to_numpy()
+    for k, (c, sig) in enumerate(zip(left.comp, left.sig)):
+        near = np.flatnonzero((estimate(s, np.frombuffer(sig, np.uint8)[None]) >= low) & (comp != c))
+        if len(near):
+            yield k, near, left, right
+
+
+def _neighbourhoods(members: DataFrame, threshold: float) -> DataFrame:
+    """(comp, super): components that buckets hold together and that signatures leave possible to
+    link, as neighbourhoods. A block gives a forest over its components, never pairs of members.
 
     ``members``: key, a (class), comp, sig.
     """
     low = _floor(threshold)
-    size = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = size.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
-    mixed = cut(mixed.select("key", F.col("top.comp").alias("main"), F.col("n"), (F.col("n") - F.col("top.n")).alias("out")), "mixed")
-    own = members.join(mixed, "key").select(
-        "key", "a", "comp", "sig", "n", "out", (F.col("comp") != F.col("main")).alias("odd"),
-        F.ceil(F.col("out") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("n") / OTHERS).cast("int").alias("rest"))
-    h = F.xxhash64("a")
-    odd = own.where("odd").select("key", "a", "comp", "sig", F.lit(True).alias("odd"), F.pmod(h, F.col("parts")).cast("int").alias("i"), F.explode(F.expr("sequence(0, rest - 1)")).alias("j"))
-    all_ = own.select("key", "a", "comp", "sig", F.lit(False).alias("odd"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.pmod(h, F.col("rest")).cast("int").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.odd], pdf[~pdf.odd]
+        got = [np.unique(np.stack([np.full(len(near), left.comp.iat[k]), right.comp.to_numpy()[near]], 1), axis=0) for k, near, left, right in _across(pdf, low)]
+        pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
+        return pd.DataFrame(pairs[_forest(pairs[:, 0], pairs[:, 1])], columns=["a", "b"])
+
+    met = cut(_blocks(members, "key", BLOCK, OTHERS).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "near")
+    return components(met).select(F.col("node").alias("comp"), F.col("root").alias("super"))
+
+
+def _links_across(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components of a neighbourhood, found by comparing every
+    possible pair's full sets in blocks; of links between the same components a block gives one.
+
+    ``members``: super, a, comp, sig, set.
+    """
+    low = _floor(threshold)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         got = []
-        if len(left) and len(right):
-            s = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1)
-            b, comp = right.a.to_numpy(), right.comp.to_numpy()
-            for a, c, sig in zip(left.a, left.comp, left.sig):
-                other = np.flatnonzero(comp != c)
-                hit = other[estimate(s[other], np.frombuffer(sig, np.uint8)[None]) >= low]
-                got.append(np.stack([np.minimum(a, b[hit]), np.maximum(a, b[hit])], 1))
-        out = np.concatenate(got) if got else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(out, columns=["a", "b"])
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        for k, near, left, right in _across(pdf, low):
+            a, c, x = int(left.a.iat[k]), int(left.comp.iat[k]), np.frombuffer(left.set.iat[k], np.uint64)
+            for j in near.tolist():
+                other = int(right.comp.iat[j])
+                if root(c) != root(other) and _similar(x, np.frombuffer(right.set.iat[j], np.uint64), percent):
+                    parent[root(c)] = root(other)
+                    got.append((a, int(right.a.iat[j])))
+        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+
+    return _blocks(members, "super", SET_BLOCK, SET_OTHERS).groupBy("super", "i", "j").applyInPandas(compare, "a long, b long")
+
 
-    return odd.union(all_).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+        return False
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(u) + len(v) - common)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -239,13 +311,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(_confirmed(pairs, sets, percent), "links")
     found = cut(components(links), "comps")
 
-    # what the central members did not join
-    now = member.join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("key", "a", "sig", F.coalesce("root", "a").alias("comp"))
-    more = cut(_stragglers(now, threshold).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        ids2 = cut(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "ids")
-        sets2 = cut(_sets(docs, ids2, id_col, text_col, n), "sets")
-        links = cut(links.union(_confirmed(more, sets2, percent)), "links")
+    # what the central members did not join: neighbourhoods of components first, then their links
+    own = classes.join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "sig", F.coalesce("root", "a").alias("comp"))
+    now = member.select("key", "a").join(own, "a")
+    around = cut(_neighbourhoods(now, threshold), "around")
+    if around.limit(1).count():
+        near = cut(own.join(around, "comp"), "nearby")
+        ids2 = cut(near.select(F.col("a").alias("id")), "ids")
+        sets2 = _sets(docs, ids2, id_col, text_col, n).withColumnRenamed("id", "a")
+        more = _links_across(near.join(sets2, "a").select("super", "a", "comp", "sig", "set"), threshold, percent)
+        links = cut(links.union(more), "links")
         found = cut(components(links), "comps")
 
     roots = cut(classes.join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("fp", F.coalesce("root", "a").alias("root")), "roots")
