@@ -6,6 +6,7 @@ Nothing here collects rows of a corpus to the driver.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -90,6 +91,16 @@ def flat_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0]: off[-1]], off - off[0]
 
 
+def trim() -> None:
+    """Give freed memory of this worker back to the system, where the C library can: workers are
+    reused, and what one operator has freed would count beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser on uint64, in place when it can be."""
     x = x.astype(np.uint64, copy=True)

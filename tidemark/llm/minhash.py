@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, flat_bytes, mix, prefix_hash, span_hash, with_ids, words_of
+from tidemark.llm.common import components, cut, flat_bytes, mix, prefix_hash, span_hash, trim, with_ids, words_of
 from tidemark.llm.tokens import by_bytes
 
 PERMS = 125          # random functions
@@ -130,6 +130,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()),
                      pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "n", "fp", "bands", "sig"])
+            trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).mapInArrow(
         run, "id long, n long, fp binary, bands array<long>, sig binary")
@@ -144,6 +145,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n: int) -
             for i, j in by_bytes(off):
                 sets = shingle_sets(data[off[i]: off[j]], off[i: j + 1] - off[i], n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+            trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     return with_ids(rows, ids, "id").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cut, flat_bytes, words_of
+from tidemark.llm.common import WORD, cut, flat_bytes, trim, words_of
 
 BLOCK = 256          # words of a block
 WEIGHTS = (5, 2, 1)  # of the sources by code point, repeating
@@ -240,5 +240,6 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if count_at is not None:
                 out[count_at] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.schema.field(count_at).type)
             yield pa.RecordBatch.from_arrays(out, schema=pa.schema([batch.schema.field(k) for k in range(len(columns))]))
+            trim()
 
     return both.mapInArrow(emit, schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes
+from tidemark.llm.common import flat_bytes, trim
 from tidemark.llm.tokens import SLICE, Segmented, by_bytes
 
 TOKENS = 2048      # of a sequence
@@ -168,6 +168,7 @@ def pack(
                     box.add((names[k], len(own)), own, free[k] or 0)
                 if len(box.out) >= 64:
                     yield rows(box.take(), kind)
+            trim()
         box.finish()
         if box.out:
             yield rows(box.take(), kind)

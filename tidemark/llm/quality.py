@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes, mix, prefix_hash, span_hash, words_of
+from tidemark.llm.common import flat_bytes, mix, prefix_hash, span_hash, trim, words_of
 from tidemark.llm.tokens import by_bytes
 
 SAMPLE = 20_000   # labelled rows that a fit uses at most: those of smallest hash
@@ -252,6 +252,7 @@ def score_texts(docs: DataFrame, model, id_col: str, text_col: str, measure, ext
             for i, j in by_bytes(off):
                 out[i:j] = model.score(measure(data[off[i]: off[j]], off[i: j + 1] - off[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[id_col, "score"])
+            trim()
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, score double")
 
@@ -281,5 +282,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for i, j in by_bytes(off):
                 keep[i:j] = model.score(features(data[off[i]: off[j]], off[i: j + 1] - off[i])) >= threshold
             yield batch.filter(pa.array(keep))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, flat_bytes, mix, prefix_hash, span_hash
+from tidemark.llm.common import cut, flat_bytes, mix, prefix_hash, span_hash, trim
 from tidemark.llm.tokens import by_bytes
 
 LENGTH = 400
@@ -95,6 +95,7 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
                     [batch.column(0).take(pa.array(t + i)), *(pa.array((k - base).astype(np.int32)) for k in (x, lo, hi)),
                      *(pa.array(k.view(np.int64)) for k in (span_hash(h, down, x, x + grain), span_hash(h, down, x + grain, x + 2 * grain), whole))],
                     names=["id", "x", "lo", "hi", "r1", "r2", "whole"])
+            trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).mapInArrow(
         run, "id long, x int, lo int, hi int, r1 long, r2 long, whole long")
@@ -133,6 +134,7 @@ def _split(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, lengt
                         [batch.column(0).take(pa.array(t[e] + i)), *(pa.array((q - base)[e].astype(np.int32)) for q in (x, lo, hi)),
                          pa.array(core[e].view(np.int64)), pa.array(whole[e].view(np.int64)), pa.array(wanted[e])],
                         names=["id", "x", "lo", "hi", "core", "whole", "wanted"])
+            trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     return beside(rows, cut(packed, "places"), "id", 13, "places", "inner").mapInArrow(

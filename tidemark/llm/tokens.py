@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes
+from tidemark.llm.common import flat_bytes, trim
 
 LIMIT = 512              # tokens of over_limit
-SLICE = 12 << 20         # bytes of text worked on at once
+SLICE = 6 << 20          # bytes of text worked on at once
 ENCODE = 1 << 20         # bytes of one call to the tokenizer
-CACHE = 1_200_000        # segments kept in a worker
+CACHE = 300_000          # segments kept in a worker, some 200 bytes each
 
 #: ASCII punctuation that always begins a new piece after a letter. Apostrophes
 #: (contractions) and the characters of special tokens (< | >) are left out.
@@ -146,7 +146,7 @@ class Segmented:
         return self.store[where], total[np.searchsorted(starts, off)]
 
 
-def by_bytes(off: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def by_bytes(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes; a longer text is a range of its own."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -173,6 +173,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            trim()
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     kind = rows.schema[0].dataType.simpleString()
