@@ -26,60 +26,93 @@ PIVOTS = 64           # upper-level centres: classes of smallest hash
 CHUNK = 8192          # vectors of a chunk, about
 LEAF = 512            # vectors of a node from which its centres are compared directly
 LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625)
+MARGIN = np.float32(1e-5)   # above the rounding of a cosine in single precision
 
 
 class Tree:
     """Nested levels over unit vectors: every node is (row numbers, centre row, covering radius,
-    children); a node's radius is the largest distance of its rows from its centre."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        self.root = self._node(np.arange(len(x)), 0)
-
-    def _node(self, rows: np.ndarray, level: int):
-        centre = rows[0]
-        far = np.sqrt(np.maximum(0, 2 - 2 * (self.x[rows] @ self.x[centre])))
-        radius = float(far.max()) if len(rows) else 0.0
-        if len(rows) <= 1 or radius == 0.0 or level == len(LEVELS):
-            return rows, centre, radius, []
-        # greedy cover of radius LEVELS[level]: the next uncovered row opens a node and takes all near it
-        cover, left, children = LEVELS[level], rows, []
+    children); a node's radius is the largest distance of its rows from its centre, its first row."""
+
+    def __init__(self, x: np.ndarray, paths: np.ndarray | None = None):
+        """``paths``: for rows in the tree's order, each row's child number by level (-1: no more)."""
+        self.x, self.low = x, x.astype(np.float32)
+        self.paths = np.full((len(x), len(LEVELS)), -1, np.int32) if paths is None else paths
+        self.order: list[np.ndarray] = []
+        self.root = self._grow(np.arange(len(x)), 0) if paths is None else self._read(np.arange(len(x)), 0)
+
+    def _radius(self, rows: np.ndarray) -> float:
+        if len(rows) == 1:
+            return 0.0
+        far = np.sqrt(np.maximum(0, 2 - 2 * (self.x[rows] @ self.x[rows[0]])))
+        return float(far.max())
+
+    def _grow(self, rows: np.ndarray, level: int):
+        """Greedy cover: the next uncovered row opens a node and takes all within the level's radius."""
+        radius = self._radius(rows)
+        if len(rows) == 1 or radius == 0.0 or level == len(LEVELS):
+            self.order.append(rows)
+            return rows, rows[0], radius, []
+        cover, left, children = 1 - LEVELS[level] ** 2 / 2, rows, []
         while len(left):
             batch = left[:LEAF]
-            near = self.x[batch] @ self.x[batch].T >= 1 - cover * cover / 2
+            near = self.low[batch] @ self.low[batch].T >= cover
             taken, centres = np.zeros(len(batch), bool), []
             for i in range(len(batch)):
                 if not taken[i]:
                     centres.append(i)
                     taken |= near[i]
-            sim = self.x[left] @ self.x[batch[centres]].T
+            sim = self.low[left] @ self.low[batch[centres]].T
             best = sim.argmax(1)
-            inside = sim[np.arange(len(left)), best] >= 1 - cover * cover / 2
+            inside = sim[np.arange(len(left)), best] >= cover
             inside[centres] = True
             best[centres] = np.arange(len(centres))
             at = np.flatnonzero(inside)
             at = at[np.argsort(best[at], kind="stable")]
-            for own in np.split(left[at], np.searchsorted(best[at], np.arange(1, len(centres)))):
-                children.append(own)
+            own = np.split(left[at], np.searchsorted(best[at], np.arange(1, len(centres))))
+            for c, o in zip(batch[centres], own):
+                children.append(o if o[0] == c else np.concatenate([[c], o[o != c]]))
             left = left[~inside]
-        return rows, centre, radius, [self._node(c, level + 1) for c in children]
+        nodes = []
+        for k, c in enumerate(children):
+            self.paths[c, level] = k
+            nodes.append(self._grow(c, level + 1))
+        return rows, rows[0], radius, nodes
+
+    def _read(self, rows: np.ndarray, level: int):
+        """The same nodes again from rows in tree order and their paths."""
+        if len(rows) == 1 or level == len(LEVELS) or self.paths[rows[0], level] < 0:
+            return rows, rows[0], self._radius(rows), []
+        k = self.paths[rows, level]
+        ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(rows))
+        nodes, lo = [], 0
+        for hi in ends.tolist():
+            nodes.append((rows[lo:hi], rows[lo], 0.0, []) if hi - lo == 1 else self._read(rows[lo:hi], level + 1))
+            lo = hi
+        return rows, rows[0], self._radius(rows), nodes
 
 
 def dual(a: Tree, b: Tree, t: float, same: bool):
-    """Row pairs (i of a, j of b) with cosine >= t, in arrays; each pair once if ``same``."""
-    reach = float(np.sqrt(2 - 2 * t)) + 1e-6  # radii and distances are rounded
+    """Row pairs (i of a, j of b) with cosine >= t, in arrays; each pair once if ``same``.
+
+    Bounds are taken in single precision with a margin above its rounding, and as cosines, so that
+    a node pair costs one product; only the decision about two vectors is in double precision.
+    """
+    reach = float(np.sqrt(2 - 2 * t))
     todo = [([a.root], [b.root])]
     while todo:
         left, right = todo.pop()
         ca, cb = np.array([n[1] for n in left]), np.array([n[1] for n in right])
-        ra, rb = np.array([n[2] for n in left]), np.array([n[2] for n in right])
+        ra, rb = np.array([n[2] for n in left], np.float32), np.array([n[2] for n in right], np.float32)
         one_a, one_b = np.array([len(n[0]) == 1 for n in left]), np.array([len(n[0]) == 1 for n in right])
-        for s in range(0, len(left), 2048):
-            d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[ca[s: s + 2048]] @ b.x[cb].T)))
-            i, j = np.nonzero(d <= ra[s: s + 2048, None] + rb[None] + reach)
-            i += s
+        plain_b = b.low[cb]
+        for s in range(0, len(left), 1024):
+            e = slice(s, s + 1024)
+            sim = a.low[ca[e]] @ plain_b.T
+            # two single vectors need the cosine itself, the least bound of all
+            i, j = np.nonzero(sim >= t - MARGIN) if one_a[e].all() and one_b.all() else _open(sim, ra[e], rb, reach)
+            i = i + s
             single = one_a[i] & one_b[j]
-            if single.any():  # single vectors are decided here
+            if single.any():
                 yield _decide(a, b, ca[i[single]], cb[j[single]], t, same)
             i, j = i[~single], j[~single]
             starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else []
@@ -90,19 +123,33 @@ def dual(a: Tree, b: Tree, t: float, same: bool):
                     todo.append((node[3] or [node], [k for f in few for k in (f[3] or [f])]))
                     continue
                 y = np.concatenate([f[0] for f in few])
-                for r in range(0, len(node[0]), 2048):
-                    x = node[0][r: r + 2048]
-                    u, v = np.nonzero(a.x[x] @ b.x[y].T >= t - 1e-6)
+                for r in range(0, len(node[0]), 1024):
+                    x = node[0][r: r + 1024]
+                    u, v = np.nonzero(a.low[x] @ b.low[y].T >= t - MARGIN)
                     if len(u):
                         yield _decide(a, b, x[u], y[v], t, same)
 
 
+def _open(sim: np.ndarray, ra: np.ndarray, rb: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Node pairs whose centres are within both radii and the reach: first by the largest radii, then
+    each by its own."""
+    far = min(2.0, float(ra.max() + rb.max()) + reach)
+    i, j = np.nonzero(sim >= 1 - far * far / 2 - MARGIN)
+    own = np.minimum(2.0, ra[i] + rb[j] + np.float32(reach))
+    ok = sim[i, j] >= 1 - own * own / 2 - MARGIN
+    return i[ok], j[ok]
+
+
 def _decide(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     if same:
         keep = i < j
         i, j = i[keep], j[keep]
-    ok = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= t
-    return i[ok], j[ok]
+    out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in range(0, len(i), 100_000):
+        p, q = i[s: s + 100_000], j[s: s + 100_000]
+        ok = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= t
+        out[0].append(p[ok]), out[1].append(q[ok])
+    return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 def _local_roots(n: int, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -216,20 +263,30 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     places = spark.createDataFrame(plan, "dim int, cell int, first int, parts int")
     chunked = dealt.join(F.broadcast(places), ["dim", "cell"]).select(
         "a", "copies", "unit", (F.col("first") + F.pmod(F.xxhash64("a"), F.col("parts"))).cast("int").alias("chunk"))
+    kinds = "a long, copies long, unit binary, chunk int, pos int, path binary"
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A chunk's tree, once: its rows in tree order with their paths."""
+        pdf = pdf.sort_values("a", ignore_index=True)
+        tree = Tree(np.frombuffer(b"".join(pdf.unit), float).reshape(len(pdf), -1))
+        order = np.concatenate(tree.order)
+        return pdf.iloc[order].assign(pos=np.arange(len(pdf), dtype=np.int32), path=[tree.paths[i].tobytes() for i in order])[["a", "copies", "unit", "chunk", "pos", "path"]]
+
+    chunked = cut(chunked.groupBy("chunk").applyInPandas(grow, kinds), "trees")
     both = spark.createDataFrame([(i, n, True) for n, (i, _) in enumerate(pairs)] + [(j, n, False) for n, (i, j) in enumerate(pairs) if j != i], "chunk int, task int, left boolean")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """(a, links, root): within these two chunks, links of each class by copies, and the smallest class of its component."""
         side = pdf.left.to_numpy()
         one = bool(side.all())
+        pdf = pdf.iloc[np.lexsort((pdf.pos, ~side))]
         x = np.frombuffer(b"".join(pdf.unit), float).reshape(len(pdf), -1)
-        order = np.argsort(~side, kind="stable")
-        ids, copies, x = pdf.a.to_numpy()[order], pdf.copies.to_numpy()[order], x[order]
-        n = int(side.sum())
+        paths = np.frombuffer(b"".join(pdf.path), np.int32).reshape(len(pdf), -1)
+        ids, copies, n = pdf.a.to_numpy(), pdf.copies.to_numpy(), int(side.sum())
         if not one and (n == 0 or n == len(ids)):
             return pd.DataFrame({"a": [], "links": [], "root": []}).astype("int64")
-        left = Tree(x[:n])
-        right = left if one else Tree(x[n:])
+        left = Tree(x[:n], paths[:n])
+        right = left if one else Tree(x[n:], paths[n:])
         links, got = np.zeros(len(ids), np.int64), []
         for i, j in dual(left, right, threshold, one):
             j = j if one else j + n
