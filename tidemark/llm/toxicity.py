@@ -177,17 +177,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _gumbel(table: tuple[np.ndarray, np.ndarray]) -> float:
-    """lambda > 0 with mean exp(lambda * score) = 1 over a neutral text, in which a fiftieth of
-    the words carries a significant score."""
-    up = table[1][table[1] > 0]
-    if not len(up):
+def _gumbel(value: np.ndarray, chance: np.ndarray) -> float:
+    """The positive root of mean exp(lambda * score) = 1 over the words of a neutral text, in which
+    a token of log-odds ``value`` is met with ``chance`` and all others score DRIFT: the rate at
+    which the chance of a high segment score falls."""
+    if not (value > 0).any():
         return 1.0
-    lo, hi = 1e-3, 5.0
-    for _ in range(60):
+    rest = max(0.0, 1 - chance.sum())
+    lo, hi = 1e-3, 10.0
+    for _ in range(80):
         mid = (lo + hi) / 2
-        value = 0.98 * np.exp(mid * DRIFT) + 0.02 * np.exp(np.minimum(mid * up, 50)).mean()
-        lo, hi = (mid, hi) if value < 1 else (lo, mid)
+        mean = rest * np.exp(mid * DRIFT) + (chance * np.exp(np.minimum(mid * (value + DRIFT), 600))).sum()
+        lo, hi = (mid, hi) if mean < 1 else (lo, mid)
     return max(lo, 1e-2)
 
 
@@ -208,11 +209,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 sizes = [len(s) for s in sets]
                 all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 code = np.repeat(y[i:j] + 2 * half, sizes)
-                yield pa.RecordBatch.from_pydict({"h": all_.view(np.int64), "c": pa.array(code, pa.int32())})
-                yield pa.RecordBatch.from_pydict({"h": np.zeros(j - i, np.int64), "c": pa.array(y[i:j] + 2 * half, pa.int32())})
+                yield pa.RecordBatch.from_pydict({"h": all_.view(np.int64), "c": pa.array(code, pa.int32()), "w": np.zeros(len(all_), np.int64)})
+                words = np.diff(tokens(data[off[i]: off[j]], off[i: j + 1] - off[i])[3])
+                yield pa.RecordBatch.from_pydict({"h": np.zeros(j - i, np.int64), "c": pa.array(y[i:j] + 2 * half, pa.int32()), "w": words})
 
-    counts = (rows.mapInArrow(gather, "h long, c int").groupBy("h")
-              .agg(*[F.count_if(F.col("c") == k).alias(f"c{k}") for k in range(4)])
+    counts = (rows.mapInArrow(gather, "h long, c int, w long").groupBy("h")
+              .agg(*[F.count_if(F.col("c") == k).alias(f"c{k}") for k in range(4)], F.sum(F.when(F.col("c") % 2 == 0, F.col("w"))).alias("w"))
               .where(f"c0 + c1 + c2 + c3 >= {MIN_TEXTS} or h = 0").toArrow())
     h = counts.column("h").to_numpy().view(np.uint64)
     c = np.stack([counts.column(f"c{k}").to_numpy() for k in range(4)], 1).astype(float)
@@ -222,11 +224,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     blank = (np.zeros(3), np.ones(3))
     if n == 0 or nt in (0, n):
         return Toxicity(np.zeros(0, np.uint64), np.zeros(0), 1.0, np.array([np.log(rate0 / (1 - rate0)), 0, 0, 0]), *blank)
+    words = float(counts.column("w").to_numpy()[h == 0].sum())   # of the other class
     h, c = h[h != 0], c[h != 0]
     # each half's tokens measure the other half; all texts give the final table
     tables = [log_odds(h, c[:, 2 * k + 1], c[:, 2 * k], int(totals[2 * k + 1]), int(totals[2 * k])) for k in (0, 1)]
     whole = log_odds(h, c[:, 1] + c[:, 3], c[:, 0] + c[:, 2], int(nt), int(n - nt))
-    rate = _gumbel(whole)
+    at = np.searchsorted(whole[0], h)
+    hit = (at < len(whole[0])) & (whole[0][np.minimum(at, len(whole[0]) - 1)] == h) if len(whole[0]) else np.zeros(len(h), bool)
+    neutral = np.zeros(len(whole[0]))
+    neutral[at[hit]] = (c[hit, 0] + c[hit, 2] + 0.5) / max(words, 1.0)
+    rate = _gumbel(whole[1], neutral)
     halves = [Toxicity(*t, rate, np.zeros(4), *blank) for t in tables]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
