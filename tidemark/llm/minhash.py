@@ -210,7 +210,9 @@ def _blocks(members: DataFrame, group: str, block: int, others: int) -> DataFram
     h = F.xxhash64("a")
     odd = own.where("comp <> main").select(*columns, F.lit(True).alias("odd"), F.pmod(h, F.col("parts")).cast("int").alias("i"), F.explode(F.expr("sequence(0, rest - 1)")).alias("j"))
     all_ = own.select(*columns, F.lit(False).alias("odd"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.pmod(h, F.col("rest")).cast("int").alias("j"))
-    return odd.union(all_)
+    # groups are small in bytes but not in work: a count of partitions keeps them spread
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return odd.union(all_).repartition(parts, group, "i", "j")
 
 
 def _across(pdf: pd.DataFrame, low: float) -> Iterator[tuple[int, np.ndarray, pd.DataFrame, pd.DataFrame]]:
