@@ -40,28 +40,31 @@ def notices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DAY = "CAST(CAST(o_orderdate AS DATE) + INTERVAL 26 YEAR AS DATE)"
-T = F.col("text")
+
+
+def _body():
+    return F.col("text")
 
 
 @q("f06_parse_dates", f"SELECT o_orderkey AS id, {_DAY} AS first, {_DAY} AS start, {_DAY} + 30 AS end_, CAST(2 AS INT) AS n FROM orders")
 def dates(spark, sf):
-    p = parse.parse_period(T)
-    return notices(spark, sf).select("id", parse.parse_date(T).alias("first"), p["start"].alias("start"), p["end"].alias("end_"), F.size(parse.parse_dates(T)).alias("n"))
+    p = parse.parse_period(_body())
+    return notices(spark, sf).select("id", parse.parse_date(_body()).alias("first"), p["start"].alias("start"), p["end"].alias("end_"), F.size(parse.parse_dates(_body())).alias("n"))
 
 
 @q("f09_parse_money", "SELECT o_orderkey AS id, CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100000000 AS DECIMAL(20,2)) / 100 AS fee FROM orders")
 def fees(spark, sf):
-    return notices(spark, sf).select("id", parse.parse_money(T).cast("double").alias("fee"))
+    return notices(spark, sf).select("id", parse.parse_money(_body()).cast("double").alias("fee"))
 
 
 @q("f10_workload", "SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 10 = 9 THEN 30 ELSE 10 + o_orderkey % 40 END AS DOUBLE) AS weekly, CAST(CASE WHEN o_orderkey % 10 = 9 THEN 6 END AS DOUBLE) AS daily FROM orders")
 def workloads(spark, sf):
-    return notices(spark, sf).select("id", parse.weekly_workload(T).alias("weekly"), parse.daily_workload(T).alias("daily"))
+    return notices(spark, sf).select("id", parse.weekly_workload(_body()).alias("weekly"), parse.daily_workload(_body()).alias("daily"))
 
 
 @q("f12_vacancies_number", f"SELECT o_orderkey AS id, CAST(o_orderkey % 30 AS INT) AS vacancies, concat(lpad(CAST(o_orderkey % 97 + 1 AS VARCHAR), 2, '0'), '/', year({_DAY})) AS number FROM orders")
 def numbers(spark, sf):
-    return notices(spark, sf).select("id", parse.vacancies(T).alias("vacancies"), parse.edital_number(T).alias("number"))
+    return notices(spark, sf).select("id", parse.vacancies(_body()).alias("vacancies"), parse.edital_number(_body()).alias("number"))
 
 
 @q("f14_classes", """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'high_school' WHEN 1 THEN 'higher_education' WHEN 2 THEN 'primary' END AS education,
@@ -71,13 +74,13 @@ def numbers(spark, sf):
     CASE WHEN o_orderkey % 6 = 0 THEN 'Doador de sangue; Desempregado' END AS exemption, '2 ano(s)' AS validity FROM orders""")
 def classes(spark, sf):
     return notices(spark, sf).select(
-        "id", parse.education(T).alias("education"), parse.employment_type(T).alias("employment"), parse.employment_regime(T).alias("regime"),
-        parse.benefits(T).alias("benefits"), parse.fee_exemption(T).alias("exemption"), parse.validity(T).alias("validity"))
+        "id", parse.education(_body()).alias("education"), parse.employment_type(_body()).alias("employment"), parse.employment_regime(_body()).alias("regime"),
+        parse.benefits(_body()).alias("benefits"), parse.fee_exemption(_body()).alias("exemption"), parse.validity(_body()).alias("validity"))
 
 
 @q("f16_location_context", "SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS assignment, o_orderkey % 3 = 1 AS exam_only FROM orders")
 def locations(spark, sf):
-    where = parse.location_context(T, "Rio Branco")
+    where = parse.location_context(_body(), "Rio Branco")
     return notices(spark, sf).select("id", where["assignment"].alias("assignment"), where["exam_only"].alias("exam_only"))
 
 
@@ -91,14 +94,14 @@ def implied(spark, sf):
 def documents(spark, sf):
     title = F.element_at(F.array(*[F.lit(x) for x in (
         "Cancelamento do certame", "Retificação nº 2", "Prorrogação de prazo", "Resultado final", "Edital de Abertura: cronograma", "Convocação", "Aviso")]), (F.col("id") % 7 + 1).cast("int"))
-    return notices(spark, sf).select("id", parse.classify_document(title, T).alias("kind"), parse.is_job_selection(title, T).alias("job"))
+    return notices(spark, sf).select("id", parse.classify_document(title, _body()).alias("kind"), parse.is_job_selection(title, _body()).alias("job"))
 
 
 @q("f24_publication_date", f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN {_DAY} - 3 ELSE {_DAY} END AS published FROM orders")
 def published(spark, sf):
     day = F.date_sub(F.add_months(F.to_date("o_orderdate"), 12 * 26), 3)
     both = notices(spark, sf).join(_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), day.alias("day")), "id")
-    said = F.when(F.col("id") % 2 == 0, F.concat(T, F.lit(" Publicado em "), F.date_format("day", "yyyy-MM-dd"), F.lit("."))).otherwise(T)
+    said = F.when(F.col("id") % 2 == 0, F.concat(_body(), F.lit(" Publicado em "), F.date_format("day", "yyyy-MM-dd"), F.lit("."))).otherwise(_body())
     return both.select("id", parse.publication_date(F.lit("Aviso"), said).alias("published"))
 
 
@@ -115,22 +118,22 @@ def qualifications(spark, sf):
 
 @q("f27_selection_name", f"SELECT o_orderkey AS id, concat(CASE o_orderkey % 4 WHEN 0 THEN 'Concurso Público para cargos efetivos' WHEN 1 THEN 'Processo seletivo simplificado para contratação temporária' WHEN 2 THEN 'Aviso' ELSE 'Seleção pública' END, ' — Edital ', lpad(CAST(o_orderkey % 97 + 1 AS VARCHAR), 2, '0'), '/', year({_DAY})) AS name FROM orders")
 def names(spark, sf):
-    return notices(spark, sf).select("id", parse.selection_name(F.lit("Aviso"), T, F.lit("Prefeitura"), parse.edital_number(T)).alias("name"))
+    return notices(spark, sf).select("id", parse.selection_name(F.lit("Aviso"), _body(), F.lit("Prefeitura"), parse.edital_number(_body())).alias("name"))
 
 
 @q("f28_stages_schedule", f"SELECT o_orderkey AS id, CAST(NULL AS DATE) AS exam, CAST(0 AS INT) AS stages FROM orders")
 def stages(spark, sf):
-    return notices(spark, sf).select("id", parse.schedule_from_text(T)["exam"].alias("exam"), F.size(parse.stages(T)).alias("stages"))
+    return notices(spark, sf).select("id", parse.schedule_from_text(_body())["exam"].alias("exam"), F.size(parse.stages(_body())).alias("stages"))
 
 
 @q("f36_build_opportunity", f"""SELECT o_orderkey AS id, lpad(CAST(o_orderkey % 97 + 1 AS VARCHAR), 2, '0') || '/' || year({_DAY}) AS number, {_DAY} AS start, {_DAY} + 30 AS deadline,
     CAST(CAST(CASE WHEN o_orderkey % 10 = 9 THEN 30 ELSE 10 + o_orderkey % 40 END AS DOUBLE) AS DOUBLE) AS weekly, true AS material FROM orders""")
 def build(spark, sf):
     """The draft record of each notice; material if it has a number or a deadline and offers work."""
-    p = parse.parse_period(T)
-    number = parse.edital_number(T)
-    return notices(spark, sf).select("id", number.alias("number"), p["start"].alias("start"), p["end"].alias("deadline"), parse.weekly_workload(T).alias("weekly"),
-                                     ((number.isNotNull() | p["end"].isNotNull()) & parse.is_job_selection(F.lit(""), T)).alias("material"))
+    p = parse.parse_period(_body())
+    number = parse.edital_number(_body())
+    return notices(spark, sf).select("id", number.alias("number"), p["start"].alias("start"), p["end"].alias("deadline"), parse.weekly_workload(_body()).alias("weekly"),
+                                     ((number.isNotNull() | p["end"].isNotNull()) & parse.is_job_selection(F.lit(""), _body())).alias("material"))
 
 
 @q("f34_classify_row", """SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, concat('Agente ', p_name) AS name, CAST(floor(l_extendedprice) AS DOUBLE) AS salary, CAST(l_quantity AS DOUBLE) AS weekly,
@@ -158,28 +161,28 @@ def levels(spark, sf):
 
 @q("f01_normalise", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL")
 def normalised(spark, sf):
-    return _table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.normalise(T)).alias("digest"))
+    return _table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.normalise(_body())).alias("digest"))
 
 
 @q("f02_locate_marker", "SELECT doc_id, CAST(nullif(instr(lower(strip_accents(text)), 'license'), 0) AS INT) AS place FROM documents")
 def located(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", text.locate(text.fold(T), ("license",)).alias("place"))
+    return _table(spark, sf, "documents").select("doc_id", text.locate(text.fold(_body()), ("license",)).alias("place"))
 
 
 @q("f05_tidy", "SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS INT) AS n, false AS truncated FROM documents")
 def tidied(spark, sf):
-    t = text.tidy(T)
+    t = text.tidy(_body())
     return _table(spark, sf, "documents").select("doc_id", F.length(t["text"]).alias("n"), t["truncated"].alias("truncated"))
 
 
 @q("f03_content_digest", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
 def digests(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce(T, F.lit("")), 256).alias("digest"))
+    return _table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce(_body(), F.lit("")), 256).alias("digest"))
 
 
 @q("k08_redact", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{8,12}:[A-Za-z0-9_-]{30,}\b', '[REDACTED]', 'g'), '\b(?:sk|rk|gh[pousr])[-_][A-Za-z0-9_-]{16,}\b', '[REDACTED]', 'g'), '(?i)(postgres(?:ql)?(?:\+\w+)?://[^:@\s]+:)[^@\s]+(@)', '\1[REDACTED]\2', 'g'), '(?i)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b', '[REDACTED]', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def redacted(spark, sf):
-    return _table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.redact(T)).alias("digest"))
+    return _table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.redact(_body())).alias("digest"))
 
 
 @q("f39_present", "SELECT o_orderkey AS id, concat('R$ ', replace(replace(replace(format('{:,.2f}', CAST(o_totalprice AS DECIMAL(20,2))::DOUBLE), ',', '_'), '.', ','), '_', '.')) AS money, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders")
@@ -194,7 +197,7 @@ def keys(spark, sf):
 
 @q("f42_utf16_units", "SELECT doc_id, CAST(length(text) AS INT) AS units FROM documents WHERE text IS NOT NULL")
 def units(spark, sf):
-    return _table(spark, sf, "documents").where("text is not null").select("doc_id", text.utf16_units(T).alias("units"))
+    return _table(spark, sf, "documents").where("text is not null").select("doc_id", text.utf16_units(_body()).alias("units"))
 
 
 @q("f43_messages")
@@ -213,14 +216,14 @@ def claims(spark, sf):
     hours = (F.lit(10) + k % 40).cast("string")
     quote = F.when(k % 3 == 2, "Jornada de vinte horas que ninguém escreveu").otherwise(F.regexp_extract("text", r"Carga horária de [^;]+; \d+ vagas", 0))
     proposed = F.when(k % 10 == 9, F.lit("99")).when(k % 3 == 0, hours).otherwise("99")
-    return notices(spark, sf).select("id", verify.verify("weekly_workload", proposed, quote, T)["status"].alias("status"))
+    return notices(spark, sf).select("id", verify.verify("weekly_workload", proposed, quote, _body())["status"].alias("status"))
 
 
 @q("f47_focus_excerpt")
 def excerpts(spark, sf):
     """The regions of long documents around a name."""
-    low = text.fold(T)
-    got = verify.focus_excerpt(T, low, F.array(F.lit(text.marker_pattern("license"))))
+    low = text.fold(_body())
+    got = verify.focus_excerpt(_body(), low, F.array(F.lit(text.marker_pattern("license"))))
     return _table(spark, sf, "documents").where("n_chars > 4000").select("doc_id", F.length(got).alias("n"))
 
 

@@ -13,7 +13,11 @@ from tidemark.operators import health, outbox, registry
 from tidemark.plans.views import TODAY, view
 
 NOW = datetime(2024, 1, 29, 12)
-T = F.lit(TODAY)
+
+
+def _today():
+    return F.lit(TODAY)
+
 
 #: What the SQL of the scored pairs and of the effective status says, once.
 _STATE = """CASE WHEN status IN ('CANCELLED', 'SUSPENDED', 'HOMOLOGATED', 'EXPIRED') THEN status
@@ -77,7 +81,7 @@ def eligible_pairs(spark, sf):
 @q("q02_deadlines_45_days", f"""WITH {_PAIRS} SELECT DISTINCT id, institution, deadline FROM pairs WHERE eligible AND deadline BETWEEN DATE '1998-06-15' AND DATE '1998-06-15' + 45
     AND status NOT IN ('CANCELLED', 'SUSPENDED', 'HOMOLOGATED', 'EXPIRED')""")
 def deadlines_45(spark, sf):
-    near = F.col("deadline").between(T, F.date_add(T, 45)) & ~F.col("status").isin(*TERMINAL)
+    near = F.col("deadline").between(_today(), F.date_add(_today(), 45)) & ~F.col("status").isin(*TERMINAL)
     return pairs(spark, sf).where("eligible").where(near).select("id", "institution", "deadline").distinct()
 
 
@@ -134,7 +138,7 @@ def unhealthy(spark, sf):
 
 @q("q07_next_deadlines", "SELECT id, deadline FROM v_opportunity WHERE deadline BETWEEN DATE '1998-06-15' AND DATE '1998-06-15' + 60 AND status NOT IN ('CANCELLED', 'SUSPENDED', 'HOMOLOGATED', 'EXPIRED') ORDER BY deadline, id LIMIT 8")
 def next_deadlines(spark, sf):
-    return opp(spark, sf).where(F.col("deadline").between(T, F.date_add(T, 60)) & ~F.col("status").isin(*TERMINAL)).select("id", "deadline").orderBy("deadline", "id").limit(8)
+    return opp(spark, sf).where(F.col("deadline").between(_today(), F.date_add(_today(), 60)) & ~F.col("status").isin(*TERMINAL)).select("id", "deadline").orderBy("deadline", "id").limit(8)
 
 
 @q("q08_position_search", "SELECT position, cargo, institution FROM v_position JOIN v_opportunity ON id = opportunity WHERE contains(lower(concat(cargo, ' ', institution, ' ', name)), 'red') AND contains(lower(concat(cargo, ' ', institution, ' ', name)), 'prefeitura')")
@@ -163,7 +167,7 @@ def listing(spark, sf):
 def deadlines_30(spark, sf):
     from tidemark.operators import history
 
-    return history.deadlines(opp(spark, sf)).where(F.col("due").between(T, F.date_add(T, 30))).orderBy("due", "id", "kind")
+    return history.deadlines(opp(spark, sf)).where(F.col("due").between(_today(), F.date_add(_today(), 30))).orderBy("due", "id", "kind")
 
 
 @q("q12_sources_listing", f"WITH {_STATES} SELECT id, name, priority, coalesce(state, 'HEALTHY') AS state FROM v_source LEFT JOIN last ON id = source_id WHERE coalesce(state, 'HEALTHY') <> 'HEALTHY'")
@@ -199,7 +203,7 @@ def expire(spark, sf):
     rows = opp(spark, sf).where(~F.col("status").isin(*TERMINAL))
     last = F.greatest("exam", "deadline", "published")
     state = effective_status(F.col("status"), F.col("start"), F.col("deadline"), F.col("exam"), TODAY)
-    return rows.select("id", F.when(last < F.date_sub(T, 90), "EXPIRED").otherwise(state).alias("new_status"))
+    return rows.select("id", F.when(last < F.date_sub(_today(), 90), "EXPIRED").otherwise(state).alias("new_status"))
 
 
 @q("q18_unknown_workloads", "SELECT count(*) FILTER (weekly IS NULL) AS n FROM v_position")
@@ -247,12 +251,12 @@ def new_26h(spark, sf):
 
 @q("q26_registrations_open", "SELECT id, start, deadline FROM v_opportunity WHERE DATE '1998-06-15' BETWEEN start AND deadline AND status NOT IN ('CANCELLED', 'SUSPENDED', 'HOMOLOGATED', 'EXPIRED')")
 def registrations_open(spark, sf):
-    return opp(spark, sf).where(T.between(F.col("start"), F.col("deadline")) & ~F.col("status").isin(*TERMINAL)).select("id", "start", "deadline")
+    return opp(spark, sf).where(_today().between(F.col("start"), F.col("deadline")) & ~F.col("status").isin(*TERMINAL)).select("id", "start", "deadline")
 
 
 @q("q27_report_deadlines", "SELECT id, deadline, CAST(deadline - DATE '1998-06-15' AS INT) AS days FROM v_opportunity WHERE deadline BETWEEN DATE '1998-06-15' AND DATE '1998-06-15' + 30")
 def report_deadlines(spark, sf):
-    return opp(spark, sf).where(F.col("deadline").between(T, F.date_add(T, 30))).select("id", "deadline", F.datediff("deadline", T).alias("days")).orderBy("deadline", "id")
+    return opp(spark, sf).where(F.col("deadline").between(_today(), F.date_add(_today(), 30))).select("id", "deadline", F.datediff("deadline", _today()).alias("days")).orderBy("deadline", "id")
 
 
 @q("q28_report_sections", f"WITH {_PAIRS} SELECT count(*) FILTER (state = 'EXAM_SCHEDULED') AS exams, count(*) FILTER (score >= 90) AS excellent, count(*) FILTER (score >= 75 AND score < 90) AS very_good, count(*) FILTER (workload = 'UNKNOWN') AS unknown_workload FROM pairs WHERE eligible")
