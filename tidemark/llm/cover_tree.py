@@ -104,40 +104,65 @@ def dual(a: Tree, b: Tree, t: float, same: bool):
         ca, cb = np.array([n[1] for n in left]), np.array([n[1] for n in right])
         ra, rb = np.array([n[2] for n in left], np.float32), np.array([n[2] for n in right], np.float32)
         one_a, one_b = np.array([len(n[0]) == 1 for n in left]), np.array([len(n[0]) == 1 for n in right])
-        plain_b = b.low[cb]
-        for s in range(0, len(left), 1024):
-            e = slice(s, s + 1024)
-            sim = a.low[ca[e]] @ plain_b.T
-            # two single vectors need the cosine itself, the least bound of all
-            i, j = np.nonzero(sim >= t - MARGIN) if one_a[e].all() and one_b.all() else _open(sim, ra[e], rb, reach)
-            i = i + s
-            single = one_a[i] & one_b[j]
-            if single.any():
-                yield _decide(a, b, ca[i[single]], cb[j[single]], t, same)
-            i, j = i[~single], j[~single]
-            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else []
-            for lo, hi in zip(starts, np.append(starts[1:], len(i))):
-                node, few = left[i[lo]], [right[q] for q in j[lo:hi]]
-                size = sum(len(f[0]) for f in few)
-                if len(node[0]) * size > LEAF * LEAF and (node[3] or any(f[3] for f in few)):
-                    todo.append((node[3] or [node], [k for f in few for k in (f[3] or [f])]))
+        # single vectors against single vectors need the cosine itself, the strictest bound; only
+        # pairs with a node that holds more look at radii
+        for mine, theirs in ((one_a, one_b), (~one_a, one_b), (one_a, ~one_b), (~one_a, ~one_b)):
+            p, q = np.flatnonzero(mine), np.flatnonzero(theirs)
+            if not len(p) or not len(q):
+                continue
+            columns = b.low[cb[q]].T
+            alone = mine is one_a and theirs is one_b
+            for s in range(0, len(p), 1024):
+                rows = p[s: s + 1024]
+                sim = a.low[ca[rows]] @ columns
+                if alone:
+                    bound = np.float32(t) - MARGIN
+                else:
+                    far = np.minimum(np.float32(2), ra[rows, None] + rb[q] + np.float32(reach))
+                    bound = 1 - far * far / 2 - MARGIN
+                i, j = np.nonzero(sim >= bound)
+                i, j = rows[i], q[j]
+                if alone:
+                    if len(i):
+                        yield _decide(a, b, ca[i], cb[j], t, same)
                     continue
-                y = np.concatenate([f[0] for f in few])
-                for r in range(0, len(node[0]), 1024):
-                    x = node[0][r: r + 1024]
-                    u, v = np.nonzero(a.low[x] @ b.low[y].T >= t - MARGIN)
-                    if len(u):
-                        yield _decide(a, b, x[u], y[v], t, same)
-
-
-def _open(sim: np.ndarray, ra: np.ndarray, rb: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Node pairs whose centres are within both radii and the reach: first by the largest radii, then
-    each by its own."""
-    far = min(2.0, float(ra.max() + rb.max()) + reach)
-    i, j = np.nonzero(sim >= 1 - far * far / 2 - MARGIN)
-    own = np.minimum(2.0, ra[i] + rb[j] + np.float32(reach))
-    ok = sim[i, j] >= 1 - own * own / 2 - MARGIN
-    return i[ok], j[ok]
+                # a node against single vectors is one product; nodes against nodes descend
+                if theirs is one_b:
+                    for n, lo, hi in _runs(i):
+                        yield from _direct(a, b, left[n][0], cb[j[lo:hi]], t, same)
+                elif mine is one_a:
+                    order = np.argsort(j, kind="stable")
+                    for n, lo, hi in _runs(j[order]):
+                        yield from _direct(a, b, ca[i[order[lo:hi]]], right[n][0], t, same)
+                else:
+                    yield from _descend(a, b, left, right, i, j, t, same, todo)
+
+
+def _runs(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of the runs of a sorted array."""
+    if not len(v):
+        return []
+    at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    return list(zip(v[at].tolist(), at.tolist(), np.append(at[1:], len(v)).tolist()))
+
+
+def _direct(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, t: float, same: bool):
+    """Links between rows x of a and y of b, all compared."""
+    for r in range(0, len(x), 1024):
+        u, v = np.nonzero(a.low[x[r: r + 1024]] @ b.low[y].T >= t - MARGIN)
+        if len(u):
+            yield _decide(a, b, x[r + u], y[v], t, same)
+
+
+def _descend(a: Tree, b: Tree, left: list, right: list, i: np.ndarray, j: np.ndarray, t: float, same: bool, todo: list):
+    """Node pairs (i of left, j of right) that may hold links: compared directly if small, else left
+    to their children."""
+    for n, lo, hi in _runs(i):
+        node, few = left[n], [right[q] for q in j[lo:hi]]
+        if len(node[0]) * sum(len(f[0]) for f in few) > LEAF * LEAF and (node[3] or any(f[3] for f in few)):
+            todo.append((node[3] or [node], [k for f in few for k in (f[3] or [f])]))
+        else:
+            yield from _direct(a, b, node[0], np.concatenate([f[0] for f in few]), t, same)
 
 
 def _decide(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
