@@ -258,34 +258,37 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                                              names=["a", "copies", "dim", "unit", "cell", "far"])
 
     dealt = cut(classes.select("a", "copies", "dim", "unit").mapInArrow(deal, "a long, copies long, dim int, unit binary, cell int, far double"), "dealt")
-    # cells of the same dimension are put together up to a chunk's size; larger cells are split
     cells = dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).orderBy("dim", "cell").collect()  # PIVOTS rows a dimension at most
-    plan, chunks, open_ = [], [], None
+    bins: list[dict] = []        # a large cell in parts, or small cells together: parts of about CHUNK
+    chunks = 0
     for c in cells:
-        parts = max(1, -(-c.n // CHUNK))
-        if parts == 1 and open_ is not None and chunks[open_]["dim"] == c.dim and chunks[open_]["n"] + c.n <= CHUNK:
-            first = open_
-            chunks[first]["cells"].append((c.cell, c.radius))
-            chunks[first]["n"] += c.n
+        last = bins[-1] if bins else None
+        if last and last["parts"] == 1 and c.n + last["n"] <= CHUNK and last["dim"] == c.dim:
+            last["cells"].append((c.cell, c.radius))
+            last["n"] += c.n
         else:
-            first = len(chunks)
-            chunks += [{"dim": c.dim, "n": c.n // parts, "cells": [(c.cell, c.radius)]} for _ in range(parts)]
-            open_ = first if parts == 1 else open_
-        plan.append((c.dim, c.cell, first, parts))
+            parts = max(1, -(-c.n // CHUNK))
+            bins.append({"dim": c.dim, "n": c.n, "cells": [(c.cell, c.radius)], "first": chunks, "parts": parts})
+            chunks += parts
+    if not bins:
+        return vectors.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
 
     def near(p: dict, q: dict) -> bool:
-        if p["dim"] != q["dim"]:
-            return False
         c = by_dim.get(p["dim"])
-        if c is None:
-            return True
+        if p["dim"] != q["dim"] or c is None:
+            return p["dim"] == q["dim"]
         return any(np.sqrt(max(0, 2 - 2 * float(c[i] @ c[j]))) <= ri + rj + reach for i, ri in p["cells"] for j, rj in q["cells"])
 
-    pairs = [(i, j) for i in range(len(chunks)) for j in range(i, len(chunks)) if near(chunks[i], chunks[j])]
-    if not pairs:
-        return vectors.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    places = spark.createDataFrame(plan, "dim int, cell int, first int, parts int")
+    # pairs of bins are few (pivots squared); pairs of their chunks are made where they are used
+    met_bins = spark.createDataFrame([(p["first"], p["parts"], q["first"], q["parts"]) for k, p in enumerate(bins) for q in bins[k:] if near(p, q)], "p int, pn int, q int, qn int")
+    pairs = (met_bins.repartition("p", "q").select("q", "qn", F.explode(F.expr("sequence(p, p + pn - 1)")).alias("one"))
+             .select("one", F.explode(F.expr("sequence(q, q + qn - 1)")).alias("two")).where("one <= two"))
+    pairs = cut(pairs, "chunk-pairs")
+    n_pairs = pairs.count()
+    both = pairs.select("one", "two", F.col("one").alias("chunk"), F.lit(True).alias("left")).union(
+        pairs.where("one < two").select("one", "two", F.col("two").alias("chunk"), F.lit(False).alias("left")))
+    places = spark.createDataFrame([(p["dim"], cell, p["first"], p["parts"]) for p in bins for cell, _ in p["cells"]], "dim int, cell int, first int, parts int")
     chunked = dealt.join(F.broadcast(places), ["dim", "cell"]).select(
         "a", "copies", "unit", (F.col("first") + F.pmod(F.xxhash64("a"), F.col("parts"))).cast("int").alias("chunk"))
     kinds = "a long, copies long, unit binary, chunk int, pos int, path binary"
@@ -298,7 +301,6 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         return pdf.iloc[order].assign(pos=np.arange(len(pdf), dtype=np.int32), path=[tree.paths[i].tobytes() for i in order])[["a", "copies", "unit", "chunk", "pos", "path"]]
 
     chunked = cut(chunked.groupBy("chunk").applyInPandas(grow, kinds), "trees")
-    both = spark.createDataFrame([(i, n, True) for n, (i, _) in enumerate(pairs)] + [(j, n, False) for n, (i, j) in enumerate(pairs) if j != i], "chunk int, task int, left boolean")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """(a, links, root): within these two chunks, links of each class by copies, and the smallest class of its component."""
@@ -327,7 +329,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         hit = links > 0
         return pd.DataFrame({"a": ids[hit], "links": links[hit], "root": root[hit]})
 
-    met = cut(chunked.join(F.broadcast(both), "chunk").repartition(max(1, min(len(pairs), 4096)), "task").groupBy("task").applyInPandas(compare, "a long, links long, root long"), "met")
+    met = cut(chunked.join(F.broadcast(both) if n_pairs <= 100_000 else both, "chunk")
+              .repartition(max(1, min(n_pairs, 4096)), "one", "two").groupBy("one", "two").applyInPandas(compare, "a long, links long, root long"), "met")
     links = met.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(met.select("a", F.col("root").alias("b")))
     own = cut(classes.select("a", "key", "copies").join(links, "a", "left").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select(
