@@ -168,3 +168,42 @@ def test_streaming_health_keeps_state(spark, tmp_path):
     query = stream.writeStream.outputMode("update").format("memory").queryName("health_state").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("health_state").orderBy(F.desc("attempts")).first().state == "OPEN"
+
+
+def test_routing(spark):
+    from tidemark.operators import serve
+
+    said = ["/buscar agente", "/VAGAS@bot", "quais as vagas", "/nada", "", None, "qual a taxa do agente?", "qual a taxa?", "bom dia a todos"]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", serve.route(F.col("t")).alias("r"), serve.asked_fact(F.col("t")).alias("f")).orderBy("i")
+    rows = df.collect()
+    assert [r.r.command for r in rows] == ["buscar", "vagas", "vagas", "unknown", "unknown", "unknown", "question", "free", "free"]
+    assert rows[0].r.argument == "agente" and rows[6].f == "fee"
+
+
+def test_replies_fit(spark):
+    from tidemark.functions.text import utf16_units
+    from tidemark.operators import serve
+
+    body = F.array(*[F.lit("😀" * 50 + str(i)) for i in range(60)])
+    r = spark.range(1).select(serve.fit(body, F.array(F.lit("fim"))).alias("t")).select("t", utf16_units(F.col("t")).alias("n")).first()
+    assert r.n <= 3900 and r.t.endswith("\nfim") and r.t.startswith("😀")
+
+
+def test_marks_and_issues(spark):
+    from tidemark.operators import serve
+
+    old = spark.createDataFrame([("p", "INTERESTED", 1), ("r", "REGISTERED", 1)], "position string, status string, at int")
+    asked = spark.createDataFrame([("p", "descartar", 2), ("r", "esquecer", 2), ("q", "salvar", 2), ("x", "buscar", 3)], "position string, command string, at int")
+    assert {r.position: r.status for r in serve.marks(asked, old).collect()} == {"p": "DISMISSED", "q": "INTERESTED"}
+
+
+def test_message_files_are_written_once(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    rows = spark.createDataFrame([("k", "a"), ("k", "a"), ("m", "b")], "key string, body string")
+    target = str(tmp_path / "out")
+    assert sinks.deliver(rows, target).count() == 2
+    assert sinks.deliver(rows, target).count() == 0
+    assert spark.read.parquet(target).count() == 2
+    text = sinks.markdown(spark.createDataFrame([("1 A", 1, "- x"), ("2 B", 1, "- y")], "section string, line int, text string"), "Relatório")
+    assert text == "# Relatório\n\n## 1 A\n\n- x\n\n## 2 B\n\n- y\n"
