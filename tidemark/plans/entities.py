@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import history, intervals, merge, outbox, resolve
-from tidemark.plans.relational import NOW, note, opp, pairs, q
-from tidemark.plans.views import view
+from tidemark.plans.relational import note, opp, pairs, q
 
 
 @q("e01_institution_key", "SELECT o_orderkey AS id, concat('prefeitura-', replace(lower(n_name), '_', '-')) AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cells, parse, present, score, text, urls, verify
 from tidemark.sources import pages
-from tidemark.plans.relational import Q, q, pairs, _PAIRS  # noqa: F401
-from tidemark.plans.views import TODAY
+from tidemark.plans.relational import _PAIRS, pairs, q
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:

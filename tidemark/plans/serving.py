@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import registry, serve
-from tidemark.plans.relational import NOW, _PAIRS, _STATES, line, needing_issue, pairs, q, src, watchdog
+from tidemark.plans.relational import NOW, _PAIRS, _STATES, line, pairs, q, src, watchdog
 from tidemark.plans.views import TODAY
 from tidemark.sources import sinks
 
