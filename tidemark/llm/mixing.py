@@ -181,8 +181,9 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """One row per document: id, size, source_size, target, taken (words of it that the mix
     holds, repeats counted); cases as in :func:`mix`."""
     placed, slots, pieces = mix(docs, id_col, text_col, source_col)
+    # blocks grow with the corpus: never broadcast, whatever their size looks like after compression
     by_block = slots.groupBy("rank", "block").agg(F.collect_list("words").alias("take"))  # CAP numbers at most
-    got = pieces.join(by_block, ["rank", "block"], "left").groupBy("id", "tie", "rank", "start", "size").agg(
+    got = pieces.join(by_block.hint("merge"), ["rank", "block"], "left").groupBy("id", "tie", "rank", "start", "size").agg(
         F.sum(F.expr(f"coalesce(aggregate(take, 0L, (s, w) -> s + greatest(0L, least(hi, block * {BLOCK} + w) - lo)), 0L)")).alias("taken"))
     with_words = placed.where("size > 0").join(got.select("rank", "start", "taken"), ["rank", "start"])
     return with_words.select("id", "size", "source_size", "target", "taken").union(
@@ -196,7 +197,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_chars``, where there is one, is counted anew."""
     columns = docs.columns
     _, slots, pieces = mix(docs, id_col, text_col, source_col)
-    took = pieces.join(slots, ["rank", "block"]).select(
+    took = pieces.join(slots.hint("merge"), ["rank", "block"]).select(
         "id", "tie", "rank", "start", "size", "pass", "lo",
         F.least("hi", F.col("block") * BLOCK + F.col("words")).alias("hi")).where("hi > lo")
     w = Window.partitionBy("rank", "start", "pass").orderBy("lo")
