@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import flat_bytes, trim
 
 LIMIT = 512              # tokens of over_limit
-SLICE = 2 << 20          # bytes of text worked on at once
+SLICE = 3 << 20          # bytes of text worked on at once
 ENCODE = 1 << 20         # bytes of one call to the tokenizer
-CACHE = 300_000          # segments kept in a worker, some 200 bytes each
+CACHE = 700_000          # segments kept in a worker, some 200 bytes each
 
 #: ASCII punctuation that always begins a new piece after a letter. Apostrophes
 #: (contractions) and the characters of special tokens (< | >) are left out.
