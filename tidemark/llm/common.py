@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,21 @@ def flat_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0]: off[-1]], off - off[0]
 
 
+_HELD: list[Callable[[], None]] = []
+
+
+def hold(clear: Callable[[], None]) -> None:
+    """Register what empties a worker's cache."""
+    _HELD.append(clear)
+
+
+def release() -> None:
+    """Empty the caches that an earlier operator left in this reused worker."""
+    for clear in _HELD:
+        clear()
+    trim()
+
+
 def trim() -> None:
     """Give freed memory of this worker back to the system, where the C library can: workers are
     reused, and what one operator has freed would count beside what the next one needs."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, flat_bytes, mix, prefix_hash, span_hash, trim, with_ids, words_of
+from tidemark.llm.common import components, cut, flat_bytes, mix, prefix_hash, span_hash, release, trim, with_ids, words_of
 from tidemark.llm.tokens import by_bytes
 
 PERMS = 125          # random functions
@@ -114,6 +114,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """id, n (set size), fp (the set's 128-bit fingerprint; null for an empty set), bands, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = flat_bytes(batch.column(1))
             for i, j in by_bytes(off):
@@ -140,6 +141,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n: int) -
     """(id, set) of the rows with these ids, the set as sorted 64-bit integers in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = flat_bytes(batch.column(1))
             for i, j in by_bytes(off):

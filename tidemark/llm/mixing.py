@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cut, flat_bytes, trim, words_of
+from tidemark.llm.common import WORD, cut, flat_bytes, release, trim, words_of
 
 BLOCK = 256          # words of a block
 WEIGHTS = (5, 2, 1)  # of the sources by code point, repeating
@@ -153,6 +153,7 @@ def mix(
                 yield pa.RecordBatch.from_pydict({"rank": np.full(shards, rank, np.int32), "shard": np.arange(shards), "lo": end - count, "hi": end})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rank, slot = batch.column("rank").to_numpy(), batch.column("slot").to_numpy()
             block_no, round_, words = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
@@ -222,6 +223,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count_at = columns.index("n_chars") if "n_chars" in columns else None
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             spans_ = batch.column(len(columns)).to_pylist()
             data, off = flat_bytes(batch.column(at))

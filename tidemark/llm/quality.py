@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes, mix, prefix_hash, span_hash, trim, words_of
+from tidemark.llm.common import flat_bytes, mix, prefix_hash, span_hash, release, trim, words_of
 from tidemark.llm.tokens import by_bytes
 
 SAMPLE = 20_000   # labelled rows that a fit uses at most: those of smallest hash
@@ -227,6 +227,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
     rows = labelled(docs, labels, label, id_col, text_col, training, SAMPLE)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = flat_bytes(batch.column(0))
             for i, j in by_bytes(off):
@@ -246,6 +247,7 @@ def score_texts(docs: DataFrame, model, id_col: str, text_col: str, measure, ext
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = flat_bytes(batch.column(1))
             out = np.zeros(len(off) - 1)
@@ -276,6 +278,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = flat_bytes(batch.column(at))
             keep = np.zeros(len(off) - 1, bool)

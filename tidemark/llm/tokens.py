@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes, trim
+from tidemark.llm.common import flat_bytes, hold, trim
 
 LIMIT = 512              # tokens of over_limit
 SLICE = 3 << 20          # bytes of text worked on at once
@@ -146,6 +146,9 @@ class Segmented:
         return self.store[where], total[np.searchsorted(starts, off)]
 
 
+hold(Segmented._made.clear)
+
+
 def by_bytes(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes; a longer text is a range of its own."""
     i, n = 0, len(off) - 1
