@@ -398,6 +398,21 @@ def test_html(page, expected):
         assert html_text.main_text(page or "") == expected
 
 
+P = "<p>A sentence of the article, with some words in it; and another one.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<article>{P}<ul><li><a href=1>Ten gardens to see</a></li><li><a href=2>Read more</a></li></ul>{P}</article>",
+    f"<article>{P}{P}</article><article class=comment><p>Nice words, thank you, all of you.</p></article>",
+    f"<main>{P}<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div>{P}</main>",
+])
+def test_html_ratios_decide_in_articles(page):
+    text = P[3:-4]
+    assert html_text.main_text(page) == f"{text} {text}"
+    short = f"<article><h2>Oil</h2>{P}<table><tr><td>3</td></tr></table><ul><li>Milk</li></ul></article>"
+    assert html_text.main_text(short) == f"Oil {text} 3 Milk"
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>"), (1, "u", "<article><p>é</p></article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]

@@ -2,7 +2,8 @@
 
 Text blocks are grouped by their root-to-leaf tag path; every path gets its text length and
 punctuation per node, links not counted. The ratios are smoothed along the page, fused with those
-of the enclosing container, and thresholded. Elements that are never part of an article (by
+of the enclosing container, and thresholded, on every page; an article or main element only raises
+the ratio of its blocks, by the share of its paths' text outside links. Elements that are never part of an article (by
 HTML's own semantics, or by roles and class names) are left out before.
 """
 
@@ -42,7 +43,10 @@ _WORDS = frozenset(
     "sidebar comment comments disqus reply replies cookie cookies consent gdpr notice notices newsletter subscribe "
     "popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social "
     "related recommended widget toolbar login signup register search pagination pager copyright disclaimer skip".split())
-_KEEP = frozenset("html body article main".split())
+_KEEP = frozenset("html body main".split())
+_HEADING = re.compile(r"/h[1-6](?:/|\Z)")
+#: A block is kept from this share of the main container's ratio.
+SHARE = 0.4
 _LISTS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
 
 
@@ -169,36 +173,45 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
-    chars: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    nodes: dict[str, int] = defaultdict(int)
-    for text, path, _, link, _ in found:
-        chars[path] += len(text) - link
-        marks[path] += len(_PUNCT.findall(text)) * (1 - link / len(text))
-        nodes[path] += 1
-    ratio = {p: math.sqrt((chars[p] / nodes[p]) * (1 + marks[p] / nodes[p])) for p in chars}
-    own = [ratio[b[1]] for b in found]
-    smooth = [0.25 * own[max(0, i - 1)] + 0.5 * own[i] + 0.25 * own[min(len(own) - 1, i + 1)] for i in range(len(own))]
-    box: dict[str, float] = defaultdict(float)
+    # an article under a tenth of the largest one is no article by itself: its paths are counted apart
+    prose: dict[str, int] = defaultdict(int)
+    for text, _, box, link, art in found:
+        if art:
+            prose[box] += len(text) - link
+    most = max(prose.values(), default=0)
+    vouched = {a for a in prose if most > 0 and prose[a] >= 0.1 * most}
+    key = [(b[1], b[4] and b[2] not in vouched) for b in found]
+    chars: dict[tuple, float] = defaultdict(float)
+    plain: dict[tuple, float] = defaultdict(float)
+    marks: dict[tuple, float] = defaultdict(float)
+    nodes: dict[tuple, int] = defaultdict(int)
+    for k, (text, _, _, link, _) in zip(key, found):
+        chars[k] += len(text)
+        plain[k] += len(text) - link
+        marks[k] += len(_PUNCT.findall(text)) * (1 - link / len(text))
+        nodes[k] += 1
+    ratio = {k: math.sqrt((plain[k] / nodes[k]) * (1 + marks[k] / nodes[k])) for k in chars}
+    own = [ratio[k] for k in key]
+    # a heading has the ratio of what it heads, within one container
+    for i in range(len(found) - 2, -1, -1):
+        if _HEADING.search(found[i][1]) and found[i][2] == found[i + 1][2]:
+            own[i] = max(own[i], own[i + 1])
+    # the middle one of three neighbours smooths without blurring the borders of the article
+    last = len(own) - 1
+    smooth = [max(own[i], sorted((own[max(0, i - 1)], own[i], own[min(last, i + 1)]))[1]) for i in range(len(own))]
+    weight: dict[str, float] = defaultdict(float)
+    total: dict[str, float] = defaultdict(float)
     for b, s in zip(found, smooth):
-        box[b[2]] += s * (len(b[0]) - b[3])
-    # an article element vouches for its own blocks: they carry the container's ratio
-    articles = {b[2] for b in found if b[4]}
-    if articles:
-        best = max(box[a] for a in articles)
-        kept = {a for a in articles if box[a] >= 0.1 * best}
-        if best > 0 or len(found) == sum(b[4] for b in found):
-            return " ".join(b[0] for b in found if b[4] and b[2] in kept)
-    best = max(box.values())
-    if best <= 0:
+        weight[b[2]] += s * (len(b[0]) - b[3])
+        total[b[2]] += len(b[0]) - b[3]
+    main = max(vouched or weight, key=lambda k: weight[k])
+    if weight[main] <= 0:
         return ""
-    main = max(box, key=lambda k: box[k])
-    mean = sum(smooth) / len(smooth)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    fused = [s if b[2] != main else max(s, mean) for b, s in zip(found, smooth)]
-    return " ".join(
-        b[0] for b, f in zip(found, fused)
-        if b[3] < 0.6 * len(b[0]) and (b[2] == main or (f >= spread and box[b[2]] >= 0.2 * best)))
+    best = weight[main] / total[main]
+    # the main container, and every article of some size, raise their blocks to their own ratio
+    raised = vouched or {main}
+    score = [plain[k] / chars[k] * (max(s, best) if b[2] in raised else s) for k, b, s in zip(key, found, smooth)]
+    return " ".join(b[0] for b, s in zip(found, score) if s >= SHARE * best)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
