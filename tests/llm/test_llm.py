@@ -413,6 +413,23 @@ def test_html_ratios_decide_in_articles(page):
     assert html_text.main_text(short) == f"Oil {text} 3 Milk"
 
 
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><article>{P}{P}</article></div>",
+    f"<div id=page class=no-sidebar><div>{P}{P}</div></div>",
+    f"<div class=widget><article>{P}{P}</article></div><div class=widget>Weather, today.</div>",
+    f"<div class=overlay><div>{P}{P}</div></div><div class=cookie-notice>Accept, please.</div>",
+    f"<body><form action=/go><article>{P}{P}</article></form></body>",
+    f"<form><div>{P}{P}</div></form>",
+    f"<article>{P}<div class=widget-text>{P}</div></article>",
+    f"<article>{P}<section id=related-work>{P}</section></article>",
+    f"<article>{P}{P}</article><div class=comments><article>Nice.</article></div>",
+    f"<article>{P}{P}<div class='comment-list'>{P}</div></article>",
+    f"<article>{P}{P}</article><article class=comment>{P}{P}{P}</article>",
+])
+def test_html_class_words_are_no_verdict(page):
+    assert html_text.main_text(page) == f"{P[3:-4]} {P[3:-4]}"
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>"), (1, "u", "<article><p>é</p></article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]

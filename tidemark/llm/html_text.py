@@ -4,7 +4,8 @@ Text blocks are grouped by their root-to-leaf tag path; every path gets its text
 punctuation per node, links not counted. The ratios are smoothed along the page, fused with those
 of the enclosing container, and thresholded, on every page; an article or main element only raises
 the ratio of its blocks, by the share of its paths' text outside links. Elements that are never part of an article (by
-HTML's own semantics, or by roles and class names) are left out before.
+HTML's own semantics, or by roles) are left out before; words of class names and ids, and forms, are
+a factor on the ratios.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PUNCT = re.compile(r"[.,;:!?。，！？]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -35,14 +36,19 @@ _BLOCK = frozenset(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre "
     "section select summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup"}
-#: Never article text: by element, by role, and by words of class names and ids.
-_OUT = frozenset("nav aside footer form button select dialog menu head label fieldset datalist canvas audio video".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Never article text, by element and by role; and words of class names and ids that count against it.
+_OUT = frozenset("nav aside footer button select dialog menu head label datalist canvas audio video".split())
+_ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar toolbar".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner "
     "sidebar comment comments disqus reply replies cookie cookies consent gdpr notice notices newsletter subscribe "
     "popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social "
     "related recommended widget toolbar login signup register search pagination pager copyright disclaimer skip".split())
+#: Words that say nothing beside a listed one.
+_NEUTRAL = frozenset(
+    "area bar block body box btn button buttons container content inner item items left link links list outer "
+    "panel post posts right row section top bottom user wrap wrapper".split())
+_FORMS, _FORM_ROLES, FORM = frozenset(("form", "fieldset")), frozenset(("form", "search")), 0.1
 _KEEP = frozenset("html body main".split())
 _HEADING = re.compile(r"/h[1-6](?:/|\Z)")
 #: A block is kept from this share of the main container's ratio.
@@ -66,30 +72,45 @@ def _never(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
-            if any(w.lower() in _WORDS for w in _NAME.findall(value)):
-                return True
-            if tag == "div" and not inside and any(w.lower() == "header" for w in _NAME.findall(value)):
-                return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, str, int, bool]]:
-    """Text blocks in page order: text, tag path, container path, characters in links, and
-    whether an article or main element holds it. White space is collapsed."""
-    out: list[tuple[str, str, str, int, bool]] = []
-    # open elements: tag, path, left out, in an article, container's path
-    stack: list[tuple[str, str, bool, bool, str]] = [("", "", False, False, "")]
+def _penalty(tag: str, attrs: str, inside: bool) -> float:
+    """The factor on an element's paths by its class and id: a name of listed words and nothing of
+    its own counts as boilerplate, one with other words half."""
+    if tag in _KEEP:
+        return 1.0
+    factor = FORM if tag in _FORMS else 1.0
+    for m in _ATTR.finditer(attrs) if "=" in attrs else ():
+        value = m[2] or m[3] or m[4] or ""
+        if m[1].lower() == "role" and value.lower() in _FORM_ROLES:
+            factor = FORM
+        if m[1].lower() in ("class", "id"):
+            for name in value.split():
+                words = {w.lower() for w in _NAME.findall(name) if not w.isdigit()}
+                if words & _WORDS or tag == "div" and not inside and "header" in words:
+                    factor = min(factor, 0.5 if words - _WORDS - _NEUTRAL - {"header"} else 0.1)
+    return factor
+
+
+def blocks(page: str) -> list[tuple[str, str, str, int, bool, tuple]]:
+    """Text blocks in page order: text, tag path, container path, characters in links, whether an
+    article or main element holds it, and its open elements that have a factor below 1 or are an article or main
+    (number, factor, whether an article or main, container around it if that is an article's). White space is collapsed."""
+    out: list[tuple[str, str, str, int, bool, tuple]] = []
+    # open elements: tag, path, left out, in an article, container's path, elements that count
+    stack: list[tuple[str, str, bool, bool, str, tuple]] = [("", "", False, False, "", ())]
     parts: list[str] = []
-    state = {"path": "", "box": "", "art": False, "link": 0}
+    state = {"path": "", "box": "", "art": False, "link": 0, "held": ()}
     links = 0
     containers = 0
+    elements = 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, state["path"], state["box"], min(state["link"], len(text)), state["art"]))
+                out.append((text, state["path"], state["box"], min(state["link"], len(text)), state["art"], state["held"]))
             parts.clear()
 
     def text_of(raw: str) -> None:
@@ -100,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, str, str, int, bool]]:
         if not parts:
             if raw.isspace():
                 return
-            state.update(path=top[1], box=top[4], art=top[3], link=0)
+            state.update(path=top[1], box=top[4], art=top[3], link=0, held=top[5])
         parts.append(raw)
         if links:
             state["link"] += len(raw.strip())
@@ -163,11 +184,37 @@ def blocks(page: str) -> list[tuple[str, str, str, int, bool]]:
             containers += 1
             box = f"{path}#{containers}" if not top[3] else top[4]
         links += tag == "a"
-        stack.append((tag, path, top[2] or _never(tag, attrs, top[3]), inside, box))
+        factor = _penalty(tag, attrs, top[3])
+        held = top[5]
+        if factor < 1 or tag in ("article", "main"):
+            elements += 1
+            held = (*held, (elements, factor, tag in ("article", "main"), top[4] if top[3] else ""))
+        stack.append((tag, path, top[2] or _never(tag, attrs, top[3]), inside, box, held))
     flush()
     return out
 
 
+def _factors(found: list[tuple]) -> list[float]:
+    """The least factor of the elements around each block. A factor is lifted from an element with an
+    article or main of at least half the largest one's prose, and from one with most of the prose of
+    the article around it, or of a page without articles."""
+    if not any(e[1] < 1 for b in found for e in b[5]):
+        return [1.0] * len(found)
+    prose: dict[int, int] = defaultdict(int)
+    around: dict[str, int] = defaultdict(int)
+    seen: dict[int, tuple] = {}
+    for text, _, box, link, art, held in found:
+        around[box if art else ""] += len(text) - link
+        for e in held:
+            prose[e[0]] += len(text) - link
+            seen[e[0]] = e
+    large = 0.5 * max((prose[k] for k, e in seen.items() if e[2] and e[1] == 1), default=0) or 0.5 * max((prose[k] for k, e in seen.items() if e[2]), default=0)
+    holds = {e[0] for b in found for i, e in enumerate(b[5]) if any(x[2] and prose[x[0]] >= large > 0 for x in b[5][i + (e[1] < 1 and e[2]):])}
+    articles = any(e[2] for e in seen.values())
+    lifted = {k for k, e in seen.items() if k in holds or (e[3] or not articles) and prose[k] > 0.5 * around[e[3]]}
+    return [min((e[1] for e in b[5] if e[0] not in lifted), default=1.0) for b in found]
+
+
 def main_text(page: str) -> str:
     """The article of a page: kept blocks in page order, joined by one space."""
     found = blocks(page)
@@ -175,30 +222,31 @@ def main_text(page: str) -> str:
         return ""
     # an article under a tenth of the largest one is no article by itself: its paths are counted apart
     prose: dict[str, int] = defaultdict(int)
-    for text, _, box, link, art in found:
-        if art:
+    factors = _factors(found)
+    for (text, _, box, link, art, _), f in zip(found, factors):
+        if art and f == 1:
             prose[box] += len(text) - link
     most = max(prose.values(), default=0)
     vouched = {a for a in prose if most > 0 and prose[a] >= 0.1 * most}
-    key = [(b[1], b[4] and b[2] not in vouched) for b in found]
+    key = [(b[1], b[4] and b[2] not in vouched, f) for b, f in zip(found, factors)]
     chars: dict[tuple, float] = defaultdict(float)
     plain: dict[tuple, float] = defaultdict(float)
     marks: dict[tuple, float] = defaultdict(float)
     nodes: dict[tuple, int] = defaultdict(int)
-    for k, (text, _, _, link, _) in zip(key, found):
+    for k, (text, _, _, link, _, _) in zip(key, found):
         chars[k] += len(text)
         plain[k] += len(text) - link
         marks[k] += len(_PUNCT.findall(text)) * (1 - link / len(text))
         nodes[k] += 1
-    ratio = {k: math.sqrt((plain[k] / nodes[k]) * (1 + marks[k] / nodes[k])) for k in chars}
+    ratio = {k: k[2] * math.sqrt((plain[k] / nodes[k]) * (1 + marks[k] / nodes[k])) for k in chars}
     own = [ratio[k] for k in key]
     # a heading has the ratio of what it heads, within one container
     for i in range(len(found) - 2, -1, -1):
-        if _HEADING.search(found[i][1]) and found[i][2] == found[i + 1][2]:
+        if _HEADING.search(found[i][1]) and found[i][2] == found[i + 1][2] and factors[i] == factors[i + 1]:
             own[i] = max(own[i], own[i + 1])
     # the middle one of three neighbours smooths without blurring the borders of the article
     last = len(own) - 1
-    smooth = [max(own[i], sorted((own[max(0, i - 1)], own[i], own[min(last, i + 1)]))[1]) for i in range(len(own))]
+    smooth = [max(own[i], f * sorted((own[max(0, i - 1)], own[i], own[min(last, i + 1)]))[1]) for i, f in enumerate(factors)]
     weight: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
     for b, s in zip(found, smooth):
@@ -210,7 +258,7 @@ def main_text(page: str) -> str:
     best = weight[main] / total[main]
     # the main container, and every article of some size, raise their blocks to their own ratio
     raised = vouched or {main}
-    score = [plain[k] / chars[k] * (max(s, best) if b[2] in raised else s) for k, b, s in zip(key, found, smooth)]
+    score = [plain[k] / chars[k] * (max(s, k[2] * best) if b[2] in raised else s) for k, b, s in zip(key, found, smooth)]
     return " ".join(b[0] for b, s in zip(found, score) if s >= SHARE * best)
 
 
