@@ -430,6 +430,22 @@ def test_html_class_words_are_no_verdict(page):
     assert html_text.main_text(page) == f"{P[3:-4]} {P[3:-4]}"
 
 
+S = "A sentence of the article, with some words in it; and another one."
+REFERENCE = "Smith, J. (2001). On the tides of rivers. Journal of Water, 3, 14."
+
+
+@pytest.mark.parametrize("page, expected", [
+    (f"<body><section>{P * 8}</section><section>{P}</section><div><a href=1>Home</a></div></body>", [S] * 9),
+    (f"<div id=content>{f'<div>{P}</div>' * 7}</div><div>Rights kept</div>", [S] * 7),
+    (f"<div id=content>{P * 8}<blockquote>So it is.</blockquote>{P}<div><p>The end.</p></div></div>", [S] * 8 + ["So it is.", S, "The end."]),
+    (f"<body>{P * 6}<ul><li>Milk</li></ul><div>{P}</div></body>", [S] * 6 + ["Milk", S]),
+    (f"<div>{P * 8}<ul><li><a href=1>{REFERENCE}</a></li></ul></div><ul><li><a href=2>Older news of the town and the river</a></li></ul>", [S] * 8 + [REFERENCE]),
+    (f"<article>{P * 8}<ol><li><a href=1>{REFERENCE}</a></li></ol></article>", [S] * 8 + [REFERENCE]),
+])
+def test_html_several_containers(page, expected):
+    assert html_text.main_text(page) == " ".join(expected)
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>"), (1, "u", "<article><p>é</p></article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]

@@ -93,15 +93,16 @@ def _penalty(tag: str, attrs: str, inside: bool) -> float:
     return factor
 
 
-def blocks(page: str) -> list[tuple[str, str, str, int, bool, tuple]]:
+def blocks(page: str) -> list[tuple[str, str, str, int, bool, tuple, tuple]]:
     """Text blocks in page order: text, tag path, container path, characters in links, whether an
     article or main element holds it, and its open elements that have a factor below 1 or are an article or main
-    (number, factor, whether an article or main, container around it if that is an article's). White space is collapsed."""
-    out: list[tuple[str, str, str, int, bool, tuple]] = []
-    # open elements: tag, path, left out, in an article, container's path, elements that count
-    stack: list[tuple[str, str, bool, bool, str, tuple]] = [("", "", False, False, "", ())]
+    (number, factor, whether an article or main, container around it if that is an article's),
+    and the containers around it but the body. White space is collapsed."""
+    out: list[tuple[str, str, str, int, bool, tuple, tuple]] = []
+    # open elements: tag, path, left out, in an article, container's path, elements that count, containers
+    stack: list[tuple[str, str, bool, bool, str, tuple, tuple]] = [("", "", False, False, "", (), ())]
     parts: list[str] = []
-    state = {"path": "", "box": "", "art": False, "link": 0, "held": ()}
+    state = {"path": "", "box": "", "art": False, "link": 0, "held": (), "boxes": ()}
     links = 0
     containers = 0
     elements = 0
@@ -110,7 +111,7 @@ def blocks(page: str) -> list[tuple[str, str, str, int, bool, tuple]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, state["path"], state["box"], min(state["link"], len(text)), state["art"], state["held"]))
+                out.append((text, state["path"], state["box"], min(state["link"], len(text)), state["art"], state["held"], state["boxes"]))
             parts.clear()
 
     def text_of(raw: str) -> None:
@@ -121,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, str, str, int, bool, tuple]]:
         if not parts:
             if raw.isspace():
                 return
-            state.update(path=top[1], box=top[4], art=top[3], link=0, held=top[5])
+            state.update(path=top[1], box=top[4], art=top[3], link=0, held=top[5], boxes=top[6])
         parts.append(raw)
         if links:
             state["link"] += len(raw.strip())
@@ -183,13 +184,15 @@ def blocks(page: str) -> list[tuple[str, str, str, int, bool, tuple]]:
         if tag in ("article", "main", "body", "section", "div", "td", "blockquote"):
             containers += 1
             box = f"{path}#{containers}" if not top[3] else top[4]
+        # a page's own body is around everything, and says nothing
+        boxes = (*top[6], box) if box != top[4] and tag != "body" else top[6]
         links += tag == "a"
         factor = _penalty(tag, attrs, top[3])
         held = top[5]
         if factor < 1 or tag in ("article", "main"):
             elements += 1
             held = (*held, (elements, factor, tag in ("article", "main"), top[4] if top[3] else ""))
-        stack.append((tag, path, top[2] or _never(tag, attrs, top[3]), inside, box, held))
+        stack.append((tag, path, top[2] or _never(tag, attrs, top[3]), inside, box, held, boxes))
     flush()
     return out
 
@@ -203,7 +206,7 @@ def _factors(found: list[tuple]) -> list[float]:
     prose: dict[int, int] = defaultdict(int)
     around: dict[str, int] = defaultdict(int)
     seen: dict[int, tuple] = {}
-    for text, _, box, link, art, held in found:
+    for text, _, box, link, art, held, _ in found:
         around[box if art else ""] += len(text) - link
         for e in held:
             prose[e[0]] += len(text) - link
@@ -215,6 +218,19 @@ def _factors(found: list[tuple]) -> list[float]:
     return [min((e[1] for e in b[5] if e[0] not in lifted), default=1.0) for b in found]
 
 
+def _holding(found: list[tuple], passed: list[bool]) -> set[str]:
+    """Containers of blocks that passed, and the innermost one around nine tenths of their text."""
+    size: dict[str, int] = defaultdict(int)
+    depth: dict[str, int] = {}
+    for b, ok in zip(found, passed):
+        for i, c in enumerate(b[6] if ok else ()):
+            size[c] += len(b[0])
+            depth[c] = i
+    whole = sum(len(b[0]) for b, ok in zip(found, passed) if ok)
+    around = [c for c in size if size[c] >= 0.9 * whole]
+    return {b[2] for b, ok in zip(found, passed) if ok} | ({max(around, key=lambda c: depth[c])} if around else set())
+
+
 def main_text(page: str) -> str:
     """The article of a page: kept blocks in page order, joined by one space."""
     found = blocks(page)
@@ -223,7 +239,7 @@ def main_text(page: str) -> str:
     # an article under a tenth of the largest one is no article by itself: its paths are counted apart
     prose: dict[str, int] = defaultdict(int)
     factors = _factors(found)
-    for (text, _, box, link, art, _), f in zip(found, factors):
+    for (text, _, box, link, art, _, _), f in zip(found, factors):
         if art and f == 1:
             prose[box] += len(text) - link
     most = max(prose.values(), default=0)
@@ -233,10 +249,13 @@ def main_text(page: str) -> str:
     plain: dict[tuple, float] = defaultdict(float)
     marks: dict[tuple, float] = defaultdict(float)
     nodes: dict[tuple, int] = defaultdict(int)
-    for k, (text, _, _, link, _, _) in zip(key, found):
+    for k, (text, _, _, link, _, _, _) in zip(key, found):
         chars[k] += len(text)
+        # linked text of many marks is a reference, not a menu
+        signs = len(_PUNCT.findall(text))
+        link *= 1 - min(1, max(0, signs - 1) / 3) if len(text) >= 40 else 1
         plain[k] += len(text) - link
-        marks[k] += len(_PUNCT.findall(text)) * (1 - link / len(text))
+        marks[k] += signs * (1 - link / len(text))
         nodes[k] += 1
     ratio = {k: k[2] * math.sqrt((plain[k] / nodes[k]) * (1 + marks[k] / nodes[k])) for k in chars}
     own = [ratio[k] for k in key]
@@ -247,18 +266,21 @@ def main_text(page: str) -> str:
     # the middle one of three neighbours smooths without blurring the borders of the article
     last = len(own) - 1
     smooth = [max(own[i], f * sorted((own[max(0, i - 1)], own[i], own[min(last, i + 1)]))[1]) for i, f in enumerate(factors)]
+    # containers of one path are one: an article in several sections is not ranked piece by piece
+    group = [b[2] if b[4] else b[2].partition("#")[0] for b in found]
     weight: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
-    for b, s in zip(found, smooth):
-        weight[b[2]] += s * (len(b[0]) - b[3])
-        total[b[2]] += len(b[0]) - b[3]
+    for k, g, b, s in zip(key, group, found, smooth):
+        weight[g] += s * plain[k] / chars[k] * len(b[0])
+        total[g] += plain[k] / chars[k] * len(b[0])
     main = max(vouched or weight, key=lambda k: weight[k])
     if weight[main] <= 0:
         return ""
     best = weight[main] / total[main]
-    # the main container, and every article of some size, raise their blocks to their own ratio
-    raised = vouched or {main}
-    score = [plain[k] / chars[k] * (max(s, k[2] * best) if b[2] in raised else s) for k, b, s in zip(key, found, smooth)]
+    # an article of some size raises its blocks; without one, containers of blocks that pass by
+    # themselves do, and the innermost container around nine tenths of their text
+    raised = vouched or _holding(found, [s * plain[k] / chars[k] >= SHARE * best for k, s in zip(key, smooth)])
+    score = [plain[k] / chars[k] * (max(s, k[2] * best) if b[2] in raised or not raised.isdisjoint(b[6]) else s) for k, b, s in zip(key, found, smooth)]
     return " ".join(b[0] for b, s in zip(found, score) if s >= SHARE * best)
 
 
