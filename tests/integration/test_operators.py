@@ -70,6 +70,17 @@ def test_health(spark):
     assert last(series(spark, [10, 0, 0, 0, 9], success=[True, False, False, False, True])).state == "HEALTHY"
 
 
+def test_health_history_outlives_failures(spark):
+    fails = [0] * 130
+    counts = [0] * 5 + list(range(10, 40)) + fails + [1]
+    got = {r.seq: r for r in health.timeline(series(spark, counts, success=[True] * 35 + [False] * 130 + [True])).collect()}
+    assert (got[165].drift, got[165].state) == ("sharp_drop", "DEGRADED")
+    assert all(got[i].history == list(range(20, 40)) for i in range(35, 166)) and got[0].history == [] and got[6].history == [0] * 5 + [10]
+    mixed = [i % 7 == 0 for i in range(150)]
+    for r in health.timeline(series(spark, list(range(150)), success=mixed)).collect():
+        assert r.history == [i for i in range(r.seq) if mixed[i]][-20:]
+
+
 def test_match_cascade(spark):
     cols = "id string, institution string, name string, number string, published date, board string, url string, document_hash string"
     d = date(2026, 9, 1)

@@ -38,9 +38,12 @@ def timeline(attempts: DataFrame, failures: int = FAILURES, cooldown_hours: int
     """
     w = Window.partitionBy("source_id").orderBy("at", "seq")
     rows = attempts.withColumn("island", F.sum(F.col("success").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # the last HISTORY successful counts before this attempt
-    counts = F.collect_list(F.when(F.col("success"), F.col("found"))).over(w.rowsBetween(-5 * HISTORY, -1))
-    rows = rows.withColumn("history", F.slice(counts, F.greatest(F.lit(1), F.size(counts) - HISTORY + 1), F.lit(HISTORY)))
+    # the last HISTORY successful counts before this attempt: built on successes alone, carried over failures
+    rows = rows.withColumn("counted", F.coalesce(F.col("success") & F.col("found").isNotNull(), F.lit(False)))
+    counts = F.collect_list("found").over(Window.partitionBy("source_id", "counted").orderBy("at", "seq").rowsBetween(1 - HISTORY, 0))
+    rows = rows.withColumn("counts", F.when(F.col("counted"), counts))
+    before = F.last("counts", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("history", F.coalesce(before, F.array().cast(rows.schema["counts"].dataType)))
     streak = F.when(F.col("success"), 0).otherwise(
         F.row_number().over(Window.partitionBy("source_id", "island").orderBy("at", "seq")) - F.when(F.col("island") > 0, 1).otherwise(0))
     rows = rows.withColumn("streak", streak).withColumn("drift", drift(F.col("found"), F.col("history"), F.col("expected_min"), F.col("status"), F.lit(False)))
@@ -52,7 +55,7 @@ def timeline(attempts: DataFrame, failures: int = FAILURES, cooldown_hours: int
     before = F.lag("state").over(w)
     return rows.withColumn("open_until", opened + F.expr(f"interval {cooldown_hours} hours")).withColumn(
         "alert", F.coalesce((F.col("state") == "OPEN") & (before != "OPEN") | (F.col("state") == "DEGRADED") & F.col("success") & (before != "DEGRADED"), F.lit(True)) & (F.col("state") != "HEALTHY")
-    ).drop("island", "healthy_n")
+    ).drop("island", "healthy_n", "counted", "counts")
 
 
 def latest(line: DataFrame) -> DataFrame:
