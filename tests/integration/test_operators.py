@@ -218,3 +218,35 @@ def test_message_files_are_written_once(spark, tmp_path):
     assert spark.read.parquet(target).count() == 2
     text = sinks.markdown(spark.createDataFrame([("1 A", 1, "- x"), ("2 B", 1, "- y")], "section string, line int, text string"), "Relatório")
     assert text == "# Relatório\n\n## 1 A\n\n- x\n\n## 2 B\n\n- y\n"
+
+
+def test_documents_of_any_length(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    def excerpt(doc, before=600, after=2_400, budget=22_000, most=40):
+        """The reference's rule (verify.py:156-202) for one name, over text without accents."""
+        spans, at = [], 0
+        while len(spans) < most and (at := doc.lower().find("license", at)) >= 0:
+            spans.append([max(0, at - before), at + after])
+            at += len("license")
+        if not spans:
+            return doc[:budget]
+        merged, pieces, used = [spans[0]], [], 0
+        for a, b in spans[1:]:
+            if a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            if chunk := doc[a:b][: budget - used]:
+                pieces.append(chunk)
+                used += len(chunk)
+        return "\n[...]\n".join(pieces)
+
+    filler = "some words of no use "
+    docs = ["", "no name here", "A license for all", filler * 150 + "license", filler * 190 + "license " + filler * 400 + "license", filler * 30_000]
+    rows = [(2 * i + k, d, None if k else len(d)) for i, d in enumerate(docs) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = catalogue.queries()
+    assert {r.doc_id: r.n for r in queries["f47_focus_excerpt"](spark, str(tmp_path)).collect()} == {i: len(excerpt(d)) for i, d, _ in rows}
+    assert {r.doc_id: (r.n, r.truncated) for r in queries["f05_tidy"](spark, str(tmp_path)).collect()} == {i: (len(d.strip()), False) for i, d, _ in rows}

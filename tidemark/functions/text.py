@@ -109,13 +109,16 @@ def one_line(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"\s+", " "))
 
 
-def tidy(col: Column, limit: int = 400_000) -> Column:
-    """(text, truncated): line ends unified, blanks collapsed, at most one empty line, lines stripped."""
+def tidy(col: Column, limit: int | None = 400_000) -> Column:
+    """(text, truncated): line ends unified, blanks collapsed, at most one empty line, lines stripped;
+    with ``limit`` None the whole text."""
     out = F.regexp_replace(F.coalesce(col, F.lit("")), r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[ \t\f\x0B ]+", " ")
     out = F.regexp_replace(out, r" *\n *", "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     out = F.trim(F.regexp_replace(out, r"^\s+|\s+$", ""))
+    if limit is None:
+        return F.struct(out.alias("text"), F.lit(False).alias("truncated"))
     return F.struct(F.substring(out, 1, limit).alias("text"), (F.length(out) > limit).alias("truncated"))
 
 

@@ -170,7 +170,7 @@ def located(spark, sf):
 
 @q("f05_tidy", "SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS INT) AS n, false AS truncated FROM documents")
 def tidied(spark, sf):
-    t = text.tidy(_body())
+    t = text.tidy(_body(), limit=None)
     return _table(spark, sf, "documents").select("doc_id", F.length(t["text"]).alias("n"), t["truncated"].alias("truncated"))
 
 
@@ -220,10 +220,10 @@ def claims(spark, sf):
 
 @q("f47_focus_excerpt")
 def excerpts(spark, sf):
-    """The regions of long documents around a name."""
+    """The regions of every document around a name, whatever its length."""
     low = text.fold(_body())
     got = verify.focus_excerpt(_body(), low, F.array(F.lit(text.marker_pattern("license"))))
-    return _table(spark, sf, "documents").where("n_chars > 4000").select("doc_id", F.length(got).alias("n"))
+    return _table(spark, sf, "documents").select("doc_id", F.length(got).alias("n"))
 
 
 @q("f48_parse_payload", "SELECT event_id, CAST(props->>'k' AS INT) AS k, CAST(least(0.9, CAST(props->>'k' AS DOUBLE) / 100) AS DOUBLE) AS confidence FROM events WHERE props->>'k' IS NOT NULL")
