@@ -107,6 +107,44 @@ def test_suffix_dedup_repeated_rows_and_empty(spark):
     assert suffix_dedup.dedup(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def sharing(texts, words):
+    """Whether each text shares a run of ``words`` words with another one."""
+    grams = [{tuple(w[i: i + words]) for i in range(len(w) - words + 1)} for w in (WORD.findall(t or "") for t in texts)]
+    held = Counter(g for own in grams for g in own)
+    return [any(held[g] > 1 for g in own) for own in grams]
+
+
+@pytest.mark.parametrize("n", [51, 20])
+def test_suffix_dedup_shared_passages(spark, corpus, n):
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    texts = [t for t in corpus if t is None or len(t) < 30_000]
+    texts += [words(rng, 30) + " " + " ".join(passage.split()[k: k + 50 + k % 3]) + "\n" + words(rng, 20) for k in range(8)]
+    texts += [words(rng, 52) + " " + "x y " * 200]          # repeats itself only
+    got = {r.doc_id: r.shares_passage for r in suffix_dedup.dedup(documents(spark, texts, clash=True), words=n).collect()}
+    assert got == dict(enumerate(sharing(texts, n)))
+
+
+def test_suffix_dedup_null_and_reused_identifiers(spark):
+    rng = random.Random(3)
+    passage = words(rng, 120)
+    texts = [words(rng, 300) + passage, passage, words(rng, 10) + passage + words(rng, 5), words(rng, 90), passage]
+    df = documents(spark, texts, ids=[1, 1, 2, None, None])
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(df).collect())
+    assert got == sorted((len(b), int(g.sum())) for b, g in removed(texts, 400))
+
+
+def test_suffix_dedup_text_of_many_slices(spark):
+    rng = random.Random(4)
+    size = suffix_dedup.SLICE
+    raw = bytes(rng.choices(b"abcdefgh ", k=3 * size + 1000))
+    passage = raw[size - 300: size + 500]                   # across the border of two slices
+    texts = [raw.decode(), "start " + passage.decode() + " end", raw[2 * size: 2 * size + 450].decode()]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(documents(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(3)] == [800 + 450, 800, 450] and got[0].n_spans == 2
+    assert [got[i].shares_passage for i in range(3)] == sharing(texts, 51)
+
+
 # --------------------------------------------------------------------- 2 mixing
 def test_targets():
     assert mixing.targets([100, 100, 100]) == [pytest.approx(300 * w / 8) for w in (5, 2, 1)]

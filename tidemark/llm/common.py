@@ -96,10 +96,11 @@ def hold(clear: Callable[[], None]) -> None:
     _HELD.append(clear)
 
 
-def release() -> None:
-    """Empty the caches that an earlier operator left in this reused worker."""
+def release(but: Callable[[], None] | None = None) -> None:
+    """Empty the caches that an earlier operator left in this reused worker, ``but`` one."""
     for clear in _HELD:
-        clear()
+        if clear != but:
+            clear()
     trim()
 
 
@@ -126,6 +127,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+hold(_POW.clear)
 
 
 def _powers(n: int, base: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +146,13 @@ def _powers(n: int, base: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray, base: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of scrambled bytes times powers of an odd base, modulo 2**64 (one longer
-    than ``data``), and the inverse powers; see :func:`span_hash`."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+    """Prefix sums of scrambled bytes (or of 64-bit values) times powers of an odd base, modulo
+    2**64 (one longer than ``data``), and the inverse powers; see :func:`span_hash`."""
+    value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))[data] if data.dtype == np.uint8 else data
     up, down = _powers(len(data) + 1, base)
     h = np.empty(len(data) + 1, np.uint64)
     h[0] = 0
-    np.cumsum(table[data] * up[: len(data)], out=h[1:])
+    np.cumsum(value * up[: len(data)], out=h[1:])
     return h, down
 
 
