@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import flat_bytes, trim
-from tidemark.llm.tokens import SLICE, Segmented, by_bytes
+from tidemark.llm.tokens import Segmented
 
 TOKENS = 2048      # of a sequence
 SEGMENTS = 256     # pieces of a sequence
@@ -161,11 +161,9 @@ def pack(
             kind = batch.schema.field(0).type
             names, free = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             data, off = flat_bytes(batch.column(1))
-            for i, j in by_bytes(off, SLICE):
-                ids, at = coder.encode(data[off[i]: off[j]], off[i: j + 1] - off[i])
-                for k in range(i, j):
-                    own = np.append(ids[at[k - i]: at[k - i + 1]], np.int32(end_id))
-                    box.add((names[k], len(own)), own, free[k] or 0)
+            for k, ids in coder.encode(data, off):
+                own = np.append(ids, np.int32(end_id))
+                box.add((names[k], len(own)), own, free[k] or 0)
                 if len(box.out) >= 64:
                     yield rows(box.take(), kind)
             trim()

@@ -2,9 +2,11 @@
 
 A text is split at boundaries where the tokenizer's own pattern always splits (before a single
 space between solid characters, around a single line feed, between an ASCII letter and following
-punctuation), so the tokens of the whole text are those of its segments one after another.
-Segments repeat a great deal: each distinct one is encoded once, in batches balanced by bytes, and
-kept in a bounded cache of the Python worker.
+punctuation), so the tokens of the whole text are those of its segments one after another; a text
+beyond a slice is worked on in pieces that end at such boundaries. Segments repeat a great deal: each
+distinct one is encoded once, in batches balanced by bytes, and kept in a cache of the Python worker
+that is bounded in bytes. The cache knows a segment by a 64-bit hash of its bytes (a chance of about
+n^2 / 2^65 of a clash among n segments: 3e-8 for a full cache).
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_bytes, hold, trim
+from tidemark.llm.common import flat_bytes, hold, prefix_hash, release, span_hash, trim
 
 LIMIT = 512              # tokens of over_limit
-SLICE = 3 << 20          # bytes of text worked on at once
+SLICE = (1 << 20) - 2    # bytes of text worked on at once
 ENCODE = 1 << 20         # bytes of one call to the tokenizer
-CACHE = 700_000          # segments kept in a worker, some 200 bytes each
+CACHE = 1_000_000        # segments kept in a worker: 24 MB of slots and 12 bytes each
+STORE = 1 << 22          # token ids kept beside them, 4 bytes each
 
 #: ASCII punctuation that always begins a new piece after a letter. Apostrophes
 #: (contractions) and the characters of special tokens (< | >) are left out.
@@ -65,8 +68,10 @@ class Segmented:
 
     @classmethod
     def of(cls, path: str, ids: bool) -> "Segmented":
-        """The worker's encoder; it outlives a task where workers are reused."""
+        """The worker's encoder, one at a time; it outlives a task where workers are reused."""
+        release(but=cls._made.clear)
         if (path, ids) not in cls._made:
+            cls._made.clear()
             cls._made[path, ids] = cls(path, ids)
         return cls._made[path, ids]
 
@@ -82,13 +87,53 @@ class Segmented:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.keys = np.zeros(1 << 16, np.uint64)      # open addressing: hashes (0: free) and numbers
+        self.numbers = np.zeros(1 << 16, np.int32)
+        self.n = 0
         self.length = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)
         self.store = np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of hashes, -1 for unknown ones."""
+        out = np.full(len(h), -1, np.int64)
+        mask = np.uint64(len(self.keys) - 1)
+        todo, slot = np.arange(len(h)), h & mask
+        while len(todo):
+            held = self.keys[slot]
+            hit = held == h[todo]
+            out[todo[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (held != 0)
+            todo, slot = todo[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def _keep(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Take in distinct new hashes."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = h & mask
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]           # of several for one slot the last stays
+            won = free & (self.keys[slot] == h)
+            self.numbers[slot[won]] = number[won]
+            h, number, slot = h[~won], number[~won], (slot[~won] + np.uint64(1)) & mask
+
+    def _grow(self, more: int) -> None:
+        size = len(self.keys)
+        while 2 * (self.n + more) > size:
+            size *= 2
+        if size > len(self.keys):
+            keys, numbers = self.keys, self.numbers
+            full = np.flatnonzero(keys)
+            self.keys, self.numbers = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._keep(keys[full], numbers[full])
+        while self.n + more > len(self.length):
+            self.length, self.at = np.concatenate([self.length] * 2), np.concatenate([self.at] * 2)
+
+    def _learn(self, new: list[bytes], h: np.ndarray) -> None:
+        """Encode segments and number them from ``self.n`` on."""
+        self._grow(len(new))
         i = 0
         while i < len(new):
             j, size = i, 0
@@ -97,19 +142,18 @@ class Segmented:
                 j += 1
             got = self.tok.encode_batch_fast([x.decode("utf-8", "replace") for x in new[i:j]], add_special_tokens=False)
             lens = np.fromiter((len(e) for e in got), np.int32, j - i)
-            base = len(self.known)
-            while base + j - i > len(self.length):
-                self.length, self.at = np.concatenate([self.length] * 2), np.concatenate([self.at] * 2)
-            self.length[base: base + j - i] = lens
+            at = slice(self.n + i, self.n + j)
+            self.length[at] = lens
             if self.ids:
                 total = int(lens.sum())
                 while self.used + total > len(self.store):
                     self.store = np.concatenate([self.store, np.zeros_like(self.store)])
                 self.store[self.used: self.used + total] = np.fromiter(itertools.chain.from_iterable(e.ids for e in got), np.int32, total)
-                self.at[base: base + j - i] = self.used + np.cumsum(lens) - lens
+                self.at[at] = self.used + np.cumsum(lens) - lens
                 self.used += total
-            self.known.update(zip(new[i:j], range(base, base + j - i)))
             i = j
+        self._keep(h, np.arange(self.n, self.n + len(new)))
+        self.n += len(new)
 
     def _look(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cache numbers of all segments, and the segments' starts."""
@@ -118,38 +162,73 @@ class Segmented:
         starts = segments(data, off)
         if not len(starts):
             return np.zeros(0, np.int64), starts
-        ends = np.append(starts, len(data)).astype(np.int32)
-        raw = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = raw.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHE:
-            self._clear()
-        if new := [x for x in distinct if x not in self.known]:
-            self._learn(new)
-        known = self.known
-        number = np.fromiter((known[x] for x in distinct), np.int64, len(distinct))
-        return number[coded.indices.to_numpy()], starts
+        ends = np.append(starts[1:], len(data))
+        h = np.maximum(span_hash(*prefix_hash(data), starts, ends), np.uint64(1))
+        number = self._find(h)
+        if len(miss := np.flatnonzero(number < 0)):
+            if self.n + len(miss) > CACHE or self.used > STORE:
+                self._clear()
+                miss = np.arange(len(h))
+            distinct, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            at = miss[first]
+            raw, base = data.tobytes(), self.n
+            self._learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], distinct)
+            number[miss] = base + which
+        return number, starts
+
+    @staticmethod
+    def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+        """A long text in pieces of about SLICE bytes that begin at segments' starts."""
+        lo, size = 0, SLICE
+        while lo < len(data):
+            own = data[lo: lo + size]
+            if lo + size < len(data):
+                starts = segments(own, np.array([0, len(own)]))
+                if not len(starts) or starts[-1] == 0:      # no boundary yet
+                    size *= 2
+                    continue
+                own = own[: starts[-1]]
+            yield own
+            lo, size = lo + len(own), SLICE
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
-        number, starts = self._look(data, off)
-        total = np.concatenate([[0], np.cumsum(self.length[number].astype(np.int64))])
-        first = np.searchsorted(starts, off)
-        return total[first[1:]] - total[first[:-1]]
-
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts one after another, and each text's offsets in them."""
-        number, starts = self._look(data, off)
+        out = np.zeros(len(off) - 1, np.int64)
+        for i, j in by_bytes(off, SLICE):
+            if off[j] - off[i] > SLICE:
+                out[i] = sum(int(self.length[self._look(p, np.array([0, len(p)]))[0]].sum(dtype=np.int64)) for p in self._pieces(data[off[i]: off[j]]))
+                continue
+            own = off[i: j + 1] - off[i]
+            number, starts = self._look(data[off[i]: off[j]], own)
+            total = np.concatenate([[0], np.cumsum(self.length[number].astype(np.int64))])
+            first = np.searchsorted(starts, own)
+            out[i:j] = total[first[1:]] - total[first[:-1]]
+        return out
+
+    def _ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = self.length[number].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(lens)])
         where = np.repeat(self.at[number] - total[:-1], lens) + np.arange(total[-1])
-        return self.store[where], total[np.searchsorted(starts, off)]
+        return self.store[where], total
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, its token ids) of all texts, in order."""
+        for i, j in by_bytes(off, SLICE):
+            if off[j] - off[i] > SLICE:
+                yield i, np.concatenate([self._ids(self._look(p, np.array([0, len(p)]))[0])[0] for p in self._pieces(data[off[i]: off[j]])])
+                continue
+            own = off[i: j + 1] - off[i]
+            number, starts = self._look(data[off[i]: off[j]], own)
+            ids, total = self._ids(number)
+            at = total[np.searchsorted(starts, own)].tolist()
+            for k in range(i, j):
+                yield k, ids[at[k - i]: at[k - i + 1]]
 
 
 hold(Segmented._made.clear)
 
 
-def by_bytes(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def by_bytes(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes; a longer text is a range of its own."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -163,16 +242,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Defined cases: null and empty texts have 0 bytes and 0 tokens; strings of special tokens
     inside texts count as the library treats them by default; a text without any safe boundary
-    is encoded as one segment; an empty table gives an empty one; other columns are ignored.
+    is encoded as one segment; texts of any length need memory for a slice; an empty table gives an empty one; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Segmented.of(path, False)
         for batch in batches:
             data, off = flat_bytes(batch.column(1))
-            n = np.zeros(len(off) - 1, np.int64)
-            for i, j in by_bytes(off, SLICE):
-                n[i:j] = coder.counts(data[off[i]: off[j]], off[i: j + 1] - off[i])
+            n = coder.counts(data, off)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"])
