@@ -47,9 +47,17 @@ def candidates_per_source(links: DataFrame, limit: str = "max_documents") -> Dat
 
 
 def budgeted(sources: DataFrame, budget: int) -> DataFrame:
-    """What is left of a run's document budget when each source, by priority, has its turn."""
+    """What is left of a run's document budget when each source, by priority, has its turn.
+
+    What lower priorities want is summed by level first; only the sources of levels that begin within
+    the budget are ordered among themselves, all others get nothing."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("priority", "id").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum("wanted").over(w), F.lit(0))
-    return sources.withColumn("granted", F.greatest(F.lit(0), F.least(F.col("wanted"), F.lit(budget) - used)))
+    levels = sources.groupBy("priority").agg(F.sum("wanted").alias("_sum"))
+    ahead = levels.select("priority", F.coalesce(F.sum("_sum").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    placed = sources.join(ahead, "priority")
+    inside = Window.partitionBy("priority").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.where(F.col("_ahead") < budget).withColumn("_used", F.col("_ahead") + F.coalesce(F.sum("wanted").over(inside), F.lit(0)))
+    late = placed.where(F.col("_ahead") >= budget).withColumn("_used", F.lit(budget).cast(within.schema["_used"].dataType))
+    both = within.unionByName(late)
+    return both.select(*sources.columns, F.greatest(F.lit(0), F.least(F.col("wanted"), F.lit(budget) - F.col("_used"))).alias("granted"))

@@ -47,8 +47,8 @@ def _body():
 
 @q("f06_parse_dates", f"SELECT o_orderkey AS id, {_DAY} AS first, {_DAY} AS start, {_DAY} + 30 AS end_, CAST(2 AS INT) AS n FROM orders")
 def dates(spark, sf):
-    p = parse.parse_period(_body())
-    return notices(spark, sf).select("id", parse.parse_date(_body()).alias("first"), p["start"].alias("start"), p["end"].alias("end_"), F.size(parse.parse_dates(_body())).alias("n"))
+    found = notices(spark, sf).select("id", parse.dates(_body()).alias("d"))
+    return found.select("id", F.col("d.first").alias("first"), F.col("d.start").alias("start"), F.col("d.end").alias("end_"), F.size("d.all").alias("n"))
 
 
 @q("f09_parse_money", "SELECT o_orderkey AS id, CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100000000 AS DECIMAL(20,2)) / 100 AS fee FROM orders")

@@ -103,7 +103,7 @@ def latest_run(spark, sf):
 
 _STATES = """v AS (SELECT *, sum(CAST(success AS INT)) OVER (PARTITION BY source_id ORDER BY moment, seq) AS island FROM v_attempt),
     s AS (SELECT *, count(*) OVER (PARTITION BY source_id, island ORDER BY moment, seq) - CASE WHEN island > 0 THEN 1 ELSE 0 END AS k,
-        list(found) FILTER (success) OVER (PARTITION BY source_id ORDER BY moment, seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS h FROM v),
+        list(found) FILTER (success) OVER (PARTITION BY source_id ORDER BY moment, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM v),
     d AS (SELECT *, list_filter(list_slice(coalesce(h, []), -20, -1), lambda x: x > 0) AS u FROM s),
     j AS (SELECT *, CASE WHEN coalesce(status >= 400, false) THEN false WHEN found = 0 AND len(u) > 0 THEN true
         WHEN len(u) >= 3 AND list_median(u) >= 4 AND found < list_median(u) * 0.25 THEN true ELSE false END AS drifts FROM d),
@@ -318,9 +318,10 @@ def followed(spark, sf):
     return track(spark, sf).withColumnRenamed("updated_at", "decided_at").join(opp(spark, sf), F.col("id") == F.col("opportunity")).orderBy(F.desc("decided_at"), "note").select("note", "opportunity", "institution", (F.col("decision") != "DISMISSED").alias("active"))
 
 
-@q("q37_tracking_by_ids", "SELECT note, decision FROM v_tracking WHERE opportunity IN (3, 5, 7, 11)")
+@q("q37_tracking_by_ids", "SELECT note, decision FROM v_tracking WHERE opportunity IN (SELECT id FROM v_opportunity WHERE needs_review)")
 def tracking_by_ids(spark, sf):
-    ids = spark.createDataFrame([(i,) for i in (3, 5, 7, 11)], "opportunity long")
+    """Decisions about a set of opportunities: those that wait for a review."""
+    ids = opp(spark, sf).where("needs_review").select(F.col("id").alias("opportunity"))
     return track(spark, sf).join(ids, "opportunity", "left_semi").select("note", "decision")
 
 
@@ -330,16 +331,20 @@ def watchdog_counters(spark, sf):
     return note(spark, sf).agg(F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(F.col("status") == "UNCERTAIN").alias("uncertain"), F.count_if((F.col("status") == "PENDING") & late).alias("overdue"))
 
 
-@q("q39_unqueued_keys", "SELECT concat('console:', event_id) AS key FROM events e WHERE event_type = 'purchase' AND event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v_notification n WHERE n.key = concat('console:', e.event_id) AND n.status = 'SENT')")
+@q("q39_unqueued_keys", "SELECT concat('console:', event_id) AS key FROM events e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM v_notification n WHERE n.key = concat('console:', e.event_id) AND n.status = 'SENT')")
 def unqueued(spark, sf):
-    new = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase' and event_id % 2 = 0").select(F.concat(F.lit("console:"), "event_id").alias("key"))
+    new = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").select(F.concat(F.lit("console:"), "event_id").alias("key"))
     return new.join(note(spark, sf).where("status = 'SENT'").select("key"), "key", "left_anti")
 
 
-@q("q40_documents_by_url", "SELECT v.url, count(*) AS n FROM v_version v JOIN (SELECT DISTINCT url FROM v_version WHERE doc_id % 49 = 0) u ON v.url = u.url GROUP BY v.url")
+@q("q40_documents_by_url", """WITH known AS (SELECT url, min(doc_id) AS document FROM v_version GROUP BY url),
+    asked AS (SELECT doc_id, concat('doc://', source, '/', doc_id % 60) AS url FROM documents)
+    SELECT asked.doc_id, asked.url, known.document FROM asked LEFT JOIN known ON asked.url = known.url""")
 def documents_by_url(spark, sf):
-    v = view(spark, sf, "v_version").select("url", "doc_id")
-    return v.join(v.where("doc_id % 49 = 0").select("url").distinct(), "url").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    """The stored document of every collected URL, null for a new one."""
+    known = view(spark, sf, "v_version").groupBy("url").agg(F.min("doc_id").alias("document"))
+    asked = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id") % 60).alias("url"))
+    return asked.join(known, "url", "left").select("doc_id", "url", "document")
 
 
 @q("q41_versions_by_hash", "SELECT sha256(coalesce(text, '')) AS content_hash, count(DISTINCT url) AS urls, count(*) AS n FROM v_version GROUP BY 1 HAVING count(*) > 1")
@@ -347,16 +352,16 @@ def versions_by_hash(spark, sf):
     return view(spark, sf, "v_version").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")).agg(F.countDistinct("url").alias("urls"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@q("q43_deadline_by_kind", "SELECT id, exam AS due FROM v_opportunity WHERE exam IS NOT NULL AND id % 1000 = 1")
+@q("q43_deadline_by_kind", "SELECT id, exam AS due FROM v_opportunity WHERE exam IS NOT NULL")
 def deadline_by_kind(spark, sf):
     from tidemark.operators import history
 
-    return history.deadlines(opp(spark, sf)).where("kind = 'exam' and id % 1000 = 1").select("id", "due")
+    return history.deadlines(opp(spark, sf)).where("kind = 'exam'").select("id", "due")
 
 
-@q("q44_announced", "SELECT id FROM v_opportunity o WHERE NOT EXISTS (SELECT 1 FROM v_tracking t WHERE t.opportunity = o.id) AND o.id < 200")
+@q("q44_announced", "SELECT id FROM v_opportunity o WHERE NOT EXISTS (SELECT 1 FROM v_tracking t WHERE t.opportunity = o.id)")
 def unannounced(spark, sf):
-    return opp(spark, sf).where("id < 200").join(track(spark, sf).select(F.col("opportunity").alias("id")), "id", "left_anti").select("id")
+    return opp(spark, sf).join(track(spark, sf).select(F.col("opportunity").alias("id")), "id", "left_anti").select("id")
 
 
 @q("q45_due_reminders", f"""WITH {_DISMISSED}, k AS (SELECT id, 'registration' AS kind, deadline AS due, [7, 3, 1, 0] AS days, status FROM v_opportunity UNION ALL SELECT id, 'exam', exam, [14, 7, 3, 1, 0], status FROM v_opportunity
@@ -387,9 +392,11 @@ def stamp(spark, sf):
     return v.select("doc_id", F.when(F.col("n_chars") > 2000, "v2").otherwise("v1").alias("semantic_version"))
 
 
-@q("q49_run_sources", "SELECT id, priority FROM v_source WHERE enabled AND id IN ('s1', 's2', 's3', 's11', 's21')")
-def run_sources(spark, sf):
-    return src(spark, sf).where(F.col("enabled") & F.col("id").isin("s1", "s2", "s3", "s11", "s21")).select("id", "priority").orderBy("priority", "id")
+@q("q49_run_sources", "SELECT id, priority FROM v_source WHERE enabled")
+def run_sources(spark, sf, ids: tuple[str, ...] = ()):
+    """The sources of a run in their order; ``ids`` chooses some."""
+    chosen = F.col("id").isin(*ids) if ids else F.lit(True)
+    return src(spark, sf).where(F.col("enabled") & chosen).select("id", "priority").orderBy("priority", "id")
 
 
 @q("q50_registry_reconcile", """WITH a AS (SELECT id, name, enabled FROM v_source WHERE priority < 15), b AS (SELECT id, CASE WHEN trust_level = 1 THEN 'old' ELSE name END AS name, enabled FROM v_source WHERE priority > 5)
@@ -400,14 +407,15 @@ def reconcile(spark, sf):
     return registry.reconcile(s.where("priority < 15"), s.where("priority > 5").withColumn("name", F.when(F.col("trust_level") == 1, "old").otherwise(F.col("name"))))
 
 
-@q("q51_table_dump", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer")
+_DUMPED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@q("q51_table_dump", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count FROM {t}" for t in _DUMPED))
 def table_dump(spark, sf):
-    names = ("orders", "lineitem", "customer")
-    out = None
-    for n in names:
-        one = spark.read.parquet(f"{sf}/{n}.parquet").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n")
-        out = one if out is None else out.union(one)
-    return out
+    """What the manifest of a backup of all tables says."""
+    from tidemark.sources import store
+
+    return store.counts({t: spark.read.parquet(f"{sf}/{t}.parquet") for t in _DUMPED})
 
 
 @q("q53_recent_runs", f"WITH {_RUNS} SELECT day, run_status, attempted - successful AS failed FROM judged ORDER BY day DESC LIMIT 10")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def dump(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     return manifest
 
 
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, row_count) of every table, as one plan."""
+    each = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("name"), "row_count") for name, df in tables.items()]
+    return reduce(DataFrame.union, each)
+
+
 def _sum(df: DataFrame) -> tuple[int, int]:
     """Rows, and an order-free digest of their JSON (absent and null fields alike)."""
     columns = sorted(df.columns)
