@@ -547,6 +547,25 @@ def test_cover_tree_many_chunks(spark, monkeypatch):
     assert cover_tree.near_vectors(vectors(spark, [(1, None, 0)]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, size", [("array<float>", 1024), ("array<double>", 5)])
+def test_cover_tree_deals_again(spark, monkeypatch, kind, size):
+    """Few pivots, so that cells are dealt again, a clump that no pivots divide, links at the threshold."""
+    monkeypatch.setattr(cover_tree, "CHUNK", 30)
+    monkeypatch.setattr(cover_tree, "PIVOTS", 2)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, size))
+    x = np.concatenate([base, base[:20] + rng.normal(scale=0.48, size=(20, size)), base[0] + rng.normal(scale=1e-4, size=(90, size))])
+    x = x.astype(np.float32 if kind == "array<float>" else float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0, 2.0]), (901, [2.0, 4.0])], f"vec_id long, embedding {kind}")
+    got = {r.vec_id: r for r in cover_tree.near_vectors(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = components(len(u), zip(*np.nonzero(near)))
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(u))] == [(near[i].sum(), want[i]) for i in range(len(u))]
+    assert (got[900].n_links, got[901].component_id) == (1, 900)
+
+
 # -------------------------------------------------------------- shared, pipeline
 def test_components(spark):
     rng = random.Random(7)
