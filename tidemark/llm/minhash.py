@@ -6,10 +6,11 @@ collision-corrected estimate of similarity. Candidates that the estimate leaves
 confirmed on the full shingle sets.
 
 Texts with the same shingle set are one class from the start. In a bucket, members are compared
-with one central member first; only members that this leaves in another component than the
-bucket's main one are compared with all the rest, in blocks: signatures give neighbourhoods of
-components that may link, the full sets of a neighbourhood decide. So no bucket is capped, copies
-are never expanded to pairs, and no link that could join two components is left untried.
+with one central member first; only members that this leaves in another component than the bucket's
+main one are compared with the rest of the bucket, in blocks: signatures first, and the full sets of
+those that signatures leave possible. A pair is judged in the first bucket that it shares. So no
+bucket is capped, copies are never expanded to pairs, texts of different buckets never meet, and no
+link between components that any bucket holds is left untried.
 """
 
 from __future__ import annotations
@@ -181,24 +182,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of the pairs (left, right) join two trees when taken in order."""
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    keep = np.zeros(len(left), bool)
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[a] = b
-            keep[i] = True
-    return keep
-
-
 def _blocks(members: DataFrame, group: str, block: int, others: int) -> DataFrame:
     """Members (group, a, comp, ...) of groups with more than one component, dealt to blocks
     (group, i, j): those outside the group's largest component (odd) in parts i, and all members in
@@ -219,40 +202,45 @@ def _blocks(members: DataFrame, group: str, block: int, others: int) -> DataFram
 
 def _across(pdf: pd.DataFrame, low: float) -> Iterator[tuple[int, np.ndarray, pd.DataFrame, pd.DataFrame]]:
     """(row of the odd side, rows of the other, both sides) whose signatures leave a link between
-    components possible."""
+    components possible and whose first common band is this bucket's."""
     left, right = pdf[pdf.odd], pdf[~pdf.odd]
     if not len(left) or not len(right):
         return
-    s = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1)
-    comp = right.comp.to_numpy()
-    for k, (c, sig) in enumerate(zip(left.comp, left.sig)):
-        near = np.flatnonzero((estimate(s, np.frombuffer(sig, np.uint8)[None]) >= low) & (comp != c))
-        if len(near):
-            yield k, near, left, right
-
-
-def _neighbourhoods(members: DataFrame, threshold: float) -> DataFrame:
-    """(comp, super): components that buckets hold together and that signatures leave possible to
-    link, as neighbourhoods. A block gives a forest over its components, never pairs of members.
-
-    ``members``: key, a (class), comp, sig.
+    sig = [np.frombuffer(b"".join(x.sig), np.uint8).reshape(len(x), -1) for x in (left, right)]
+    band = [np.stack(x.bands.to_list()) for x in (left, right)]
+    comp = [x.comp.to_numpy() for x in (left, right)]
+    key = pdf.key.iat[0]
+    step = max(1, (1 << 22) // sig[1].size)
+    for at in range(0, len(left), step):
+        possible = (estimate(sig[0][at: at + step, None], sig[1]) >= low) & (comp[0][at: at + step, None] != comp[1])
+        for k in np.flatnonzero(possible.any(1)):
+            near = np.flatnonzero(possible[k])
+            same = band[1][near] == band[0][at + k]
+            near = near[band[0][at + k][same.argmax(1)] == key]
+            if len(near):
+                yield at + int(k), near, left, right
+
+
+def _open(members: DataFrame, threshold: float) -> DataFrame:
+    """(key, a): members of buckets that may link with members of other components there.
+
+    ``members``: key, a (class), comp, sig, bands.
     """
     low = _floor(threshold)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [np.unique(np.stack([np.full(len(near), left.comp.iat[k]), right.comp.to_numpy()[near]], 1), axis=0) for k, near, left, right in _across(pdf, low)]
-        pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs[_forest(pairs[:, 0], pairs[:, 1])], columns=["a", "b"])
+        got = [np.append(right.a.to_numpy()[near], left.a.iat[k]) for k, near, left, right in _across(pdf, low)]
+        found = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
+        return pd.DataFrame({"key": np.full(len(found), pdf.key.iat[0]), "a": found})
 
-    met = cut(_blocks(members, "key", BLOCK, OTHERS).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "near")
-    return components(met).select(F.col("node").alias("comp"), F.col("root").alias("super"))
+    return _blocks(members, "key", BLOCK, OTHERS).groupBy("key", "i", "j").applyInPandas(compare, "key long, a long").distinct()
 
 
 def _links_across(members: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between components of a neighbourhood, found by comparing every
+    """Confirmed links (a, b) between components that a bucket holds, found by comparing every
     possible pair's full sets in blocks; of links between the same components a block gives one.
 
-    ``members``: super, a, comp, sig, set.
+    ``members``: key, a, comp, sig, bands, set.
     """
     low = _floor(threshold)
 
@@ -274,7 +262,7 @@ def _links_across(members: DataFrame, threshold: float, percent: int) -> DataFra
                     got.append((a, int(right.a.iat[j])))
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    return _blocks(members, "super", SET_BLOCK, SET_OTHERS).groupBy("super", "i", "j").applyInPandas(compare, "a long, b long")
+    return _blocks(members, "key", SET_BLOCK, SET_OTHERS).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -317,15 +305,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(_confirmed(pairs, sets, percent), "links")
     found = cut(components(links), "comps")
 
-    # what the central members did not join: neighbourhoods of components first, then their links
-    own = classes.join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "sig", F.coalesce("root", "a").alias("comp"))
-    now = member.select("key", "a").join(own, "a")
-    around = cut(_neighbourhoods(now, threshold), "around")
-    if around.limit(1).count():
-        near = cut(own.join(around, "comp"), "nearby")
-        ids2 = cut(near.select(F.col("a").alias("id")), "ids")
-        sets2 = _sets(docs, ids2, id_col, text_col, n).withColumnRenamed("id", "a")
-        more = _links_across(near.join(sets2, "a").select("super", "a", "comp", "sig", "set"), threshold, percent)
+    # what the central members did not join; a bucket of two is decided by then
+    own = classes.join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "sig", "bands", F.coalesce("root", "a").alias("comp"))
+    now = member.where("n > 2").select("key", "a").join(own, "a")
+    open_ = cut(_open(now, threshold), "open")
+    if open_.limit(1).count():
+        ids2 = cut(open_.select(F.col("a").alias("id")).distinct(), "ids")
+        sets2 = cut(_sets(docs, ids2, id_col, text_col, n), "sets").withColumnRenamed("id", "a")
+        more = _links_across(open_.join(own, "a").join(sets2, "a").select("key", "a", "comp", "sig", "bands", "set"), threshold, percent)
         links = cut(links.union(more), "links")
         found = cut(components(links), "comps")
 
