@@ -33,6 +33,11 @@ UNSAID = "não informado"
 MESSAGE_UNITS, REPLY_UNITS = 4096, 3900
 
 
+def stripped(text: Column) -> Column:
+    """Without the white space at its end, line ends included."""
+    return F.regexp_replace(text, r"\s+$", "")
+
+
 def label(code: Column, table: dict[str, str]) -> Column:
     """The label of a code; an unknown code stays as it is."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), code), code)
@@ -78,7 +83,7 @@ def utc_cron(local: str, zone: str, day: str = "2026-09-14") -> Column:
 
 def truncate(message: Column, limit: int = MESSAGE_UNITS) -> Column:
     """A message within the limit of UTF-16 units; a longer one is cut and says so."""
-    cut = F.rtrim(F.decode(F.substring(F.encode(message, "UTF-16LE"), 1, 2 * (limit - 30)), "UTF-16LE"))
+    cut = stripped(F.decode(F.substring(F.encode(message, "UTF-16LE"), 1, 2 * (limit - 30)), "UTF-16LE"))
     return F.when(utf16_units(message) <= limit, message).otherwise(F.concat(cut, F.lit("\n\n[mensagem truncada]")))
 
 
@@ -103,13 +108,13 @@ def opportunity_message(o: dict[str, Column], category: str = "NEW_OPPORTUNITY")
         ("Inscrições:", period(o["start"], o["deadline"])), ("Taxa de inscrição:", money(o["fee"])), ("Prova:", day(o["exam"])),
         ("Situação:", label(o["status"], STATUS)), ("Classificação de carga horária:", label(o["workload"], WORKLOAD)),
         ("Compatibilidade:", F.concat(o["score"].cast("string"), F.lit("/100 ("), o["rank"], F.lit(")"))), ("Confiança da informação:", o["confidence"]))
-    return truncate(F.concat(F.lit(TITLES[category] + "\n\n"), F.rtrim(body)))
+    return truncate(F.concat(F.lit(TITLES[category] + "\n\n"), stripped(body)))
 
 
 def deadline_message(institution: Column, name: Column, kind: Column, due: Column, days: Column) -> Column:
     when = F.when(days == 0, "é hoje").when(days == 1, "em 1 dia").otherwise(F.concat(F.lit("em "), days.cast("string"), F.lit(" dias")))
     head = F.concat(F.lit(TITLES["DEADLINE"] + "\n"), label(kind, DEADLINES), F.lit(" "), when, F.lit("\n\n"))
-    return truncate(F.concat(head, F.rtrim(lines(("Instituição:", institution), ("Certame:", name), ("Data:", day(due))))))
+    return truncate(F.concat(head, stripped(lines(("Instituição:", institution), ("Certame:", name), ("Data:", day(due))))))
 
 
 def system_message(title: Column, detail: Column, actions: Column) -> Column:

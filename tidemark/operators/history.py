@@ -82,7 +82,7 @@ def rendered(rows: DataFrame) -> DataFrame:
     """The text of all changes of an entity's version, by label."""
     block = F.concat(F.upper("label"), F.lit("\n\nAntes:\n"), F.col("old_value"), F.lit("\n\nAgora:\n"), F.col("new_value"), F.lit("\n"))
     return rows.groupBy("scope", "entity", "version").agg(
-        F.rtrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", block.alias("t")))), lambda s: s["t"]), "\n")).alias("text"))
+        present.stripped(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", block.alias("t")))), lambda s: s["t"]), "\n")).alias("text"))
 
 
 def deadlines(opportunities: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import history, intervals, merge, outbox, resolve
-from tidemark.plans.relational import note, opp, pairs, q
+from tidemark.plans.relational import _PAIRS, note, opp, pairs, q
 
 
 @q("e01_institution_key", "SELECT o_orderkey AS id, concat('prefeitura-', replace(lower(n_name), '_', '-')) AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -61,12 +63,25 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     return o.selectExpr("entity", "seq", "cast(authority as int) as authority", "stack(3, 'registration_deadline', registration_deadline, 'application_fee', application_fee, 'validity', validity) as (field, value)")
 
 
-@q("e09_merged_fields")
+_FOLD = """WITH RECURSIVE o AS (SELECT o_custkey AS entity, o_orderkey AS seq, (1 + o_orderkey % 4) * 10 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 5 END AS authority,
+        unnest(['registration_deadline', 'application_fee', 'validity']) AS field,
+        unnest([CASE WHEN o_orderkey % 6 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) END, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END]) AS value FROM orders),
+    c AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY seq) AS n FROM o),
+    f AS (SELECT entity, field, n, seq AS now, value AS said, CAST(NULL AS VARCHAR) AS was, true AS won, value AS cur, CASE WHEN value IS NOT NULL THEN authority END AS auth, CASE WHEN value IS NOT NULL THEN seq END AS since, authority AS best FROM c WHERE n = 1
+        UNION ALL SELECT c.entity, c.field, c.n, c.seq, c.value, f.cur, c.authority <= f.best,
+            CASE WHEN takes(c.value, f.cur, c.authority, f.best) THEN c.value ELSE f.cur END, CASE WHEN takes(c.value, f.cur, c.authority, f.best) THEN c.authority ELSE f.auth END,
+            CASE WHEN takes(c.value, f.cur, c.authority, f.best) THEN c.seq ELSE f.since END, least(f.best, c.authority)
+        FROM f JOIN c ON c.entity = f.entity AND c.field = f.field AND c.n = f.n + 1)
+    """
+_FOLD = re.sub(r"takes\((\S+), (\S+), (\S+), (\S+)\)", r"(\1 IS NOT NULL AND (\2 IS NULL OR (\1 <> \2 AND \3 <= \4)))", _FOLD)
+
+
+@q("e09_merged_fields", _FOLD + "SELECT entity, field, cur AS value, CAST(auth AS INT) AS authority, since AS seq FROM f WHERE cur IS NOT NULL QUALIFY n = max(n) OVER (PARTITION BY entity, field)")
 def merged(spark, sf):
     return merge.merged(claims(spark, sf))
 
 
-@q("e09_conflicts")
+@q("e09_conflicts", _FOLD + "SELECT entity, now AS seq, field, was AS old_value, said AS new_value, won AS replaced FROM f WHERE n > 1 AND said <> was AND field <> 'validity' QUALIFY row_number() OVER (PARTITION BY entity ORDER BY now DESC, field DESC) <= 60")
 def conflicts(spark, sf):
     return merge.conflicts(claims(spark, sf))
 
@@ -91,14 +106,19 @@ def position_changes(spark, sf):
     return history.position_changes(pick("l_linenumber <= 4"), pick("l_linenumber >= 4")).select("entity", "slug", "alertable", "information_lost")
 
 
-@q("e12_merge_positions", """WITH p AS (SELECT l_orderkey AS entity, l_partkey AS slug, min(l_linenumber) AS first_line, bool_or(l_linestatus = 'O') AS confirmed, l_linenumber % 3 = 0 AS synthetic FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber % 3 = 0),
-    r AS (SELECT *, bool_or(NOT synthetic) OVER (PARTITION BY entity) AS has_real FROM p)
-    SELECT entity, slug, bool_or(confirmed) AS confirmed FROM r WHERE NOT (synthetic AND has_real) GROUP BY entity, slug""")
+@q("e12_merge_positions", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+    p AS (SELECT l_orderkey AS entity, l_partkey % 3 AS slug, n, n % 3 = 0 AS synthetic, concat('cargo ', l_partkey) AS name, CASE WHEN n % 2 = 0 THEN l_extendedprice END AS salary, CASE WHEN l_linestatus = 'O' THEN l_quantity END AS weekly,
+        CASE WHEN n > 2 THEN l_suppkey END AS vacancies, l_linestatus = 'O' AS confirmed FROM l), r AS (SELECT *, bool_or(NOT synthetic) OVER (PARTITION BY entity) AS has_real FROM p)
+    SELECT entity, slug, arg_min(name, n) AS name, arg_min(salary, n) FILTER (salary IS NOT NULL) AS salary, arg_min(weekly, n) FILTER (weekly IS NOT NULL) AS weekly, arg_min(vacancies, n) FILTER (vacancies IS NOT NULL) AS vacancies, bool_or(confirmed) AS confirmed
+    FROM r WHERE NOT (synthetic AND has_real) GROUP BY entity, slug""")
 def merged_positions(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(
-        F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("slug"), F.col("l_linenumber").alias("seq"), (F.col("l_linenumber") % 3 == 0).alias("synthetic"),
-        F.col("l_partkey").cast("string").alias("name"), F.col("l_extendedprice").alias("salary"), F.col("l_quantity").alias("weekly"), F.col("l_suppkey").alias("vacancies"), (F.col("l_linestatus") == "O").alias("confirmed"))
-    return merge.merge_positions(li).select("entity", "slug", "confirmed")
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("n", n).select(
+        F.col("l_orderkey").alias("entity"), (F.col("l_partkey") % 3).alias("slug"), F.col("n").alias("seq"), (F.col("n") % 3 == 0).alias("synthetic"), F.concat(F.lit("cargo "), "l_partkey").alias("name"),
+        F.when(F.col("n") % 2 == 0, F.col("l_extendedprice")).alias("salary"), F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).alias("weekly"), F.when(F.col("n") > 2, F.col("l_suppkey")).alias("vacancies"), (F.col("l_linestatus") == "O").alias("confirmed"))
+    return merge.merge_positions(li)
 
 
 @q("e20_deadlines", "SELECT id, 'registration' AS kind, deadline AS due FROM v_opportunity WHERE deadline IS NOT NULL UNION ALL SELECT id, 'exam', exam FROM v_opportunity WHERE exam IS NOT NULL UNION ALL SELECT id, 'fee_exemption', exemption FROM v_opportunity WHERE exemption IS NOT NULL UNION ALL SELECT id, 'payment', payment FROM v_opportunity WHERE payment IS NOT NULL")
@@ -112,7 +132,10 @@ def queue(spark, sf):
     return outbox.queue(new, ("console", "markdown"), note(spark, sf)).select("key", "channel")
 
 
-@q("a02_alerts")
+@q("a02_alerts", f"""WITH {_PAIRS}, t AS (SELECT id AS entity, position, eligible AND actionable AND dated AND conflicts = 0 AS first FROM pairs WHERE trust_level <= 2),
+    n AS (SELECT entity, position FROM t WHERE first AND entity % 13 <> 0)
+    SELECT entity, 'NEW_OPPORTUNITY' AS category, position AS subject FROM n UNION SELECT entity, 'CHANGE', 'weekly_workload' FROM t WHERE entity % 2 = 0 AND entity NOT IN (SELECT entity FROM n)
+    UNION SELECT entity, 'WORKLOAD_KNOWN', 'weekly_workload' FROM t""")
 def alerts(spark, sf):
     """Alerts of a run in which every thirteenth entity was announced before."""
     p = pairs(spark, sf).select(F.col("id").alias("entity"), "position", "trust_level", "primary_alert")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cells, parse, present, score, text, urls, verify
 from tidemark.sources import pages
-from tidemark.plans.relational import _PAIRS, pairs, q
+from tidemark.plans.relational import _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RANK, _SURE, pairs, q
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -120,9 +120,18 @@ def names(spark, sf):
     return notices(spark, sf).select("id", parse.selection_name(F.lit("Aviso"), _body(), F.lit("Prefeitura"), parse.edital_number(_body())).alias("name"))
 
 
-@q("f28_stages_schedule", f"SELECT o_orderkey AS id, CAST(NULL AS DATE) AS exam, CAST(0 AS INT) AS stages FROM orders")
+@q("f28_stages_schedule", f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN {_DAY} + 60 END AS exam, {_DAY} AS start, {_DAY} + 30 AS deadline,
+    concat_ws('; ', CASE WHEN o_orderkey % 3 = 0 THEN 'Prova objetiva' END, CASE WHEN o_orderkey % 4 = 0 THEN 'Prova discursiva' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Prova de títulos' END, CASE WHEN o_orderkey % 7 = 0 THEN 'Entrevista' END) AS stages FROM orders""")
 def stages(spark, sf):
-    return notices(spark, sf).select("id", parse.schedule_from_text(_body())["exam"].alias("exam"), F.size(parse.stages(_body())).alias("stages"))
+    """Stages in their own order, and the dates of labelled windows."""
+    k = F.col("o_orderkey")
+    day = F.add_months(F.to_date("o_orderdate"), 12 * 26)
+    at = lambda n: F.date_format(F.date_add(day, n), "dd/MM/yyyy")
+    said = F.concat(F.when(k % 7 == 0, "Haverá entrevista. ").otherwise(""), F.when(k % 5 == 0, "Avaliação de Títulos. ").otherwise(""), F.when(k % 4 == 0, "PROVA DE REDAÇÃO. ").otherwise(""), F.when(k % 3 == 0, "Provas objetivas. ").otherwise(""),
+                    F.lit("Período de inscrições: "), at(0), F.lit(" a "), at(30), F.lit(". "), F.lit("x" * 450), F.when(k % 2 == 0, F.concat(F.lit(" Data da prova: "), at(60))).otherwise(""))
+    when = parse.schedule_from_text(F.col("said"))
+    got = _table(spark, sf, "orders").select(k.alias("id"), said.alias("said")).select("id", when.alias("w"), F.array_join(parse.stages(F.col("said")), "; ").alias("stages"))
+    return got.select("id", F.col("w.exam").alias("exam"), F.col("w.start").alias("start"), F.col("w.deadline").alias("deadline"), "stages")
 
 
 @q("f36_build_opportunity", f"""SELECT o_orderkey AS id, lpad(CAST(o_orderkey % 97 + 1 AS VARCHAR), 2, '0') || '/' || year({_DAY}) AS number, {_DAY} AS start, {_DAY} + 30 AS deadline,
@@ -199,7 +208,16 @@ def units(spark, sf):
     return _table(spark, sf, "documents").where("text is not null").select("doc_id", text.utf16_units(_body()).alias("units"))
 
 
-@q("f43_messages")
+_LINES = {
+    "Instituição:": "institution", "Certame:": "name", "Cargo:": "cargo", "Tipo de vínculo:": _CASES(present.EMPLOYMENT, "employment_type"), "Escolaridade:": _CASES(present.EDUCATION, "education"),
+    "Qualificação adicional:": f"CASE WHEN only_school THEN 'Nenhuma' ELSE {_CASES(present.QUALIFICATION, 'qualification')} END",
+    "Lotação:": "CASE WHEN assignment_confirmed THEN concat(location, '/AC') ELSE coalesce(location, 'não confirmada') END", "Carga horária:": "coalesce(weekly || 'h/semana', 'não confirmada — em investigação')",
+    "Remuneração:": _MONEY.format("salary"), "Vagas:": "coalesce(CAST(vacancies AS VARCHAR), 'não informado')", "Inscrições:": _PERIOD, "Taxa de inscrição:": _MONEY.format("fee"), "Prova:": _DAY_OF.format("exam"),
+    "Situação:": _CASES(present.STATUS, "status"), "Classificação de carga horária:": _CASES(present.WORKLOAD, "workload"), "Compatibilidade:": f"concat(score, '/100 (', {_RANK}, ')')", "Confiança da informação:": _SURE}
+
+
+@q("f43_messages", f"""WITH {_PAIRS} SELECT id, position, concat('{present.TITLES["NEW_OPPORTUNITY"]}', chr(10), chr(10), concat_ws(concat(chr(10), chr(10)), {", ".join(f"concat('{k}', chr(10), {v})" for k, v in _LINES.items())})) AS message
+    FROM pairs WHERE eligible AND actionable AND dated AND trust_level <= 2 AND conflicts = 0""")
 def messages(spark, sf):
     """Alerts of the eligible pairs as text."""
     p = pairs(spark, sf).where("primary_alert")
@@ -226,13 +244,6 @@ def excerpts(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.length(got).alias("n"))
 
 
-@q("f48_parse_payload", "SELECT event_id, CAST(props->>'k' AS INT) AS k, CAST(least(0.9, CAST(props->>'k' AS DOUBLE) / 100) AS DOUBLE) AS confidence FROM events WHERE props->>'k' IS NOT NULL")
-def payloads(spark, sf):
-    """Model answers: valid JSON with a value; confidence is at most 0.9."""
-    p = F.from_json("props", "k int")
-    return _table(spark, sf, "events").where(p["k"].isNotNull()).select("event_id", p["k"].alias("k"), F.least(F.lit(0.9), p["k"] / 100.0).alias("confidence"))
-
-
 @q("f38_evaluate", f"""WITH {_PAIRS} SELECT id, position, score, eligible, eligible AND actionable AND dated AND trust_level <= 2 AND conflicts = 0 AS primary_alert,
     NOT local OR NOT school OR weekly IS NULL OR conflicts > 0 OR NOT dated AS needs_review,
     CASE WHEN trust_level <= 2 AND conflicts = 0 AND 2 + CAST(location IS NOT NULL AS INT) + CAST(weekly IS NOT NULL AS INT) >= 3 THEN 'HIGH' WHEN trust_level <= 2 AND conflicts = 0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM pairs""")
@@ -275,9 +286,14 @@ def escalations(spark, sf):
     return _table(spark, sf, "events").select("event_id", urls.should_escalate(status, F.lit(None).cast("string"), F.when(k % 3 == 0, 0).otherwise(4), k % 5 == 0).alias("escalate"))
 
 
-@q("p11_wall", "SELECT event_id, CASE event_type WHEN 'error' THEN 'captcha' WHEN 'click' THEN 'acesso restrito' END AS wall FROM events")
+_WALLS = ("Please solve the CAPTCHA", "Acesso  Restrito!", "Bem-vindo", "Verifique que você NÃO é um robô", "checking your browser...", "cf-challenge", "Faça login para continuar", "hCaptcha", "reCAPTCHA e acesso restrito", "Verifying you are human")
+
+
+@q("p11_wall", """SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'captcha' WHEN 1 THEN 'acesso restrito' WHEN 3 THEN 'verifique que voce nao e um robo' WHEN 4 THEN 'checking your browser' WHEN 6 THEN 'faca login para continuar' WHEN 7 THEN 'captcha' WHEN 8 THEN 'captcha' WHEN 9 THEN 'verifying you are human' END AS wall FROM events""")
 def walls(spark, sf):
-    t = F.when(F.col("event_type") == "error", "Please solve the CAPTCHA").when(F.col("event_type") == "click", "Acesso  Restrito!").otherwise("Bem-vindo")
+    """Every marker, case and accents, a marker beyond the first 4000 characters, and one that the normal form cannot hold."""
+    n = (F.col("event_id") % 11).cast("int")
+    t = F.when(n == 10, F.concat(F.repeat(F.lit("a "), 2000), F.lit("captcha"))).otherwise(F.get(F.array(*[F.lit(w) for w in _WALLS]), n))
     return _table(spark, sf, "events").select("event_id", parse.wall(t).alias("wall"))
 
 
@@ -295,18 +311,24 @@ def link_discovery(spark, sf):
     return pages.links(p, F.array(F.lit("example.com"), F.lit("example.net"), F.lit("example.org")))
 
 
-@q("s10_sitemap", "SELECT page_id, 1 AS n, url AS first FROM pages")
+@q("s10_sitemap", "SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 + page_id % 3 END AS INT) AS n, CASE WHEN page_id % 3 <> 0 THEN url END AS first, CASE WHEN page_id % 3 = 2 THEN 'https://b.example/2' WHEN page_id % 3 = 1 THEN 'https://b.example/1' END AS last FROM pages")
 def sitemaps(spark, sf):
-    found = urls.sitemap_links(F.concat(F.lit("<urlset><url><loc> "), "url", F.lit(" </loc></url></urlset>")))
-    return _table(spark, sf, "pages").select("page_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"))
+    k = F.col("page_id") % 3
+    more = F.when(k == 2, "<LOC>https://b.example/1</LOC><loc>https://b.example/2</loc>").otherwise("<url><loc>\nhttps://b.example/1</loc></url>")
+    found = urls.sitemap_links(F.when(k == 0, "<urlset><loc></loc></urlset>").otherwise(F.concat(F.lit("<urlset><url><loc> "), "url", F.lit(" </loc></url>"), more)))
+    return _table(spark, sf, "pages").select("page_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"), F.try_element_at(found, F.lit(-1)).alias("last"))
 
 
-@q("s19_tidy_rows", "SELECT o_orderkey AS id, CAST(2 AS INT) AS n_rows, CAST(2 AS INT) AS n_columns FROM orders")
+@q("s19_tidy_rows", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN concat('Cargo|Vagas#', o_orderkey, '|3') WHEN 1 THEN concat('Cargo#', o_orderkey) ELSE concat('Cargo||x#', o_orderkey, '|y z|') END AS cells FROM orders""")
 def tidy_tables(spark, sf):
-    key = F.col("o_orderkey").cast("string")
-    t = F.array(F.array(F.lit(" Cargo "), F.lit(""), F.lit("Vagas")), F.array(F.lit(""), F.lit(" ")), F.array(key, F.lit(""), F.lit("3")))
+    """Ragged tables with empty rows and columns, and cells of white space."""
+    k, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    row = lambda *c: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    none = F.lit(None).cast("string")
+    t = (F.when(k == 0, F.array(row(" Cargo ", "", "Vagas"), row("", " "), row(key, "", "3"))).when(k == 1, F.array(row("Cargo", " \t", ""), row(key), row(none)))
+         .otherwise(F.array(row("Cargo", "", "x"), row(key, "y\n z"))))
     got = cells.tidy_rows(t)
-    return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.size(got).alias("n_rows"), F.size(F.get(got, F.lit(0))).alias("n_columns"))
+    return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.transform(got, lambda r: F.array_join(r, "|")), "#").alias("cells"))
 
 
 @q("f51_utc_schedule", "SELECT '17 12 * * *' AS morning, '30 4 * * *' AS night")

@@ -42,6 +42,15 @@ _PAIRS = f"""
         FROM facts)"""
 
 
+_MONEY = "concat('R$ ', replace(format('{{:,}}', {}), ',', '.'), ',00')"
+_DAY_OF = "coalesce(strftime({}, '%d/%m/%Y'), 'não informado')"
+_CASES = lambda table, code: f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {code} END"
+_PERIOD = f"""CASE WHEN start IS NOT NULL AND deadline IS NOT NULL THEN concat({_DAY_OF.format('start')}, ' a ', {_DAY_OF.format('deadline')}) WHEN deadline IS NOT NULL THEN concat('até ', {_DAY_OF.format('deadline')})
+    WHEN start IS NOT NULL THEN concat('a partir de ', {_DAY_OF.format('start')}) ELSE 'não informado' END"""
+_SURE = """CASE WHEN trust_level <= 2 AND conflicts = 0 AND 2 + CAST(location IS NOT NULL AS INT) + CAST(weekly IS NOT NULL AS INT) >= 3 THEN 'HIGH' WHEN trust_level <= 2 AND conflicts = 0 THEN 'MEDIUM' ELSE 'LOW' END"""
+_RANK = "CASE WHEN score >= 90 THEN 'EXCELLENT' WHEN score >= 75 THEN 'VERY GOOD' WHEN score >= 60 THEN 'REVIEW' ELSE 'LOW PRIORITY' END"
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opportunities with their positions and all that the rules say of each."""
     joined = view(spark, sf_dir, "v_opportunity").join(view(spark, sf_dir, "v_position"), F.col("id") == F.col("opportunity"))

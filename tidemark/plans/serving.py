@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import registry, serve
-from tidemark.plans.relational import NOW, _PAIRS, _STATES, line, pairs, q, src, watchdog
+from tidemark.functions import present
+from tidemark.plans.relational import NOW, _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RUNS, _STATES, _SURE, line, pairs, q, src, watchdog
 from tidemark.plans.views import TODAY
 from tidemark.sources import sinks
 
@@ -32,13 +33,25 @@ def _columns():
     return {c: F.col(c) for c in ("cargo", "institution", "state", "salary", "weekly", "location", "assignment_confirmed", "vacancies", "start", "deadline", "exam", "fee", "employment_type", "score", "confidence", "eligible")}
 
 
-@q("b_cards")
+_STATE_NAME = _CASES(present.STATUS, "state")
+
+
+def _summary(first: str, joint: str) -> str:
+    """The five lines of a summary in SQL."""
+    return f"""concat_ws('{joint}', concat('{first}', cargo), concat('  ', institution), concat('  ', CASE WHEN eligible THEN 'compatível com o filtro' ELSE 'fora do filtro ou não confirmado' END, ' · ', {_STATE_NAME}),
+        concat('  ', {_MONEY.format('salary')}, ' · ', coalesce(weekly || 'h/semana', 'CH não informada')), concat('  Inscrições: ', {_PERIOD}))"""
+
+
+@q("b_cards", f"""WITH {_PAIRS} SELECT id, position, concat_ws(chr(10), cargo, institution, concat('Situação: ', {_STATE_NAME}), concat('Salário: ', {_MONEY.format('salary')}, ' · Jornada: ', coalesce(weekly || 'h/semana', 'não informada')),
+    concat('Lotação: ', coalesce(location, 'não confirmada'), CASE WHEN assignment_confirmed THEN ' (confirmada)' ELSE ' (sem confirmação)' END), concat('Vagas: ', vacancies), concat('Inscrições: ', {_PERIOD}), concat('Prova: ', {_DAY_OF.format('exam')}),
+    concat('Taxa: ', {_MONEY.format('fee')}), concat('Vínculo: ', {_CASES(present.EMPLOYMENT, 'employment_type')}), concat('Avaliação: ', score, '/100 · confiança ', {_SURE}), 'Use o código para a ficha completa.') AS card
+    FROM pairs WHERE state = 'REGISTRATION_OPEN'""")
 def cards(spark, sf):
     """The card of every position of an open opportunity."""
     return pairs(spark, sf).where("state = 'REGISTRATION_OPEN'").select("id", "position", serve.card(_columns()).alias("card"))
 
 
-@q("b_summaries")
+@q("b_summaries", f"WITH {_PAIRS} SELECT id, position, replace({_summary('• ', '~')}, '~', chr(10)) AS summary FROM pairs WHERE eligible")
 def summaries(spark, sf):
     return pairs(spark, sf).where("eligible").select("id", "position", serve.summary(_columns()).alias("summary"))
 
@@ -52,7 +65,10 @@ def marked(spark, sf):
     return serve.marks(asked, spark.createDataFrame([], "position long, status string, at long")).select("position", "status")
 
 
-@q("b_report")
+@q("b_report", f"""WITH {_PAIRS}, r AS (SELECT unnest(list_filter([CASE WHEN state = 'REGISTRATION_OPEN' THEN '1 Inscrições abertas' END, CASE WHEN deadline BETWEEN DATE '1998-06-15' AND DATE '1998-06-15' + 30 THEN '2 Prazos em 30 dias' END,
+        CASE WHEN state = 'EXAM_SCHEDULED' THEN '3 Provas marcadas' END, CASE WHEN score >= 90 THEN '4 Excelentes' END, CASE WHEN workload = 'UNKNOWN' THEN '5 Carga horária desconhecida' END], lambda x: x IS NOT NULL)) AS section,
+        regexp_replace({_summary('- ', '~')}, '~ *', ' · ', 'g') AS text, score, position FROM pairs WHERE eligible)
+    SELECT section, CAST(line AS INT) AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, position) AS line FROM r) WHERE line <= 25""")
 def report(spark, sf):
     return serve.report(pairs(spark, sf), TODAY)
 
@@ -66,7 +82,10 @@ def issues(spark, sf):
     return serve.open_issues(needed, known).select("source_id")
 
 
-@q("k07_heartbeat")
+@q("k07_heartbeat", f"""WITH {_STATES}, {_RUNS}, o AS (SELECT count(*) FILTER (state IN ('OPEN', 'DISABLED')) AS open_sources FROM last), f AS (SELECT count(*) FILTER (status IN ('FAILED', 'UNCERTAIN')) AS failed FROM v_notification),
+    h AS (SELECT max(day) AS d FROM judged WHERE run_status IN ('SUCCESS', 'PARTIAL'))
+    SELECT concat('{{"severity":"', CASE WHEN d IS NULL OR date_diff('hour', CAST(d AS TIMESTAMP), TIMESTAMP '2024-01-29 12:00:00') > 30 THEN 'CRITICAL' WHEN open_sources > 0 OR failed > 0 THEN 'WARNING' ELSE 'OK' END,
+        '","open_sources":', open_sources, ',"failed_messages":', failed, ',"at":"2024-01-29T12:00:00"}}') AS payload FROM o, f, h""")
 def heartbeat(spark, sf):
     return sinks.heartbeat(watchdog(spark, sf), NOW)
 
