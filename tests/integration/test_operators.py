@@ -1,11 +1,15 @@
 """Relational operators: sequential reference folds, health series, outbox, storage, streaming."""
 
+import json
 import random
+import threading
 from datetime import date, datetime, timedelta
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import health, history, intervals, merge, outbox, registry, resolve
+from tidemark.functions import answers
+from tidemark.operators import health, history, intervals, merge, outbox, registry, resolve, serve
 from tidemark.sources import pages, store
 from tidemark.sources.fetch import HttpSource, fetch
 from tidemark.streaming import ingest
@@ -159,7 +163,71 @@ def test_http_source_isolates_failures(spark):
     df = spark.read.format("tidemark_http").option("urls", '[{"url": "http://127.0.0.1:9/x"}]').option("attempts", "1").load()
     row = df.first()
     assert row.status is None and row.error and row.content is None
-    assert fetch({"url": "nonsense"}, 1, 1, 0, 10)[6]
+    assert fetch({"url": "nonsense"}, 1, 1, 0, 10)[-1] == "not allowed"
+
+
+def test_http_source_against_a_server(spark):
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.headers.get("If-None-Match") == '"v1"':
+                self.send_response(304)
+                self.end_headers()
+                return
+            where = {"/away": "http://other.test/x", "/disk": "file:///etc/hostname", "/back": "/page"}.get(self.path)
+            self.send_response(302 if where else 200)
+            if where:
+                self.send_header("Location", where)
+            body = b"" if where else b"<p>hello</p>"
+            for k, v in (("Content-Type", "text/html"), ("ETag", '"v1"'), ("Last-Modified", "Mon, 14 Sep 2026 10:00:00 GMT"), ("Content-Length", str(len(body)))):
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    asked = [{"url": f"{at}/page"}, {"url": f"{at}/page?2", "etag": '"v1"', "last_modified": "then"}, {"url": f"{at}/away"}, {"url": f"{at}/disk"}, {"url": f"{at}/back"},
+             {"url": "file:///etc/hostname"}, {"url": "http://other.test/"}]
+    spark.dataSource.register(HttpSource)
+    read = spark.read.format("tidemark_http").option("urls", json.dumps(asked)).option("attempts", "1").option("interval", "0").option("allowed", '["127.0.0.1"]').load()
+    got = {r.url: r for r in read.collect()}
+    server.shutdown()
+    page = got[f"{at}/page"]
+    assert (page.status, bytes(page.content), page.etag, page.last_modified, page.unchanged, page.error) == (200, b"<p>hello</p>", '"v1"', "Mon, 14 Sep 2026 10:00:00 GMT", False, None)
+    same = got[f"{at}/page?2"]
+    assert (same.status, same.content, same.unchanged, same.last_modified) == (304, None, True, "then")
+    assert bytes(got[f"{at}/back"].content) == b"<p>hello</p>"
+    for refused in (f"{at}/away", f"{at}/disk", "file:///etc/hostname", "http://other.test/"):
+        assert got[refused].content is None and "allowed" in got[refused].error, refused
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    rows = [(f"p{i}", f"Agente {i % 3}", "Prefeitura", "Concurso", True, i, None) for i in range(30)]
+    pairs = spark.createDataFrame(rows, "position string, cargo string, institution string, name string, eligible boolean, score int, deadline date")
+    asked = spark.createDataFrame([(k, f"AGENTE {k % 3}") for k in range(9)], "request int, argument string")
+    want = sorted(map(tuple, serve.search(asked, pairs).collect()))
+    monkeypatch.setattr(serve, "REQUESTS", 2)
+    plan = serve.search(asked, pairs)
+    assert sorted(map(tuple, plan.collect())) == want and len(want) == 45 and all(t == 10 for _, _, t, _ in want)
+    assert "CartesianProduct" not in plan._jdf.queryExecution().toString()
+
+
+def test_equal_values_by_field(spark):
+    same = lambda a, b, field: spark.range(1).select(merge.same(F.lit(a), F.lit(b), F.lit(field)).alias("x")).first().x
+    assert same("4656.75", "4656.754", "salary") and not same("4656.75", "4656.76", "salary")
+    assert not same("007", "7", "edital_number") and same("São José", "SAO  jose", "organizing_board")
+
+
+def test_answers_of_every_shape(spark):
+    raws = ["", "null", "[]", "{", '{"fields": null}', '{"fields": {"validity": 3}}', '{"fields": {"validity": {"value": [], "status": "FOUND", "raw_evidence": "x"}}}',
+            '{"fields": {"validity": {"value": "1 ano", "status": "FOUND", "confidence": {"a": 1}, "raw_evidence": "x"}}, "positions": [1, null, {"name": "a"}]}', None]
+    got = [r.p for r in spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, raw string").orderBy("i").select(answers.payload(F.col("raw")).alias("p")).collect()]
+    assert [len(p.fields) for p in got] == [0, 0, 0, 0, 0, 0, 0, 1, 0] and len(got[7].positions) == 1
+    assert (got[7].fields["validity"].value, got[7].fields["validity"].confidence) == ("1 ano", 0.0)
+    assert [p.problem is None for p in got] == [False, False, False, False, True, True, True, True, False]
 
 
 def test_streaming_ingest_is_idempotent(spark, tmp_path):

@@ -43,11 +43,6 @@ def verify(field: str, proposed: Column, quote: Column, document: Column) -> Col
     return F.struct(status.alias("status"), F.when(status == "CONFIRMED", read.cast("string")).alias("value"))
 
 
-def fill_gap(current: Column, verified: Column) -> Column:
-    """A known value stays; a gap takes a confirmed one."""
-    return F.coalesce(current.cast("string"), verified["value"])
-
-
 def merged_spans(spans: Column) -> Column:
     """Overlapping (a, b) pairs merged, in order, in one fold over the sorted array."""
     start = F.array().cast("array<struct<a:int,b:int>>")

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import idempotency_key
+
 HISTORY, FAILURES, COOLDOWN_HOURS, SILENCE_HOURS = 20, 3, 6, 30
 
 
@@ -63,6 +65,41 @@ def latest(line: DataFrame) -> DataFrame:
     return line.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def next_state(current: Column, success: Column, streak: Column, drifted: Column, failures: int = FAILURES) -> Column:
+    """The state after an attempt; only a person ends DISABLED."""
+    return (F.when(current == "DISABLED", "DISABLED").when(success & ~drifted, "HEALTHY").when(success, "DEGRADED")
+            .when(streak >= failures, "OPEN").otherwise("DEGRADED"))
+
+
+def standing(line: DataFrame, sources: DataFrame, now: datetime) -> DataFrame:
+    """(source_id, state, skip) of all sources (id, enabled) at ``now``: disabled ones are DISABLED, an open
+    circuit whose end has passed is RECOVERING and is tried, a source without attempts is HEALTHY."""
+    last = latest(line).select("source_id", "state", "open_until")
+    both = sources.select(F.col("id").alias("source_id"), "enabled").join(last, "source_id", "left")
+    t = F.lit(now)
+    state = (F.when(~F.col("enabled"), "DISABLED").when(entering_recovery(F.col("state"), F.col("open_until"), t), "RECOVERING")
+             .otherwise(F.coalesce("state", F.lit("HEALTHY"))))
+    return both.select("source_id", state.alias("state"), should_skip(state, F.col("open_until"), t).alias("skip"))
+
+
+def source_runs(attempts: DataFrame) -> DataFrame:
+    """One row a source and day: attempts, successes, failures, documents found and the run's status."""
+    each = attempts.groupBy("source_id", "day").agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("failures"), F.sum("found").alias("documents"))
+    return each.withColumn("status", run_status(F.col("attempts"), F.lit(0), F.col("successes"), F.col("failures")))
+
+
+def notices(verdict: DataFrame, now: datetime) -> DataFrame:
+    """(key, severity, problems) of a watchdog's row if it is to be told: a critical one every day, a warning
+    whenever its problems change, nothing if all is well."""
+    found = F.array_compact(F.array(
+        F.when(F.col("open_sources") > 0, F.concat(F.col("open_sources").cast("string"), F.lit(" fonte(s) com circuito aberto ou desativadas"))),
+        F.when(F.col("failed_messages") > 0, F.concat(F.col("failed_messages").cast("string"), F.lit(" notificação(ões) pendentes de entrega ou revisão")))))
+    rows = verdict.where("severity <> 'OK'").withColumn("problems", F.array_sort(found))
+    scope = F.when(F.col("severity") == "CRITICAL", F.lit(now.date().isoformat())).otherwise(F.sha2(F.array_join("problems", "\n"), 256))
+    return rows.select(idempotency_key(F.lit("SYSTEM"), F.lit("watchdog"), F.col("severity"), scope).alias("key"), "severity", "problems")
+
+
 def should_skip(state: Column, open_until: Column, now: Column) -> Column:
     return (state == "DISABLED") | F.coalesce((state == "OPEN") & (now < open_until), F.lit(False))
 

@@ -61,7 +61,7 @@ def changes(snapshots: DataFrame) -> DataFrame:
     label, worth = _about(F.col("field"), F.col("scope"))
     paired = snapshots.withColumn("old", F.lag("value").over(w)).withColumn("n", F.row_number().over(w)).where("n > 1")
     lost = (F.coalesce("value", F.lit("")) == "") & (F.coalesce("old", F.lit("")) != "")
-    equal = F.coalesce(same(F.col("old"), F.col("value")), F.col("old").isNull() & F.col("value").isNull())
+    equal = F.coalesce(same(F.col("old"), F.col("value"), F.col("field")), F.col("old").isNull() & F.col("value").isNull())
     return paired.where(~equal).select(
         "scope", "entity", "version", "field", label.alias("label"), F.col("old").alias("raw_old"), F.col("value").alias("raw_new"),
         shown(F.col("field"), F.col("old")).alias("old_value"), shown(F.col("field"), F.col("value")).alias("new_value"),

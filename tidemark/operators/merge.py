@@ -18,14 +18,18 @@ CONFLICT_FIELDS = ("registration_start", "registration_deadline", "exam_date", "
                    "payment_deadline", "edital_number", "organizing_board", "salary", "vacancies", "weekly_workload", "education")
 
 
+#: Fields that hold numbers.
+NUMBERS = ("application_fee", "salary", "vacancies", "weekly_workload", "daily_workload", "reserve_count")
+
+
 def authority(trust: Column, from_table: Column) -> Column:
     return trust * 10 + F.when(from_table, 0).otherwise(5)
 
 
-def same(a: Column, b: Column) -> Column:
-    """Equal values: numbers to two decimals, texts in normal form."""
-    x, y = a.try_cast("decimal(20,2)"), b.try_cast("decimal(20,2)")
-    return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(normalise(a) == normalise(b))
+def same(a: Column, b: Column, field: Column) -> Column:
+    """Equal values: numbers of number fields within 0.005, everything else in normal form."""
+    x, y = a.try_cast("double"), b.try_cast("double")
+    return F.when(field.isin(*NUMBERS) & x.isNotNull() & y.isNotNull(), F.abs(x - y) < 0.005).otherwise(normalise(a) == normalise(b))
 
 
 def _candidates(fields: DataFrame) -> DataFrame:
@@ -36,7 +40,7 @@ def _candidates(fields: DataFrame) -> DataFrame:
     step = fields.withColumn("better", F.col("authority") <= best).withColumn("cand", F.col("value").isNotNull() & (~seen | F.col("better")))
     current = F.last(F.when(F.col("cand"), F.col("value")), ignorenulls=True).over(before)
     return step.withColumn("current", current).withColumn(
-        "starts", F.col("cand") & (F.col("current").isNull() | ~same(F.col("current"), F.col("value"))))
+        "starts", F.col("cand") & (F.col("current").isNull() | ~same(F.col("current"), F.col("value"), F.col("field"))))
 
 
 def merged(fields: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ def conflicts(fields: DataFrame, keep: int = 60) -> DataFrame:
     """entity, seq, field, old_value, new_value, replaced: the last ``keep`` of an entity."""
     w = Window.partitionBy("entity").orderBy(F.desc("seq"), F.desc("field"))
     found = _candidates(fields).where(F.col("field").isin(*CONFLICT_FIELDS) & F.col("value").isNotNull() & F.col("current").isNotNull()
-                                      & ~same(F.col("current"), F.col("value")))
+                                      & ~same(F.col("current"), F.col("value"), F.col("field")))
     return found.select("entity", "seq", "field", F.col("current").alias("old_value"), F.col("value").alias("new_value"),
                         F.col("cand").alias("replaced"), F.row_number().over(w).alias("n")).where(F.col("n") <= keep).drop("n")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.urls import canonical, host_allowed, ok
+
 
 def problems(specs: DataFrame) -> DataFrame:
     """(id, problem): duplicate ids, unparseable base URLs, empty host lists."""
@@ -46,6 +48,39 @@ def candidates_per_source(links: DataFrame, limit: str = "max_documents") -> Dat
     return first.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("place", "url"))).where(F.col("n") <= F.col(limit))
 
 
+def index_pages(specs: DataFrame) -> DataFrame:
+    """(source_id, place, url): where a source (id, base_url, seed_urls, allowed_hosts) is entered: base and
+    seeds in their canonical form, allowed hosts only, each once, in order."""
+    all_ = F.concat(F.array("base_url"), F.coalesce("seed_urls", F.array().cast("array<string>")))
+    rows = specs.select(F.col("id").alias("source_id"), "allowed_hosts", F.posexplode(all_).alias("place", "raw")).withColumn("url", canonical(F.col("raw")))
+    good = rows.where((F.col("url") != "") & host_allowed(F.col("url"), F.col("allowed_hosts")))
+    return good.groupBy("source_id", "url").agg(F.min("place").alias("place")).select("source_id", "place", "url")
+
+
+#: Where a source that yields nothing is looked for, in this order.
+RECOVERY = (("rss", "/feed"), ("rss", "/rss"), ("rss", "/feed/"), ("rss", "/index.xml"), ("rss", "/rss.xml"), ("sitemap", "/sitemap.xml"), ("sitemap", "/sitemap_index.xml"))
+
+
+def recovery_requests(sources: DataFrame) -> DataFrame:
+    """(source_id, step, method, url) of every alternative entrance of sources (id, base_url)."""
+    steps = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(p).alias("path")) for m, p in RECOVERY])
+    root = F.regexp_extract("base_url", r"^(https?://[^/?#]+)", 1)
+    rows = sources.select(F.col("id").alias("source_id"), root.alias("root"), F.posexplode(steps).alias("step", "s"))
+    return rows.where("root <> ''").select("source_id", "step", F.col("s.method").alias("method"), F.concat("root", F.col("s.path")).alias("url"))
+
+
+def recovered(answers: DataFrame) -> DataFrame:
+    """(source_id, method, links): of the answers (source_id, step, method, status, links) to those requests
+    the first good one with links."""
+    good = answers.where(ok(F.col("status")) & (F.size("links") > 0))
+    return good.groupBy("source_id").agg(F.min_by(F.struct("method", "links"), "step").alias("f")).select("source_id", "f.method", "f.links")
+
+
+def stored_form(sources: DataFrame) -> DataFrame:
+    """The registry as it is written back: a JSON object a source, keys in order, by priority and id."""
+    return sources.orderBy("priority", "id").select(F.to_json(F.struct(*sorted(sources.columns))).alias("line"))
+
+
 def budgeted(sources: DataFrame, budget: int) -> DataFrame:
     """What is left of a run's document budget when each source, by priority, has its turn.
 

@@ -85,8 +85,8 @@ def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
 
     Drafts: id, institution, name, number, published, board, url, document_hash. Known: the same with
     urls and hashes as arrays, and first_seen. The order of the rules is the reason order; ties go to
-    the earliest first_seen, then the smallest id. The similarity rule joins on exploded institution
-    tokens, so it never compares everything with everything.
+    the earliest first_seen, then the smallest id. The similarity rule joins on the rarest tokens of
+    names, so it never compares everything with everything.
     """
     d = drafts.select("id", "institution", "name", "number", "published", "board", "url", "document_hash",
                       dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("key"),

@@ -7,6 +7,7 @@ expressions serve a stream through foreachBatch. No request is executed one by o
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ QUESTION_STOPWORDS = (
 FACTS = (("salary", ("salario", "ganha", "remuneracao")), ("weekly", ("jornada", "horas", "carga horaria")), ("exam", ("prova",)), ("fee", ("taxa",)),
          ("deadline", ("inscricao", "inscricoes", "prazo")), ("location", ("lotacao", "onde")))
 PAGE_SIZE = 5
+REQUESTS = 5000      # of a block that is sent to all positions
 
 
 def route(text: Column) -> Column:
@@ -74,12 +76,15 @@ def search(requests: DataFrame, pairs: DataFrame) -> DataFrame:
     """(request, n, total, position): the rows of the page each request (request, argument) asks for.
 
     All words of the term must occur; an identifier prefix of eight characters or more matches alone.
-    Requests are few beside positions, and are broadcast by the join's own size rule.
+    Words are looked for inside others, so no key joins the two sides: requests are counted, and a block
+    of at most REQUESTS is sent to the positions at a time; each block is one pass over them.
     """
     asked = requests.select("request", page_request(F.col("argument")).alias("p")).select("request", normalise(F.col("p.term")).alias("term"), F.col("p.term").alias("raw"), F.col("p.page").alias("page"))
     words = F.filter(F.split("term", " "), lambda w: w != "")
     by_id = (F.length("raw") >= 8) & F.startswith("position", F.col("raw"))
-    hit = haystack(pairs).join(asked, by_id | F.forall(words, lambda w: F.contains("hay", w)))
+    blocks = max(1, -(-asked.count() // REQUESTS))
+    looked = haystack(pairs)
+    hit = reduce(DataFrame.union, [looked.join(F.broadcast(asked.where(F.pmod(F.xxhash64("request"), F.lit(blocks)) == b)), by_id | F.forall(words, lambda w: F.contains("hay", w))) for b in range(blocks)])
     order = Window.partitionBy("request").orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
     counted = hit.select("request", "page", "position", F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("request")).alias("total"))
     return counted.where((F.col("n") > (F.col("page") - 1) * PAGE_SIZE) & (F.col("n") <= F.col("page") * PAGE_SIZE)).select("request", "n", "total", "position")

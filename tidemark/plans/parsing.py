@@ -167,9 +167,10 @@ def levels(spark, sf):
     return rows_.select("sheet", "n", F.last("l", ignorenulls=True).over(Window.partitionBy("sheet").orderBy("n")).alias("level"))
 
 
-@q("f01_normalise", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL")
+@q("f01_normalise", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents")
 def normalised(spark, sf):
-    return _table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.normalise(_body())).alias("digest"))
+    """The normal form of every text; that of a null is null."""
+    return _table(spark, sf, "documents").select("doc_id", F.md5(text.normalise(_body())).alias("digest"))
 
 
 @q("f02_locate_marker", "SELECT doc_id, CAST(nullif(instr(lower(strip_accents(text)), 'license'), 0) AS INT) AS place FROM documents")
@@ -188,9 +189,9 @@ def digests(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce(_body(), F.lit("")), 256).alias("digest"))
 
 
-@q("k08_redact", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{8,12}:[A-Za-z0-9_-]{30,}\b', '[REDACTED]', 'g'), '\b(?:sk|rk|gh[pousr])[-_][A-Za-z0-9_-]{16,}\b', '[REDACTED]', 'g'), '(?i)(postgres(?:ql)?(?:\+\w+)?://[^:@\s]+:)[^@\s]+(@)', '\1[REDACTED]\2', 'g'), '(?i)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b', '[REDACTED]', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+@q("k08_redact", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{8,12}:[A-Za-z0-9_-]{30,}\b', '[REDACTED]', 'g'), '\b(?:sk|rk|gh[pousr])[-_][A-Za-z0-9_-]{16,}\b', '[REDACTED]', 'g'), '(?i)(postgres(?:ql)?(?:\+\w+)?://[^:@\s]+:)[^@\s]+(@)', '\1[REDACTED]\2', 'g'), '(?i)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b', '[REDACTED]', 'g')) AS digest FROM documents")
 def redacted(spark, sf):
-    return _table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(text.redact(_body())).alias("digest"))
+    return _table(spark, sf, "documents").select("doc_id", F.md5(text.redact(_body())).alias("digest"))
 
 
 @q("f39_present", "SELECT o_orderkey AS id, concat('R$ ', replace(replace(replace(format('{:,.2f}', CAST(o_totalprice AS DECIMAL(20,2))::DOUBLE), ',', '_'), '.', ','), '_', '.')) AS money, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders")
@@ -203,9 +204,9 @@ def keys(spark, sf):
     return _table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), text.idempotency_key(F.lit("DEADLINE"), F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@q("f42_utf16_units", "SELECT doc_id, CAST(length(text) AS INT) AS units FROM documents WHERE text IS NOT NULL")
+@q("f42_utf16_units", "SELECT doc_id, CAST(length(text) AS INT) AS units FROM documents")
 def units(spark, sf):
-    return _table(spark, sf, "documents").where("text is not null").select("doc_id", text.utf16_units(_body()).alias("units"))
+    return _table(spark, sf, "documents").select("doc_id", text.utf16_units(_body()).alias("units"))
 
 
 _LINES = {

@@ -16,7 +16,8 @@ def _orders(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet")
 
 
-_K = F.col("o_orderkey")
+def _k():
+    return F.col("o_orderkey")
 
 
 def _said(*pieces):
@@ -28,13 +29,13 @@ def _said(*pieces):
     CAST(CASE o_orderkey % 7 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 END AS DOUBLE) AS confidence, CAST(CASE o_orderkey % 7 WHEN 0 THEN 1 ELSE 0 END AS INT) AS positions FROM orders""")
 def payloads(spark, sf):
     """Answers of every shape: usable, not found, without a quote, unknown fields, wrong types, no JSON."""
-    n = _K % 7
-    raw = (F.when(n == 0, _said('{"fields":{"edital_number":{"value":"', _K.cast("string"), '/2026","status":"FOUND","confidence":0.95,"raw_evidence":"Edital"},"salary":{"value":1,"status":"FOUND","raw_evidence":"x"}},"positions":[{"name":"a"},3]}'))
+    n = _k() % 7
+    raw = (F.when(n == 0, _said('{"fields":{"edital_number":{"value":"', _k().cast("string"), '/2026","status":"FOUND","confidence":0.95,"raw_evidence":"Edital"},"salary":{"value":1,"status":"FOUND","raw_evidence":"x"}},"positions":[{"name":"a"},3]}'))
            .when(n == 1, '{"fields":{"validity":{"value":"2 anos","status":"found","confidence":"0.5","raw_evidence":"validade"}},"positions":"none"}')
            .when(n == 2, '{"fields":{"validity":{"value":"2 anos","status":"AMBIGUOUS","confidence":0.5,"raw_evidence":"v"}}}')
            .when(n == 3, '{"fields":{"exam_date":{"value":"2026-11-22","status":"FOUND","confidence":-1,"raw_evidence":""}}}')
            .when(n == 4, "no json {").when(n == 5, "[1, 2]").otherwise('{"fields":[1],"positions":[]}'))
-    p = _orders(spark, sf).select(_K.alias("id"), answers.payload(raw).alias("p"))
+    p = _orders(spark, sf).select(_k().alias("id"), answers.payload(raw).alias("p"))
     first = F.get(F.map_values("p.fields"), F.lit(0))
     return p.select("id", "p.problem", F.array_join(F.array_sort(F.map_keys("p.fields")), ",").alias("names"), first["value"].alias("value"), first["confidence"].alias("confidence"), F.size("p.positions").alias("positions"))
 
@@ -43,10 +44,10 @@ def payloads(spark, sf):
     concat_ws(',', CASE WHEN o_orderkey % 2 = 1 THEN 'edital_number' END, CASE WHEN o_orderkey % 3 <> 0 THEN 'exam_date' END) AS applied FROM orders""")
 def filled(spark, sf):
     """Gaps of a record filled from an answer; a date that cannot be read fills nothing."""
-    raw = _said('{"fields":{"edital_number":{"value":"', _K.cast("string"), '/2026","status":"FOUND","confidence":1,"raw_evidence":"e"},"exam_date":{"value":"', F.when(_K % 3 == 0, "sem data").otherwise("22/11/2026"),
+    raw = _said('{"fields":{"edital_number":{"value":"', _k().cast("string"), '/2026","status":"FOUND","confidence":1,"raw_evidence":"e"},"exam_date":{"value":"', F.when(_k() % 3 == 0, "sem data").otherwise("22/11/2026"),
                 '","status":"FOUND","confidence":1,"raw_evidence":"e"},"name":{"value":"n","status":"FOUND","confidence":1,"raw_evidence":"e"}}}')
-    now = {"edital_number": F.when(_K % 2 == 0, "X"), "exam_date": F.lit(None).cast("date"), "name": F.lit(None).cast("string")}
-    got = _orders(spark, sf).select(_K.alias("id"), answers.fill_gaps(now, answers.payload(raw)["fields"]).alias("g"))
+    now = {"edital_number": F.when(_k() % 2 == 0, "X"), "exam_date": F.lit(None).cast("date"), "name": F.lit(None).cast("string")}
+    got = _orders(spark, sf).select(_k().alias("id"), answers.fill_gaps(now, answers.payload(raw)["fields"]).alias("g"))
     return got.select("id", F.col("g.values.edital_number").alias("number"), F.col("g.values.exam_date").alias("exam"), F.array_join("g.applied", ",").alias("applied"))
 
 
@@ -77,7 +78,7 @@ def _row(*cells):
 
 
 def _rendered(spark, sf, *made):
-    return _orders(spark, sf).select(_K.alias("doc"), F.explode(F.array(*made)).alias("t")).select("doc", "t.*")
+    return _orders(spark, sf).select(_k().alias("doc"), F.explode(F.array(*made)).alias("t")).select("doc", "t.*")
 
 
 @q("f31_schedule_tables", f"""WITH d AS (SELECT o_orderkey AS doc, {_DAY} AS day FROM orders)
@@ -88,8 +89,8 @@ def schedules(spark, sf):
     day = F.add_months(F.to_date("o_orderdate"), 12 * 26)
     at = lambda n: F.date_format(F.date_add(day, n), "dd/MM/yyyy")
     plan = _table(0, _row("Descrição", "Início", "Fim"), _row("Período de inscrições", at(0), at(30)),
-                  F.when(_K % 2 == 0, _row("Solicitação de isenção da taxa", at(2), "")).otherwise(_row(_said("Pedido de isenção até ", at(3)), "-", "")),
-                  F.when(_K % 3 != 0, _row("Realização das provas objetivas", at(60), "")), _row("Período de inscrições reaberto", at(90), at(95)), _row("Aviso geral", "", ""))
+                  F.when(_k() % 2 == 0, _row("Solicitação de isenção da taxa", at(2), "")).otherwise(_row(_said("Pedido de isenção até ", at(3)), "-", "")),
+                  F.when(_k() % 3 != 0, _row("Realização das provas objetivas", at(60), "")), _row("Período de inscrições reaberto", at(90), at(95)), _row("Aviso geral", "", ""))
     other = _table(1, _row("Nome", "Valor"), _row("Realização das provas", at(70)))
     return tables.schedule(_rendered(spark, sf, plan, other)).select("doc", "field", "due", "page")
 
@@ -98,8 +99,8 @@ def schedules(spark, sf):
 def fees(spark, sf):
     """Fees of the wanted level, else the least; without a fee header none."""
     price = lambda c: F.concat(F.lit("R$ "), present.number(c))
-    t = _table(0, _row("Cargo", F.when(_K % 5 == 4, "Valor").otherwise("Taxa de Inscrição")), _row("Nível Superior", price(F.lit(120) + _K % 30)),
-               F.when(_K % 2 == 0, _row("Nível Médio", price(F.lit(60) + _K % 40))), _row("Nível Fundamental", price(F.lit(30) + _K % 10)))
+    t = _table(0, _row("Cargo", F.when(_k() % 5 == 4, "Valor").otherwise("Taxa de Inscrição")), _row("Nível Superior", price(F.lit(120) + _k() % 30)),
+               F.when(_k() % 2 == 0, _row("Nível Médio", price(F.lit(60) + _k() % 40))), _row("Nível Fundamental", price(F.lit(30) + _k() % 10)))
     return tables.fee(_rendered(spark, sf, t)).select("doc", F.col("fee").cast("double").alias("fee"))
 
 
@@ -107,8 +108,8 @@ def fees(spark, sf):
     UNION ALL SELECT o_orderkey, 'Agente Dois', CASE WHEN o_orderkey % 2 = 0 THEN 'high_school' ELSE 'higher_education' END, CAST(o_orderkey % 7 AS INT), CAST(30 AS DOUBLE) FROM orders""")
 def position_rows(spark, sf):
     """Rows of position tables under their section's level, without totals and other tables."""
-    t = _table(0, _row("Cargo", "Vagas", "Carga horária", "Requisito"), _row("Cargos de Nível Superior", "", "", ""), _row("Agente Um", (_K % 20).cast("string"), "20 horas semanais", "-"),
-               F.when(_K % 2 == 0, _row("Cargos de Nível Médio", "", "", "")), _row("Agente Dois", (_K % 7).cast("string"), "30 horas semanais", "-"), _row("Total", "99", "", ""))
+    t = _table(0, _row("Cargo", "Vagas", "Carga horária", "Requisito"), _row("Cargos de Nível Superior", "", "", ""), _row("Agente Um", (_k() % 20).cast("string"), "20 horas semanais", "-"),
+               F.when(_k() % 2 == 0, _row("Cargos de Nível Médio", "", "", "")), _row("Agente Dois", (_k() % 7).cast("string"), "30 horas semanais", "-"), _row("Total", "99", "", ""))
     other = _table(1, _row("Nome", "Telefone"), _row("Agente Três", "5"))
     return tables.positions(_rendered(spark, sf, t, other), "Rio Branco").select("doc", "name", "education", "vacancies", "weekly")
 
@@ -137,13 +138,13 @@ def drafts(spark, sf):
     day = F.to_date("o_orderdate")
     text = lambda c: c.cast("string")
     return _orders(spark, sf).select(
-        F.col("o_custkey").alias("entity"), _K.alias("seq"), (1 + _K % 4).cast("int").alias("trust"), (_K % 2 == 0).alias("has_table"), F.concat(F.lit("s"), _K % 5).alias("source_id"),
-        F.when(_K % 23 == 0, "CANCELLATION").when(_K % 23 == 1, "SUSPENSION").when(_K % 23 == 2, "REOPENING").when(_K % 23 == 3, "EXTENSION").otherwise("OPENING").alias("document_type"),
-        F.when(_K % 3 == 0, "UNKNOWN").when(_K % 3 == 1, "PERMANENT").otherwise("TEMPORARY").alias("employment_type"),
-        F.when(_K % 4 == 0, F.array(text(_K % 8))).otherwise(F.array().cast("array<string>")).alias("stages"), F.when(_K % 6 == 0, "").otherwise(F.col("o_orderpriority")).alias("name"),
-        F.when(_K % 7 != 0, F.concat(F.lit("i"), _K % 9)).alias("institution"), text(_K).alias("evidence"), text(_K).alias("content_hash"),
-        text(day).alias("registration_start"), F.when(_K % 5 != 0, text(F.date_add(day, 30))).alias("registration_deadline"), F.when(_K % 2 == 1, text(F.date_add(day, 60))).alias("exam_date"),
-        text(F.floor(F.col("o_totalprice") / 100000)).alias("application_fee"), F.when(_K % 4 != 0, F.col("o_orderpriority")).alias("validity"))
+        F.col("o_custkey").alias("entity"), _k().alias("seq"), (1 + _k() % 4).cast("int").alias("trust"), (_k() % 2 == 0).alias("has_table"), F.concat(F.lit("s"), _k() % 5).alias("source_id"),
+        F.when(_k() % 23 == 0, "CANCELLATION").when(_k() % 23 == 1, "SUSPENSION").when(_k() % 23 == 2, "REOPENING").when(_k() % 23 == 3, "EXTENSION").otherwise("OPENING").alias("document_type"),
+        F.when(_k() % 3 == 0, "UNKNOWN").when(_k() % 3 == 1, "PERMANENT").otherwise("TEMPORARY").alias("employment_type"),
+        F.when(_k() % 4 == 0, F.array(text(_k() % 8))).otherwise(F.array().cast("array<string>")).alias("stages"), F.when(_k() % 6 == 0, "").otherwise(F.col("o_orderpriority")).alias("name"),
+        F.when(_k() % 7 != 0, F.concat(F.lit("i"), _k() % 9)).alias("institution"), text(_k()).alias("evidence"), text(_k()).alias("content_hash"),
+        text(day).alias("registration_start"), F.when(_k() % 5 != 0, text(F.date_add(day, 30))).alias("registration_deadline"), F.when(_k() % 2 == 1, text(F.date_add(day, 60))).alias("exam_date"),
+        text(F.floor(F.col("o_totalprice") / 100000)).alias("application_fee"), F.when(_k() % 4 != 0, F.col("o_orderpriority")).alias("validity"))
 
 
 _DRAFTS = """d AS (SELECT o_custkey AS entity, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, (1 + o_orderkey % 4) AS trust, (1 + o_orderkey % 4) * 10 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 5 END AS auth,
@@ -191,7 +192,7 @@ def record_changes(spark, sf):
 def record_snapshots(spark, sf):
     """Snapshots of orders with their items, read back from the JSON."""
     p = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("slug")).agg(F.max("l_quantity").alias("weekly"))
-    s = record.snapshot(_orders(spark, sf).select(_K.alias("entity"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("validity")), p)
+    s = record.snapshot(_orders(spark, sf).select(_k().alias("entity"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("validity")), p)
     back = s.select("entity", F.from_json("snapshot", "status string, validity string, positions array<struct<slug:long,weekly:double>>").alias("b"))
     one = F.get("b.positions", F.lit(0))
     return back.select("entity", "b.status", F.coalesce(F.size("b.positions"), F.lit(0)).cast("long").alias("positions"), one["slug"].alias("first"), one["weekly"].alias("weekly"))

@@ -38,8 +38,8 @@ def heartbeat(watchdog: DataFrame, now: datetime) -> DataFrame:
     return watchdog.select(F.to_json(F.struct("severity", "open_sources", "failed_messages", F.lit(now.isoformat()).alias("at")), {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def logged(rows: DataFrame, level: Column, message: Column, at: datetime) -> DataFrame:
-    """Rows of an event log: masked messages of 2000 characters at most."""
+def logged(rows: DataFrame, level: Column, message: Column, at: datetime, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of an event log: masked messages of 2000 characters at most, beside the columns in ``keep``."""
     from tidemark.functions.text import redact
 
-    return rows.select(F.lit(at).alias("created_at"), level.alias("level"), F.substring(redact(message), 1, 2000).alias("message"))
+    return rows.select(*keep, F.lit(at).alias("created_at"), level.alias("level"), F.substring(redact(message), 1, 2000).alias("message"))
