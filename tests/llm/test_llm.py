@@ -193,6 +193,34 @@ def test_mixed_texts_hold_what_is_taken(spark, corpus):
     assert +taken == +held
 
 
+def test_mixing_taken_from_slots_naively(spark, corpus):
+    """What the mix takes of each document, counted word by word from the slots."""
+    sources = [None if i % 11 == 0 else "z" if i % 3 else "ä" for i in range(len(corpus))]
+    df = documents(spark, corpus, sources=sources)
+    placed, slots, _ = mixing.mix(df, block=7)
+    slots, placed = slots.collect(), placed.collect()
+    times = defaultdict(Counter)
+    for s in slots:
+        times[s.rank].update(range(s.block * 7, s.block * 7 + s.words))
+    by_rank = {p.rank: p for p in placed}
+    for rank, own in times.items():
+        assert sum(own.values()) == round(by_rank[rank].target) and max(own) < by_rank[rank].source_size
+        whole = Counter((s.shard, s.slot) for s in slots if s.rank == rank)
+        assert max(whole.values()) == 1
+        passes = defaultdict(list)
+        for s in slots:
+            if s.rank == rank:
+                passes[s["pass"]].append(s.block)
+        assert all(len(b) == len(set(b)) for b in passes.values())
+    mixing_block = mixing.BLOCK
+    got = {r.doc_id: r.taken for r in mixing.taken(df).collect()}
+    placed, slots, _ = mixing.mix(df)
+    times = defaultdict(Counter)
+    for s in slots.collect():
+        times[s.rank].update(range(s.block * mixing_block, s.block * mixing_block + s.words))
+    assert got == {p.id: sum(times[p.rank][w] for w in range(p.start, p.start + p.size)) for p in placed.collect()}
+
+
 def test_mixing_empty(spark):
     assert mixing.taken(documents(spark, ["x"]).limit(0)).count() == 0
     assert [r.taken for r in mixing.taken(documents(spark, [None, ""])).collect()] == [0, 0]
@@ -325,6 +353,87 @@ def test_toxicity_on_held_out_rows(spark, labelled):
     assert found and all(re.search("(?i)idiot|scum|verme", r.text.encode()[r.start: r.end].decode()) for r in found)
 
 
+def naive_features(text):
+    """The features that a few lines of Python can count."""
+    raw, ws = text.encode(), WORD.findall(text)
+    n, per = max(1, len(ws)), max(1, len(raw))
+    size = lambda w: len(w.encode())
+    lines = text.split("\n")
+    pairs = list(zip(ws, ws[1:]))
+    return {
+        "log_words": np.log1p(len(ws)), "word_length": sum(map(size, ws)) / n, "upper": sum(65 <= b <= 90 for b in raw) / per,
+        "digit": sum(48 <= b <= 57 for b in raw) / per, "bang": raw.count(b"!") / per, "bars": raw.count(b"|") / per,
+        "accents": sum(b >= 0xC3 for b in raw) / per, "distinct_words": len(set(ws)) / n, "same_as_last": sum(a == b for a, b in pairs) / n,
+        "short_words": sum(size(w) <= 3 for w in ws) / n, "long_words": sum(size(w) >= 12 for w in ws) / n,
+        "top_word": max(Counter(ws).values(), default=0) / n, "distinct_pairs": len(set(pairs)) / max(1, len(pairs)),
+        "line_words": np.log1p(len(ws) / len(lines)) if ws else 0.0}
+
+
+def test_quality_features_and_tables_naively(corpus):
+    texts = [t or "" for t in corpus if t is None or len(t) < 30_000] + ["A!! b|c 12\nx x x\n\nÉcole ééé", "\n\n a"]
+    data, off = common.flat_bytes(__import__("pyarrow").array(texts))
+    got = quality.features(data, off)
+    for i, t in enumerate(texts):
+        for name, value in naive_features(t).items():
+            assert got[i, quality.FEATURES.index(name)] == pytest.approx(value), (i, name)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3600, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)       # only the pair tells
+    model = quality.fit(x[:3500], y[:3500])
+    for row, score in zip(x[3500:], model.score(x[3500:])):
+        total = model.base
+        at = [sum(e <= v for e in edges) for v, edges in zip(row, model.edges)]
+        total += sum(t[b] for t, b in zip(model.tables, at))
+        total += sum(t[at[i] * quality.PAIR_BINS // quality.BINS, at[j] * quality.PAIR_BINS // quality.BINS] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((model.score(x[3500:]) >= 0.5) == y[3500:]).mean() > 0.8
+
+
+def test_quality_trees_split_best():
+    rng = np.random.default_rng(2)
+    g, h = rng.normal(size=(6, 5)), rng.uniform(0.5, 2, size=(6, 5))
+    gain = lambda a, b: a.sum() ** 2 / (b.sum() + 5.0)
+    cuts = [(gain(g[:k], h[:k]) + gain(g[k:], h[k:]), 0, k) for k in range(1, 6)] + [(gain(g[:, :k], h[:, :k]) + gain(g[:, k:], h[:, k:]), 1, k) for k in range(1, 5)]
+    _, axis, k = max(cuts)
+    want = np.zeros((6, 5))
+    for part in ((slice(0, k), slice(k, None)) if axis == 0 else ((slice(None), slice(0, k)), (slice(None), slice(k, None)))):
+        want[part] = g[part].sum() / (h[part].sum() + 5.0)
+    assert np.allclose(quality._steps2(g, h, 1), want)
+
+
+def test_classifiers_with_repeated_rows(spark, labelled):
+    """An id that is repeated, also with another text, is one training row."""
+    docs, labels, _, _ = labelled
+    docs = docs.select("doc_id", "text")
+    again = docs.where("doc_id = 3").crossJoin(spark.range(50)).drop("id")
+    rows = quality.labelled(docs.union(again).union(again.withColumn("text", F.lit("other"))), labels, "quality", "doc_id", "text", F.lit(True), 1000)
+    assert rows.count() == labels.count()
+
+
+def test_toxicity_scores_naively(spark, labelled):
+    """Scores from the model's table by a loop over words and the segments' definition."""
+    docs, labels, _, _ = labelled
+    model = toxicity.fit_toxicity(docs, labels)
+    texts = [r.text for r in docs.where("doc_id < 60 and text is not null").collect()]
+    data, off = common.flat_bytes(__import__("pyarrow").array(texts))
+    got = model.measure(data, off)
+    hashes, _, _, first = toxicity.tokens(data, off)
+    table = dict(zip(model.hashes.tolist(), model.value.tolist()))
+    for i in range(len(texts)):
+        values = []
+        for w in range(first[i], first[i + 1]):
+            own = table.get(int(hashes[0][w]))
+            stems = [table[int(h[w])] for h in hashes[1:] if int(h[w]) in table]
+            best = max([v for v in (own, *stems) if v is not None], default=None)
+            values.append(toxicity.DRIFT if best is None else best + toxicity.DRIFT)
+        scores = sorted((s for s, _, _ in toxicity.maximal_segments(np.array(values), np.arange(len(values)))), reverse=True)
+        if not scores:
+            assert (got[i] == 0).all()
+            continue
+        chance = np.log(len(values) + 1) / model.rate
+        assert got[i] == pytest.approx([scores[0] * model.rate, np.log1p(sum(max(0, s - chance) for s in scores)), scores[0] - chance])
+
+
 def test_classifiers_without_labels_or_rows(spark, labelled):
     docs, labels, _, _ = labelled
     for f in (quality.quality, toxicity.toxicity):
@@ -484,6 +593,13 @@ def test_html_several_containers(page, expected):
     assert html_text.main_text(page) == " ".join(expected)
 
 
+@pytest.mark.parametrize("tag", ["svg", "object", "math", "template", "noscript"])
+def test_html_unclosed_elements(tag):
+    prose = "The council met on Monday, and agreed on the plan. It will be read again, in full, next week."
+    assert html_text.main_text(f"<body><div><p>{prose}</p><{tag} class=x><p>{prose}</p></div><p>{prose}</p></body>") == " ".join([prose] * 3)
+    assert html_text.main_text(f"<body><div><p>{prose}</p><{tag}>gone</{tag}><p>{prose}</p></div></body>") == " ".join([prose] * 2)
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>"), (1, "u", "<article><p>é</p></article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]
@@ -608,3 +724,24 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     assert after.agg(F.sum("n_chars")).first()[0] > 0
     piece = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert len(piece(corpus_pipeline.run(spark, str(tmp_path)))) == len(piece(now))
+
+
+def test_pipeline_stages_on_odd_rows(spark, labelled, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, then no rows at all."""
+    import corpus_pipeline
+
+    docs, labels, _, _ = labelled
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (5000, "", None, None, 0), (5001, None, "en", None, None), (5002, "three plain words here, and a few more.", None, None, None)] * 2, docs.schema)
+    for name, df in (("odd", docs.union(odd)), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, now, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}/{stage}")
+            now = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
+        if name == "none":
+            assert now.count() == 0
+    near = [r.text for r in spark.read.parquet(f"{tmp_path}/odd/near_dedup").collect()]
+    sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (WORD.findall((t or "").lower()) for t in near)]
+    assert all(not (a and b) or len(a & b) < 0.8 * len(a | b) for a, b in itertools.combinations(sets, 2))

@@ -31,6 +31,8 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: elements that break a line.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object".split())
+#: Of these, elements whose content is markup: where one is never closed, only its tag is left out.
+_MARKUP = frozenset("noscript template svg math object".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre "
@@ -158,7 +160,7 @@ def blocks(page: str) -> list[tuple[str, str, str, int, bool, tuple, tuple]]:
         if tag in _RAW and not attrs.endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             stop = page.find(">", close.end()) + 1 if close else 0
-            at = stop or n
+            at = stop or (at if tag in _MARKUP else n)
             continue
         if tag in _VOID or (attrs.endswith("/") and tag not in _BLOCK):
             continue

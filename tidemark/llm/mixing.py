@@ -24,6 +24,7 @@ BLOCK = 256          # words of a block
 WEIGHTS = (5, 2, 1)  # of the sources by code point, repeating
 CAP = 3              # a source's words are taken this many times at most
 BUCKETS = 4096       # hash ranges of a source's document order, for prefix sums
+SOURCES = 100_000    # up to which a row for each source is broadcast
 SHARD_SLOTS = 65536  # slots of an output shard, about
 
 
@@ -130,7 +131,7 @@ def mix(
     names = spark.createDataFrame(
         [(name, i, s, t) for i, ((name, s), t) in enumerate(zip(found, want))],
         "source string, rank int, source_size long, target double")
-    ranked = raw.join(F.broadcast(names), raw["source"].eqNullSafe(names["source"])).select(
+    ranked = raw.join(F.broadcast(names) if len(found) <= SOURCES else names, raw["source"].eqNullSafe(names["source"])).select(
         "id", "tie", "size", "rank", "source_size", "target",
         F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     sums = ranked.groupBy("rank", "bucket").agg(F.sum("size").alias("s"))
@@ -214,7 +215,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.select(F.col(source_col).alias("s")).distinct().collect()
     order = sorted((r.s for r in names), key=lambda s: (s is None, (s or "").encode()))
     ranks = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(order)], "s string, rank int").select("rank", F.xxhash64("s").alias("_src"))
-    spans = spans.join(F.broadcast(ranks), "rank").select(
+    spans = spans.join(F.broadcast(ranks) if len(order) <= SOURCES else ranks, "rank").select(
         F.col("id").alias("_id"), F.col("tie").alias("_tie"), "_src", "_spans",
         F.row_number().over(Window.partitionBy("id", "tie", "rank").orderBy("start")).alias("_rep"))
     both = left.join(spans, (left["_id"].eqNullSafe(spans["_id"])) & (left["_tie"] == spans["_tie"]) & (left["_src"] == spans["_src"]) & (left["_rep"] == spans["_rep"])).select(*[left[c] for c in columns], spans["_spans"])

@@ -159,6 +159,35 @@ def _steps(g: np.ndarray, h: np.ndarray, depth: int, ridge: float = 1.0) -> np.n
     return value
 
 
+def _steps2(g: np.ndarray, h: np.ndarray, depth: int, ridge: float = 5.0) -> np.ndarray:
+    """Leaf values of a shallow tree over two ordered bins, which may split on either at every node,
+    from gradient and curvature sums by cell."""
+    value = np.zeros(g.shape)
+
+    def split(rows: slice, cols: slice, left: int) -> None:
+        own_g, own_h = g[rows, cols], h[rows, cols]
+        whole_g, whole_h = own_g.sum(), own_h.sum()
+        best = (whole_g ** 2 / (whole_h + ridge) + 1e-9, -1, -1)
+        for axis in (0, 1) if left else ():
+            cg, ch = np.cumsum(own_g.sum(1 - axis))[:-1], np.cumsum(own_h.sum(1 - axis))[:-1]
+            if len(cg):
+                gain = cg ** 2 / (ch + ridge) + (whole_g - cg) ** 2 / (whole_h - ch + ridge)
+                if gain.max() > best[0]:
+                    best = (float(gain.max()), axis, int(gain.argmax()) + 1)
+        _, axis, at = best
+        if axis == 0:
+            split(slice(rows.start, rows.start + at), cols, left - 1)
+            split(slice(rows.start + at, rows.stop), cols, left - 1)
+        elif axis == 1:
+            split(rows, slice(cols.start, cols.start + at), left - 1)
+            split(rows, slice(cols.start + at, cols.stop), left - 1)
+        else:
+            value[rows, cols] = whole_g / (whole_h + ridge)
+
+    split(slice(0, g.shape[0]), slice(0, g.shape[1]), depth)
+    return value
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     """Cyclic boosting: first every feature's table, then the strongest pairs' on what is left.
     Without rows, or with one class only, the model is that class's smoothed rate."""
@@ -198,7 +227,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
             r, h = residual()
             cell = c[:, i] * PAIR_BINS + c[:, j]
             g, hh = np.bincount(cell, r, PAIR_BINS**2), np.bincount(cell, h, PAIR_BINS**2)
-            step = RATE * g / (hh + 5.0)
+            step = RATE * _steps2(g.reshape(PAIR_BINS, -1), hh.reshape(PAIR_BINS, -1), 3).ravel()
             tables[i, j] += step
             margin += step[cell]
     model.pairs = [(i, j, t.reshape(PAIR_BINS, PAIR_BINS)) for (i, j), t in tables.items()]
@@ -214,11 +243,13 @@ def held_out(id_col: str, parts: int, part: int, within: bool) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, training: Column, bound: int) -> DataFrame:
     """(text, label) of at most ``bound`` labelled training rows: those whose id hashes lowest.
-    Conflicting labels of one id: the largest counts."""
+    Conflicting labels of one id: the largest counts. An id gives one row, however often it is repeated."""
     picked = (labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & training)
               .groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
               .orderBy(F.xxhash64(F.col(id_col)), id_col).limit(bound))
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(picked), id_col).select("_text", "_label")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked.withColumnRenamed(id_col, "_id")), "_id")
+    # of rows that repeat an identifier one counts: that of the smallest hash
+    return rows.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("_label").alias("_label")).select("_text", "_label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", training: Column | None = None) -> Gam:
