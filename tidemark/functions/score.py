@@ -66,18 +66,23 @@ def evaluate(o: dict[str, Column], today: date, city: str = CITY) -> Column:
 
     ``o``: weekly, location, possible_locations, assignment_confirmed, education,
     qualification_category, additional_qualifications, status, start, deadline, exam,
-    publication_date, employment_type, conflicts (a number), trust_level, evidence (an array of
-    status and confidence of education, requirements, location and workload).
+    publication_date, employment_type, conflicts (a number), trust_level, evidence (status and
+    confidence of education, requirements, location and workload: an array of structs, or a list of pairs
+    of columns). possible_locations may be left out.
     """
     t, no = F.lit(today), F.lit(False)
     truth = lambda c: F.coalesce(c, no)
     kind = workload(o["weekly"])
-    places = F.concat(F.array(o["location"]), F.coalesce(o["possible_locations"], F.array().cast("array<string>")))
-    local = truth(o["assignment_confirmed"] & F.exists(F.array_compact(places), lambda p: normalise(p).contains(plain(city))))
+    there = normalise(o["location"]).contains(plain(city))
+    if "possible_locations" in o:
+        there = truth(there) | truth(F.exists(F.array_compact(o["possible_locations"]), lambda p: normalise(p).contains(plain(city))))
+    local = truth(o["assignment_confirmed"] & there)
     school = truth(o["education"].isin(*ACCEPTED))
-    only = truth((o["qualification_category"] == "HIGH SCHOOL ONLY") & (F.size(o["additional_qualifications"]) == 0))
+    only = truth(o["qualification_category"] == "HIGH SCHOOL ONLY")
+    if "additional_qualifications" in o:
+        only = only & truth(F.size(o["additional_qualifications"]) == 0)
     state = effective_status(o["status"], o["start"], o["deadline"], o["exam"], today)
-    doubt = F.exists(o["evidence"], lambda e: truth(e["status"].isin("CONFLICTING", "AMBIGUOUS")))
+    doubt, sure, least_sure = _weighed(o["evidence"])
     conflict = truth(o["conflicts"] > 0) | truth(doubt)
     dated = truth(o["publication_date"] <= t)
     fresh = dated & truth(F.datediff(t, o["publication_date"]) <= FRESH_DAYS)
@@ -89,7 +94,6 @@ def evaluate(o: dict[str, Column], today: date, city: str = CITY) -> Column:
            + F.when(o["employment_type"] == "PERMANENT", 10).when(o["employment_type"] == "TEMPORARY", -10).otherwise(0)
            + points(open_now, 7) + points(o["exam"].isNotNull(), 3))
     score = F.greatest(F.lit(0), F.least(F.lit(100), raw))
-    sure = F.transform(F.filter(o["evidence"], lambda e: truth(e["status"] == "FOUND")), lambda e: e["confidence"])
     trusted = truth(o["trust_level"] <= 2)
     eligible = local & school & only & (kind != "OUTSIDE TARGET")
     reasons = F.array_compact(F.array(
@@ -102,10 +106,23 @@ def evaluate(o: dict[str, Column], today: date, city: str = CITY) -> Column:
     return F.struct(
         eligible.alias("eligible"), (eligible & actionable & dated & trusted & ~conflict).alias("primary_alert"), kind.alias("workload"),
         score.alias("score"), rank(score).alias("rank"), state.alias("state"),
-        F.when(trusted & (F.size(sure) >= 3) & truth(F.array_min(sure) >= 0.9) & ~conflict, "HIGH").when(trusted & (F.size(sure) >= 1) & ~conflict, "MEDIUM").otherwise("LOW").alias("confidence"),
+        F.when(trusted & (sure >= 3) & truth(least_sure >= 0.9) & ~conflict, "HIGH").when(trusted & (sure >= 1) & ~conflict, "MEDIUM").otherwise("LOW").alias("confidence"),
         (~local | ~school | o["weekly"].isNull() | conflict | ~dated).alias("needs_review"), reasons.alias("reasons"))
 
 
+def _weighed(evidence) -> tuple[Column, Column, Column]:
+    """Whether any evidence is in doubt, how many facts were found, and the least confidence of those."""
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    doubted, found = (lambda s: truth(s.isin("CONFLICTING", "AMBIGUOUS"))), (lambda s: truth(s == "FOUND"))
+    if isinstance(evidence, list):
+        doubt, sure = F.lit(False), F.lit(0)
+        for status, _ in evidence:
+            doubt, sure = doubt | doubted(status), sure + F.when(found(status), 1).otherwise(0)
+        return doubt, sure, F.least(*[F.when(found(s), c) for s, c in evidence], F.lit(None).cast("double"))
+    known = F.transform(F.filter(evidence, lambda e: found(e["status"])), lambda e: e["confidence"])
+    return F.exists(evidence, lambda e: doubted(e["status"])), F.size(known), F.array_min(known)
+
+
 def _workload_label(kind: Column) -> Column:
     from tidemark.functions.present import WORKLOAD, label
 

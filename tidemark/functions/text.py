@@ -40,19 +40,25 @@ def _translate(col: Column, table: dict[str, str]) -> Column:
     return F.translate(col, "".join(table), "".join(table.values()))
 
 
+def _ascii(col: Column) -> Column:
+    """As many bytes as characters."""
+    return F.octet_length(col) == F.length(col)
+
+
 def fold(col: Column) -> Column:
     """Lower case without accents, of the same length as the input: an offset here is one there."""
-    return _translate(col, _ASCII | _ONE)
+    return F.when(_ascii(col), F.lower(col)).otherwise(_translate(col, _ASCII | _ONE))
 
 
 def normalise(col: Column) -> Column:
-    """Lower-case ASCII letters and digits, everything else one space, trimmed. Null stays null."""
+    """Lower-case ASCII letters and digits, everything else one space, trimmed. Null stays null.
+    A text of ASCII alone needs no translation."""
     many = col
     for c, plain in _MORE.items():
         many = F.replace(many, F.lit(c), F.lit(plain))
     out = F.when(col.rlike("[" + "".join(_MORE) + "]"), many).otherwise(col)
     out = F.regexp_replace(F.lower(_translate(out, _ONE)), r"\p{M}+", "")
-    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.when(_ascii(col), F.lower(col)).otherwise(out), "[^a-z0-9]+", " "))
 
 
 def plain(text: str) -> str:

@@ -54,12 +54,11 @@ _RANK = "CASE WHEN score >= 90 THEN 'EXCELLENT' WHEN score >= 75 THEN 'VERY GOOD
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opportunities with their positions and all that the rules say of each."""
     joined = view(spark, sf_dir, "v_opportunity").join(view(spark, sf_dir, "v_position"), F.col("id") == F.col("opportunity"))
-    none = F.array().cast("array<string>")
-    found = lambda known: F.struct(F.when(known, "FOUND").otherwise("NOT_FOUND").alias("status"), F.lit(0.95).alias("confidence"))
+    found = lambda known: (F.when(known, "FOUND").otherwise("NOT_FOUND"), F.lit(0.95))
     names = ("weekly", "location", "assignment_confirmed", "education", "status", "start", "deadline", "exam", "employment_type", "conflicts", "trust_level")
     o = {c: F.col(c) for c in names} | {
-        "possible_locations": none, "qualification_category": F.col("qualification"), "additional_qualifications": none, "publication_date": F.col("published"),
-        "evidence": F.array(found(F.col("education").isNotNull()), found(F.lit(True)), found(F.col("location").isNotNull()), found(F.col("weekly").isNotNull()))}
+        "qualification_category": F.col("qualification"), "publication_date": F.col("published"),
+        "evidence": [found(F.col("education").isNotNull()), found(F.lit(True)), found(F.col("location").isNotNull()), found(F.col("weekly").isNotNull())]}
     e = ("eligible", "primary_alert", "workload", "score", "rank", "state", "confidence")
     return joined.withColumn("e", evaluate(o, TODAY)).select("*", *[F.col(f"e.{c}").alias(c) for c in e], F.col("e.needs_review").alias("needs_review_pair")).drop("e")
 
