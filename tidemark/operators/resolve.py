@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalise
+from tidemark.sources.store import staged
 
 #: Fixed values.
 NAME_STOPWORDS = (
@@ -96,6 +97,7 @@ def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
                      dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("kkey"),
                      token_set(F.col("institution")).alias("kit"), token_set(F.col("name")).alias("knt"))
 
+    d, k = staged(d), staged(k)      # five rules read both sides
     # one stored row speaks for all that a rule cannot tell apart: the first seen of them
     first = F.min(F.struct("first_seen", "kid")).alias("one")
 
@@ -113,3 +115,19 @@ def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
     all_ = by_key.union(by_hash).union(by_url).union(by_number).union(hits(by_name, 5, "similarity", F.col("score")))
     best = all_.groupBy("id").agg(F.min_by(F.struct("kid", "reason"), F.struct("rule", -F.col("score"), "first_seen", "kid")).alias("m"))
     return drafts.select("id").join(best, "id", "left").select(F.col("id").alias("draft"), F.col("m.kid").alias("known"), F.coalesce("m.reason", F.lit("new")).alias("reason"))
+
+
+def by_name(wanted: DataFrame, offered: DataFrame) -> DataFrame:
+    """(doc, name, found) for names of a document (doc, name) among those offered for it (doc, other): equal
+    in normal form, else the first in order of ``place`` that contains it or is contained."""
+    w = wanted.select("doc", "name", normalise(F.col("name")).alias("n"))
+    o = offered.select("doc", F.col("other"), normalise(F.col("other")).alias("m"), "place").where("m <> ''")
+    both = w.join(o, "doc").where((F.col("n") == F.col("m")) | F.contains("n", F.col("m")) | F.contains("m", F.col("n")))
+    best = both.groupBy("doc", "name").agg(F.min_by("other", F.struct((F.col("n") != F.col("m")).alias("x"), "place")).alias("found"))
+    return w.select("doc", "name").join(best, ["doc", "name"], "left")
+
+
+def uncached(documents: DataFrame, cache: DataFrame, keys: tuple[str, ...] = ("content_hash", "prompt_version", "model", "model_version")) -> DataFrame:
+    """Documents whose answer is not in the cache under all of its keys. Outages are answers that were
+    never remembered, so they are asked again."""
+    return documents.join(cache.where("status <> 'UNAVAILABLE'").select(*keys).distinct(), list(keys), "left_anti")

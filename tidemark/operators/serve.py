@@ -90,6 +90,45 @@ def search(requests: DataFrame, pairs: DataFrame) -> DataFrame:
     return counted.where((F.col("n") > (F.col("page") - 1) * PAGE_SIZE) & (F.col("n") <= F.col("page") * PAGE_SIZE)).select("request", "n", "total", "position")
 
 
+def _looked_up(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``asked`` (request, words: an array that is not empty) with every position that holds all words."""
+    blocks = max(1, -(-asked.count() // REQUESTS))
+    looked = haystack(pairs)
+    fits = F.forall("words", lambda w: F.contains("hay", w))
+    return reduce(DataFrame.union, [looked.join(F.broadcast(asked.where(F.pmod(F.xxhash64("request"), F.lit(blocks)) == b)), fits) for b in range(blocks)])
+
+
+def answered(questions: DataFrame, pairs: DataFrame, choices: int = PAGE_SIZE) -> DataFrame:
+    """(request, fact, answer, positions) of factual questions (request, text): the card of the one position
+    that a question names, a choice of the best few if it names several, else none. A question that names
+    none is about the positions that still accept candidates; nothing is guessed."""
+    asked = questions.select("request", asked_fact(F.col("text")).alias("fact"), subject(F.col("text")).alias("words")).where("fact is not null")
+    named = _looked_up(asked.where(F.size("words") > 0), pairs)
+    open_ = pairs.where(F.col("eligible") & F.col("accepting")).orderBy(F.desc("score"), F.asc_nulls_last("deadline"), "position")
+    few = open_.limit(choices + 1).agg(F.collect_list("position").alias("all"))      # choices + 1 rows at most
+    order = Window.partitionBy("request").orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
+    ranked = named.select("request", "position", F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("request")).alias("total")).where(F.col("n") <= choices)
+    hits = ranked.groupBy("request").agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("n", "position"))), lambda x: x["position"]).alias("positions"))
+    general = asked.where(F.size("words") == 0).crossJoin(F.broadcast(few)).select("request", "fact", F.size("all").cast("long").alias("total"), F.slice("all", 1, choices).alias("positions"))
+    special = asked.where(F.size("words") > 0).join(hits, "request", "left").select("request", "fact", F.coalesce("total", F.lit(0)).alias("total"), "positions")
+    both = special.union(general)
+    kind = F.when(F.col("total") == 0, "none").when(F.col("total") == 1, "card").otherwise("choices")
+    return both.select("request", "fact", kind.alias("answer"), F.coalesce("positions", F.array().cast("array<string>")).alias("positions"))
+
+
+def noted(requests: DataFrame, positions: DataFrame, tracking: DataFrame) -> DataFrame:
+    """(request, position, status, note) of notes (request, argument: a code and a text): the code is the
+    beginning, of eight characters or more, of one position's identifier; a position without a decision
+    becomes INTERESTED; a note is 1000 characters at most."""
+    trimmed = F.trim("argument")
+    code = F.regexp_extract(trimmed, r"^(\S+)", 1)
+    asked = requests.select("request", code.alias("code"), F.substring(F.regexp_replace(trimmed, r"^\S+\s*", ""), 1, 1000).alias("note")).where("length(code) >= 8 and note <> ''")
+    known = positions.select("position", F.substring("position", 1, 8).alias("head")).distinct()
+    hit = asked.join(known, F.substring("code", 1, 8) == F.col("head")).where(F.startswith("position", F.col("code")))
+    one = hit.groupBy("request", "note").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("position")).where("n = 1")
+    return one.join(tracking.select("position", "status"), "position", "left").select("request", "position", F.coalesce("status", F.lit("INTERESTED")).alias("status"), "note")
+
+
 def summary(p: dict[str, Column]) -> Column:
     """Five lines about a position."""
     hours = F.coalesce(F.concat(present.short_number(p["weekly"]), F.lit("h/semana")), F.lit("CH não informada"))

@@ -44,7 +44,18 @@ def slugs(spark, sf):
     return view_part(spark, sf).select("p_partkey", resolve.position_slug(F.col("p_name")).alias("slug"))
 
 
-@q("e05_match_cascade")
+@q("e05_match_cascade", """WITH o AS (SELECT CAST(id AS VARCHAR) AS id, id AS n, number, year(published) AS y, employment_type AS board, start AS seen, id % 5000 AS u, id % 4000 AS h,
+        CASE WHEN number IS NOT NULL THEN concat(k, ':edital:', number) ELSE concat(k, ':', coalesce(year(published), 1900), ':', array_to_string(list_sort(t), '-')) END AS key, t
+    FROM (SELECT *, concat('prefeitura-', replace(lower(substr(institution, 25)), '_', '-')) AS k,
+        list_filter(list_distinct(string_split(lower(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 2 AND w NOT IN ('concurso', 'blico', 'publico', 'p')) AS t FROM v_opportunity)),
+    d AS (SELECT * FROM o WHERE n % 2 = 1), k AS (SELECT * FROM o WHERE n % 2 = 0),
+    c AS (SELECT t, y, board, min({'seen': seen, 'id': id}) AS one FROM k GROUP BY ALL), dc AS (SELECT DISTINCT t, y, board FROM d),
+    s AS (SELECT dc.*, c.one, len(list_intersect(dc.t, c.t))::DOUBLE / len(list_distinct(list_concat(dc.t, c.t))) + CASE WHEN dc.board = c.board THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END AS score FROM dc JOIN c ON coalesce(dc.y = c.y, true)),
+    hit AS (SELECT d.id, 1 AS rule, 'dedup_key' AS reason, 0.0::DOUBLE AS score, k.seen, k.id AS kid FROM d JOIN k ON d.key = k.key
+        UNION ALL SELECT d.id, 2, 'document_hash', 0.0, k.seen, k.id FROM d JOIN k ON d.h = k.h UNION ALL SELECT d.id, 3, 'url', 0.0, k.seen, k.id FROM d JOIN k ON d.u = k.u
+        UNION ALL SELECT d.id, 4, 'edital_number', 0.0, k.seen, k.id FROM d JOIN k ON d.number = k.number
+        UNION ALL SELECT d.id, 5, 'similarity', s.score, s.one.seen, s.one.id FROM d JOIN s ON d.t = s.t AND d.y IS NOT DISTINCT FROM s.y AND d.board = s.board WHERE s.score >= 0.62)
+    SELECT d.id AS draft, kid AS known, coalesce(reason, 'new') AS reason FROM d LEFT JOIN (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY rule, score DESC, seen, kid) = 1) b ON b.id = d.id""")
 def matches(spark, sf):
     """Even orders are stored, odd ones are drafts; each draft finds its opportunity and the rule."""
     o = opp(spark, sf).select(F.col("id").cast("string").alias("id"), "institution", "name", "number", "published", F.col("employment_type").alias("board"),

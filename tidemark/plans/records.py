@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.functions import answers, present
-from tidemark.operators import record, tables
+from tidemark.operators import drafts as builder
+from tidemark.operators import record, resolve, serve, tables
 from tidemark.plans.parsing import _DAY, notices
-from tidemark.plans.relational import q
+from tidemark.functions.score import accepting
+from tidemark.plans.relational import _PAIRS, pairs, q
 from tidemark.plans.views import TODAY
 
 
@@ -196,3 +198,65 @@ def record_snapshots(spark, sf):
     back = s.select("entity", F.from_json("snapshot", "status string, validity string, positions array<struct<slug:long,weekly:double>>").alias("b"))
     one = F.get("b.positions", F.lit(0))
     return back.select("entity", "b.status", F.coalesce(F.size("b.positions"), F.lit(0)).cast("long").alias("positions"), one["slug"].alias("first"), one["weekly"].alias("weekly"))
+
+
+@q("f36_draft", f"""SELECT o_orderkey AS doc, lpad(CAST(o_orderkey % 97 + 1 AS VARCHAR), 2, '0') || '/' || year({_DAY}) AS edital_number, CASE WHEN o_orderkey % 2 = 0 THEN {_DAY} + 5 END AS registration_start,
+    CASE WHEN o_orderkey % 2 = 0 THEN {_DAY} + 9 END AS registration_deadline, CASE WHEN o_orderkey % 3 = 0 THEN {_DAY} + 60 END AS exam_date,
+    CASE WHEN o_orderkey % 5 = 0 THEN CAST(80 + o_orderkey % 10 AS DOUBLE) ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100000000 AS DECIMAL(20,2)) / 100 END AS fee,
+    CASE o_orderkey % 4 WHEN 0 THEN 'PERMANENT' WHEN 1 THEN 'TEMPORARY' WHEN 2 THEN 'PUBLIC_EMPLOYMENT' ELSE 'SELECTION' END AS employment_type, o_orderkey % 3 = 0 OR o_orderkey % 10 = 0 AS assignment,
+    o_orderkey % 3 = 1 AND o_orderkey % 10 <> 0 AS exam_only, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_positions, true AS material,
+    CAST(CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END + CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 10 <> 0 THEN 1 ELSE 0 END AS INT) AS reasons FROM orders""")
+def drafts_built(spark, sf):
+    """Drafts from notices and tables: tables win over text, municipal bodies imply the city."""
+    day = F.add_months(F.to_date("o_orderdate"), 12 * 26)
+    at = lambda n: F.date_format(F.date_add(day, n), "dd/MM/yyyy")
+    k = F.col("id")
+    docs = notices(spark, sf).select(
+        k.alias("doc"), F.lit("Aviso").alias("title"), "text", F.when(k % 10 == 0, "Prefeitura Municipal de Rio Branco").otherwise("Tribunal de Justiça").alias("institution"),
+        F.lit(None).cast("string").alias("board"), F.lit(None).cast("string").alias("header_date"), F.lit("http://x.example/a").alias("url"), F.lit("html").alias("media_type"))
+    plan = _table(0, _row("Evento", "Início", "Fim"), F.when(_k() % 2 == 0, _row("Período de inscrições", at(5), at(9))), F.when(_k() % 3 == 0, _row("Realização das provas", at(60), "")))
+    fee = _table(1, _row("Cargo", F.when(_k() % 5 == 0, "Valor da inscrição").otherwise("Outro")), _row("Nível médio", F.concat(F.lit("R$ "), present.number(F.lit(80) + _k() % 10))))
+    posts = _table(2, _row("Cargo", F.when(_k() % 7 == 0, "Vagas").otherwise("Sala")), _row("Agente Administrativo", "3"))
+    got = builder.build(docs, _rendered(spark, sf, plan, fee, posts), "Rio Branco")
+    return got.select("doc", "edital_number", "registration_start", "registration_deadline", "exam_date", F.col("application_fee").cast("double").alias("fee"), "employment_type", "assignment", "exam_only", "n_positions", "material", F.size("review_reasons").alias("reasons"))
+
+
+@q("b_answers", f"""WITH {_PAIRS}, w AS (SELECT *, lower(concat(cargo, ' ', institution, ' ', name)) AS hay, state NOT IN ('CANCELLED', 'SUSPENDED', 'HOMOLOGATED', 'EXPIRED', 'REGISTRATION_CLOSED', 'EXAM_SCHEDULED') AND coalesce(deadline >= DATE '1998-06-15', true) AS accepting FROM pairs),
+    h AS (SELECT 1 AS request, 'salary' AS fact, w.* FROM w WHERE contains(hay, 'red') AND contains(hay, 'anvil') UNION ALL SELECT 2, 'weekly', w.* FROM w WHERE eligible AND accepting),
+    n AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY eligible DESC, score DESC, deadline ASC NULLS LAST, position) AS n, count(*) OVER (PARTITION BY request) AS total FROM h)
+    SELECT CAST(request AS INT) AS request, fact, CASE WHEN max(total) = 1 THEN 'card' ELSE 'choices' END AS answer, string_agg(position, ',' ORDER BY n) AS positions FROM n WHERE n <= 5 GROUP BY request, fact UNION ALL SELECT 3, 'exam', 'none', ''""")
+def answers_given(spark, sf):
+    """Questions that name a position, none in particular, or one that does not exist; small talk gets no row."""
+    asked = spark.createDataFrame([(1, "Qual o salário do RED anvil?"), (2, "Qual a jornada?"), (3, "Quando é a prova de astronauta?"), (4, "Bom dia")], "request int, text string")
+    p = pairs(spark, sf).withColumn("accepting", accepting(F.col("state"), F.col("deadline"), TODAY))
+    return serve.answered(asked, p).select("request", "fact", "answer", F.array_join("positions", ",").alias("positions"))
+
+
+@q("b_notes", """WITH p AS (SELECT position, substr(position, 1, 8) AS head, row_number() OVER (ORDER BY position) AS r FROM (SELECT DISTINCT position FROM v_position)), one AS (SELECT head FROM p GROUP BY head HAVING count(*) = 1)
+    SELECT position AS request, position, CASE WHEN CAST(split_part(position, '-', 1) AS BIGINT) % 2 = 0 THEN 'REGISTERED' ELSE 'INTERESTED' END AS status, concat('estudar ', position) AS note FROM p WHERE length(position) >= 8""")
+def notes_taken(spark, sf):
+    """A note on every position by its whole code; codes of fewer than eight characters say nothing."""
+    from tidemark.plans.views import view
+
+    positions = view(spark, sf, "v_position").select("position").distinct()
+    asked = positions.select(F.col("position").alias("request"), F.concat(F.lit(" "), "position", F.lit("  estudar "), "position", F.lit(" ")).alias("argument"))
+    held = positions.where(F.substring_index("position", "-", 1).cast("long") % 2 == 0).select("position", F.lit("REGISTERED").alias("status"))
+    return serve.noted(asked, positions, held)
+
+
+@q("v_lookup_by_name", """SELECT l_orderkey AS doc, concat('Analista ', l_partkey % 5) AS name, CASE WHEN l_partkey % 5 = 0 THEN 'ANALISTA 0' WHEN l_partkey % 5 = 1 THEN 'analista 1 - direito' WHEN l_partkey % 5 = 2 THEN 'Analista 2' END AS found FROM lineitem GROUP BY ALL""")
+def looked_up(spark, sf):
+    """Positions among a document's located names: equal ones first, then those around or inside."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Analista "), F.col("l_partkey") % 5).alias("name")).distinct()
+    names = F.array(F.lit("ANALISTA 0"), F.lit("analista 1 - direito"), F.lit("Analista 2 e mais"), F.lit("Analista 2"), F.lit(""))
+    offered = li.select("doc").distinct().select("doc", F.posexplode(names).alias("place", "other"))
+    return resolve.by_name(li, offered)
+
+
+@q("a14_uncached", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+def uncached(spark, sf):
+    """Documents to ask a model about: those answered under another model or during an outage are asked again."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2(F.concat_ws("-", "doc_id", F.coalesce("text", F.lit(""))), 256).alias("content_hash"), F.lit("p1").alias("prompt_version"), F.lit("m").alias("model"), F.lit("1").alias("model_version"))
+    cache = d.where("doc_id % 3 = 0").withColumn("status", F.when(F.col("doc_id") % 2 == 0, "UNAVAILABLE").otherwise("OK"))
+    old = d.where("doc_id % 3 = 1").withColumn("model_version", F.lit("0")).withColumn("status", F.lit("OK"))
+    return resolve.uncached(d, cache.unionByName(old)).select("doc_id")

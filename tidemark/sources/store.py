@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,18 @@ TABLES = ("sources", "source_health", "monitor_runs", "source_runs", "documents"
           "system_events", "tracking")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """A table that several branches of one plan read, written once to the folder all executors share
+    (``spark.checkpoint.dir``); a session of one machine that names none gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
+
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key of an append-only log."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order])
