@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread.
+
+All stages: a null text is empty, other nulls are kept as they are (a null source is a source of its own),
+rows that repeat an identifier with another text are documents of their own, an empty table gives an
+empty one, and columns beside those of ``documents`` pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -10,25 +15,28 @@ from tidemark.llm.common import cut, keep_rows
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, unchanged."""
+    """Documents that the quality classifier accepts, unchanged; empty texts by the score of an empty text.
+    Without any training label all are kept."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest identifier; of rows that repeat it, one."""
+    """Of equal texts, the document with the largest identifier (null is the least); of rows that repeat
+    it, one."""
     kept = exact_dedup.exact_dedup(docs, keep="largest").where("kept").select("doc_id")
     return keep_rows(docs, cut(kept, "kept"), "doc_id", "text")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (five words, 0.8), the document with the smallest
-    identifier."""
+    """Of every group of near-duplicates (five words, 0.8), the document with the smallest identifier.
+    Texts without words and rows without an identifier are in no group and stay."""
     kept = minhash.near_dedup(docs).where("kept").select("doc_id")
     return keep_rows(docs, cut(kept, "kept"), "doc_id", "text")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents and stretches of documents, repeats included."""
+    """The mix of sources: documents and stretches of documents, repeats included. Texts without words
+    are never taken."""
     return mixing.mixed_texts(docs)
 
 
