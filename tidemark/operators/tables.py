@@ -26,10 +26,11 @@ FEE_LEVEL = {"high_school": "medio", "higher_education": "superior", "primary":
 POSITIONS = 120
 
 
-def _lines(tables: DataFrame, head: int) -> DataFrame:
-    """doc, table, page, header (normal form of the first ``head`` rows), n (from 0), row."""
+def _lines(tables: DataFrame, head: int, markers: tuple[str, ...]) -> DataFrame:
+    """doc, table, page, n (from 1), row of the rows below the first, of tables whose first ``head`` rows hold
+    a marker."""
     header = F.array_join(F.transform(F.flatten(F.slice("rows", 1, head)), lambda c: normalise(c)), " ")
-    return tables.select("doc", "table", "page", header.alias("header"), F.posexplode("rows").alias("n", "row"))
+    return tables.where(has_any(header, markers)).select("doc", "table", "page", F.posexplode("rows").alias("n", "row")).where("n > 0")
 
 
 def _describing(row: Column) -> Column:
@@ -39,25 +40,34 @@ def _describing(row: Column) -> Column:
     return let(F.array_max(counted), lambda b: F.when(b["w"] >= 2, b["c"]).otherwise(F.lit("")))
 
 
+def _events(row: Column) -> Column:
+    """What a row of a schedule says: an array of (field, due, raw), each part of it read once."""
+    event = lambda field, due, raw: F.struct(field.alias("field"), due.alias("due"), raw.alias("raw"))
+
+    def dated(said: Column) -> Column:
+        beside = F.array_distinct(F.flatten(F.transform(F.filter(row, lambda c: c != said), parse.parse_dates)))
+        return let(beside, lambda o: F.when(F.size(o) > 0, o).otherwise(parse.parse_dates(said)))
+
+    def told(said: Column) -> Column:
+        return let(F.struct(first_label(normalise(said), SCHEDULE).alias("kind"), dated(said).alias("d")), lambda x: (
+            F.when(x["kind"].isNull() | (F.size(x["d"]) == 0), F.array().cast("array<struct<field:string,due:date,raw:string>>"))
+            .when(x["kind"] == "registration", F.array(event(F.lit("registration_start"), F.array_min(x["d"]), said), event(F.lit("registration_deadline"), F.array_max(x["d"]), said)))
+            .otherwise(F.array(event(x["kind"], F.array_max(x["d"]), said)))))
+
+    return let(_describing(row), told)
+
+
 def schedule(tables: DataFrame) -> DataFrame:
     """(doc, field, due, raw, page): dates of schedule tables. A registration row gives start and
     deadline, other rows their last date; the first row of a field counts."""
-    rows = _lines(tables, 1).where("n > 0").where(has_any(F.col("header"), SCHEDULE_HEADER))
-    said = rows.withColumn("said", _describing(F.col("row"))).where("said <> ''")
-    kind = first_label(normalise(F.col("said")), SCHEDULE)
-    other = F.array_distinct(F.flatten(F.transform(F.filter("row", lambda c: c != F.col("said")), parse.parse_dates)))
-    dated = said.withColumn("kind", kind).where("kind is not null").withColumn("other", other).withColumn(
-        "dates", F.when(F.size("other") > 0, F.col("other")).otherwise(parse.parse_dates(F.col("said")))).where(F.size("dates") > 0)
-    due = dated.select("doc", "table", "page", "n", F.col("said").alias("raw"), F.explode(F.when(F.col("kind") == "registration", F.array(
-        F.struct(F.lit("registration_start").alias("field"), F.array_min("dates").alias("due")), F.struct(F.lit("registration_deadline").alias("field"), F.array_max("dates").alias("due"))))
-        .otherwise(F.array(F.struct(F.col("kind").alias("field"), F.array_max("dates").alias("due"))))).alias("d"))
-    return due.groupBy("doc", F.col("d.field").alias("field")).agg(F.min_by(F.struct("d.due", "raw", "page"), F.struct("table", "n")).alias("v")).select(
+    due = _lines(tables, 1, SCHEDULE_HEADER).select("doc", "table", "page", "n", F.explode(_events(F.col("row"))).alias("d"))
+    return due.groupBy("doc", F.col("d.field").alias("field")).agg(F.min_by(F.struct("d.due", "d.raw", "page"), F.struct("table", "n")).alias("v")).select(
         "doc", "field", "v.due", "v.raw", "v.page")
 
 
 def fee(tables: DataFrame, education: str = "high_school") -> DataFrame:
     """(doc, fee, raw): the fee in the first row that names the level, else the least above 0."""
-    rows = _lines(tables, 2).where("n > 0").where(has_any(F.col("header"), cells.FEE))
+    rows = _lines(tables, 2, cells.FEE)
     line = F.array_join("row", " ")
     priced = rows.withColumn("line", line).withColumn("value", parse.parse_money(F.col("line"))).where("value > 0")
     hit = normalise(F.col("line")).contains(FEE_LEVEL.get(education, "medio"))
