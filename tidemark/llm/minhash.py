@@ -281,8 +281,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are linked at ``percent`` hundredths of Jaccard similarity of their sets of ``n``-word
     shingles; component_id is the smallest identifier reachable. Defined cases: texts without words
     (null, empty, blank) have no shingles and stay alone; rows that repeat an identifier and text
-    share their result; rows with a null identifier are linked with nothing and kept; an empty table
-    gives an empty one; other columns are ignored.
+    share their result, rows that repeat an identifier with another text are compared by one of their sets;
+    rows with a null identifier are linked with nothing and kept; a text of any length is taken whole, with
+    some 60 bytes of arrays for each of its bytes beyond a slice; an empty table gives an empty one; other
+    columns are ignored.
     """
     threshold = percent / 100
     signed = cut(_signed(docs, id_col, text_col, n), "signed")

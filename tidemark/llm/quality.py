@@ -296,7 +296,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Labels are learnt only from rows whose crc32(id as text) mod 3 is not 1. Defined cases: null
     texts are empty and get the model's score of an empty text; rows without labels are scored
     like all others; without any training label the score is 0.5 and predicted 1; repeated rows
-    are scored alike; an empty table gives an empty one; other columns are ignored.
+    are scored alike; a text of any length is measured whole, with some 100 bytes of arrays for each of its
+    bytes beyond a slice; an empty table gives an empty one; other columns are ignored.
     """
     model = fit_quality(docs, labels, id_col=id_col, text_col=text_col)
     got = score_texts(docs, model, id_col, text_col, features)

@@ -260,8 +260,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels are learnt only from rows whose crc32(id as text) mod 5 is not 0. Defined cases: null
     texts are empty and get the score of a text without any segment; without training labels
-    the score is 0.5; repeated rows are scored alike; an empty table gives an empty one; other
-    columns are ignored.
+    the score is 0.5; repeated rows are scored alike; a text of any length is scanned whole, with some 100
+    bytes of arrays for each of its bytes beyond a slice; an empty table gives an empty one; other columns
+    are ignored.
     """
     model = fit_toxicity(docs, labels, id_col, text_col)
     got = score_texts(docs, model, id_col, text_col, model.measure)
