@@ -1,6 +1,7 @@
 """Scalar functions against tables of (text, expected)."""
 
 import unicodedata
+import zlib
 from datetime import date
 from decimal import Decimal
 
@@ -110,6 +111,11 @@ def test_fold_keeps_offsets(spark):
     assert one(spark, text.locate(text.fold(F.lit(raw)), ("isencao da taxa",))) == raw.index("ISENÇÃO") + 1
 
 
+def test_lock_key(spark):
+    for name in ("", "sentinel", "São José"):
+        assert one(spark, text.lock_key(F.lit(name))) == zlib.crc32(name.encode()) & 0x7FFFFFFF
+
+
 def test_redact(spark):
     assert one(spark, text.redact(F.lit("postgres://u:secret@h/db"))) == "postgres://u:[REDACTED]@h/db"
     assert one(spark, text.redact(F.lit("token 123456789:AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA fim"))) == "token [REDACTED] fim"

@@ -73,7 +73,7 @@ def report(spark, sf):
     return serve.report(pairs(spark, sf), TODAY)
 
 
-@q("k05_issues", f"WITH {_STATES} SELECT source_id FROM last WHERE state <> 'HEALTHY' AND CAST(substr(source_id, 2) AS INT) % 2 = 1")
+@q("k05_issues", f"WITH {_STATES} SELECT source_id FROM last WHERE state <> 'HEALTHY' AND source_id NOT IN (SELECT id FROM v_source WHERE CAST(substr(id, 2) AS INT) % 2 = 0)")
 def issues(spark, sf):
     from tidemark.operators import health
 
