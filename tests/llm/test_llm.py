@@ -511,6 +511,23 @@ def test_minhash_large_group_of_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == components(len(texts), edges)
 
 
+def test_minhash_reused_identifiers(spark, corpus):
+    """Rows that share an identifier but not a text keep links of their own, however rows are dealt."""
+    rng = random.Random(3)
+    texts = [*corpus, "a b c d e f g h i j k l m n", "o p q r s t u v w x y z", "a b c d e f g h i j k l m n", "o p q r s t u v w x y z aa"]
+    ids = [rng.randrange(25) for _ in corpus] + [101, 101, 102, 103]
+    sets = [shingles(t, 3) for t in texts]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = components(len(sets), edges)
+    least = {r: min(ids[i] for i in range(len(ids)) if root[i] == r) for r in set(root)}
+    want = Counter((ids[i], len(sets[i]), least[root[i]], ids[i] == least[root[i]]) for i in range(len(ids)))
+    assert least[root[-1]] == 101 and least[root[-2]] == 101
+    df = documents(spark, texts, ids=ids)
+    for parts in (1, 4, 9):
+        got = minhash.near_dedup(df.repartition(parts), n=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+        assert Counter(tuple(r) for r in got.collect()) == want
+
+
 def test_minhash_estimate():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.8, 0.95):
@@ -840,3 +857,34 @@ def test_pipeline_stages_on_odd_rows(spark, labelled, tmp_path):
     near = [r.text for r in spark.read.parquet(f"{tmp_path}/odd/near_dedup").collect()]
     sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (WORD.findall((t or "").lower()) for t in near)]
     assert all(not (a and b) or len(a & b) < 0.8 * len(a | b) for a, b in itertools.combinations(sets, 2))
+
+
+def test_pipeline_stages_with_clashing_columns(spark, labelled, tmp_path):
+    """Columns named like the stages' own pass through all but the last, unchanged; reused identifiers keep
+    the rows that are their own, and the near stage equals all pairs."""
+    import corpus_pipeline
+
+    docs, labels, good, _ = labelled
+    names = ("_id", "_tie", "_src", "_rep", "_spans", "id", "tie", "src", "rep", "row", "rank", "start", "size", "pass", "lo", "hi", "run", "spans", "kept", "row_key", "comp", "fp",
+             "_key", "_text", "_t", "_sha", "score", "predicted", "held_out", "s", "key", "count", "keep_id", "component_id", "quality", "features", "_kept_key", "source_size", "target")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(120)
+    again = docs.limit(10).withColumn("doc_id", F.lit(3).cast("long")).withColumn("text", F.concat(F.lit("Other words stand before it. "), "text"))
+    docs = docs.union(again).select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.substring("text", 1, 30)).alias(c) for c in names])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = now
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "packing":
+            continue
+        assert now.columns == docs.columns
+        assert {tuple(r) for r in now.select("doc_id", *names).collect()} <= {tuple(r) for r in docs.select("doc_id", *names).collect()}
+        if name == "near_dedup":
+            rows = before.select("doc_id", "text").collect()
+            sets = [shingles(r.text, 5) for r in rows]
+            root = components(len(rows), [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+            least = {r: min(rows[i].doc_id for i in range(len(rows)) if root[i] == r) for r in set(root)}
+            want = Counter((r.doc_id, r.text) for i, r in enumerate(rows) if r.doc_id == least[root[i]])
+            assert Counter((r.doc_id, r.text) for r in now.select("doc_id", "text").collect()) == want

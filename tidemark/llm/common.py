@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The contract's word: a run of characters that are none of space, \t \n \v \f \r.
@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
+    if not conf.get("spark.master", "").partition("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -61,14 +61,20 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, small: int = 1_000_000, ho
     return df.join(F.broadcast(ids) if ids.count() <= small else ids, key, how)
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, key: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is in ``ids`` (a written table of one column; its null
-    matches null). Of rows that repeat both key and text, one is kept."""
-    repeated = ids.groupBy(key).count().where("count > 1").limit(1).count()
-    chosen = ids.distinct().withColumnRenamed(key, "_kept_key")
-    small = ids.count() <= 1_000_000
-    out = docs.join(F.broadcast(chosen) if small else chosen, docs[key].eqNullSafe(chosen["_kept_key"]), "left_semi")
-    return out.dropDuplicates([key, text_col]) if repeated else out
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: identifier and text. Identifiers may be null or used again."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, small: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose key (of :func:`row_key`) is in ``keys`` (a written table of one column). Of
+    rows that repeat both identifier and text, one is kept, if they are asked for more than once."""
+    (name,) = keys.columns
+    repeated = keys.groupBy(name).count().where("count > 1").limit(1).count()
+    chosen = keys.distinct()
+    few = keys.count() <= small
+    out = docs.join(F.broadcast(chosen) if few else chosen, row_key(id_col, text_col) == chosen[name], "left_semi")
+    return out.dropDuplicates([id_col, text_col]) if repeated else out
 
 
 # ----------------------------------------------------------------- byte arrays

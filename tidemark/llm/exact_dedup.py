@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, row_key
 
 
 def exact_dedup(
@@ -26,7 +26,7 @@ def exact_dedup(
     salts: int = 64,
     prefix: int = 64,
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, row_key (of its identifier and text).
 
     ``keep``: 'smallest' or 'largest' identifier of a group stays. Defined cases: a null text is
     the empty text; null identifiers lose to any other and are reported as null; of rows that
@@ -37,12 +37,12 @@ def exact_dedup(
     text = normalise(text) if normalise else text
     order = F.desc_nulls_last("_id") if keep == "largest" else F.asc_nulls_last("_id")
     best = F.max("_head") if keep == "largest" else F.min("_head")
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).select(
-        "_id", "_t", F.substring("_t", 1, prefix).alias("_p"), F.xxhash64("_t").alias("_h"),
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), row_key(id_col, text_col).alias("_key")).select(
+        "_id", "_t", "_key", F.substring("_t", 1, prefix).alias("_p"), F.xxhash64("_t").alias("_h"),
         F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"))
     run = Window.partitionBy("_p", "_h", "_salt", "_t")
     sorted_ = rows.repartitionByRange("_p", "_h", "_salt").select(
-        "_id", "_salt", F.unhex(F.sha2("_t", 256)).alias("_sha"), F.octet_length("_t").alias("_n"),
+        "_id", "_salt", "_key", F.unhex(F.sha2("_t", 256)).alias("_sha"), F.octet_length("_t").alias("_n"),
         F.row_number().over(run.orderBy(order)).alias("_rn"),
         F.first("_id").over(run.orderBy(order)).alias("_head"),
         F.count(F.lit(1)).over(run).alias("_size"))
@@ -59,4 +59,5 @@ def exact_dedup(
         F.col("_keep").alias("keep_id"),
         F.col("_total").cast("long").alias("group_size"),
         ((F.col("_rn") == 1) & (F.col("_salt") == F.col("_win"))).alias("kept"),
-        F.lower(F.hex("_sha")).alias("text_sha256"))
+        F.lower(F.hex("_sha")).alias("text_sha256"),
+        F.col("_key").alias("row_key"))

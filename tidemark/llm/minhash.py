@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, flat_bytes, mix, prefix_hash, span_hash, release, trim, with_ids, words_of
+from tidemark.llm.common import components, cut, flat_bytes, mix, prefix_hash, row_key, span_hash, release, trim, with_ids, words_of
 from tidemark.llm.tokens import by_bytes
 
 PERMS = 125          # random functions
@@ -112,12 +112,12 @@ def _floor(threshold: float) -> float:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, n (set size), fp (the set's 128-bit fingerprint; null for an empty set), bands, sig."""
+    """id, row (its :func:`row_key`), n (set size), fp (the set's 128-bit fingerprint; null for an empty set), bands, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            data, off = flat_bytes(batch.column(1))
+            data, off = flat_bytes(batch.column(2))
             for i, j in by_bytes(off):
                 sets = shingle_sets(data[off[i]: off[j]], off[i: j + 1] - off[i], n)
                 fps, keys, sigs = [], [], []
@@ -130,16 +130,16 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     keys.append(bands(m))
                     sigs.append(pack_bits(m))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "n", "fp", "bands", "sig"])
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()),
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "row", "n", "fp", "bands", "sig"])
             trim()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, "id long, n long, fp binary, bands array<long>, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("_text")).mapInArrow(
+        run, "id long, row long, n long, fp binary, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, set) of the rows with these ids, the set as sorted 64-bit integers in bytes."""
+    """(id, set) of the rows with these keys, the set as sorted 64-bit integers in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n: int) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
             trim()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+    rows = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("_text"))
     return with_ids(rows, ids, "id").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
@@ -276,20 +276,20 @@ def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+    """One row per document: id, n_shingles, component_id, kept, row_key (of its identifier and text).
 
     Documents are linked at ``percent`` hundredths of Jaccard similarity of their sets of ``n``-word
     shingles; component_id is the smallest identifier reachable. Defined cases: texts without words
     (null, empty, blank) have no shingles and stay alone; rows that repeat an identifier and text
-    share their result, rows that repeat an identifier with another text are compared by one of their sets;
+    share their result, rows that repeat an identifier with another text are documents of their own;
     rows with a null identifier are linked with nothing and kept; a text of any length is taken whole, with
     some 60 bytes of arrays for each of its bytes beyond a slice; an empty table gives an empty one; other
     columns are ignored.
     """
     threshold = percent / 100
     signed = cut(_signed(docs, id_col, text_col, n), "signed")
-    some = signed.where("fp is not null and id is not null")
-    classes = cut(some.groupBy("fp").agg(F.min("id").alias("a"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    some = signed.where("fp is not null and id is not null")  # null identifiers are linked with nothing
+    classes = cut(some.groupBy("fp").agg(F.min("row").alias("a"), F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     each = classes.select("a", "sig", F.explode("bands").alias("key"))
     # salted from the start: the count of a bucket is pre-aggregated
     count = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -318,11 +318,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = cut(links.union(more), "links")
         found = cut(components(links), "comps")
 
-    roots = cut(classes.join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("fp", F.coalesce("root", "a").alias("root")), "roots")
+    # classes are known by one row's key; components by their smallest identifier
+    joined = classes.join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("fp", "least", F.coalesce("root", "a").alias("comp"))
+    roots = cut(joined.select("fp", "comp").join(joined.groupBy("comp").agg(F.min("least").alias("root")), "comp").select("fp", "root"), "roots")
     return signed.join(roots, "fp", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
-        F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"))
+        F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"), F.col("row").alias("row_key"))
 
 
 def with_keys(each: DataFrame, count: DataFrame) -> DataFrame:

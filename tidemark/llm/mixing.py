@@ -208,17 +208,20 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("id", "tie", "rank", "start", "size", "pass", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     spans = runs.groupBy("id", "tie", "rank", "start", "size").agg(
         F.array_sort(F.collect_list(F.struct("pass", (F.col("lo") - F.col("start")).alias("a"), (F.col("hi") - F.col("start")).alias("b")))).alias("_spans"))
-    # rows that repeat both identifier and text are told apart by number
-    again = Window.partitionBy("_id", "_tie", "_src").orderBy(F.lit(1))
-    left = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"), F.xxhash64(source_col).alias("_src"))
-    left = left.select("*", F.row_number().over(again).alias("_rep"))
-    names = docs.select(F.col(source_col).alias("s")).distinct().collect()
+    # rows that repeat both identifier and text are told apart by number; a row travels as a struct, so no
+    # column of it clashes with those here
+    again = Window.partitionBy("id", "tie", "src").orderBy(F.lit(1))
+    left = docs.select(
+        F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("tie"),
+        F.xxhash64(docs[source_col]).alias("src")).select("*", F.row_number().over(again).alias("rep"))
+    names = docs.select(docs[source_col].alias("s")).distinct().collect()
     order = sorted((r.s for r in names), key=lambda s: (s is None, (s or "").encode()))
-    ranks = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(order)], "s string, rank int").select("rank", F.xxhash64("s").alias("_src"))
+    ranks = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(order)], "s string, rank int").select("rank", F.xxhash64("s").alias("src"))
     spans = spans.join(F.broadcast(ranks) if len(order) <= SOURCES else ranks, "rank").select(
-        F.col("id").alias("_id"), F.col("tie").alias("_tie"), "_src", "_spans",
+        F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("src").alias("_src"), "_spans",
         F.row_number().over(Window.partitionBy("id", "tie", "rank").orderBy("start")).alias("_rep"))
-    both = left.join(spans, (left["_id"].eqNullSafe(spans["_id"])) & (left["_tie"] == spans["_tie"]) & (left["_src"] == spans["_src"]) & (left["_rep"] == spans["_rep"])).select(*[left[c] for c in columns], spans["_spans"])
+    both = left.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")) & (F.col("src") == F.col("_src")) & (F.col("rep") == F.col("_rep")))
+    both = both.select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(columns)], F.col("_spans").alias("spans"))
     schema = docs.schema
     at = columns.index(text_col)
     count_at = columns.index("n_chars") if "n_chars" in columns else None
@@ -243,7 +246,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out[at] = pa.array(texts, batch.schema.field(at).type)
             if count_at is not None:
                 out[count_at] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.schema.field(count_at).type)
-            yield pa.RecordBatch.from_arrays(out, schema=pa.schema([batch.schema.field(k) for k in range(len(columns))]))
+            yield pa.RecordBatch.from_arrays(out, schema=pa.schema([batch.schema.field(k).with_name(c) for k, c in enumerate(columns)]))
             trim()
 
     return both.mapInArrow(emit, schema)

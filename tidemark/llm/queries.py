@@ -24,7 +24,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest").drop("row_key")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

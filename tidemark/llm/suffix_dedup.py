@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop_table, flat_bytes, mix, prefix_hash, release, span_hash, trim, words_of
+from tidemark.llm.common import cut, drop_table, flat_bytes, mix, prefix_hash, release, row_key, span_hash, trim, words_of
 from tidemark.llm.tokens import by_bytes
 
 LENGTH = 400
@@ -121,11 +121,6 @@ def slices(off: np.ndarray, limit: int, before: int, after: int) -> Iterator[tup
             yield i, j, at, min(end, at + limit), max(lo, at - before), min(end, at + limit + after)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """What tells rows apart: identifier and text. Identifiers may be null or used again."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-
-
 # ------------------------------------------------------------------- anchors
 def window_minima(v: np.ndarray, width: int) -> np.ndarray:
     """min(v[i : i + width]) for every i that has a full window, by blocks (two scans)."""
