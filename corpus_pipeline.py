@@ -23,14 +23,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest identifier (null is the least); of rows that repeat
     it, one."""
-    kept = exact_dedup.exact_dedup(docs, keep="largest").where("kept").select("doc_id")
+    kept = exact_dedup.exact_dedup(docs, keep="largest").where("kept").select("row_key")
     return keep_rows(docs, cut(kept, "kept"), "doc_id", "text")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates (five words, 0.8), the document with the smallest identifier.
     Texts without words and rows without an identifier are in no group and stay."""
-    kept = minhash.near_dedup(docs).where("kept").select("doc_id")
+    kept = minhash.near_dedup(docs).where("kept").select("row_key")
     return keep_rows(docs, cut(kept, "kept"), "doc_id", "text")
 
 
