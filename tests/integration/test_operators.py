@@ -318,3 +318,54 @@ def test_documents_of_any_length(spark, tmp_path):
     queries = catalogue.queries()
     assert {r.doc_id: r.n for r in queries["f47_focus_excerpt"](spark, str(tmp_path)).collect()} == {i: len(excerpt(d)) for i, d, _ in rows}
     assert {r.doc_id: (r.n, r.truncated) for r in queries["f05_tidy"](spark, str(tmp_path)).collect()} == {i: (len(d.strip()), False) for i, d, _ in rows}
+
+
+def test_drafts_of_a_batch_found_opportunities_in_order(spark):
+    """Against a loop over the drafts: stored rows and earlier founders are candidates of each."""
+    rng = random.Random(8)
+    bodies = ["Prefeitura de Rio Branco", "Prefeitura Municipal de Rio Branco", "Instituto Federal do Acre", "Universidade Federal do Acre", None]
+    names = ["Concurso Agente Fiscal Tributos", "Agente Fiscal de Tributos", "Agente Fiscal", "Professor Matematica Fisica", "Professor Matematica", "Edital", None]
+
+    def made(i, stored):
+        row = {"id": f"{'k' if stored else 'd'}{i:03d}", "institution": rng.choice(bodies), "name": rng.choice(names), "number": rng.choice([None, None, "", "01/2026", "2/2026"]),
+               "published": rng.choice([None, date(2026, 1, 5), date(2025, 3, 1)]), "board": rng.choice([None, "FGV", "Cebraspe"]), "first_seen": date(2026, 1, 1) + timedelta(days=rng.randrange(9))}
+        links = [rng.choice(["", f"u{rng.randrange(60)}"]), rng.choice(["", f"h{rng.randrange(60)}"])]
+        return row | ({"urls": links[:1], "hashes": links[1:]} if stored else {"url": links[0], "document_hash": links[1], "seq": i})
+
+    known, drafts = [made(i, True) for i in range(12)], [made(i, False) for i in range(90)]
+    shape = "id string, institution string, name string, number string, published date, board string, first_seen date"
+    k = spark.createDataFrame([tuple(r.values()) for r in known], shape + ", urls array<string>, hashes array<string>")
+    d = spark.createDataFrame([tuple(r.values()) for r in drafts], shape + ", url string, document_hash string, seq long").repartition(5)
+    got = {r.draft: (r.known, r.reason) for r in resolve.match_batch(d, k).collect()}
+    # the keys and word sets by the library, the fold by hand
+    both = d.select("id", "institution", "number", "published", "name", "board").union(k.select("id", "institution", "number", "published", "name", "board"))
+    seen = {r.id: r for r in both.select("id", resolve.dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("key"), resolve.token_set(F.col("institution")).alias("it"), resolve.token_set(F.col("name")).alias("nt")).collect()}
+
+    def similar(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0
+
+    def rule(x, y):
+        a, b = seen[x["id"]], seen[y["id"]]
+        urls, hashes = y.get("urls", [y.get("url")]), y.get("hashes", [y.get("document_hash")])
+        if a.key == b.key:
+            return 1, 0
+        if x["document_hash"] and x["document_hash"] in hashes:
+            return 2, 0
+        if x["url"] and x["url"] in urls:
+            return 3, 0
+        if x["number"] and y["number"] and x["number"] == y["number"] and similar(a["it"], b["it"]) >= 0.34:
+            return 4, 0
+        score = similar(a["nt"], b["nt"]) + (0.08 if x["board"] and x["board"] == y["board"] else 0)
+        if similar(a["it"], b["it"]) >= 0.5 and (not x["published"] or not y["published"] or x["published"].year == y["published"].year) and a["nt"] and b["nt"] and score >= 0.62:
+            return 5, -score
+        return None
+
+    want, founders = {}, []
+    for x in drafts:
+        found = [(*r, y["first_seen"], y["id"]) for y in known + founders if (r := rule(x, y))]
+        best = min(found, default=None)
+        want[x["id"]] = (best[3], ("dedup_key", "document_hash", "url", "edital_number", "similarity")[best[0] - 1]) if best else (None, "new")
+        if not best:
+            founders.append(x)
+    assert got == want and len(founders) > 5 and len({v[1] for v in want.values()}) == 6
+    assert resolve.match_batch(d.limit(0), k).count() == 0

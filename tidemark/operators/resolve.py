@@ -53,19 +53,15 @@ def position_slug(name: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(F.replace(normalise(name), F.lit(" "), F.lit("-")), 1, 160), F.lit("")), F.lit("cargo"))
 
 
-def _by_name(d: DataFrame, k: DataFrame, first: Column) -> DataFrame:
-    """(id, one, score) of drafts and stored rows with similar institutions and names.
-
-    What is compared are distinct combinations of what the rule looks at. Names of Jaccard t or more
-    share one of their rarest |x| - ceil(t |x|) + 1 tokens, so the join is on those only.
-    """
+def _similar(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs of distinct combinations (it, nt, year, nboard) and (kit, knt, kyear, kboard) that the similarity rule
+    accepts, with their score. Names of Jaccard t or more share one of their rarest |x| - ceil(t |x|) + 1 tokens, so the
+    join is on those only."""
     least = NAME_THRESHOLD - SAME_BOARD
-    mine = d.select("it", "nt", F.year("published").alias("year"), normalise(F.col("board")).alias("nboard")).distinct().where(F.size("nt") > 0)
-    theirs = k.groupBy("kit", "knt", "kyear", "kboard").agg(first).where(F.size("knt") > 0)
     rare = theirs.select(F.explode("knt").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
 
     def prefixed(rows: DataFrame, names: str) -> DataFrame:
-        keep = [c for c in rows.columns]
+        keep = rows.columns
         token = rows.select("*", F.explode(names).alias("t")).join(rare, "t", "left")
         ranked = token.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"))
         n = F.size(names)
@@ -75,29 +71,52 @@ def _by_name(d: DataFrame, k: DataFrame, first: Column) -> DataFrame:
     near = (left.join(right, F.col("t") == F.col("kt"))
             .where(jaccard(F.col("it"), F.col("kit")) >= INSTITUTION_THRESHOLD).where(F.coalesce(F.col("year") == F.col("kyear"), F.lit(True))))
     score = jaccard(F.col("nt"), F.col("knt")) + F.when(F.col("nboard") == F.col("kboard"), SAME_BOARD).otherwise(0.0)
-    best = near.withColumn("score", score).where(F.col("score") >= NAME_THRESHOLD).groupBy("it", "nt", "year", "nboard").agg(
+    return near.withColumn("score", score).where(F.col("score") >= NAME_THRESHOLD).drop("t", "kt").distinct()
+
+
+def _by_name(d: DataFrame, k: DataFrame, first: Column) -> DataFrame:
+    """(id, one, score) of drafts and stored rows with similar institutions and names, by distinct combinations of
+    what the rule looks at."""
+    mine = d.select("it", "nt", F.year("published").alias("year"), normalise(F.col("board")).alias("nboard")).distinct().where(F.size("nt") > 0)
+    theirs = k.groupBy("kit", "knt", "kyear", "kboard").agg(first).where(F.size("knt") > 0)
+    best = _similar(mine, theirs).groupBy("it", "nt", "year", "nboard").agg(
         F.min_by(F.struct("one", "score"), F.struct(-F.col("score"), "one")).alias("b")).select("it", "nt", F.col("year").alias("y"), F.col("nboard").alias("nb"), "b.one", "b.score")
     own = d.withColumn("y0", F.year("published")).withColumn("nb0", normalise(F.col("board"))).select("id", F.col("it").alias("it0"), F.col("nt").alias("nt0"), "y0", "nb0")
     return own.join(best, (F.col("it0") == F.col("it")) & (F.col("nt0") == F.col("nt")) & F.col("y0").eqNullSafe(F.col("y")) & F.col("nb0").eqNullSafe(F.col("nb"))).select("id", "one", "score")
 
 
-def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
-    """(draft, known, reason): the stored opportunity each draft belongs to.
+def _seen(drafts: DataFrame) -> DataFrame:
+    return drafts.select("*", dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("key"),
+                         token_set(F.col("institution")).alias("it"), token_set(F.col("name")).alias("nt"))
 
-    Drafts: id, institution, name, number, published, board, url, document_hash. Known: the same with
-    urls and hashes as arrays, and first_seen. The order of the rules is the reason order; ties go to
-    the earliest first_seen, then the smallest id. The similarity rule joins on the rarest tokens of
-    names, so it never compares everything with everything.
-    """
-    d = drafts.select("id", "institution", "name", "number", "published", "board", "url", "document_hash",
-                      dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("key"),
-                      token_set(F.col("institution")).alias("it"), token_set(F.col("name")).alias("nt"))
-    k = known.select(F.col("id").alias("kid"), F.col("first_seen"), F.col("number").alias("knumber"), F.year("published").alias("kyear"),
-                     normalise(F.col("board")).alias("kboard"), "urls", "hashes",
-                     dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("kkey"),
-                     token_set(F.col("institution")).alias("kit"), token_set(F.col("name")).alias("knt"))
-
-    d, k = staged(d), staged(k)      # five rules read both sides
+
+def _stored(known: DataFrame) -> DataFrame:
+    return known.select(F.col("id").alias("kid"), F.col("first_seen"), F.col("number").alias("knumber"), F.year("published").alias("kyear"),
+                        normalise(F.col("board")).alias("kboard"), "urls", "hashes",
+                        dedup_key(F.col("institution"), F.col("number"), F.col("published"), F.col("name")).alias("kkey"),
+                        token_set(F.col("institution")).alias("kit"), token_set(F.col("name")).alias("knt"))
+
+
+def _numbered(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows with one number (n, kn) and institutions similar enough (it, kit). Everybody has a first notice, so
+    the join is on the number and a rare word of the institution: sets of Jaccard t or more share one of their
+    rarest |x| - ceil(t |x|) + 1 words. Both sides hold distinct rows."""
+    rare = right.select(F.explode("kit").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+
+    def prefixed(rows: DataFrame, words: str, name: str) -> DataFrame:
+        keep = rows.columns
+        ranked = rows.select("*", F.explode(words).alias("t")).join(rare, "t", "left").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("o"))
+        n = F.size(words)
+        return ranked.select(*keep, F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * NUMBER_THRESHOLD) + 1).cast("int"))).alias("p")).select(*keep, F.col("p.t").alias(name))
+
+    both = prefixed(left, "it", "t1").join(prefixed(right, "kit", "t2"), (F.col("n") == F.col("kn")) & (F.col("t1") == F.col("t2")))
+    return both.where(jaccard(F.col("it"), F.col("kit")) >= NUMBER_THRESHOLD).drop("t1", "t2").distinct()
+
+
+def _matches(drafts: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, kid, first_seen, rule, reason, score): for each rule, the best stored opportunity of each draft."""
+    d = _seen(drafts.select("id", "institution", "name", "number", "published", "board", "url", "document_hash"))
+    d, k = staged(d), staged(_stored(known))      # five rules read both sides
     # one stored row speaks for all that a rule cannot tell apart: the first seen of them
     first = F.min(F.struct("first_seen", "kid")).alias("one")
 
@@ -108,15 +127,99 @@ def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
     by_key = hits(d.join(k.groupBy("kkey").agg(first), F.col("key") == F.col("kkey")), 1, "dedup_key")
     by_hash = hits(d.where("document_hash <> ''").join(k.withColumn("h", F.explode("hashes")).groupBy("h").agg(first), F.col("document_hash") == F.col("h")), 2, "document_hash")
     by_url = hits(d.where("url <> ''").join(k.withColumn("u", F.explode("urls")).groupBy("u").agg(first), F.col("url") == F.col("u")), 3, "url")
-    numbered = d.where("number <> ''").withColumn("n", normalise(F.col("number"))).join(
-        k.where("knumber <> ''").withColumn("kn", normalise(F.col("knumber"))).groupBy("kn", "kit").agg(first), F.col("n") == F.col("kn"))
-    by_number = hits(numbered.where(jaccard(F.col("it"), F.col("kit")) >= NUMBER_THRESHOLD), 4, "edital_number")
+    mine = d.where("number <> ''").withColumn("n", normalise(F.col("number")))
+    theirs = k.where("knumber <> ''").groupBy(normalise(F.col("knumber")).alias("kn"), "kit").agg(first)
+    pairs = _numbered(mine.select("n", "it").distinct(), theirs).select(F.col("n").alias("n0"), F.col("it").alias("it0"), "one")
+    by_number = hits(mine.join(pairs, (F.col("n") == F.col("n0")) & (F.col("it") == F.col("it0"))), 4, "edital_number")
     by_name = _by_name(d, k, first)
-    all_ = by_key.union(by_hash).union(by_url).union(by_number).union(hits(by_name, 5, "similarity", F.col("score")))
-    best = all_.groupBy("id").agg(F.min_by(F.struct("kid", "reason"), F.struct("rule", -F.col("score"), "first_seen", "kid")).alias("m"))
+    return by_key.union(by_hash).union(by_url).union(by_number).union(hits(by_name, 5, "similarity", F.col("score")))
+
+
+def _best(drafts: DataFrame, found: DataFrame) -> DataFrame:
+    best = found.groupBy("id").agg(F.min_by(F.struct("kid", "reason"), F.struct("rule", -F.col("score"), "first_seen", "kid")).alias("m"))
     return drafts.select("id").join(best, "id", "left").select(F.col("id").alias("draft"), F.col("m.kid").alias("known"), F.coalesce("m.reason", F.lit("new")).alias("reason"))
 
 
+def match(drafts: DataFrame, known: DataFrame) -> DataFrame:
+    """(draft, known, reason): the stored opportunity each draft belongs to.
+
+    Drafts: id, institution, name, number, published, board, url, document_hash. Known: the same with
+    urls and hashes as arrays, and first_seen. The order of the rules is the reason order; ties go to
+    the earliest first_seen, then the smallest id. The similarity rule joins on the rarest tokens of
+    names, so it never compares everything with everything.
+    """
+    return _best(drafts, _matches(drafts, known))
+
+
+#: Rules by their order; what drafts of one batch share or are similar in.
+RULES = {"key": (1, "dedup_key"), "hash": (2, "document_hash"), "url": (3, "url"), "number": (4, "edital_number"), "name": (5, "similarity")}
+
+
+def _hubs(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of a batch. members: id, seq, rule, hub: what a rule can tell of a draft. links: rule, hub, other,
+    score: hubs whose drafts belong together, themselves included; so drafts are never paired with drafts."""
+    number, name = normalise(F.col("number")), F.array_sort("nt")
+    it = F.array_join(F.array_sort("it"), " ")
+    # the text of a hub: its parts, none of which holds a tab
+    text = lambda *parts: F.concat_ws("\t", *[F.coalesce(p, F.lit("-")) for p in parts])
+    board = normalise(F.col("board"))
+    of = {"key": F.col("key"), "hash": F.when(F.col("document_hash") != "", F.col("document_hash")), "url": F.when(F.col("url") != "", F.col("url")),
+          "number": F.when((F.col("number") != "") & (F.size("it") > 0), text(number, it)),
+          "name": F.when((F.size("nt") > 0) & (F.size("it") > 0), text(it, F.array_join(name, " "), F.year("published").cast("string"), board))}
+    members = d.select("id", "seq", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), h.alias("hub")) for r, h in of.items()])).alias("m")).select("id", "seq", "m.*").where("hub is not null")
+    members = staged(members)
+    same = members.where("rule in ('key', 'hash', 'url')").select("rule", "hub").distinct().select("rule", "hub", F.col("hub").alias("other"), F.lit(0.0).alias("score"))
+    numbers = staged(d.select(of["number"].alias("hub"), number.alias("n"), F.array_sort("it").alias("it")).where("hub is not null").distinct())
+    near = _numbered(numbers, numbers.select(F.col("hub").alias("other"), F.col("n").alias("kn"), F.col("it").alias("kit")))
+    numbered = near.select(F.lit("number").alias("rule"), "hub", "other", F.lit(0.0).alias("score"))
+    names = staged(d.select(of["name"].alias("hub"), F.array_sort("it").alias("it"), name.alias("nt"), F.year("published").alias("year"), board.alias("nboard")).where("hub is not null").distinct())
+    theirs = names.select(F.col("hub").alias("other"), F.col("it").alias("kit"), F.col("nt").alias("knt"), F.col("year").alias("kyear"), F.col("nboard").alias("kboard"))
+    score = _similar(names, theirs)
+    return members, staged(same.union(numbered).union(score.select(F.lit("name").alias("rule"), "hub", "other", "score")))
+
+
+def match_batch(drafts: DataFrame, known: DataFrame, rounds: int = 200) -> DataFrame:
+    """(draft, known, reason) where each draft that founds an opportunity is one for the drafts after it.
+
+    Drafts as in :func:`match`, with ``seq``, their order (unique), and first_seen. A draft that matches nothing stored
+    and no earlier founder is a founder itself ('new', known is null); every other one belongs to the best match among
+    stored opportunities and earlier founders, in the rules' order.
+
+    Founders are found in rounds over all drafts at once. A draft with an earlier founder beside it is none; one without an
+    undecided or founding draft before it is one; the others wait. Rounds go over hubs, so a key that a third of all
+    drafts share costs a minimum, not pairs; every hub has one founder at most. The number of rounds is the
+    longest chain of drafts that wait for each other, a few in practice; beyond ``rounds`` an error is raised.
+    """
+    d = staged(_seen(drafts.select("id", "seq", "first_seen", "institution", "name", "number", "published", "board", "url", "document_hash")))
+    stored = staged(_matches(drafts, known))
+    members, links = _hubs(d)
+    state = staged(d.select("id", "seq").join(stored.select("id"), "id", "left_anti").withColumn("founder", F.lit(None).cast("boolean")))
+
+    def nearest(rows: DataFrame, name: str) -> DataFrame:
+        """(rule, hub, name): the earliest of ``rows`` (id, seq) in the hubs linked with each hub."""
+        least = members.join(rows.select("id"), "id").groupBy("rule", "hub").agg(F.min("seq").alias(name)).withColumnRenamed("hub", "other")
+        return links.join(least, ["rule", "other"]).groupBy("rule", "hub").agg(F.min(name).alias(name))
+
+    for _ in range(rounds):
+        open_ = state.where("founder is null")
+        if not open_.limit(1).count():
+            break
+        near = nearest(open_, "waiting").join(nearest(state.where("founder"), "founded"), ["rule", "hub"], "full")
+        before = members.join(open_.select("id"), "id").join(near, ["rule", "hub"], "left").groupBy("id").agg(F.min("waiting").alias("waiting"), F.min("founded").alias("founded"))
+        decided = F.when(F.col("founded") < F.col("seq"), False).when(F.coalesce(F.col("waiting") >= F.col("seq"), F.lit(True)), True)
+        state = staged(open_.join(before, "id", "left").select("id", "seq", decided.alias("founder")).union(state.where("founder is not null")))
+    else:
+        raise RuntimeError("drafts of this batch wait for each other in longer chains than rounds")
+
+    founders = state.where("founder").select("id", "seq").join(d.select("id", "first_seen"), "id")
+    by_hub = members.join(founders.select(F.col("id").alias("kid"), F.col("seq").alias("kseq"), F.col("first_seen")), F.col("id") == F.col("kid")).select("rule", F.col("hub").alias("other"), "kid", "kseq", "first_seen")
+    order = F.create_map(*[F.lit(x) for r, (n, _) in RULES.items() for x in (r, n)])
+    reason = F.create_map(*[F.lit(x) for r, (_, t) in RULES.items() for x in (r, t)])
+    inside = members.join(links, ["rule", "hub"]).join(by_hub, ["rule", "other"]).where("kseq < seq").select(
+        "id", "kid", "first_seen", order[F.col("rule")].alias("rule"), reason[F.col("rule")].alias("reason"), "score")
+    return _best(d, stored.select(inside.columns).union(inside))
+
+
 def by_name(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """(doc, name, found) for names of a document (doc, name) among those offered for it (doc, other): equal
     in normal form, else the first in order of ``place`` that contains it or is contained."""

@@ -64,6 +64,32 @@ def matches(spark, sf):
     return resolve.match(o.where("n % 2 = 1"), known)
 
 
+_TOKENS = """list_sort(list_filter(list_distinct(string_split(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 2 AND w NOT IN ('concurso', 'blico', 'publico', 'p', 'prefeitura')))"""
+_JACCARD = "len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1})))"
+
+
+@q("e05_batch_cascade", f"""WITH RECURSIVE o AS (SELECT CAST(id AS VARCHAR) AS id, start AS seen, number, year(published) AS y, employment_type AS board, id % 97 AS u, id % 211 AS h, it, nt,
+        CASE WHEN institution LIKE '%UNITED%' THEN 'UNITED' ELSE institution END AS grp, institution, CASE WHEN number IS NOT NULL THEN concat(k, ':edital:', number) ELSE concat(k, ':', coalesce(year(published), 1900), ':', array_to_string(nt, '-')) END AS key,
+        row_number() OVER (PARTITION BY CASE WHEN institution LIKE '%UNITED%' THEN 'UNITED' ELSE institution END ORDER BY id) AS pos
+        FROM (SELECT *, {_TOKENS.format("institution")} AS it, {_TOKENS.format("name")} AS nt, concat('prefeitura-', replace(lower(substr(institution, 25)), ' ', '-')) AS k FROM v_opportunity)),
+    r AS (SELECT grp, pos, id AS draft, CAST(NULL AS VARCHAR) AS known, 'new' AS reason, [{{'id': id, 'seen': seen, 'number': number, 'y': y, 'board': board, 'u': u, 'h': h, 'it': it, 'nt': nt, 'inst': institution, 'key': key}}] AS founders FROM o WHERE pos = 1
+        UNION ALL SELECT grp, pos, id, best.id, coalesce(['dedup_key', 'document_hash', 'url', 'edital_number', 'similarity'][best.rule], 'new'),
+            CASE WHEN best IS NULL THEN list_append(founders, {{'id': id, 'seen': seen, 'number': number, 'y': y, 'board': board, 'u': u, 'h': h, 'it': it, 'nt': nt, 'inst': institution, 'key': key}}) ELSE founders END
+        FROM (SELECT c.*, r.founders, list_sort(list_filter(list_transform(r.founders, lambda f: {{'rule': CASE WHEN c.key = f.key THEN 1 WHEN c.institution = f.inst AND c.h = f.h THEN 2 WHEN c.institution = f.inst AND c.u = f.u THEN 3
+                WHEN c.number = f.number AND {_JACCARD.format("c.it", "f.it")} >= 0.34 THEN 4
+                WHEN {_JACCARD.format("c.it", "f.it")} >= 0.5 AND coalesce(c.y = f.y, true) AND {_JACCARD.format("c.nt", "f.nt")} + CASE WHEN c.board = f.board THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END >= 0.62 THEN 5 END,
+                'score': CASE WHEN c.key = f.key OR c.institution = f.inst AND (c.h = f.h OR c.u = f.u) OR c.number = f.number AND {_JACCARD.format("c.it", "f.it")} >= 0.34 THEN 0.0::DOUBLE
+                ELSE -({_JACCARD.format("c.nt", "f.nt")} + CASE WHEN c.board = f.board THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END) END, 'seen': f.seen, 'id': f.id}}), lambda x: x.rule IS NOT NULL))[1] AS best
+            FROM r JOIN o c ON c.grp = r.grp AND c.pos = r.pos + 1))
+    SELECT draft, known, reason FROM r""")
+def batch_matches(spark, sf):
+    """All orders as drafts of one batch, in order: each founds an opportunity or belongs to an earlier one."""
+    o = opp(spark, sf).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), "institution", "name", "number", "published", F.col("employment_type").alias("board"),
+                              F.concat("institution", F.lit("/u"), F.col("id") % 97).alias("url"), F.concat("institution", F.lit("/h"), F.col("id") % 211).alias("document_hash"), F.col("start").alias("first_seen"))
+    none = o.limit(0).withColumn("urls", F.array("url")).withColumn("hashes", F.array("document_hash"))
+    return resolve.match_batch(o, none)
+
+
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """Field values of a customer's orders as documents of one entity, with their authority."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select(

@@ -10,7 +10,7 @@ from tidemark.functions import score, urls
 from tidemark.operators import health, history, registry
 from tidemark.plans.relational import NOW, _RUNS, _STATES, att, line, q, src, watchdog
 from tidemark.sources import pages, sinks, store
-from tidemark.streaming import ingest
+from tidemark.streaming import circuit, ingest
 
 
 def _events(spark, sf):
@@ -167,3 +167,23 @@ def attempts_by_hour(spark, sf):
     """The streaming windows over the whole log as a batch."""
     got = ingest.attempts_by_window(att(spark, sf).withColumnRenamed("moment", "at"))
     return got.select("source_id", F.col("window.start").alias("hour"), "attempts", "failures")
+
+
+@q("a06_circuit_stream", f"WITH {_STATES} SELECT source_id, seq, CAST(streak AS BIGINT) AS streak, drifts, state FROM line")
+def circuit_stream(spark, sf):
+    """The timeline again, as a stream over the log with keyed state and timers. A source that ends all others, far in
+    the future, lets the watermark pass the log; its own row is left out."""
+    columns = ("source_id", "at", "seq", "success", "found", "status", "expected_min")
+    log = att(spark, sf).withColumnRenamed("moment", "at").select(*columns)
+    end = spark.createDataFrame([("end", datetime(2100, 1, 1), 0, True, 1, 200, 0)], log.schema)
+    source, out = store.place(spark, "attempts"), store.place(spark, "circuit")
+    log.union(end).write.parquet(source)
+    was = spark.conf.get(circuit.SETTING)
+    spark.conf.set(circuit.SETTING, circuit.PROVIDER)
+    try:
+        rows = circuit.circuit(spark.readStream.schema(log.schema).parquet(source), late="0 seconds")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(circuit.SETTING, was)
+    return spark.read.schema(circuit.ROWS).parquet(out).where("kind = 'attempt' and source_id <> 'end'").select(
+        "source_id", "seq", F.col("streak").cast("long").alias("streak"), F.col("drift").isNotNull().alias("drifts"), "state")

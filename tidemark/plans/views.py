@@ -91,5 +91,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views it names in front."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
+    if not used:
+        return sql
     parts = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
-    return f"WITH {parts}{', ' if parts and sql.lstrip().lower().startswith('with ') else ' '}{sql.lstrip()[5:] if sql.lstrip().lower().startswith('with ') and parts else sql}" if parts else sql
+    head = re.match(r"(?i)\s*with( recursive)?\s", sql)
+    return f"WITH{head[1] or ''} {parts}, {sql[head.end():]}" if head else f"WITH {parts} {sql}"

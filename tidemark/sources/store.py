@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,16 +15,28 @@ TABLES = ("sources", "source_health", "monitor_runs", "source_runs", "documents"
           "system_events", "tracking")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """A table that several branches of one plan read, written once to the folder all executors share
-    (``spark.checkpoint.dir``); a session of one machine that names none gets a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not (context.master or "").startswith("local["):
+def shared(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``); a session of one machine that names none gets a
+    temporary one, a cluster without it is refused."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if (spark.sparkContext.master or "").partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def place(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """A table that several branches of one plan read, written once to the shared folder: lineage ends there."""
+    path = place(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
