@@ -185,33 +185,35 @@ def match_batch(drafts: DataFrame, known: DataFrame, rounds: int = 200) -> DataF
     and no earlier founder is a founder itself ('new', known is null); every other one belongs to the best match among
     stored opportunities and earlier founders, in the rules' order.
 
-    Founders are found in rounds over all drafts at once. A draft with an earlier founder beside it is none; one without an
-    undecided or founding draft before it is one; the others wait. Rounds go over hubs, so a key that a third of all
+    Founders are found in rounds over all drafts at once: drafts beside an earlier founder of the last round drop out, then
+    those without an undecided draft before them are founders; the others wait. Rounds go over hubs, so a key that a third of all
     drafts share costs a minimum, not pairs; every hub has one founder at most. The number of rounds is the
     longest chain of drafts that wait for each other, a few in practice; beyond ``rounds`` an error is raised.
     """
     d = staged(_seen(drafts.select("id", "seq", "first_seen", "institution", "name", "number", "published", "board", "url", "document_hash")))
     stored = staged(_matches(drafts, known))
     members, links = _hubs(d)
-    state = staged(d.select("id", "seq").join(stored.select("id"), "id", "left_anti").withColumn("founder", F.lit(None).cast("boolean")))
+    state, found = d.select("id", "seq").join(stored.select("id"), "id", "left_anti"), None
 
     def nearest(rows: DataFrame, name: str) -> DataFrame:
         """(rule, hub, name): the earliest of ``rows`` (id, seq) in the hubs linked with each hub."""
         least = members.join(rows.select("id"), "id").groupBy("rule", "hub").agg(F.min("seq").alias(name)).withColumnRenamed("hub", "other")
         return links.join(least, ["rule", "other"]).groupBy("rule", "hub").agg(F.min(name).alias(name))
 
+    founders = None
     for _ in range(rounds):
-        open_ = state.where("founder is null")
-        if not open_.limit(1).count():
+        left = state if founders is None else state.join(
+            members.join(state, ["id", "seq"]).join(nearest(founders, "founded"), ["rule", "hub"]).where("founded < seq").select("id").distinct(), "id", "left_anti").join(founders.select("id"), "id", "left_anti")
+        left = staged(left)
+        if not left.limit(1).count():
             break
-        near = nearest(open_, "waiting").join(nearest(state.where("founder"), "founded"), ["rule", "hub"], "full")
-        before = members.join(open_.select("id"), "id").join(near, ["rule", "hub"], "left").groupBy("id").agg(F.min("waiting").alias("waiting"), F.min("founded").alias("founded"))
-        decided = F.when(F.col("founded") < F.col("seq"), False).when(F.coalesce(F.col("waiting") >= F.col("seq"), F.lit(True)), True)
-        state = staged(open_.join(before, "id", "left").select("id", "seq", decided.alias("founder")).union(state.where("founder is not null")))
+        blocked = members.join(left, ["id", "seq"]).join(nearest(left, "waiting"), ["rule", "hub"]).where("waiting < seq").select("id").distinct()
+        founders = staged(left.join(blocked, "id", "left_anti"))
+        found, state = founders if found is None else found.union(founders), left
     else:
         raise RuntimeError("drafts of this batch wait for each other in longer chains than rounds")
 
-    founders = state.where("founder").select("id", "seq").join(d.select("id", "first_seen"), "id")
+    founders = (d.limit(0) if found is None else found).select("id", "seq").join(d.select("id", "first_seen"), "id")
     by_hub = members.join(founders.select(F.col("id").alias("kid"), F.col("seq").alias("kseq"), F.col("first_seen")), F.col("id") == F.col("kid")).select("rule", F.col("hub").alias("other"), "kid", "kseq", "first_seen")
     order = F.create_map(*[F.lit(x) for r, (n, _) in RULES.items() for x in (r, n)])
     reason = F.create_map(*[F.lit(x) for r, (_, t) in RULES.items() for x in (r, t)])

@@ -69,9 +69,10 @@ _JACCARD = "len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_conca
 
 
 @q("e05_batch_cascade", f"""WITH RECURSIVE o AS (SELECT CAST(id AS VARCHAR) AS id, start AS seen, number, year(published) AS y, employment_type AS board, id % 97 AS u, id % 211 AS h, it, nt,
-        CASE WHEN institution LIKE '%UNITED%' THEN 'UNITED' ELSE institution END AS grp, institution, CASE WHEN number IS NOT NULL THEN concat(k, ':edital:', number) ELSE concat(k, ':', coalesce(year(published), 1900), ':', array_to_string(nt, '-')) END AS key,
-        row_number() OVER (PARTITION BY CASE WHEN institution LIKE '%UNITED%' THEN 'UNITED' ELSE institution END ORDER BY id) AS pos
-        FROM (SELECT *, {_TOKENS.format("institution")} AS it, {_TOKENS.format("name")} AS nt, concat('prefeitura-', replace(lower(substr(institution, 25)), ' ', '-')) AS k FROM v_opportunity)),
+        grp, institution, CASE WHEN number IS NOT NULL THEN concat(k, ':edital:', number) ELSE concat(k, ':', coalesce(year(published), 1900), ':', array_to_string(nt, '-')) END AS key,
+        row_number() OVER (PARTITION BY grp ORDER BY id) AS pos
+        FROM (SELECT *, {_TOKENS.format("institution")} AS it, {_TOKENS.format("name")} AS nt, concat('prefeitura-', grp) AS k FROM (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN concat('Prefeitura Municipal de ', grp) ELSE concat('Prefeitura de ', grp) END AS institution)
+            FROM (SELECT *, translate(replace(institution, 'Prefeitura Municipal de NATION_', 'city'), '0123456789', 'abcdefghij') AS grp FROM v_opportunity)))),
     r AS (SELECT grp, pos, id AS draft, CAST(NULL AS VARCHAR) AS known, 'new' AS reason, [{{'id': id, 'seen': seen, 'number': number, 'y': y, 'board': board, 'u': u, 'h': h, 'it': it, 'nt': nt, 'inst': institution, 'key': key}}] AS founders FROM o WHERE pos = 1
         UNION ALL SELECT grp, pos, id, best.id, coalesce(['dedup_key', 'document_hash', 'url', 'edital_number', 'similarity'][best.rule], 'new'),
             CASE WHEN best IS NULL THEN list_append(founders, {{'id': id, 'seen': seen, 'number': number, 'y': y, 'board': board, 'u': u, 'h': h, 'it': it, 'nt': nt, 'inst': institution, 'key': key}}) ELSE founders END
@@ -84,7 +85,9 @@ _JACCARD = "len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_conca
     SELECT draft, known, reason FROM r""")
 def batch_matches(spark, sf):
     """All orders as drafts of one batch, in order: each founds an opportunity or belongs to an earlier one."""
-    o = opp(spark, sf).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), "institution", "name", "number", "published", F.col("employment_type").alias("board"),
+    city = F.translate(F.replace("institution", F.lit("Prefeitura Municipal de NATION_"), F.lit("city")), "0123456789", "abcdefghij")
+    body = F.concat(F.when(F.col("id") % 2 == 0, "Prefeitura Municipal de ").otherwise("Prefeitura de "), city)
+    o = opp(spark, sf).withColumn("institution", body).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), "institution", "name", "number", "published", F.col("employment_type").alias("board"),
                               F.concat("institution", F.lit("/u"), F.col("id") % 97).alias("url"), F.concat("institution", F.lit("/h"), F.col("id") % 211).alias("document_hash"), F.col("start").alias("first_seen"))
     none = o.limit(0).withColumn("urls", F.array("url")).withColumn("hashes", F.array("document_hash"))
     return resolve.match_batch(o, none)
