@@ -369,3 +369,39 @@ def test_drafts_of_a_batch_found_opportunities_in_order(spark):
             founders.append(x)
     assert got == want and len(founders) > 5 and len({v[1] for v in want.values()}) == 6
     assert resolve.match_batch(d.limit(0), k).count() == 0
+
+
+def test_index_equals_searching_every_text(spark):
+    """Words of all lengths, in all places, over lists of one block and of many; the plan has no nested loop."""
+    from tidemark.operators import index
+
+    rng = random.Random(6)
+    texts = {f"p{i:04d}": " ".join("".join(rng.choices("abcé1", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 7))) for i in range(400)} | {"none": None}
+    asked = {i: [rng.choice(["a", "b1", "abc", "é", "cab1", "zz", "1a1a", "bcé1"]) for _ in range(rng.randint(1, 3))] for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "position string, hay string")
+    wanted = spark.createDataFrame(list(asked.items()), "request long, words array<string>")
+    expected = {(r, p) for r, ws in asked.items() for p, t in texts.items() if t is not None and all(w in t for w in ws)}
+    for kept in (index.build(df, "position", "hay"), index.build(df, "position", "hay", index.asked_grams(wanted).select("gram").distinct())):
+        found = index.lookup(kept, wanted)
+        assert {(r.request, r.key) for r in found.collect()} == expected
+        assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    was = index.LIST
+    index.LIST = 32
+    try:
+        small = index.build(df, "position", "hay")
+        assert small.postings.agg(F.max("n")).first()[0] < 80 and {(r.request, r.key) for r in index.lookup(small, wanted).collect()} == expected
+    finally:
+        index.LIST = was
+
+
+def test_search_pages_by_word_prefix_and_no_term(spark):
+    rows = [(f"{i:08x}-p", f"agente {'fiscal' if i % 3 == 0 else 'escolar'} {i}", "orgao", "edital", i % 2 == 0, i % 7, date(2026, 1, 1) + timedelta(days=i % 5) if i % 4 else None) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "position string, cargo string, institution string, name string, eligible boolean, score int, deadline date")
+    asked = [(1, "fisc agente --pagina 2"), (2, "0000001a"), (3, ""), (4, " --pagina 3"), (5, "zebra"), (6, "fiscal --pagina 0")]
+    got = {}
+    for r in serve.search(spark.createDataFrame(asked, "request int, argument string"), pairs).collect():
+        got.setdefault(r.request, []).append((r.n, r.total, r.position))
+    order = sorted(rows, key=lambda r: (not r[4], -r[5], r[6] is None, r[6] or date.max, r[0]))
+    page = lambda chosen, k: [(n, len(chosen), r[0]) for n, r in enumerate(chosen, 1) if (k - 1) * 5 < n <= k * 5]
+    fiscal = [r for r in order if "fiscal" in r[1]]
+    assert {k: sorted(v) for k, v in got.items()} == {1: page(fiscal, 2), 2: [(1, 1, "0000001a-p")], 3: page(order, 1), 4: page(order, 3)}

@@ -7,13 +7,14 @@ expressions serve a stream through foreachBatch. No request is executed one by o
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import present
 from tidemark.functions.text import has_any, normalise, utf16_units
+from tidemark.operators import index
+from tidemark.sources.store import staged
 
 #: Commands, and plain phrases that mean one.
 COMMANDS = ("vagas", "meus", "prazos", "status", "fontes", "buscar", "cargo", "historico", "nota", "esquecer", "salvar", "inscrito", "descartar", "ajuda")
@@ -29,7 +30,8 @@ QUESTION_STOPWORDS = (
 FACTS = (("salary", ("salario", "ganha", "remuneracao")), ("weekly", ("jornada", "horas", "carga horaria")), ("exam", ("prova",)), ("fee", ("taxa",)),
          ("deadline", ("inscricao", "inscricoes", "prazo")), ("location", ("lotacao", "onde")))
 PAGE_SIZE = 5
-REQUESTS = 5000      # of a block that is sent to all positions
+#: What a summary reads.
+SUMMARY = ("cargo", "institution", "eligible", "state", "salary", "weekly", "start", "deadline")
 
 
 def route(text: Column) -> Column:
@@ -68,54 +70,124 @@ def page_request(argument: Column) -> Column:
 
 
 def haystack(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the normal form that searches look into, computed once."""
-    return pairs.withColumn("hay", normalise(F.concat_ws(" ", "cargo", "institution", "name")))
+    """What searches read of ``pairs``, written once: position, hay (the normal form they look into), and what ranks."""
+    hay = normalise(F.concat_ws(" ", "cargo", "institution", "name"))
+    return staged(pairs.select("position", hay.alias("hay"), "eligible", "score", "deadline", *[c for c in ("accepting",) if c in pairs.columns]))
 
 
-def search(requests: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(request, n, total, position): the rows of the page each request (request, argument) asks for.
+def indexed(looked: DataFrame, only: DataFrame | None = None) -> index.Index:
+    """The index that searches of a :func:`haystack` read; kept, it serves any number of batches. ``only`` restricts it
+    to grams."""
+    return index.build(looked.select("position", "hay"), "position", "hay", only, written=True)
 
-    All words of the term must occur; an identifier prefix of eight characters or more matches alone.
-    Words are looked for inside others, so no key joins the two sides: requests are counted, and a block
-    of at most REQUESTS is sent to the positions at a time; each block is one pass over them.
-    """
-    asked = requests.select("request", page_request(F.col("argument")).alias("p")).select("request", normalise(F.col("p.term")).alias("term"), F.col("p.term").alias("raw"), F.col("p.page").alias("page"))
-    words = F.filter(F.split("term", " "), lambda w: w != "")
-    by_id = (F.length("raw") >= 8) & F.startswith("position", F.col("raw"))
-    blocks = max(1, -(-asked.count() // REQUESTS))
-    looked = haystack(pairs)
-    hit = reduce(DataFrame.union, [looked.join(F.broadcast(asked.where(F.pmod(F.xxhash64("request"), F.lit(blocks)) == b)), by_id | F.forall(words, lambda w: F.contains("hay", w))) for b in range(blocks)])
-    order = Window.partitionBy("request").orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
-    counted = hit.select("request", "page", "position", F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("request")).alias("total"))
-    return counted.where((F.col("n") > (F.col("page") - 1) * PAGE_SIZE) & (F.col("n") <= F.col("page") * PAGE_SIZE)).select("request", "n", "total", "position")
 
+def _holding(asked: DataFrame, pairs: DataFrame, kept: index.Index | None) -> DataFrame:
+    """(request, position) of the positions that hold all words of ``asked`` (request, words, not empty)."""
+    asked = staged(asked.select("request", "words"))
+    if kept is None and not asked.limit(1).count():
+        return asked.select("request", F.lit(None).cast("string").alias("position")).limit(0)
+    return index.lookup(kept or indexed(pairs, index.asked_grams(asked).select("gram").distinct()), asked).withColumnRenamed("key", "position")
 
-def _looked_up(asked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``asked`` (request, words: an array that is not empty) with every position that holds all words."""
-    blocks = max(1, -(-asked.count() // REQUESTS))
-    looked = haystack(pairs)
-    fits = F.forall("words", lambda w: F.contains("hay", w))
-    return reduce(DataFrame.union, [looked.join(F.broadcast(asked.where(F.pmod(F.xxhash64("request"), F.lit(blocks)) == b)), fits) for b in range(blocks)])
+
+def _ranked(hit: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``hit`` (request, position) with each position's place among the request's, and their number."""
+    order = Window.partitionBy("request").orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
+    rows = hit.join(pairs.select("position", "eligible", "score", "deadline"), "position")
+    return rows.select("request", "position", F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("request")).alias("total"))
 
 
-def answered(questions: DataFrame, pairs: DataFrame, choices: int = PAGE_SIZE) -> DataFrame:
+def search(requests: DataFrame, pairs: DataFrame, kept: index.Index | None = None) -> DataFrame:
+    """(request, n, total, position): the rows of the page each request (request, argument) asks for.
+
+    All words of the term must occur, inside other words too; an identifier prefix of eight characters or more matches
+    alone; no term means all positions. Words are looked up in an index (``kept``, or one of the grams
+    asked for), prefixes by their first eight characters, and requests without a term share one order.
+    """
+    pairs = haystack(pairs)
+    asked = requests.select("request", page_request(F.col("argument")).alias("p")).select("request", normalise(F.col("p.term")).alias("term"), F.col("p.term").alias("raw"), F.col("p.page").alias("page"))
+    asked = staged(asked.select("request", "raw", "page", F.filter(F.split("term", " "), lambda w: w != "").alias("words")))
+    words = _holding(asked.where(F.size("words") > 0), pairs, kept)
+    heads = asked.where(F.length("raw") >= 8).select("request", "raw", F.substring("raw", 1, 8).alias("head"))
+    by_id = pairs.select("position", F.substring("position", 1, 8).alias("head")).join(heads, "head").where(F.startswith("position", F.col("raw"))).select("request", "position")
+    ranked = _ranked(words.union(by_id).distinct(), pairs).join(asked.select("request", "page"), "request")
+    paged = ranked.where((F.col("n") > (F.col("page") - 1) * PAGE_SIZE) & (F.col("n") <= F.col("page") * PAGE_SIZE)).select("request", "n", "total", "position")
+    general = asked.where((F.size("words") == 0) & F.col("page").isNotNull()).select("request", "page")
+    last = general.agg(F.max("page")).first()[0]
+    if last is None:
+        return paged
+    top = pairs.orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position").limit(last * PAGE_SIZE)  # the pages asked for, and no more
+    order = Window.orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
+    total = pairs.count()
+    rows = top.select("position", F.row_number().over(order).alias("n")).withColumn("page", F.ceil(F.col("n") / PAGE_SIZE).cast("int"))
+    return paged.union(general.join(rows, "page").select("request", "n", F.lit(total).cast("long").alias("total"), "position"))
+
+
+def answered(questions: DataFrame, pairs: DataFrame, choices: int = PAGE_SIZE, kept: index.Index | None = None) -> DataFrame:
     """(request, fact, answer, positions) of factual questions (request, text): the card of the one position
     that a question names, a choice of the best few if it names several, else none. A question that names
     none is about the positions that still accept candidates; nothing is guessed."""
+    pairs = haystack(pairs)
     asked = questions.select("request", asked_fact(F.col("text")).alias("fact"), subject(F.col("text")).alias("words")).where("fact is not null")
-    named = _looked_up(asked.where(F.size("words") > 0), pairs)
+    ranked = _ranked(_holding(asked.where(F.size("words") > 0), pairs, kept), pairs).where(F.col("n") <= choices)
     open_ = pairs.where(F.col("eligible") & F.col("accepting")).orderBy(F.desc("score"), F.asc_nulls_last("deadline"), "position")
-    few = open_.limit(choices + 1).agg(F.collect_list("position").alias("all"))      # choices + 1 rows at most
-    order = Window.partitionBy("request").orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
-    ranked = named.select("request", "position", F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("request")).alias("total")).where(F.col("n") <= choices)
+    few = [r.position for r in open_.select("position", "score", "deadline").limit(choices + 1).collect()]      # choices + 1 rows
     hits = ranked.groupBy("request").agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("n", "position"))), lambda x: x["position"]).alias("positions"))
-    general = asked.where(F.size("words") == 0).crossJoin(F.broadcast(few)).select("request", "fact", F.size("all").cast("long").alias("total"), F.slice("all", 1, choices).alias("positions"))
+    general = asked.where(F.size("words") == 0).select("request", "fact", F.lit(len(few)).cast("long").alias("total"), F.array(*[F.lit(p) for p in few[:choices]]).cast("array<string>").alias("positions"))
     special = asked.where(F.size("words") > 0).join(hits, "request", "left").select("request", "fact", F.coalesce("total", F.lit(0)).alias("total"), "positions")
     both = special.union(general)
     kind = F.when(F.col("total") == 0, "none").when(F.col("total") == 1, "card").otherwise("choices")
     return both.select("request", "fact", kind.alias("answer"), F.coalesce("positions", F.array().cast("array<string>")).alias("positions"))
 
 
+#: Fixed values of a model's context: positions that accept candidates, positions that a question cites, letters from
+#: which a word alone may cite, characters.
+CONTEXT_OPEN, CONTEXT_CITED, CITING, CONTEXT_CHARS = 10, 6, 4, 24_000
+
+
+def cited(questions: DataFrame, pairs: DataFrame, most: int = CONTEXT_CITED, kept: index.Index | None = None) -> DataFrame:
+    """(request, position, n) of the positions (a :func:`haystack`) that a question (request, text) seems to mention, best
+    first: those that hold all its words, or where none does, those of its longer words one after another, each once."""
+    asked = staged(questions.select("request", subject(F.col("text")).alias("words")).where(F.size("words") > 0))
+    order = [F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position"]
+    rank = pairs.select("position", "eligible", "score", "deadline")
+    whole = _holding(asked, pairs, kept).join(rank, "position").withColumn("n", F.row_number().over(Window.partitionBy("request").orderBy(*order))).where(F.col("n") <= most).select("request", "position", "n")
+    whole = staged(whole)
+    single = staged(asked.join(whole.select("request"), "request", "left_anti").select("request", F.posexplode("words").alias("place", "word")).where(F.length("word") >= CITING))
+    words = single.select("word").distinct()
+    held = _holding(words.select(F.col("word").alias("request"), F.array("word").alias("words")), pairs, kept).withColumnRenamed("request", "word").join(rank, "position")
+    # an ordered union of ``most`` takes at most twice as many of each word: the others may repeat earlier ones
+    first = held.withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("k") <= 2 * most).select("word", "position", "k")
+    each = single.join(first, "word").groupBy("request", "position").agg(F.min(F.struct("place", "k")).alias("at"))
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("request").orderBy("at", "position"))).where(F.col("n") <= most)
+    return whole.union(ranked.select("request", "position", "n"))
+
+
+def context(questions: DataFrame, pairs: DataFrame, chars: int = CONTEXT_CHARS, kept: index.Index | None = None) -> DataFrame:
+    """(request, positions, context) of free questions (request, text): what a model is told, and nothing else.
+
+    First the best positions that accept candidates, then those the question cites, each once; summaries are joined
+    in this order while they fit into ``chars`` characters.
+    """
+    looked = haystack(pairs)
+    open_ = looked.where(F.col("eligible") & F.col("accepting")).orderBy(F.desc("score"), F.asc_nulls_last("deadline"), "position")
+    few = [r.position for r in open_.select("position", "score", "deadline").limit(CONTEXT_OPEN).collect()]      # CONTEXT_OPEN rows
+    best = questions.select("request", F.posexplode(F.array(*[F.lit(p) for p in few]).cast("array<string>")).alias("n", "position")).select("request", "position", "n")
+    rest = cited(questions, looked, kept=kept).where(~F.col("position").isin(few)).select("request", "position", (F.col("n") + CONTEXT_OPEN).alias("n"))
+    chosen = staged(best.union(rest))
+    said = pairs.join(F.broadcast(chosen.select("position").distinct()) if chosen.count() <= index.SMALL else chosen.select("position").distinct(), "position", "left_semi")
+    lines = chosen.join(said.select("position", summary({c: F.col(c) for c in SUMMARY}).alias("said")), "position").groupBy("request").agg(F.array_sort(F.collect_list(F.struct("n", "position", "said"))).alias("all"))
+    zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<position:string,said:string>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = a["used"] + F.length(x["said"]) + 2
+        fits = (now <= chars + 2) & (a["used"] >= 0)
+        return F.struct(F.when(fits, now).otherwise(-1).alias("used"), F.when(fits, F.concat(a["out"], F.array(F.struct(x["position"].alias("position"), x["said"].alias("said"))))).otherwise(a["out"]).alias("out"))
+
+    out = lines.select("request", F.aggregate("all", zero, step)["out"].alias("out"))
+    return questions.select("request").join(out, "request", "left").select(
+        "request", F.coalesce(F.col("out.position"), F.array().cast("array<string>")).alias("positions"), F.coalesce(F.array_join(F.col("out.said"), "\n\n"), F.lit("")).alias("context"))
+
+
 def noted(requests: DataFrame, positions: DataFrame, tracking: DataFrame) -> DataFrame:
     """(request, position, status, note) of notes (request, argument: a code and a text): the code is the
     beginning, of eight characters or more, of one position's identifier; a position without a decision

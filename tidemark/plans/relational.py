@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.score import TERMINAL, accepting, effective_status, evaluate, rank
-from tidemark.functions.text import normalise
+from tidemark.functions.text import normalise, plain
 from tidemark.operators import health, outbox, registry
 from tidemark.plans.views import TODAY, view
 
@@ -151,10 +151,14 @@ def next_deadlines(spark, sf):
 
 @q("q08_position_search", "SELECT position, cargo, institution FROM v_position JOIN v_opportunity ON id = opportunity WHERE contains(lower(concat(cargo, ' ', institution, ' ', name)), 'red') AND contains(lower(concat(cargo, ' ', institution, ' ', name)), 'prefeitura')")
 def search(spark, sf, term: str = "Red, PREFEITURA"):
-    both = view(spark, sf, "v_position").join(opp(spark, sf), F.col("id") == F.col("opportunity"))
-    words = F.split(normalise(F.lit(term)), " ")
-    hay = normalise(F.concat_ws(" ", "cargo", "institution", "name"))
-    return both.withColumn("hay", hay).where(F.forall(words, lambda w: F.col("hay").contains(w))).select("position", "cargo", "institution")
+    """A word has no spaces, so it is in the whole normal form if it is in that of a part: each side of the join
+    is brought to normal form once, and only tells which words it holds."""
+    words = plain(term).split()
+    held = lambda: F.array(*[F.contains(F.col("n"), F.lit(w)) for w in words])
+    mine = view(spark, sf, "v_position").select("opportunity", "position", "cargo", normalise(F.col("cargo")).alias("n")).select("*", held().alias("a")).drop("n")
+    theirs = opp(spark, sf).select("id", "institution", normalise(F.concat_ws(" ", "institution", "name")).alias("n")).select("*", held().alias("b")).drop("n")
+    both = mine.join(theirs, F.col("id") == F.col("opportunity"))
+    return both.where(F.forall(F.zip_with("a", "b", lambda x, y: x | y), lambda x: x)).select("position", "cargo", "institution")
 
 
 @q("q09_version_history", """WITH h AS (SELECT doc_id, url, sha256(coalesce(text, '')) AS s FROM v_version), f AS (SELECT url, s, min(doc_id) AS doc_id FROM h GROUP BY url, s)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import registry, serve
 from tidemark.functions import present
+from tidemark.functions.score import accepting
 from tidemark.plans.relational import NOW, _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RUNS, _STATES, _SURE, line, pairs, q, src, watchdog
 from tidemark.plans.views import TODAY
 from tidemark.sources import sinks
@@ -107,3 +108,21 @@ def candidates(spark, sf):
     s = src(spark, sf)
     offered = s.where("priority > 20").select(F.concat(F.lit("new"), "id").alias("id")).union(s.select("id"))
     return registry.register_candidates(offered, s).select("id", "trust_level", "trust_status")
+
+
+@q("b_context", f"""WITH {_PAIRS}, q AS (SELECT * FROM (VALUES (1, ['red', 'anvil']), (2, ['anvil', 'red', 'small', 'zz']), (3, ['astronauta']), (4, [])) t(request, words)),
+    w AS (SELECT *, lower(concat(cargo, ' ', institution, ' ', name)) AS hay, {_summary('• ', '~')} AS said, row_number() OVER (ORDER BY eligible DESC, score DESC, deadline ASC NULLS LAST, position) AS place,
+        eligible AND state NOT IN ('CANCELLED', 'SUSPENDED', 'HOMOLOGATED', 'EXPIRED', 'REGISTRATION_CLOSED', 'EXAM_SCHEDULED') AND coalesce(deadline >= DATE '1998-06-15', true) AS fits FROM pairs),
+    few AS (SELECT position, place, row_number() OVER (ORDER BY place) AS n FROM w WHERE fits QUALIFY n <= 10),
+    whole AS (SELECT request, position, row_number() OVER (PARTITION BY request ORDER BY place) AS n FROM q, w WHERE len(words) > 0 AND len(list_filter(words, lambda x: NOT contains(hay, x))) = 0),
+    single AS (SELECT request, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM q WHERE request NOT IN (SELECT request FROM whole)),
+    each AS (SELECT request, position, min({{'k': k, 'place': place}}) AS spot FROM single, w WHERE length(word) >= 4 AND contains(hay, word) GROUP BY ALL),
+    cited AS (SELECT * FROM whole WHERE n <= 6 UNION ALL SELECT request, position, row_number() OVER (PARTITION BY request ORDER BY spot) AS n FROM each QUALIFY n <= 6),
+    picked AS (SELECT request, position, n FROM q, few UNION ALL SELECT request, position, n + 10 FROM cited WHERE position NOT IN (SELECT position FROM few)),
+    sized AS (SELECT request, position, n, said, sum(length(said) + 2) OVER (PARTITION BY request ORDER BY n) AS used FROM picked JOIN w USING (position))
+    SELECT q.request, coalesce(string_agg(position, ',' ORDER BY n), '') AS positions, replace(coalesce(string_agg(said, '~~' ORDER BY n), ''), '~', chr(10)) AS context FROM q LEFT JOIN sized ON sized.request = q.request AND used <= 2402 GROUP BY q.request""")
+def contexts(spark, sf):
+    """What a model is told of free questions: all words found, some found one after another, none found, no word."""
+    asked = spark.createDataFrame([(1, "Vale a pena o RED anvil?"), (2, "Qual a diferença entre anvil, red, small e zz"), (3, "E o astronauta?"), (4, "Qual?")], "request int, text string")
+    p = pairs(spark, sf).withColumn("accepting", accepting(F.col("state"), F.col("deadline"), TODAY))
+    return serve.context(asked, p, chars=2400).select("request", F.array_join("positions", ",").alias("positions"), "context")
