@@ -75,10 +75,11 @@ def local_time(moment: Column, zone: str) -> Column:
     return F.date_format(F.from_utc_timestamp(moment, zone), "dd/MM/yyyy HH:mm")
 
 
-def utc_cron(local: str, zone: str, day: str = "2026-09-14") -> Column:
-    """A local HH:MM as a daily UTC cron line, by the zone's offset on ``day``."""
-    at = F.to_utc_timestamp(F.to_timestamp(F.lit(f"{day} {local}")), zone)
-    return F.concat_ws(" ", F.minute(at).cast("string"), F.hour(at).cast("string"), F.lit("* * *"))
+def utc_cron(local: Column | str, zone: str, day: str = "2026-09-14") -> Column:
+    """A local HH:MM as a daily UTC cron line, by the zone's offset on ``day``; null for what is no time."""
+    said = F.lit(local) if isinstance(local, str) else local
+    at = F.to_utc_timestamp(F.try_to_timestamp(F.concat(F.lit(f"{day} "), said), F.lit("yyyy-MM-dd HH:mm")), zone)
+    return F.when(at.isNotNull(), F.concat_ws(" ", F.minute(at).cast("string"), F.hour(at).cast("string"), F.lit("* * *")))
 
 
 def truncate(message: Column, limit: int = MESSAGE_UNITS) -> Column:

@@ -18,6 +18,8 @@ from tidemark.sources import store
 LONGEST, LIST = 3, 65_536
 #: Counted rows up to which grams and requests are broadcast.
 SMALL = 200_000
+#: Asked grams up to which each is looked for in every text.
+FEW = 200
 
 
 def grams(text: Column, lengths: tuple[int, ...] = (1, 2, 3)) -> Column:
@@ -47,8 +49,13 @@ def build(texts: DataFrame, key: str, hay: str, only: DataFrame | None = None, w
     rows = texts.select(F.col(key).alias("key"), F.col(hay).alias("hay"))
     rows = rows if written else store.staged(rows)
     blocks = max(1, -(-rows.count() // LIST))
-    each = rows.where("hay is not null").select("key", F.explode(grams(F.col("hay"))).alias("gram"))
-    if only is not None:
+    few = [] if only is None else [r.gram for r in only.limit(FEW + 1).collect()]      # FEW + 1 rows at most
+    if 0 < len(few) <= FEW:
+        # some grams are sooner looked for in a text than picked out of all of its grams
+        each = rows.select("key", F.explode(F.filter(F.array(*[F.lit(g) for g in few]), lambda g: F.contains("hay", g))).alias("gram"))
+    else:
+        each = rows.where("hay is not null").select("key", F.explode(grams(F.col("hay"))).alias("gram"))
+    if len(few) > FEW:
         each = each.join(F.broadcast(only) if only.count() <= SMALL else only, "gram", "left_semi")
     lists = each.groupBy("gram", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).agg(F.collect_set("key").alias("keys"))
     lists = lists.select("gram", "block", F.size("keys").alias("n"), "keys").repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")

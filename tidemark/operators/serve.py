@@ -71,7 +71,7 @@ def page_request(argument: Column) -> Column:
 
 def haystack(pairs: DataFrame) -> DataFrame:
     """What searches read of ``pairs``, written once: position, hay (the normal form they look into), and what ranks."""
-    hay = normalise(F.concat_ws(" ", "cargo", "institution", "name"))
+    hay = F.concat_ws(" ", *[normalise(F.col(c)) for c in ("cargo", "institution", "name")])
     return staged(pairs.select("position", hay.alias("hay"), "eligible", "score", "deadline", *[c for c in ("accepting",) if c in pairs.columns]))
 
 

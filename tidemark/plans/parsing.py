@@ -332,9 +332,12 @@ def tidy_tables(spark, sf):
     return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.transform(got, lambda r: F.array_join(r, "|")), "#").alias("cells"))
 
 
-@q("f51_utc_schedule", "SELECT '17 12 * * *' AS morning, '30 4 * * *' AS night")
+@q("f51_utc_schedule", """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN concat(event_id % 60, ' ', (event_id % 24 + 5) % 24, ' * * *') END AS western, CASE WHEN event_id % 10 <> 0 THEN concat((event_id % 60 + 30) % 60, ' ', (event_id % 24 + 18 + (event_id % 60 + 30) // 60) % 24, ' * * *') END AS eastern FROM events""")
 def cron(spark, sf):
-    return spark.range(1).select(present.utc_cron("07:17", "America/Rio_Branco").alias("morning"), present.utc_cron("23:30", "America/Rio_Branco").alias("night"))
+    """Every minute of a day in two zones, one of half an hour; nonsense has no line."""
+    e = F.col("event_id")
+    local = F.when(e % 10 != 0, F.format_string("%02d:%02d", e % 24, e % 60)).otherwise("25:61")
+    return _table(spark, sf, "events").select("event_id", present.utc_cron(local, "America/Rio_Branco").alias("western"), present.utc_cron(local, "Asia/Kolkata").alias("eastern"))
 
 
 @q("f52_lock_key")

@@ -245,9 +245,11 @@ def open_conflicts(spark, sf):
     return opp(spark, sf).agg(F.count_if(F.col("conflicts") > 0).alias("n"))
 
 
-@q("q23_sources_needing_issue", f"WITH {_STATES} SELECT id, state, CAST(streak AS BIGINT) AS streak FROM last JOIN v_source ON id = source_id WHERE streak >= 2 OR state = 'OPEN'")
+@q("q23_sources_needing_issue", f"WITH {_STATES} SELECT id, CAST(moment AS DATE) AS day, state, CAST(streak AS BIGINT) AS streak FROM line JOIN v_source ON id = source_id WHERE streak >= 2 OR state = 'OPEN' QUALIFY row_number() OVER (PARTITION BY id, CAST(moment AS DATE) ORDER BY moment DESC, seq DESC) = 1")
 def needing_issue(spark, sf):
-    return health.latest(line(spark, sf)).where("streak >= 2 or state = 'OPEN'").join(src(spark, sf), F.col("source_id") == F.col("id")).select("id", "state", F.col("streak").cast("long").alias("streak"))
+    """Sources that failed twice or more in a row, or whose circuit is open, as of the last such attempt of each day."""
+    bad = line(spark, sf).where("streak >= 2 or state = 'OPEN'").groupBy("source_id", F.to_date("at").alias("day")).agg(F.max_by(F.struct("state", "streak"), F.struct("at", "seq")).alias("last"))
+    return bad.join(src(spark, sf), F.col("source_id") == F.col("id")).select("id", "day", "last.state", F.col("last.streak").cast("long").alias("streak"))
 
 
 @q("q24_report_pairs", f"WITH {_PAIRS} SELECT id, position, score, workload, state FROM pairs WHERE eligible")

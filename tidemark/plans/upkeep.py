@@ -39,12 +39,12 @@ def recovery_requests(spark, sf):
     return registry.recovery_requests(src(spark, sf))
 
 
-@q("s11_recovered", """WITH a AS (SELECT user_id % 40 AS source_id, event_id % 7 AS step, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status, CASE WHEN event_id % 5 = 0 THEN event_id END AS link FROM events WHERE user_id % 40 < 35),
+@q("s11_recovered", """WITH a AS (SELECT user_id % 40 AS source_id, event_id % 7 AS step, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status, CASE WHEN event_id % 5 = 0 THEN event_id END AS link FROM events),
     b AS (SELECT source_id, step, min(link) AS link FROM a WHERE status = 200 AND link IS NOT NULL GROUP BY ALL)
     SELECT concat('s', source_id) AS source_id, CASE WHEN step < 5 THEN 'rss' ELSE 'sitemap' END AS method, concat('u', link) AS first FROM b QUALIFY step = min(step) OVER (PARTITION BY source_id)""")
 def recovered(spark, sf):
     """The first entrance that answers with links, by source."""
-    e = _events(spark, sf).where("user_id % 40 < 35").select(
+    e = _events(spark, sf).select(
         (F.col("user_id") % 40).alias("s"), (_e() % 7).cast("int").alias("step"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("status"), F.when(_e() % 5 == 0, _e()).alias("link"))
     answers = e.groupBy("s", "step", "status").agg(F.array_compact(F.array(F.min("link"))).alias("links")).select(
         F.concat(F.lit("s"), "s").alias("source_id"), "step", F.when(F.col("step") < 5, "rss").otherwise("sitemap").alias("method"), "status", F.transform("links", lambda v: F.concat(F.lit("u"), v)).alias("links"))
@@ -187,3 +187,18 @@ def circuit_stream(spark, sf):
         spark.conf.set(circuit.SETTING, was)
     return spark.read.schema(circuit.ROWS).parquet(out).where("kind = 'attempt' and source_id <> 'end'").select(
         "source_id", "seq", F.col("streak").cast("long").alias("streak"), F.col("drift").isNotNull().alias("drifts"), "state")
+
+
+@q("e07_log_versions", """WITH h AS (SELECT url, sha256(coalesce(text, '')) AS content_hash, doc_id FROM v_version), k AS (SELECT url, content_hash, max(doc_id) AS last, max(doc_id) FILTER (doc_id % 2 = 1) AS odd FROM h GROUP BY ALL)
+    SELECT url, content_hash, last AS doc_id, CAST(CASE WHEN odd = last THEN 1 ELSE 2 END AS BIGINT) AS version FROM k""")
+def log_versions(spark, sf):
+    """Documents written to the log in two commits, those with odd numbers first, then all: a key that is stored is written
+    again only under other metadata."""
+    from tidemark.plans.views import view
+    from tidemark.sources.versions import Log
+
+    rows = view(spark, sf, "v_version").select("url", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.format_string("%020d", "doc_id").alias("metadata_hash"), "doc_id")
+    log = Log(spark, store.place(spark, "log"))
+    log.append(rows.where("doc_id % 2 = 1"))
+    log.append(rows)
+    return log.current().select("url", "content_hash", "doc_id", F.col("_commit").alias("version"))
