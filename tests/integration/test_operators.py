@@ -204,15 +204,20 @@ def test_http_source_against_a_server(spark):
         assert got[refused].content is None and "allowed" in got[refused].error, refused
 
 
-def test_search_in_blocks(spark, monkeypatch):
+def test_search_by_any_index(spark, monkeypatch):
+    """Of the grams asked for, few or many, or kept for all requests."""
+    from tidemark.operators import index
+
     rows = [(f"p{i}", f"Agente {i % 3}", "Prefeitura", "Concurso", True, i, None) for i in range(30)]
     pairs = spark.createDataFrame(rows, "position string, cargo string, institution string, name string, eligible boolean, score int, deadline date")
     asked = spark.createDataFrame([(k, f"AGENTE {k % 3}") for k in range(9)], "request int, argument string")
     want = sorted(map(tuple, serve.search(asked, pairs).collect()))
-    monkeypatch.setattr(serve, "REQUESTS", 2)
+    assert len(want) == 45 and all(t == 10 for _, _, t, _ in want)
+    assert sorted(map(tuple, serve.search(asked, pairs, serve.indexed(serve.haystack(pairs))).collect())) == want
+    monkeypatch.setattr(index, "FEW", 0)
     plan = serve.search(asked, pairs)
-    assert sorted(map(tuple, plan.collect())) == want and len(want) == 45 and all(t == 10 for _, _, t, _ in want)
-    assert "CartesianProduct" not in plan._jdf.queryExecution().toString()
+    assert sorted(map(tuple, plan.collect())) == want
+    assert not any(x in plan._jdf.queryExecution().toString() for x in ("CartesianProduct", "NestedLoop"))
 
 
 def test_equal_values_by_field(spark):
