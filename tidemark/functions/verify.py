@@ -79,3 +79,12 @@ def _places(folded: Column, pattern: Column) -> Column:
     steps = F.zip_with(F.slice(parts, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("p"), F.length(h).alias("h")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(steps, zero, lambda acc, s: F.struct((acc["at"] + s["p"] + s["h"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + s["p"])).alias("out")))["out"]
+
+
+#: Outcomes of a check, in the order they are counted.
+OUTCOMES = ("CONFIRMED", "QUOTE_NOT_FOUND", "PARSER_DISAGREES", "REJECTED")
+
+
+def outcomes(status: Column) -> list[Column]:
+    """Aggregates that count checks by outcome; those that do not occur are 0, other statuses are not counted."""
+    return [F.count_if(status == name).alias(name.lower()) for name in OUTCOMES]

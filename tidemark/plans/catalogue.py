@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import entities, parsing, records, relational, serving, upkeep  # noqa: F401  (they add their queries)
+from tidemark.plans import entities, parsing, records, relational, reporting, serving, upkeep  # noqa: F401  (they add their queries)
 from tidemark.plans.views import with_views
 
 _ALL = relational.Q

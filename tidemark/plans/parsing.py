@@ -237,7 +237,14 @@ def claims(spark, sf):
     return notices(spark, sf).select("id", verify.verify("weekly_workload", proposed, quote, _body())["status"].alias("status"))
 
 
-@q("f47_focus_excerpt")
+@q("f47_focus_excerpt", """WITH d AS (SELECT doc_id, text, string_split(lower(text), 'license') AS parts FROM documents),
+    h AS (SELECT doc_id, text, unnest(list_transform(range(1, least(len(parts) - 1, 40) + 1), lambda i: list_sum(list_transform(list_slice(parts, 1, i), lambda x: length(x))) + 7 * (i - 1))) AS pos FROM d),
+    g AS (SELECT *, coalesce(pos - 600 > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 2400, true) AS opens FROM h),
+    i AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM g),
+    p AS (SELECT doc_id, island, least(length(any_value(text)), max(pos) + 2400) - greatest(min(pos) - 600, 0) AS size FROM i GROUP BY ALL),
+    u AS (SELECT doc_id, greatest(0, least(size, 22000 - coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS part FROM p),
+    e AS (SELECT doc_id, sum(part) + 7 * (count(*) FILTER (part > 0) - 1) AS n FROM u GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(e.n, least(length(text), 22000)) AS INT) AS n FROM documents LEFT JOIN e USING (doc_id)""")
 def excerpts(spark, sf):
     """The regions of every document around a name, whatever its length."""
     low = text.fold(_body())
