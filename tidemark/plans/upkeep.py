@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import score, urls
 from tidemark.operators import health, history, registry
 from tidemark.plans.relational import NOW, _RUNS, _STATES, att, line, q, src, watchdog
-from tidemark.sources import pages, sinks, store
+from tidemark.sources import pages, registry_file, sinks, store
 from tidemark.streaming import circuit, ingest
 
 
@@ -56,6 +56,21 @@ def registry_form(spark, sf):
     return registry.stored_form(src(spark, sf).select("id", "priority", "trust_level", "enabled"))
 
 
+@q("s01_registry_file", """SELECT id, name, institution, base_url, enabled, trust_level, CAST(CASE WHEN priority % 5 = 0 THEN -1 ELSE priority END AS BIGINT) AS priority, trust_status, array_to_string(CASE WHEN priority % 3 = 0 THEN [] ELSE [concat(id, '.example'), 'dois: "2"'] END, ' ') AS allowed_hosts,
+    concat('diz "', name, '": \\d+ # não ', chr(10), ' é') AS limitations, 'generic' AS adapter, CAST(max_documents AS INT) AS max_documents FROM v_source""")
+def registry_in_files(spark, sf):
+    """The registry written as YAML and read again: quotes, line ends, empty lists, nulls, and what a file does not name."""
+    p = F.col("priority")
+    rows = src(spark, sf).select(
+        "id", "name", "institution", "base_url", "enabled", "trust_level", F.when(p % 5 != 0, p).cast("int").alias("priority"), "trust_status",
+        F.when(p % 3 != 0, F.array(F.concat("id", F.lit(".example")), F.lit('dois: "2"'))).otherwise(F.array().cast("array<string>")).alias("allowed_hosts"),
+        F.concat(F.lit('diz "'), "name", F.lit('": \\d+ # não \n é')).alias("limitations"), "max_documents")
+    path = store.place(spark, "registry")
+    registry_file.write(rows, path)
+    return registry_file.read(spark, path).select("id", "name", "institution", "base_url", "enabled", "trust_level", F.coalesce("priority", F.lit(-1)).cast("long").alias("priority"), "trust_status",
+                                                  F.array_join("allowed_hosts", " ").alias("allowed_hosts"), "limitations", "adapter", "max_documents")
+
+
 @q("s04_promoted", "SELECT id, CASE WHEN priority > 12 THEN 'TRUSTED' ELSE trust_status END AS trust_status FROM v_source")
 def promoted(spark, sf):
     s = src(spark, sf)
