@@ -188,3 +188,38 @@ def test_focus_excerpt(spark):
     got = one(spark, verify.focus_excerpt(F.lit(doc), text.fold(F.lit(doc)), F.array(F.lit("agente"))))
     assert got == doc[4400: 5000 + 2400]
     assert one(spark, verify.focus_excerpt(F.lit(doc), text.fold(F.lit(doc)), F.array(F.lit("fiscal")), 10)) == doc[:10]
+
+
+def _loop(value):
+    """The form and its origins character by character."""
+    import unicodedata
+
+    out = []
+    for i, c in enumerate(value):
+        for piece in unicodedata.normalize("NFKD", c.casefold()):
+            if not unicodedata.combining(piece):
+                out.append((piece if "a" <= piece <= "z" or piece.isdigit() else " ", i))
+    kept = [p for n, p in enumerate(out) if p[0] != " " or n and out[n - 1][0] != " "]
+    while kept and kept[-1][0] == " ":
+        kept.pop()
+    return "".join(p[0] for p in kept), [p[1] for p in kept]
+
+
+def test_origins_of_every_character(spark):
+    import unicodedata
+
+    from tidemark.functions import origins
+
+    sample = ["", "  ", None, "Straße nº 5 — ﬁm", unicodedata.normalize("NFD", "Inscrições até às 18h: açaí"), "İstanbul ǆ ﷺ x", "\u0301a", "a\u0301\u0327 b", "１２٣ ½ ² 漢字 😀z", "x" * 3000 + "ß" * 10 + " é"]
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts = sample + docs
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", origins.form(F.col("text")).alias("f")).collect()
+    for r in rows:
+        if texts[r.i] is None:
+            assert r.f is None or r.f.text is None
+            continue
+        form, back = _loop(texts[r.i])
+        assert r.f.text == form and [o + k for _, o, n in r.f.runs for k in range(n)] == back and [p for p, _, _ in r.f.runs] == [sum(n for _, _, n in r.f.runs[:k]) for k in range(len(r.f.runs))]
+    f, t = F.col("f"), F.lit(sample[4])
+    got = spark.range(1).select(origins.form(t).alias("f")).select(origins.window(t, f, ("até",), 8).alias("w"), origins.located(f, ("zzz", "inscrições")).alias("p"), origins.window(t, f, ("zzz",), 8).alias("none")).first()
+    assert got.w == sample[4][sample[4].index("ate"):][:8] and tuple(got.p) == (0, 0) and got.none == ""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import cells, parse, present, score, text, urls, verify
+from tidemark.functions import cells, origins, parse, present, score, text, urls, verify
 from tidemark.sources import pages
 from tidemark.plans.relational import _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RANK, _SURE, pairs, q
 
@@ -347,6 +347,18 @@ def cron(spark, sf):
     return _table(spark, sf, "events").select("event_id", present.utc_cron(local, "America/Rio_Branco").alias("western"), present.utc_cron(local, "Asia/Kolkata").alias("eastern"))
 
 
+@q("f02_origins", """WITH d AS (SELECT doc_id, text, replace(text, 'ss', 'ß') AS shown FROM documents),
+    n AS (SELECT *, trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) AS form FROM d)
+    SELECT doc_id, CAST(coalesce(nullif(instr(form, 'license'), 0), nullif(instr(form, 'the'), 0), 0) - 1 AS INT) AS place,
+        CAST(CASE WHEN contains(form, 'license') THEN length(string_split(lower(shown), 'license')[1]) + 1 WHEN contains(form, 'the') THEN length(string_split(lower(shown), 'the')[1]) + 1 ELSE 0 END - 1 AS INT) AS origin FROM n""")
+def origins_of(spark, sf):
+    """Where the first of two markers is in the normal form and in the text, of texts whose form is longer than they are."""
+    rows = _table(spark, sf, "documents").select("doc_id", F.replace(_body(), F.lit("ss"), F.lit("ß")).alias("text"))
+    at = origins.located(F.col("form"), ("license", "the"))
+    return rows.select("doc_id", origins.form(F.col("text")).alias("form")).select("doc_id", at.alias("x")).select(
+        "doc_id", F.coalesce("x.place", F.lit(-1)).alias("place"), F.coalesce("x.origin", F.lit(-1)).alias("origin"))
+
+
 @q("f52_lock_key")
 def lock_keys(spark, sf):
     return _table(spark, sf, "nation").select("n_name", text.lock_key(F.col("n_name")).alias("key"))
