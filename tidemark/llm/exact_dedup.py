@@ -2,8 +2,9 @@
 
 Sampled splitters range-partition the normalised texts (by a bounded prefix, a content hash and
 a salt, so splitters stay small and a group of copies with a third of all rows is spread over
-``salts`` ranges); Spark's external sort places equal texts next to each other; the window over
-the full text compares neighbours byte by byte and numbers each run. Runs of one text that lie
+``salts`` ranges, by default as many as the input's rows ask for); Spark's external sort places
+equal texts next to each other; the window over the full text compares neighbours byte by byte and
+numbers each run. Runs of one text that lie
 in different salts are then stitched by SHA-256 and length, on rows without texts.
 """
 
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, row_key
 
+#: A group of copies is spread over a salt for each so many rows of the input, and these at least: a group that holds
+#: all rows has no more than ROWS_A_SALT of them in a range, and as many rows to stitch as there are salts.
+LEAST_SALTS, ROWS_A_SALT = 64, 131_072
+
 
 def exact_dedup(
     docs: DataFrame,
@@ -23,7 +28,7 @@ def exact_dedup(
     text_col: str = "text",
     normalise: Callable[[Column], Column] | None = None,
     keep: str = "smallest",
-    salts: int = 64,
+    salts: int | None = None,
     prefix: int = 64,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, row_key (of its identifier and text).
@@ -33,10 +38,10 @@ def exact_dedup(
     repeat the kept identifier exactly one has kept = true; an empty table gives an empty one;
     other columns of ``docs`` are ignored, whatever their names.
     """
+    salts = max(LEAST_SALTS, docs.count() // ROWS_A_SALT) if salts is None else salts
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
     order = F.desc_nulls_last("_id") if keep == "largest" else F.asc_nulls_last("_id")
-    best = F.max("_head") if keep == "largest" else F.min("_head")
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), row_key(id_col, text_col).alias("_key")).select(
         "_id", "_t", "_key", F.substring("_t", 1, prefix).alias("_p"), F.xxhash64("_t").alias("_h"),
         F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"))
@@ -47,13 +52,11 @@ def exact_dedup(
         F.first("_id").over(run.orderBy(order)).alias("_head"),
         F.count(F.lit(1)).over(run).alias("_size"))
     runs = cut(sorted_, "exact")
-    groups = runs.where("_rn = 1").groupBy("_sha", "_n").agg(
-        best.alias("_keep"), F.sum("_size").alias("_total"),
-        F.collect_set(F.struct("_salt", "_head")).alias("_in"))
-    winner = groups.select(
-        "_sha", "_n", "_keep", "_total", F.explode("_in").alias("_s"),
-        F.array_min(F.transform(F.filter("_in", lambda s: s["_head"].eqNullSafe(F.col("_keep"))), lambda s: s["_salt"])).alias("_win"),
-    ).select("_sha", "_n", "_keep", "_total", F.col("_s._salt").alias("_salt"), "_win")
+    # at most a row a salt of each text, without the text
+    text_ = Window.partitionBy("_sha", "_n").orderBy(F.desc_nulls_last("_head") if keep == "largest" else F.asc_nulls_last("_head"), "_salt").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    winner = runs.where("_rn = 1").select(
+        "_sha", "_n", "_salt", F.first("_head").over(text_).alias("_keep"), F.first("_salt").over(text_).alias("_win"), F.sum("_size").over(text_).alias("_total"))
     return runs.join(winner, ["_sha", "_n", "_salt"]).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
