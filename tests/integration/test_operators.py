@@ -8,7 +8,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import answers
+from tidemark.functions import answers, text
 from tidemark.operators import health, history, intervals, merge, outbox, registry, resolve, serve
 from tidemark.sources import pages, store
 from tidemark.sources.fetch import HttpSource, fetch
@@ -224,6 +224,16 @@ def test_equal_values_by_field(spark):
     same = lambda a, b, field: spark.range(1).select(merge.same(F.lit(a), F.lit(b), F.lit(field)).alias("x")).first().x
     assert same("4656.75", "4656.754", "salary") and not same("4656.75", "4656.76", "salary")
     assert not same("007", "7", "edital_number") and same("São José", "SAO  jose", "organizing_board")
+    assert same("True", "true", "assignment_confirmed") and not same("true", "false", "assignment_confirmed") and same("1", "TRUE", "assignment_confirmed")
+
+
+def test_equal_lists_item_by_item(spark):
+    r = random.Random(3)
+    words = ["Prova escrita", "PROVA  escrita", "títulos", "Titulos!", "a, b", 'c" d', "", "prova"]
+    lists = [[r.choice(words) for _ in range(r.randrange(4))] for _ in range(60)] + [["a b", "c"], ["a", "b c"], ["a b c"], [], [""]]
+    rows = [(i, j, json.dumps(a), json.dumps(b, ensure_ascii=False, separators=(",", ":"))) for i, a in enumerate(lists) for j, b in enumerate(lists)]
+    got = spark.createDataFrame(rows, "i int, j int, a string, b string").select("i", "j", merge.same(F.col("a"), F.col("b"), F.lit("selection_stages")).alias("x")).collect()
+    assert all(g.x == ([text.plain(v) for v in lists[g.i]] == [text.plain(v) for v in lists[g.j]]) for g in got)
 
 
 def test_answers_of_every_shape(spark):

@@ -26,10 +26,24 @@ def authority(trust: Column, from_table: Column) -> Column:
     return trust * 10 + F.when(from_table, 0).otherwise(5)
 
 
+#: Fields that hold truth values.
+TRUTHS = ("assignment_confirmed",)
+
+
+def _items(value: Column) -> Column:
+    """The normal form of a JSON list with a word between its items that no other list has there; null for what is no list."""
+    return normalise(F.array_join(F.from_json(value, "array<string>"), " 0item0 ", "None"))
+
+
 def same(a: Column, b: Column, field: Column) -> Column:
-    """Equal values: numbers of number fields within 0.005, everything else in normal form."""
+    """Equal values: numbers of number fields within 0.005, truth values as such, lists item by item in normal form and
+    in order, everything else in normal form."""
     x, y = a.try_cast("double"), b.try_cast("double")
-    return F.when(field.isin(*NUMBERS) & x.isNotNull() & y.isNotNull(), F.abs(x - y) < 0.005).otherwise(normalise(a) == normalise(b))
+    t, u = a.try_cast("boolean"), b.try_cast("boolean")
+    lists = a.startswith("[") & b.startswith("[") & _items(a).isNotNull() & _items(b).isNotNull()
+    empty = r"^\[\s*\]$"
+    return (F.when(field.isin(*NUMBERS) & x.isNotNull() & y.isNotNull(), F.abs(x - y) < 0.005).when(field.isin(*TRUTHS) & t.isNotNull() & u.isNotNull(), t == u)
+            .when(lists, (a.rlike(empty) == b.rlike(empty)) & (_items(a) == _items(b))).otherwise(normalise(a) == normalise(b)))
 
 
 def _candidates(fields: DataFrame) -> DataFrame:

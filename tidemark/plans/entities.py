@@ -194,3 +194,14 @@ def merged_intervals(spark, sf):
 def budgeted(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("id"), F.floor("o_totalprice").alias("size"))
     return intervals.within_budget(o, ["customer"], ["id"], "size", 900_000).select("customer", "id")
+
+
+@q("e10_equal_lists", """SELECT o_orderkey AS id, o_orderpriority = before.p AND o_orderstatus = before.s AS equal FROM (SELECT *, lag({'p': o_orderpriority, 's': o_orderstatus}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS NOT NULL""")
+def equal_lists(spark, sf):
+    """Lists of two values against those of the customer's order before, written in another case and with other spaces."""
+    from pyspark.sql import Window
+
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", F.to_json(F.array("o_orderpriority", "o_orderstatus")).alias("now"))
+    before = F.lag("now").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = o.withColumn("before", F.replace(F.lower(before), F.lit('","'), F.lit('" , "'))).where("before is not null")
+    return rows.select(F.col("o_orderkey").alias("id"), merge.same(F.col("before"), F.col("now"), F.lit("selection_stages")).alias("equal"))
