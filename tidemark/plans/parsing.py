@@ -359,6 +359,21 @@ def origins_of(spark, sf):
         "doc_id", F.coalesce("x.place", F.lit(-1)).alias("place"), F.coalesce("x.origin", F.lit(-1)).alias("origin"))
 
 
+@q("f30_board", """WITH p AS (SELECT p_partkey AS id, upper(p_name) AS n, concat(upper(substr(p_name, 1, 1)), upper(substr(split_part(p_name, ' ', 2), 1, 1)), chr(CAST(65 + p_partkey % 26 AS INT))) AS short FROM part)
+    SELECT id, CASE id % 7 WHEN 0 THEN short WHEN 3 THEN concat('reserva ', id % 5) WHEN 4 THEN concat('INSTITUTO ', n, ' - ', short) WHEN 6 THEN concat('reserva ', id % 5) ELSE concat('INSTITUTO ', n) END AS board FROM p""")
+def boards(spark, sf):
+    """Organising bodies with an acronym after a dash, alone, after a heading, without a label, with a hyphen, over two lines, and too far
+    from the label."""
+    k, name = F.col("p_partkey"), F.upper("p_name")
+    short = F.concat(F.upper(F.substring("p_name", 1, 1)), F.upper(F.substring(F.substring_index("p_name", " ", -1), 1, 1)), F.char(F.lit(65) + k % 26))
+    body, label = F.concat(F.lit("INSTITUTO "), name), F.element_at(F.array(*[F.lit(x) for x in ("A Banca Examinadora é", "Empresa organizadora:", "a responsabilidade técnica e operacional caberá ao")]), (k % 3 + 1).cast("int"))
+    said = lambda *parts: F.concat(F.lit("Seleção de 2026. "), *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    shown = (F.when(k % 7 == 0, said(label, " o ", body, " – ", short, ", na forma da lei")).when(k % 7 == 1, said(label, " o ", body, ", na forma da lei"))
+             .when(k % 7 == 2, said(label, " no EDITAL DE ABERTURA; o ", body, ".")).when(k % 7 == 3, said("o ", body, " fará as provas")).when(k % 7 == 4, said(label, " ", body, " - ", short, ";"))
+             .when(k % 7 == 5, said(label, "\n  ", F.replace(body, F.lit(" "), F.lit("\n ")), "; e outros")).otherwise(said(label, F.repeat(F.lit(" texto comum"), 30), " ", body, ".")))
+    return _table(spark, sf, "part").select(k.alias("id"), parse.board(shown, F.concat(F.lit("reserva "), (k % 5).cast("string"))).alias("board"))
+
+
 @q("f52_lock_key")
 def lock_keys(spark, sf):
     return _table(spark, sf, "nation").select("n_name", text.lock_key(F.col("n_name")).alias("key"))
