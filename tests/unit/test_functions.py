@@ -219,7 +219,8 @@ def test_origins_of_every_character(spark):
             assert r.f is None or r.f.text is None
             continue
         form, back = _loop(texts[r.i])
-        assert r.f.text == form and [o + k for _, o, n in r.f.runs for k in range(n)] == back and [p for p, _, _ in r.f.runs] == [sum(n for _, _, n in r.f.runs[:k]) for k in range(len(r.f.runs))]
+        ends = [*r.f.places[1:], len(form)]
+        assert r.f.text == form and [o + k for p, o, e in zip(r.f.places, r.f.origins, ends) for k in range(e - p)] == back
     f, t = F.col("f"), F.lit(sample[4])
     got = spark.range(1).select(origins.form(t).alias("f")).select(origins.window(t, f, ("até",), 8).alias("w"), origins.located(f, ("zzz", "inscrições")).alias("p"), origins.window(t, f, ("zzz",), 8).alias("none")).first()
     assert got.w == sample[4][sample[4].index("ate"):][:8] and tuple(got.p) == (0, 0) and got.none == ""

@@ -1,7 +1,7 @@
 """The normal form of a text with the way back: where in the text each character of the form comes from.
 
-The way back is run-length coded: a run (place, origin, size) says that ``size`` characters of the form from ``place``
-on come from as many characters of the text from ``origin`` on; a character that folds to several (ß, ligatures) has
+The way back is run-length coded, as two arrays: the characters of the form from ``places[i]`` on, up to the next place,
+come from as many characters of the text from ``origins[i]`` on; a character that folds to several (ß, ligatures) has
 runs of its own, one for each. Marks of decomposed accents have none. All places count characters from 0.
 """
 
@@ -16,10 +16,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tidemark.functions.text import plain
+from tidemark.functions.text import let, plain
 
-_RUN = StructType([StructField(n, IntegerType()) for n in ("place", "origin", "size")])
-FORM = StructType([StructField("text", StringType()), StructField("runs", ArrayType(_RUN))])
+FORM = StructType([StructField("text", StringType()), StructField("places", ArrayType(IntegerType())), StructField("origins", ArrayType(IntegerType()))])
 
 
 @lru_cache(maxsize=65_536)
@@ -32,7 +31,10 @@ def _pieces(char: str) -> str:
 def traced(text: str) -> tuple[str, np.ndarray]:
     """The form of a text and the origin of each of its characters, linear in the text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kinds, which = np.unique(codes, return_inverse=True)
+    kinds = np.flatnonzero(np.bincount(codes))
+    number = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, dtype=np.int64)
+    number[kinds] = np.arange(len(kinds))
+    which = number[codes]
     folded = [_pieces(chr(k)) for k in kinds]
     sizes = np.array([len(f) for f in folded], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -49,33 +51,36 @@ def traced(text: str) -> tuple[str, np.ndarray]:
     return out.astype(np.uint32).tobytes().decode("utf-32-le"), origin
 
 
-def _runs(origin: np.ndarray) -> list[tuple[int, int, int]]:
-    first = np.flatnonzero(np.diff(origin, prepend=-2) != 1)
-    sizes = np.diff(np.append(first, len(origin)))
-    return list(zip(first.tolist(), origin[first].tolist(), sizes.tolist()))
-
-
 @F.pandas_udf(FORM)
 def _form(texts: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if t is None else traced(t) for t in texts]
-    return pd.DataFrame({"text": pd.Series([t for t, _ in rows], dtype="object"), "runs": pd.Series([None if o is None else _runs(o) for _, o in rows], dtype="object")})
+    out: dict[str, list] = {"text": [], "places": [], "origins": []}
+    for t in texts:
+        form, origin = (None, None) if t is None else traced(t)
+        first = None if origin is None else np.flatnonzero(np.diff(origin, prepend=-2) != 1)
+        out["text"].append(form)
+        out["places"].append(None if first is None else first.astype(np.int32))
+        out["origins"].append(None if first is None else origin[first].astype(np.int32))
+    return pd.DataFrame({name: pd.Series(cells, dtype="object") for name, cells in out.items()})
 
 
 def form(text: Column) -> Column:
-    """(text, runs) of a text; both null for a null. Digits of other scripts are kept."""
+    """(text, places, origins) of a text; all null for a null. Digits of other scripts are kept."""
     return _form(text)
 
 
 def origin_of(form: Column, place: Column) -> Column:
     """Where in the text the character at ``place`` of its form comes from; null outside the form."""
-    run = F.try_element_at(F.filter(form["runs"], lambda r: (r["place"] <= place) & (place < r["place"] + r["size"])), F.lit(1))
-    return run["origin"] + (place - run["place"])
+    def of(at: Column) -> Column:
+        before = F.filter(form["places"], lambda p: p <= at)
+        return F.when((at >= 0) & (at < F.length(form["text"])), F.get(form["origins"], F.size(before) - 1) + (at - F.element_at(before, -1)))
+
+    return let(place, of)
 
 
 def located(form: Column, markers: tuple[str, ...]) -> Column:
     """(place, origin) of the first marker in list order that occurs in the form, in the form and in the text."""
     at = F.coalesce(*[F.nullif(F.instr(form["text"], F.lit(plain(m))), F.lit(0)) for m in markers]) - 1
-    return F.struct(at.alias("place"), origin_of(form, at).alias("origin"))
+    return let(at, lambda p: F.struct(p.alias("place"), origin_of(form, p).alias("origin")))
 
 
 def window(text: Column, form: Column, markers: tuple[str, ...], size: int) -> Column:

@@ -374,6 +374,8 @@ def boards(spark, sf):
     return _table(spark, sf, "part").select(k.alias("id"), parse.board(shown, F.concat(F.lit("reserva "), (k % 5).cast("string"))).alias("board"))
 
 
-@q("f52_lock_key")
+@q("f52_lock_key", """WITH RECURSIVE r AS (SELECT n_name, CAST(0 AS BIGINT) AS i, CAST(4294967295 AS BIGINT) AS c FROM nation
+      UNION ALL SELECT n_name, i + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END) FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(substr(n_name, i // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM r WHERE i < 8 * length(n_name)))
+    SELECT n_name, CAST(xor(c, CAST(4294967295 AS BIGINT)) & 2147483647 AS BIGINT) AS key FROM r WHERE i = 8 * length(n_name)""")
 def lock_keys(spark, sf):
     return _table(spark, sf, "nation").select("n_name", text.lock_key(F.col("n_name")).alias("key"))
