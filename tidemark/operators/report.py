@@ -26,6 +26,7 @@ EMPTY = {1: "_Nenhuma oportunidade nova compatível nas últimas 24 horas._", 5:
 #: Document types that amend; hours, days and rows that sections look back on.
 AMENDING = ("RECTIFICATION", "EXTENSION", "REOPENING", "SUSPENSION", "CANCELLATION")
 NEWS_HOURS, AHEAD_DAYS, AMENDED_DAYS, AMENDED, INCOMPLETE, ERROR_DAYS, ERRORS = 26, 30, 14, 25, 30, 2, 12
+#: Fixed value: the head of the table of sources.
 HEALTH_HEAD = "| Fonte | Estado | Última coleta OK | Docs | Parser | Observação |\n|---|---|---|---|---|---|"
 
 
