@@ -47,18 +47,27 @@ def _ascii(col: Column) -> Column:
 
 def fold(col: Column) -> Column:
     """Lower case without accents, of the same length as the input: an offset here is one there."""
-    return F.when(_ascii(col), F.lower(col)).otherwise(_translate(col, _ASCII | _ONE))
+    return let(col, lambda c: F.when(_ascii(c), F.lower(c)).otherwise(_translate(c, _ASCII | _ONE)))
 
 
-def normalise(col: Column) -> Column:
-    """Lower-case ASCII letters and digits, everything else one space, trimmed. Null stays null.
-    A text of ASCII alone needs no translation."""
-    many = col
+def _unfolded(folded: Column) -> Column:
+    """A fold that still holds letters beyond ASCII: those that fold to more than one, other scripts' capitals, marks."""
+    many = folded
     for c, plain in _MORE.items():
         many = F.replace(many, F.lit(c), F.lit(plain))
-    out = F.when(col.rlike("[" + "".join(_MORE) + "]"), many).otherwise(col)
-    out = F.regexp_replace(F.lower(_translate(out, _ONE)), r"\p{M}+", "")
-    return F.trim(F.regexp_replace(F.when(_ascii(col), F.lower(col)).otherwise(out), "[^a-z0-9]+", " "))
+    many = F.when(folded.rlike("[" + "".join(_MORE) + "]"), many).otherwise(folded)
+    return F.regexp_replace(F.lower(many), r"\p{M}+", "")
+
+
+def spaced(folded: Column) -> Column:
+    """The normal form of a text from its fold. A fold of ASCII alone, as most are, needs no search for other letters."""
+    out = let(folded, lambda f: F.when(_ascii(f), f).otherwise(_unfolded(f)))
+    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+
+
+def normalise(col: Column) -> Column:
+    """Lower-case ASCII letters and digits, everything else one space, trimmed. Null stays null."""
+    return spaced(fold(col))
 
 
 def plain(text: str) -> str:
@@ -101,12 +110,13 @@ def marker_pattern(marker: str) -> str:
 
 def locate(folded: Column, markers: Iterable[str]) -> Column:
     """1-based place of the first marker in list order that occurs in a fold; null if none does."""
-    return let(folded, lambda f: F.coalesce(*[F.nullif(F.regexp_instr(f, F.lit(marker_pattern(m))), F.lit(0)) for m in markers]))
+    place = lambda f, m: let(F.regexp_instr(f, F.lit(marker_pattern(m))), lambda i: F.when(i > 0, i))
+    return let(folded, lambda f: F.coalesce(*[place(f, m) for m in markers]))
 
 
-def labelled(text: Column, markers: Iterable[str], window: int) -> Column:
-    """The ``window`` characters from the first marker on; empty where there is none."""
-    at = locate(fold(text), markers)
+def labelled(text: Column, markers: Iterable[str], window: int, folded: Column | None = None) -> Column:
+    """The ``window`` characters from the first marker on; empty where there is none. ``folded``: the text's fold, if at hand."""
+    at = locate(fold(text) if folded is None else folded, markers)
     return F.coalesce(F.substring(text, at, F.lit(window)), F.lit(""))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
-from tidemark.functions.text import normalise
+from tidemark.functions.text import let, normalise
 
 MIN_QUOTE, MAX_QUOTE = 25, 400
 BEFORE, AFTER, BUDGET, SPANS = 600, 2400, 22_000, 40
@@ -33,14 +33,17 @@ def verify(field: str, proposed: Column, quote: Column, document: Column) -> Col
     if field not in VERIFIERS:
         return F.struct(F.lit("REJECTED").alias("status"), F.lit(None).cast("string").alias("value"))
     parser, tolerance = VERIFIERS[field]
-    read = parser(quote)
-    if tolerance is None:
-        same = normalise(proposed) == normalise(read)
-    else:
-        same = F.abs(proposed.try_cast("double") - read.cast("double")) < tolerance
-    agrees = read.isNotNull() & (proposed.isNull() | F.coalesce(same, F.lit(False)))
-    status = F.when(~quote_is_real(document, quote), "QUOTE_NOT_FOUND").when(agrees, "CONFIRMED").otherwise("PARSER_DISAGREES")
-    return F.struct(status.alias("status"), F.when(status == "CONFIRMED", read.cast("string")).alias("value"))
+
+    def judged(read: Column) -> Column:
+        if tolerance is None:
+            same = normalise(proposed) == normalise(read)
+        else:
+            same = F.abs(proposed.try_cast("double") - read.cast("double")) < tolerance
+        agrees = read.isNotNull() & (proposed.isNull() | F.coalesce(same, F.lit(False)))
+        status = F.when(~quote_is_real(document, quote), "QUOTE_NOT_FOUND").when(agrees, "CONFIRMED").otherwise("PARSER_DISAGREES")
+        return let(status, lambda s: F.struct(s.alias("status"), F.when(s == "CONFIRMED", read.cast("string")).alias("value")))
+
+    return let(parser(quote), judged)
 
 
 def merged_spans(spans: Column) -> Column:

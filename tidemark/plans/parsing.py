@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cells, origins, parse, present, score, text, urls, verify
 from tidemark.sources import pages
 from tidemark.plans.relational import _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RANK, _SURE, pairs, q
+from tidemark.plans.views import spread
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,7 +36,8 @@ def notices(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("EDITAL Nº "), (k % 97 + 1).cast("string"), F.lit("/"), F.year(day).cast("string"), F.lit(". "), kind, F.lit(". Inscrições de "), shown(day),
         F.lit(" a "), shown(F.date_add(day, 30)), F.lit(". Taxa de inscrição: R$ "), fee, F.lit(". Carga horária de "), hours, F.lit("; "),
         (k % 30).cast("string"), F.lit(" vagas. "), place, F.lit(". "), level, F.lit(". "), gain, free, F.lit("Validade deste concurso: 2 anos."))
-    return _table(spark, sf, "orders").select(k.alias("id"), body.alias("text"))
+    orders = spread(_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderkey")
+    return orders.select(k.alias("id"), body.alias("text"))
 
 
 _DAY = "CAST(CAST(o_orderdate AS DATE) + INTERVAL 26 YEAR AS DATE)"
@@ -72,9 +74,11 @@ def numbers(spark, sf):
     CASE WHEN o_orderkey % 5 = 0 THEN 'Auxílio-alimentação; Auxílio-transporte' END AS benefits,
     CASE WHEN o_orderkey % 6 = 0 THEN 'Doador de sangue; Desempregado' END AS exemption, '2 ano(s)' AS validity FROM orders""")
 def classes(spark, sf):
-    return notices(spark, sf).select(
-        "id", parse.education(_body()).alias("education"), parse.employment_type(_body()).alias("employment"), parse.employment_regime(_body()).alias("regime"),
-        parse.benefits(_body()).alias("benefits"), parse.fee_exemption(_body()).alias("exemption"), parse.validity(_body()).alias("validity"))
+    n, low = F.col("normal"), F.col("low")
+    read = notices(spark, sf).withColumn("low", parse.folded(_body())).withColumn("normal", text.spaced(low))
+    return read.select(
+        "id", parse.education(_body(), n).alias("education"), parse.employment_type(_body(), n).alias("employment"), parse.employment_regime(_body(), n).alias("regime"),
+        parse.benefits(_body(), n).alias("benefits"), parse.fee_exemption(_body(), low).alias("exemption"), parse.validity(_body(), low).alias("validity"))
 
 
 @q("f16_location_context", "SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS assignment, o_orderkey % 3 = 1 AS exam_only FROM orders")
@@ -130,7 +134,8 @@ def stages(spark, sf):
     said = F.concat(F.when(k % 7 == 0, "Haverá entrevista. ").otherwise(""), F.when(k % 5 == 0, "Avaliação de Títulos. ").otherwise(""), F.when(k % 4 == 0, "PROVA DE REDAÇÃO. ").otherwise(""), F.when(k % 3 == 0, "Provas objetivas. ").otherwise(""),
                     F.lit("Período de inscrições: "), at(0), F.lit(" a "), at(30), F.lit(". "), F.lit("x" * 450), F.when(k % 2 == 0, F.concat(F.lit(" Data da prova: "), at(60))).otherwise(""))
     when = parse.schedule_from_text(F.col("said"))
-    got = _table(spark, sf, "orders").select(k.alias("id"), said.alias("said")).select("id", when.alias("w"), F.array_join(parse.stages(F.col("said")), "; ").alias("stages"))
+    orders = spread(_table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    got = orders.select(k.alias("id"), said.alias("said")).select("id", when.alias("w"), F.array_join(parse.stages(F.col("said")), "; ").alias("stages"))
     return got.select("id", F.col("w.exam").alias("exam"), F.col("w.start").alias("start"), F.col("w.deadline").alias("deadline"), "stages")
 
 
@@ -138,17 +143,18 @@ def stages(spark, sf):
     CAST(CAST(CASE WHEN o_orderkey % 10 = 9 THEN 30 ELSE 10 + o_orderkey % 40 END AS DOUBLE) AS DOUBLE) AS weekly, true AS material FROM orders""")
 def build(spark, sf):
     """The draft record of each notice; material if it has a number or a deadline and offers work."""
-    p = parse.parse_period(_body())
-    number = parse.edital_number(_body())
-    return notices(spark, sf).select("id", number.alias("number"), p["start"].alias("start"), p["end"].alias("deadline"), parse.weekly_workload(_body()).alias("weekly"),
-                                     ((number.isNotNull() | p["end"].isNotNull()) & parse.is_job_selection(F.lit(""), _body())).alias("material"))
+    read = notices(spark, sf).select("id", parse.edital_number(_body()).alias("number"), parse.parse_period(_body()).alias("p"), parse.weekly_workload(_body()).alias("weekly"),
+                                     parse.is_job_selection(F.lit(""), _body()).alias("work"))
+    return read.select("id", "number", F.col("p.start").alias("start"), F.col("p.end").alias("deadline"), "weekly",
+                       ((F.col("number").isNotNull() | F.col("p.end").isNotNull()) & F.col("work")).alias("material"))
 
 
 @q("f34_classify_row", """SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, concat('Agente ', p_name) AS name, CAST(floor(l_extendedprice) AS DOUBLE) AS salary, CAST(l_quantity AS DOUBLE) AS weekly,
     CAST(l_suppkey % 20 AS INT) AS vacancies, CASE WHEN l_partkey % 3 = 0 THEN 'Rio Branco' ELSE '' END AS location FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def rows(spark, sf):
     """Table rows rendered from line items and read back cell by cell."""
-    both = _table(spark, sf, "lineitem").join(_table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    items = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    both = spread(items, "l_orderkey").join(_table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     row = F.array(F.concat(F.lit("Agente "), "p_name"), (F.col("l_suppkey") % 20).cast("string"), F.concat(F.lit("R$ "), present.number(F.floor("l_extendedprice"))),
                   F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" horas semanais")), F.when(F.col("l_partkey") % 3 == 0, "Rio Branco").otherwise("-"))
     got = cells.classify_row(row, F.lit("high_school"), "Rio Branco")

@@ -88,6 +88,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"{head}FROM{tail}", **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores by a key. A table in one file of one row group is read by one task, which must not be left
+    alone with long work on each row; only the columns that the work needs should come here."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views it names in front."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
