@@ -49,3 +49,13 @@ def test_normal_form_beyond_ascii(spark):
     plain = lambda t: None if t is None else text.plain(t)
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "t string").select(text.normalise(F.col("t"))).collect()]
     assert got == [plain(w) for w in words]
+
+
+def test_f35_rows_are_classified_once(spark):
+    rows = catalogue.queries()["f35_position_tables"](spark, SMALL)
+    assert times(rows, "aggregate(") == 1
+
+
+def test_f49_and_tables_are_dealt_to_all_cores(spark):
+    for name in ("f31_schedule_tables", "f35_position_tables", "f49_fill_gaps", "f28_stages_schedule", "f34_classify_row"):
+        assert "REPARTITION_BY_NUM" in catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString(), name

@@ -69,7 +69,7 @@ def fee(tables: DataFrame, education: str = "high_school") -> DataFrame:
     """(doc, fee, raw): the fee in the first row that names the level, else the least above 0."""
     rows = _lines(tables, 2, cells.FEE)
     line = F.array_join("row", " ")
-    priced = rows.withColumn("line", line).withColumn("value", parse.parse_money(F.col("line"))).where("value > 0")
+    priced = rows.withColumn("line", line).select("*", F.explode(F.filter(F.array(parse.parse_money(F.col("line"))), lambda v: v > 0)).alias("value"))
     hit = normalise(F.col("line")).contains(FEE_LEVEL.get(education, "medio"))
     rank = F.struct((~hit).alias("other"), F.when(~hit, F.col("value")).alias("price"), F.col("table"), F.col("n"))
     return priced.groupBy("doc").agg(F.min_by(F.struct("value", F.substring(one_line(F.col("line")), 1, 200).alias("raw")), rank).alias("v")).select(
@@ -82,8 +82,9 @@ def positions(tables: DataFrame, city: str) -> DataFrame:
     rows = tables.where(cells.is_position_table(F.col("rows"))).select("doc", "table", "page", F.posexplode("rows").alias("n", "row")).withColumn("own", cells.level_of(F.col("row")))
     w = Window.partitionBy("doc", "table").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     levelled = rows.withColumn("level", F.last("own", ignorenulls=True).over(w)).where("own is null").where(~cells.is_total(F.col("row")))
-    read = levelled.withColumn("c", cells.classify_row(F.col("row"), F.col("level"), city))
-    return read.where(cells.informative(F.col("c"))).select("doc", "table", "page", "n", "c.*", F.array_join("row", " ").alias("raw"))
+    # exploded, not filtered: a filter on a column is pushed below it, with the classification once for each field it names
+    read = levelled.select("doc", "table", "page", "n", "row", F.explode(F.filter(F.array(cells.classify_row(F.col("row"), F.col("level"), city)), cells.informative)).alias("c"))
+    return read.select("doc", "table", "page", "n", "c.*", F.array_join("row", " ").alias("raw"))
 
 
 def merged_rows(rows: DataFrame, limit: int = POSITIONS) -> DataFrame:
