@@ -11,7 +11,7 @@ from tidemark.operators import record, resolve, serve, tables
 from tidemark.plans.parsing import _DAY, notices
 from tidemark.functions.score import accepting
 from tidemark.plans.relational import _PAIRS, pairs, q
-from tidemark.plans.views import TODAY
+from tidemark.plans.views import TODAY, spread
 
 
 def _orders(spark, sf):
@@ -49,7 +49,7 @@ def filled(spark, sf):
     raw = _said('{"fields":{"edital_number":{"value":"', _k().cast("string"), '/2026","status":"FOUND","confidence":1,"raw_evidence":"e"},"exam_date":{"value":"', F.when(_k() % 3 == 0, "sem data").otherwise("22/11/2026"),
                 '","status":"FOUND","confidence":1,"raw_evidence":"e"},"name":{"value":"n","status":"FOUND","confidence":1,"raw_evidence":"e"}}}')
     now = {"edital_number": F.when(_k() % 2 == 0, "X"), "exam_date": F.lit(None).cast("date"), "name": F.lit(None).cast("string")}
-    got = _orders(spark, sf).select(_k().alias("id"), answers.fill_gaps(now, answers.payload(raw)["fields"]).alias("g"))
+    got = spread(_orders(spark, sf).select("o_orderkey"), "o_orderkey").select(_k().alias("id"), answers.fill_gaps(now, answers.payload(raw)["fields"]).alias("g"))
     return got.select("id", F.col("g.values.edital_number").alias("number"), F.col("g.values.exam_date").alias("exam"), F.array_join("g.applied", ",").alias("applied"))
 
 
@@ -80,7 +80,7 @@ def _row(*cells):
 
 
 def _rendered(spark, sf, *made):
-    return _orders(spark, sf).select(_k().alias("doc"), F.explode(F.array(*made)).alias("t")).select("doc", "t.*")
+    return spread(_orders(spark, sf).select("o_orderkey", "o_orderdate"), "o_orderkey").select(_k().alias("doc"), F.explode(F.array(*made)).alias("t")).select("doc", "t.*")
 
 
 @q("f31_schedule_tables", f"""WITH d AS (SELECT o_orderkey AS doc, {_DAY} AS day FROM orders)
