@@ -32,9 +32,14 @@ def tidy_rows(rows: Column) -> Column:
 
 
 def looks_like_name(cell: Column) -> Column:
-    return let(normalise(cell), lambda p: (F.length(p).between(4, 140) & ~cell.rlike(INTEGER) & ~cell.rlike(DASH) & cell.rlike("[a-zA-Z]{3}")
-            & ~p.rlike("^(" + "|".join(NOT_NAMES) + ")") & ~p.rlike(TOTAL_ROW) & ~p.rlike(LEVEL_ROW)
-            & (F.regexp_count(p, F.lit(" ")) <= 14) & ~cell.contains(";") & (F.regexp_count(cell, F.lit(r"\.")) <= 2)))
+    return let(normalise(cell), lambda p: _named(cell, p))
+
+
+def _named(cell: Column, p: Column) -> Column:
+    """Whether a cell, with its normal form, reads like a name; what has no three letters in a row is no number or dash to look for."""
+    many = lambda c, part, n: F.length(c) - F.length(F.replace(c, F.lit(part), F.lit(""))) > n
+    return ((F.length(p) >= 4) & (F.length(p) <= 140) & cell.rlike("[a-zA-Z]{3}") & ~p.rlike("^(" + "|".join(NOT_NAMES) + ")") & ~p.rlike(TOTAL_ROW)
+            & ~(p.contains("de nivel") & p.rlike(LEVEL_ROW)) & ~many(p, " ", 14) & ~cell.contains(";") & ~many(cell, ".", 2))
 
 
 def level_of(cells: Column) -> Column:
@@ -65,23 +70,26 @@ def classify_row(cells: Column, level: Column, city: str) -> Column:
         return let(normalise(c), lambda p: F.struct(
             c.alias("c"), F.nullif(F.regexp_extract(c, INTEGER, 1), F.lit("")).try_cast("int").alias("n"),
             F.when(F.lower(F.replace(c, F.lit(" "), F.lit(""))).contains("r$"), parse.parse_money(c)).alias("pay"),
-            F.when(p.contains("hora") | p.rlike(r"\d+\s*h\b"), F.struct(parse.weekly_workload(c).alias("week"), parse.daily_workload(c).alias("day"))).alias("h"),
+            F.when(p.contains("hora") | (p.contains("h") & p.rlike(r"\d+\s*h\b")), F.struct(parse.weekly_workload(c).alias("week"), parse.daily_workload(c).alias("day"))).alias("h"),
             ((F.length(c) > 40) & has_any(p, REQUIRES)).alias("req"),
-            ((p.contains(plain(city)) & (F.length(p) <= 90)) if plain(city) else F.lit(False)).alias("place"), looks_like_name(c).alias("name")))
+            ((p.contains(plain(city)) & (F.length(p) <= 90)) if plain(city) else F.lit(False)).alias("place"), _named(c, p).alias("name")))
 
     def step(a: Column, f: Column) -> Column:
+        """Flags that others need are made once, by stages."""
         number = f["n"].isNotNull()
         paid = ~number & a["pay"].isNull() & f["pay"].isNotNull()
-        hours = ~number & ~paid & a["week"].isNull() & f["h"].isNotNull()
-        left = ~number & ~paid & ~(hours & f["h"]["week"].isNotNull())
-        req = left & f["req"]
-        place = left & ~req & f["place"]
-        name = left & ~req & ~place & (a["name"] == "") & f["name"]
-        return F.struct(
-            F.when(name, f["c"]).otherwise(a["name"]).alias("name"), F.when(req, F.trim(F.concat_ws(" ", a["req"], f["c"]))).otherwise(a["req"]).alias("req"),
-            F.coalesce(a["pay"], F.when(paid, f["pay"])).alias("pay"), F.coalesce(a["week"], F.when(hours, f["h"]["week"])).alias("week"),
-            F.coalesce(a["day"], F.when(hours, f["h"]["day"])).alias("day"), F.when(place, f["c"]).otherwise(a["place"]).alias("place"),
-            F.when(number, F.concat(a["ints"], F.array(f["n"]))).otherwise(a["ints"]).alias("ints"))
+
+        def claimed(open_: Column, paid: Column) -> Column:
+            hours = open_ & a["week"].isNull() & f["h"].isNotNull()
+            return let(F.struct(hours.alias("hours"), (open_ & ~(hours & f["h"]["week"].isNotNull())).alias("left")), lambda k: let(
+                F.struct((k["left"] & f["req"]).alias("req"), (k["left"] & ~f["req"] & f["place"]).alias("place")), lambda r: F.struct(
+                    F.when(k["left"] & ~r["req"] & ~r["place"] & (a["name"] == "") & f["name"], f["c"]).otherwise(a["name"]).alias("name"),
+                    F.when(r["req"], F.trim(F.concat_ws(" ", a["req"], f["c"]))).otherwise(a["req"]).alias("req"),
+                    F.coalesce(a["pay"], F.when(paid, f["pay"])).alias("pay"), F.coalesce(a["week"], F.when(k["hours"], f["h"]["week"])).alias("week"),
+                    F.coalesce(a["day"], F.when(k["hours"], f["h"]["day"])).alias("day"), F.when(r["place"], f["c"]).otherwise(a["place"]).alias("place"), a["ints"].alias("ints"))))
+
+        counted = F.struct(*[a[x].alias(x) for x in ("name", "req", "pay", "week", "day", "place")], F.concat(a["ints"], F.array(f["n"])).alias("ints"))
+        return F.when(number, counted).otherwise(let(paid, lambda x: claimed(~x, x)))
 
     return let(F.aggregate(F.transform(F.filter(cells, lambda c: c != ""), facts), zero, step), lambda a: _row(a, level))
 
@@ -89,7 +97,7 @@ def classify_row(cells: Column, level: Column, city: str) -> Column:
 def _row(a: Column, level: Column) -> Column:
     usable = F.filter(a["ints"], lambda i: i <= 5000)
     return F.struct(
-        a["name"].alias("name"), a["req"].alias("requirements"), F.coalesce(parse.education(a["req"]), level).alias("education"),
+        a["name"].alias("name"), a["req"].alias("requirements"), F.coalesce(F.when(a["req"] != "", parse.education(a["req"])), level).alias("education"),
         a["pay"].alias("salary"), a["week"].alias("weekly"), a["day"].alias("daily"), F.get(usable, F.lit(0)).alias("vacancies"),
         F.when(F.size(usable) > 2, F.try_element_at(usable, F.lit(-1))).alias("reserve"), a["place"].alias("location"))
 
