@@ -1,9 +1,11 @@
 """What long work on each row may cost: parsers run once, forms are made once, rows are dealt to all cores."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse, text, verify
 from tidemark.plans import catalogue
+from tidemark.sources import pages
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -59,3 +61,16 @@ def test_f35_rows_are_classified_once(spark):
 def test_f49_and_tables_are_dealt_to_all_cores(spark):
     for name in ("f31_schedule_tables", "f35_position_tables", "f49_fill_gaps", "f28_stages_schedule", "f34_classify_row"):
         assert "REPARTITION_BY_NUM" in catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_s08_parsed_pages_leave_in_parts():
+    sizes = [len(x) for x in pages._parsed(iter([pd.Series([f"<a href='/{i}'>x</a>" for i in range(2 * pages.PART + 1)]), pd.Series([], dtype=str), pd.Series([None])]))]
+    assert sizes == [pages.PART, pages.PART, 1, 1]
+
+
+def test_f34_cells_that_are_no_names(spark):
+    from tidemark.functions import cells
+
+    said = [" 12 ", " – ", "Agente", "ag", "a.b.c. Agente", "a.b.c.d Agente", "Cargo de nível médio", "x" * 141, "abc " * 15, "abc " * 16, "Agente; outro", "Total geral"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "c string").select(cells.looks_like_name(F.col("c"))).collect()]
+    assert got == [False, False, True, False, False, False, False, False, True, False, False, False]

@@ -16,6 +16,8 @@ SCHEMA = ("text string, title string, links array<struct<url:string,label:string
           "shape struct<links:int,tables:int,lists:int,headings:int,forms:int>")
 SKIPPED = ("script", "style", "noscript", "template", "svg")
 MAX_TITLE, MAX_TABLES, MAX_ROWS = 300, 60, 400
+#: Pages of an Arrow batch that are held in parsed form at a time.
+PART = 100
 BREAKS = frozenset("p div br li tr td th h1 h2 h3 h4 h5 h6 section article header footer nav ul ol table title".split())
 
 
@@ -84,9 +86,9 @@ class _Page(HTMLParser):
 
 
 def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in pages:
+    for part in (batch.iloc[at:at + PART] for batch in pages for at in range(0, len(batch), PART)):
         out = []
-        for page in batch:
+        for page in part:
             p = _Page()
             p.feed(page or "")
             p.close()
