@@ -9,16 +9,19 @@ both steps are joins on keys, and what they read grows with what is found rather
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tidemark.sources import store
 
 LONGEST, LIST = 3, 65_536
 #: Counted rows up to which grams and requests are broadcast.
 SMALL = 200_000
-#: Asked grams up to which each is looked for in every text.
+#: Asked grams, or words of a batch without a kept index, up to which each is looked for in every text.
 FEW = 200
 
 
@@ -79,3 +82,20 @@ def lookup(index: Index, asked: DataFrame) -> DataFrame:
     lists = index.postings.select("gram", "keys")
     found = lists.join(F.broadcast(probes) if few else probes, "gram").select("request", "words", F.explode("keys").alias("key"))
     return found.join(index.texts, "key").where(F.forall("words", lambda w: F.contains("hay", w))).select("request", "key")
+
+
+def few(asked: DataFrame) -> list[Row] | None:
+    """The rows of a batch of requests (words among their columns) that hold few words in all, else None."""
+    rows = asked.limit(FEW + 1).collect()      # FEW + 1 rows at most
+    return rows if len(rows) <= FEW and sum(len(r.words or ()) for r in rows) <= FEW else None
+
+
+def holds(hay: Column, words: list[str]) -> Column:
+    return reduce(and_, [hay.contains(w) for w in words], F.lit(True))
+
+
+def scanned(texts: DataFrame, wanted: list[tuple[object, Column]], kind: DataType) -> DataFrame:
+    """``texts`` with the ``request``s (of type ``kind``) whose condition they meet: one pass without lists or joins, for
+    a batch of few words."""
+    met = F.array_compact(F.array(*[F.when(cond, F.lit(request).cast(kind)) for request, cond in wanted]).cast(f"array<{kind.simpleString()}>"))
+    return texts.withColumn("request", F.explode(F.array_distinct(met)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import present
-from tidemark.functions.text import has_any, normalise, utf16_units
+from tidemark.functions.text import fold, has_any, normalise, spaced, utf16_units
 from tidemark.operators import index
 from tidemark.sources.store import staged
 
@@ -69,10 +69,23 @@ def page_request(argument: Column) -> Column:
     return F.struct(F.trim(F.regexp_replace(argument, r"\s*--pagina\s+\d+\s*$", "")).alias("term"), F.when(page >= 1, page).alias("page"))
 
 
+#: What ranks positions.
+RANKS = ("eligible", "score", "deadline")
+
+
+def _order() -> list[Column]:
+    return [F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), F.asc("position")]
+
+
+def _haystack(pairs: DataFrame) -> DataFrame:
+    # words hold no white space, so one normal form of all three serves as well as three
+    hay = spaced(F.concat_ws(" ", *[fold(F.col(c)) for c in ("cargo", "institution", "name")]))
+    return pairs.select("position", hay.alias("hay"), *RANKS, *[c for c in ("accepting",) if c in pairs.columns])
+
+
 def haystack(pairs: DataFrame) -> DataFrame:
     """What searches read of ``pairs``, written once: position, hay (the normal form they look into), and what ranks."""
-    hay = F.concat_ws(" ", *[normalise(F.col(c)) for c in ("cargo", "institution", "name")])
-    return staged(pairs.select("position", hay.alias("hay"), "eligible", "score", "deadline", *[c for c in ("accepting",) if c in pairs.columns]))
+    return staged(_haystack(pairs))
 
 
 def indexed(looked: DataFrame, only: DataFrame | None = None) -> index.Index:
@@ -81,43 +94,63 @@ def indexed(looked: DataFrame, only: DataFrame | None = None) -> index.Index:
     return index.build(looked.select("position", "hay"), "position", "hay", only, written=True)
 
 
-def _holding(asked: DataFrame, pairs: DataFrame, kept: index.Index | None) -> DataFrame:
-    """(request, position) of the positions that hold all words of ``asked`` (request, words, not empty)."""
+def _holding(asked: DataFrame, looked: DataFrame, kept: index.Index | None) -> DataFrame:
+    """(request, position, what ranks) of the positions that hold all words of ``asked`` (request, words, not empty). A batch
+    of few words looks into every text once, others into an index."""
     asked = staged(asked.select("request", "words"))
-    if kept is None and not asked.limit(1).count():
-        return asked.select("request", F.lit(None).cast("string").alias("position")).limit(0)
-    return index.lookup(kept or indexed(pairs, index.asked_grams(asked).select("gram").distinct()), asked).withColumnRenamed("key", "position")
+    small = index.few(asked) if kept is None else None
+    if small is not None:
+        wanted = [(r.request, index.holds(F.col("hay"), r.words)) for r in small]
+        return index.scanned(looked, wanted, asked.schema["request"].dataType).select("request", "position", *RANKS)
+    found = index.lookup(kept or indexed(looked, index.asked_grams(asked).select("gram").distinct()), asked).withColumnRenamed("key", "position")
+    return found.join(looked.select("position", *RANKS), "position").select("request", "position", *RANKS)
 
 
-def _ranked(hit: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``hit`` (request, position) with each position's place among the request's, and their number."""
-    order = Window.partitionBy("request").orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
-    rows = hit.join(pairs.select("position", "eligible", "score", "deadline"), "position")
-    return rows.select("request", "position", F.row_number().over(order).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("request")).alias("total"))
+def _first(hit: DataFrame, by: str, most: int, name: str) -> DataFrame:
+    """The best ``most`` of ``hit`` for each ``by``, with their place: no task sorts more than those."""
+    return hit.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*_order()))).where(F.col(name) <= most)
+
+
+def _ranked(hit: DataFrame, most: int) -> DataFrame:
+    """The best ``most`` of ``hit`` for each request, with each position's place among the request's, and their number."""
+    hit = staged(hit)
+    total = hit.groupBy("request").agg(F.count(F.lit(1)).alias("total"))
+    return _first(hit, "request", most, "n").join(total, "request").select("request", "position", "n", "total")
 
 
 def search(requests: DataFrame, pairs: DataFrame, kept: index.Index | None = None) -> DataFrame:
     """(request, n, total, position): the rows of the page each request (request, argument) asks for.
 
     All words of the term must occur, inside other words too; an identifier prefix of eight characters or more matches
-    alone; no term means all positions. Words are looked up in an index (``kept``, or one of the grams
-    asked for), prefixes by their first eight characters, and requests without a term share one order.
+    alone; no term means all positions. A batch of few words is one pass over the pairs; else words are looked up in an
+    index (``kept``, or one of the grams asked for), prefixes by their first eight characters. Requests without a term
+    share one order.
     """
-    pairs = haystack(pairs)
     asked = requests.select("request", page_request(F.col("argument")).alias("p")).select("request", normalise(F.col("p.term")).alias("term"), F.col("p.term").alias("raw"), F.col("p.page").alias("page"))
     asked = staged(asked.select("request", "raw", "page", F.filter(F.split("term", " "), lambda w: w != "").alias("words")))
-    words = _holding(asked.where(F.size("words") > 0), pairs, kept)
-    heads = asked.where(F.length("raw") >= 8).select("request", "raw", F.substring("raw", 1, 8).alias("head"))
-    by_id = pairs.select("position", F.substring("position", 1, 8).alias("head")).join(heads, "head").where(F.startswith("position", F.col("raw"))).select("request", "position")
-    ranked = _ranked(words.union(by_id).distinct(), pairs).join(asked.select("request", "page"), "request")
+    last, special = asked.where((F.size("words") == 0) & F.col("page").isNotNull()).agg(F.max("page")).first()[0], asked.where((F.size("words") > 0) | (F.length("raw") >= 8))
+    small = index.few(special) if kept is None else None
+    # a single pass needs no table of the pairs
+    looked = _haystack(pairs) if small is not None and last is None else haystack(pairs)
+    if small is not None:
+        wanted = [(r.request, meets) for r in small for meets in [index.holds(F.col("hay"), r.words)] * bool(r.words) + [F.startswith("position", F.lit(r.raw))] * (len(r.raw) >= 8)]
+        hit = index.scanned(looked, wanted, asked.schema["request"].dataType).select("request", "position", *RANKS)
+    else:
+        words = _holding(asked.where(F.size("words") > 0), looked, kept)
+        heads = asked.where(F.length("raw") >= 8).select("request", "raw", F.substring("raw", 1, 8).alias("head"))
+        by_id = looked.select("position", *RANKS, F.substring("position", 1, 8).alias("head")).join(heads, "head").where(F.startswith("position", F.col("raw"))).select("request", "position", *RANKS)
+        # rows that words and prefix both find are one; rows of one position stay as many as there are
+        both = words.select("request", "position").union(by_id.select("request", "position")).distinct()
+        hit = both.join(looked.select("position", *RANKS), "position").select("request", "position", *RANKS)
+    most = (asked.where(F.col("page").isNotNull()).agg(F.max("page")).first()[0] or 0) * PAGE_SIZE
+    ranked = _ranked(hit, most).join(asked.select("request", "page"), "request")
     paged = ranked.where((F.col("n") > (F.col("page") - 1) * PAGE_SIZE) & (F.col("n") <= F.col("page") * PAGE_SIZE)).select("request", "n", "total", "position")
-    general = asked.where((F.size("words") == 0) & F.col("page").isNotNull()).select("request", "page")
-    last = general.agg(F.max("page")).first()[0]
     if last is None:
         return paged
-    top = pairs.orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position").limit(last * PAGE_SIZE)  # the pages asked for, and no more
-    order = Window.orderBy(F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position")
-    total = pairs.count()
+    general = asked.where((F.size("words") == 0) & F.col("page").isNotNull()).select("request", "page")
+    top = looked.orderBy(*_order()).limit(last * PAGE_SIZE)  # the pages asked for, and no more
+    order = Window.orderBy(*_order())
+    total = looked.count()
     rows = top.select("position", F.row_number().over(order).alias("n")).withColumn("page", F.ceil(F.col("n") / PAGE_SIZE).cast("int"))
     return paged.union(general.join(rows, "page").select("request", "n", F.lit(total).cast("long").alias("total"), "position"))
 
@@ -128,7 +161,7 @@ def answered(questions: DataFrame, pairs: DataFrame, choices: int = PAGE_SIZE, k
     none is about the positions that still accept candidates; nothing is guessed."""
     pairs = haystack(pairs)
     asked = questions.select("request", asked_fact(F.col("text")).alias("fact"), subject(F.col("text")).alias("words")).where("fact is not null")
-    ranked = _ranked(_holding(asked.where(F.size("words") > 0), pairs, kept), pairs).where(F.col("n") <= choices)
+    ranked = _ranked(_holding(asked.where(F.size("words") > 0), pairs, kept), choices)
     open_ = pairs.where(F.col("eligible") & F.col("accepting")).orderBy(F.desc("score"), F.asc_nulls_last("deadline"), "position")
     few = [r.position for r in open_.select("position", "score", "deadline").limit(choices + 1).collect()]      # choices + 1 rows
     hits = ranked.groupBy("request").agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("n", "position"))), lambda x: x["position"]).alias("positions"))
@@ -148,15 +181,12 @@ def cited(questions: DataFrame, pairs: DataFrame, most: int = CONTEXT_CITED, kep
     """(request, position, n) of the positions (a :func:`haystack`) that a question (request, text) seems to mention, best
     first: those that hold all its words, or where none does, those of its longer words one after another, each once."""
     asked = staged(questions.select("request", subject(F.col("text")).alias("words")).where(F.size("words") > 0))
-    order = [F.desc("eligible"), F.desc("score"), F.asc_nulls_last("deadline"), "position"]
-    rank = pairs.select("position", "eligible", "score", "deadline")
-    whole = _holding(asked, pairs, kept).join(rank, "position").withColumn("n", F.row_number().over(Window.partitionBy("request").orderBy(*order))).where(F.col("n") <= most).select("request", "position", "n")
-    whole = staged(whole)
+    whole = staged(_first(_holding(asked, pairs, kept), "request", most, "n").select("request", "position", "n"))
     single = staged(asked.join(whole.select("request"), "request", "left_anti").select("request", F.posexplode("words").alias("place", "word")).where(F.length("word") >= CITING))
     words = single.select("word").distinct()
-    held = _holding(words.select(F.col("word").alias("request"), F.array("word").alias("words")), pairs, kept).withColumnRenamed("request", "word").join(rank, "position")
+    held = _holding(words.select(F.col("word").alias("request"), F.array("word").alias("words")), pairs, kept).withColumnRenamed("request", "word")
     # an ordered union of ``most`` takes at most twice as many of each word: the others may repeat earlier ones
-    first = held.withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("k") <= 2 * most).select("word", "position", "k")
+    first = _first(held, "word", 2 * most, "k").select("word", "position", "k")
     each = single.join(first, "word").groupBy("request", "position").agg(F.min(F.struct("place", "k")).alias("at"))
     ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("request").orderBy("at", "position"))).where(F.col("n") <= most)
     return whole.union(ranked.select("request", "position", "n"))
@@ -174,7 +204,10 @@ def context(questions: DataFrame, pairs: DataFrame, chars: int = CONTEXT_CHARS,
     best = questions.select("request", F.posexplode(F.array(*[F.lit(p) for p in few]).cast("array<string>")).alias("n", "position")).select("request", "position", "n")
     rest = cited(questions, looked, kept=kept).where(~F.col("position").isin(few)).select("request", "position", (F.col("n") + CONTEXT_OPEN).alias("n"))
     chosen = staged(best.union(rest))
-    said = pairs.join(F.broadcast(chosen.select("position").distinct()) if chosen.count() <= index.SMALL else chosen.select("position").distinct(), "position", "left_semi")
+    some = chosen.select("position").distinct()
+    named = [r.position for r in some.limit(index.FEW + 1).collect()]      # FEW + 1 rows at most
+    # a filter on few positions goes down to where positions are read, before the rules look at the pairs
+    said = pairs.where(F.col("position").isin(named)) if len(named) <= index.FEW else pairs.join(F.broadcast(some) if chosen.count() <= index.SMALL else some, "position", "left_semi")
     lines = chosen.join(said.select("position", summary({c: F.col(c) for c in SUMMARY}).alias("said")), "position").groupBy("request").agg(F.array_sort(F.collect_list(F.struct("n", "position", "said"))).alias("all"))
     zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<position:string,said:string>>").alias("out"))
 
