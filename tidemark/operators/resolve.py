@@ -226,10 +226,12 @@ def by_name(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """(doc, name, found) for names of a document (doc, name) among those offered for it (doc, other): equal
     in normal form, else the first in order of ``place`` that contains it or is contained."""
     w = wanted.select("doc", "name", normalise(F.col("name")).alias("n"))
-    o = offered.select("doc", F.col("other"), normalise(F.col("other")).alias("m"), "place").where("m <> ''")
-    both = w.join(o, "doc").where((F.col("n") == F.col("m")) | F.contains("n", F.col("m")) | F.contains("m", F.col("n")))
-    best = both.groupBy("doc", "name").agg(F.min_by("other", F.struct((F.col("n") != F.col("m")).alias("x"), "place")).alias("found"))
-    return w.select("doc", "name").join(best, ["doc", "name"], "left")
+    o = offered.select("doc", "place", "other", normalise(F.col("other")).alias("m")).where("m <> ''").groupBy("doc").agg(F.collect_list(F.struct("place", "other", "m")).alias("offers"))
+    # a document's offers meet its names as one row: no pairs of both are sorted
+    n = F.col("n")
+    fits = F.filter("offers", lambda o: (n == o["m"]) | F.contains(n, o["m"]) | F.contains(o["m"], n))
+    found = F.array_min(F.transform(fits, lambda o: F.struct((n != o["m"]).alias("x"), o["place"], o["other"])))["other"]
+    return w.join(o, "doc", "left").select("doc", "name", found.alias("found"))
 
 
 def uncached(documents: DataFrame, cache: DataFrame, keys: tuple[str, ...] = ("content_hash", "prompt_version", "model", "model_version")) -> DataFrame:

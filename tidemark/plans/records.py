@@ -247,7 +247,7 @@ def notes_taken(spark, sf):
 @q("v_lookup_by_name", """SELECT l_orderkey AS doc, concat('Analista ', l_partkey % 5) AS name, CASE WHEN l_partkey % 5 = 0 THEN 'ANALISTA 0' WHEN l_partkey % 5 = 1 THEN 'analista 1 - direito' WHEN l_partkey % 5 = 2 THEN 'Analista 2' END AS found FROM lineitem GROUP BY ALL""")
 def looked_up(spark, sf):
     """Positions among a document's located names: equal ones first, then those around or inside."""
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Analista "), F.col("l_partkey") % 5).alias("name")).distinct()
+    li = spread(spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Analista "), F.col("l_partkey") % 5).alias("name")), "doc", 500_000).distinct()
     names = F.array(F.lit("ANALISTA 0"), F.lit("analista 1 - direito"), F.lit("Analista 2 e mais"), F.lit("Analista 2"), F.lit(""))
     offered = li.select("doc").distinct().select("doc", F.posexplode(names).alias("place", "other"))
     return resolve.by_name(li, offered)

@@ -88,11 +88,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"{head}FROM{tail}", **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: str, each: int | None = None) -> DataFrame:
     """Rows dealt to all cores by a key. A table in one file of one row group is read by one task, which must not be left
-    alone with long work on each row; only the columns that the work needs should come here."""
+    alone with long work on each row; only the columns that the work needs should come here. ``each``: counted rows that
+    a task may hold, so that its memory does not grow with the table."""
     spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts if each is None else max(parts, -(-rows.count() // each)), key)
 
 
 def with_views(sql: str) -> str:
