@@ -65,6 +65,23 @@ def latest(line: DataFrame) -> DataFrame:
     return line.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def current(attempts: DataFrame, failures: int = FAILURES) -> DataFrame:
+    """(source_id, state): the states of :func:`latest` over :func:`timeline`, from the last few attempts of each source. A
+    state looks back on ``failures`` attempts and HISTORY successful counts, so no task orders all attempts of a source."""
+    order = Window.partitionBy("source_id").orderBy(F.desc("at"), F.desc("seq"))
+    first = lambda rows, n: rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    ended = ~F.coalesce("success", F.lit(False))
+    tried = first(attempts.select("source_id", "at", "seq", "success", "found", "expected_min", "status"), failures)
+    last = tried.groupBy("source_id").agg(F.min_by(F.struct("at", "seq", "success", "found", "expected_min", "status"), "_n").alias("l"), F.count_if(ended).alias("failed"))
+    good = first(attempts.where("success and found is not null").select("source_id", "at", "seq", "found"), HISTORY + 1)
+    good = good.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("_n", "at", "seq", "found"))).alias("good"))
+    x, l = F.col("good"), F.col("l")
+    before = F.slice(F.filter(F.coalesce(x, F.array().cast(good.schema["good"].dataType)), lambda g: (g["at"] != l["at"]) | (g["seq"] != l["seq"])), 1, HISTORY)
+    reason = drift(l["found"], F.transform(before, lambda g: g["found"]), l["expected_min"], l["status"], F.lit(False))
+    state = (F.when(l["success"] & reason.isNull(), "HEALTHY").when(l["success"], "DEGRADED").when(F.col("failed") >= failures, "OPEN").otherwise("DEGRADED"))
+    return last.join(good, "source_id", "left").select("source_id", state.alias("state"))
+
+
 def next_state(current: Column, success: Column, streak: Column, drifted: Column, failures: int = FAILURES) -> Column:
     """The state after an attempt; only a person ends DISABLED."""
     return (F.when(current == "DISABLED", "DISABLED").when(success & ~drifted, "HEALTHY").when(success, "DEGRADED")

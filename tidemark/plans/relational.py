@@ -124,6 +124,11 @@ def line(spark, sf):
     return health.timeline(att(spark, sf).withColumnRenamed("moment", "at"))
 
 
+def states(spark, sf):
+    """(source_id, state) after the last attempt of each source."""
+    return health.current(att(spark, sf).withColumnRenamed("moment", "at"))
+
+
 @q("a06_health_timeline", f"WITH {_STATES} SELECT source_id, seq, CAST(streak AS BIGINT) AS streak, drifts, state FROM line")
 def health_line(spark, sf):
     return line(spark, sf).select("source_id", "seq", F.col("streak").cast("long").alias("streak"), F.col("drift").isNotNull().alias("drifts"), "state")
@@ -131,7 +136,7 @@ def health_line(spark, sf):
 
 @q("q04_health_histogram", f"WITH {_STATES} SELECT state, count(*) AS n FROM last GROUP BY state")
 def health_histogram(spark, sf):
-    return health.latest(line(spark, sf)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return states(spark, sf).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("q05_review_queue", "SELECT count(*) AS n FROM v_opportunity WHERE needs_review AND attempts < 6")
@@ -141,7 +146,7 @@ def review_queue(spark, sf):
 
 @q("q06_unhealthy_sources", f"WITH {_STATES} SELECT id, name, state FROM last JOIN v_source ON id = source_id WHERE state <> 'HEALTHY'")
 def unhealthy(spark, sf):
-    return health.latest(line(spark, sf)).where("state <> 'HEALTHY'").join(src(spark, sf), F.col("source_id") == F.col("id")).select("id", "name", "state").orderBy("state", "id")
+    return states(spark, sf).where("state <> 'HEALTHY'").join(src(spark, sf), F.col("source_id") == F.col("id")).select("id", "name", "state").orderBy("state", "id")
 
 
 @q("q07_next_deadlines", "SELECT id, deadline FROM v_opportunity WHERE deadline BETWEEN DATE '1998-06-15' AND DATE '1998-06-15' + 60 AND status NOT IN ('CANCELLED', 'SUSPENDED', 'HOMOLOGATED', 'EXPIRED') ORDER BY deadline, id LIMIT 8")
@@ -184,7 +189,7 @@ def deadlines_30(spark, sf):
 
 @q("q12_sources_listing", f"WITH {_STATES} SELECT id, name, priority, coalesce(state, 'HEALTHY') AS state FROM v_source LEFT JOIN last ON id = source_id WHERE coalesce(state, 'HEALTHY') <> 'HEALTHY'")
 def sources_listing(spark, sf):
-    both = src(spark, sf).join(health.latest(line(spark, sf)).select("source_id", "state"), F.col("id") == F.col("source_id"), "left")
+    both = src(spark, sf).join(states(spark, sf).select("source_id", "state"), F.col("id") == F.col("source_id"), "left")
     return both.select("id", "name", "priority", F.coalesce("state", F.lit("HEALTHY")).alias("state")).where("state <> 'HEALTHY'").orderBy("priority", "id")
 
 
@@ -195,7 +200,7 @@ def outbox_histogram(spark, sf):
 
 @q("q14_state_summary", f"WITH {_STATES} SELECT count(*) FILTER (state = 'HEALTHY') AS healthy, count(*) FILTER (state = 'DEGRADED') AS degraded, count(*) FILTER (state = 'OPEN') AS open, count(*) FILTER (state = 'RECOVERING') AS recovering, count(*) FILTER (state = 'DISABLED') AS disabled FROM last")
 def state_summary(spark, sf):
-    return health.histogram(health.latest(line(spark, sf)))
+    return health.histogram(states(spark, sf))
 
 
 @q("q15_stuck_documents", "SELECT id, attempts FROM v_opportunity WHERE needs_review AND attempts < 6 ORDER BY updated_at DESC, id LIMIT 40")
@@ -295,7 +300,7 @@ def review_list(spark, sf):
 @q("q31_source_health_table", f"WITH {_STATES}, r AS (SELECT source_id, round(avg(CAST(success AS INT)), 3) AS rate, count(*) AS attempts FROM v_attempt GROUP BY source_id) SELECT id, state, rate, attempts FROM v_source JOIN last ON id = last.source_id JOIN r ON id = r.source_id")
 def health_table(spark, sf):
     rate = att(spark, sf).groupBy("source_id").agg(health.rate(F.count_if("success"), F.count(F.lit(1))).alias("rate"), F.count(F.lit(1)).alias("attempts"))
-    return src(spark, sf).join(health.latest(line(spark, sf)).select("source_id", "state"), F.col("id") == F.col("source_id")).drop("source_id").join(rate, F.col("id") == F.col("source_id")).select("id", "state", "rate", "attempts")
+    return src(spark, sf).join(states(spark, sf).select("source_id", "state"), F.col("id") == F.col("source_id")).drop("source_id").join(rate, F.col("id") == F.col("source_id")).select("id", "state", "rate", "attempts")
 
 
 @q("q32_last_run", f"WITH {_RUNS} SELECT max(day) AS day, arg_max(run_status, day) AS run_status FROM judged")
@@ -477,4 +482,4 @@ def dispatch(spark, sf):
 @q("a09_watchdog", f"WITH {_STATES}, {_RUNS}, o AS (SELECT count(*) FILTER (state IN ('OPEN', 'DISABLED')) AS open_sources FROM last), f AS (SELECT count(*) FILTER (status IN ('FAILED', 'UNCERTAIN')) AS failed FROM v_notification), h AS (SELECT max(day) AS d FROM judged WHERE run_status IN ('SUCCESS', 'PARTIAL')) SELECT CASE WHEN d IS NULL OR date_diff('hour', CAST(d AS TIMESTAMP), TIMESTAMP '2024-01-29 12:00:00') > 30 THEN 'CRITICAL' WHEN open_sources > 0 OR failed > 0 THEN 'WARNING' ELSE 'OK' END AS severity, open_sources, failed AS failed_messages FROM o, f, h")
 def watchdog(spark, sf):
     r = runs(spark, sf).select(F.col("day").cast("timestamp").alias("started_at"), F.col("run_status").alias("status"))
-    return health.watchdog(r, health.latest(line(spark, sf)), note(spark, sf), NOW).select("severity", "open_sources", "failed_messages")
+    return health.watchdog(r, states(spark, sf), note(spark, sf), NOW).select("severity", "open_sources", "failed_messages")

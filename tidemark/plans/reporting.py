@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import present, verify
-from tidemark.operators import health, history, report
+from tidemark.operators import history, report
 from tidemark.plans.parsing import claims
-from tidemark.plans.relational import NOW, _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RANK, _RUNS, _STATES, _SURE, att, line, note, opp, pairs, q, runs, src
+from tidemark.plans.relational import NOW, _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RANK, _RUNS, _STATES, _SURE, att, note, opp, pairs, q, runs, src, states
 from tidemark.plans.views import TODAY
 
 ZONE, CITY = "America/Rio_Branco", "Rio Branco"
@@ -68,14 +68,14 @@ def full_report(spark, sf):
     order = F.struct("moment", "seq")
     seen = a.groupBy("source_id").agg(F.max(F.when(c("success"), c("moment"))).alias("last_success"), F.max_by("found", order).alias("documents"), F.count_if("success").alias("parsed"), F.count(F.lit(1)).alias("tried"),
                                       F.max_by(why, F.when(~c("success"), order)).alias("last_error"))
-    states = health.latest(line(spark, sf)).select("source_id", "state").join(seen, "source_id")
+    after = states(spark, sf).select("source_id", "state").join(seen, "source_id")
     found = a.groupBy("day").agg(F.sum("found").alias("documents"), F.count_if(c("found") % 10 == 0).alias("created"))
     r = runs(spark, sf).join(found, "day").select(c("day").cast("timestamp").alias("started_at"), c("run_status").alias("status"), "successful", "attempted", "documents", "created", "errors")
     e = a.where("not success").select(c("moment").alias("created_at"), "seq", F.lit("FETCH").alias("stage"), F.coalesce(F.concat(F.lit("HTTP_"), "status"), F.lit("NETWORK")).alias("kind"), "source_id",
                                       F.concat(F.lit("tentativa "), "seq", F.lit(" sem resposta")).alias("message"))
     s = src(spark, sf).select("id", "priority", F.lit("sem limites").alias("limitations"))
     parts = [report.about_pairs(p, TODAY, NOW, CITY), report.about_deadlines(history.deadlines(stored), o, TODAY), report.about_documents(d, NOW),
-             report.about_sources(s, states, ZONE), report.about_system(r, note(spark, sf), o, e, NOW, ZONE)]
+             report.about_sources(s, after, ZONE), report.about_system(r, note(spark, sf), o, e, NOW, ZONE)]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.union(part)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import registry, serve
 from tidemark.functions import present
 from tidemark.functions.score import accepting
-from tidemark.plans.relational import NOW, _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RUNS, _STATES, _SURE, line, pairs, q, src, watchdog
+from tidemark.plans.relational import NOW, _CASES, _DAY_OF, _MONEY, _PAIRS, _PERIOD, _RUNS, _STATES, _SURE, pairs, q, src, states, watchdog
 from tidemark.plans.views import TODAY
 from tidemark.sources import sinks
 
@@ -76,9 +76,7 @@ def report(spark, sf):
 
 @q("k05_issues", f"WITH {_STATES} SELECT source_id FROM last WHERE state <> 'HEALTHY' AND source_id NOT IN (SELECT id FROM v_source WHERE CAST(substr(id, 2) AS INT) % 2 = 0)")
 def issues(spark, sf):
-    from tidemark.operators import health
-
-    needed = health.latest(line(spark, sf)).where("state <> 'HEALTHY'").select("source_id")
+    needed = states(spark, sf).where("state <> 'HEALTHY'").select("source_id")
     known = src(spark, sf).select(F.col("id").alias("source_id"), (F.substring("id", 2, 9).cast("int") % 2 == 0).alias("open"))
     return serve.open_issues(needed, known).select("source_id")
 
