@@ -37,6 +37,15 @@ def test_f16_clauses_without_the_name_cost_nothing(spark):
     assert times(rows.select(where), "split(") == 1
 
 
+def test_f16_places_are_judged_once_and_only_naming_clauses_are_folded(spark):
+    rows = catalogue.queries()["f16_location_context"](spark, SMALL)
+    assert times(rows, "split(") == 1
+    words = ["RÍO Brânco¹", "bránço1", "ƀranco1", "x-Branco1x", "BŘǍŃČǑ¹", "branc o1", "brancö①"]
+    got = said(spark, *words).select(F.col("text").rlike(text.unfolded_pattern("branco1")), text.fold(F.col("text")).contains("branco1")).collect()
+    assert all(may or not does for may, does in got) and [r[0] for r in got] == [True, True, True, True, True, False, False]
+    assert not set(parse.EDGE) & (set(text._ONE.values()) - {"n", "r"}) and not set(".;:\n\r•●") & set(text._ONE)
+
+
 def test_f36_parsers_run_once(spark):
     rows = said(spark, "x")
     for parser, pattern in ((parse.weekly_workload, parse.WEEKLY), (parse.daily_workload, parse.DAILY), (parse.parse_money, parse.MONEY)):

@@ -108,6 +108,13 @@ def marker_pattern(marker: str) -> str:
     return "[^a-z0-9]+".join(re.escape(w) for w in marker.split())
 
 
+def unfolded_pattern(word: str) -> str:
+    """A pattern that occurs in every text whose fold holds the word, and seldom in others: letters with their accents of
+    Latin-1, or anything of U+0100 to U+024F, as long lists of characters are slow to match."""
+    forms = {p: "".join(c for c, x in (_ASCII | _ONE).items() if x == p and c < "\u0100") for p in word}
+    return "".join(f"[{re.escape(p)}{forms[p]}\u0100-\u024f]" for p in word)
+
+
 def locate(folded: Column, markers: Iterable[str]) -> Column:
     """1-based place of the first marker in list order that occurs in a fold; null if none does."""
     place = lambda f, m: let(F.regexp_instr(f, F.lit(marker_pattern(m))), lambda i: F.when(i > 0, i))
