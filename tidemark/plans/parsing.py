@@ -97,7 +97,8 @@ def implied(spark, sf):
 def documents(spark, sf):
     title = F.element_at(F.array(*[F.lit(x) for x in (
         "Cancelamento do certame", "Retificação nº 2", "Prorrogação de prazo", "Resultado final", "Edital de Abertura: cronograma", "Convocação", "Aviso")]), (F.col("id") % 7 + 1).cast("int"))
-    return notices(spark, sf).select("id", parse.classify_document(title, _body()).alias("kind"), parse.is_job_selection(title, _body()).alias("job"))
+    read = notices(spark, sf).withColumn("low", parse.folded(F.substring(_body(), 1, 20000)))  # one fold for both
+    return read.select("id", parse.classify_document(title, _body(), F.col("low")).alias("kind"), parse.is_job_selection(title, _body(), F.col("low")).alias("job"))
 
 
 @q("f24_publication_date", f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN {_DAY} - 3 ELSE {_DAY} END AS published FROM orders")
@@ -133,9 +134,10 @@ def stages(spark, sf):
     at = lambda n: F.date_format(F.date_add(day, n), "dd/MM/yyyy")
     said = F.concat(F.when(k % 7 == 0, "Haverá entrevista. ").otherwise(""), F.when(k % 5 == 0, "Avaliação de Títulos. ").otherwise(""), F.when(k % 4 == 0, "PROVA DE REDAÇÃO. ").otherwise(""), F.when(k % 3 == 0, "Provas objetivas. ").otherwise(""),
                     F.lit("Período de inscrições: "), at(0), F.lit(" a "), at(30), F.lit(". "), F.lit("x" * 450), F.when(k % 2 == 0, F.concat(F.lit(" Data da prova: "), at(60))).otherwise(""))
-    when = parse.schedule_from_text(F.col("said"))
+    when = parse.schedule_from_text(F.col("said"), F.col("low"))
     orders = spread(_table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
-    got = orders.select(k.alias("id"), said.alias("said")).select("id", when.alias("w"), F.array_join(parse.stages(F.col("said")), "; ").alias("stages"))
+    read = orders.select(k.alias("id"), said.alias("said")).withColumn("low", parse.folded(F.col("said")))  # one fold for both
+    got = read.select("id", when.alias("w"), F.array_join(parse.stages(F.col("said"), text.spaced(F.col("low"))), "; ").alias("stages"))
     return got.select("id", F.col("w.exam").alias("exam"), F.col("w.start").alias("start"), F.col("w.deadline").alias("deadline"), "stages")
 
 
