@@ -23,9 +23,12 @@ VERIFIERS: dict[str, tuple[Callable[[Column], Column], float | None]] = {
 
 
 def quote_is_real(document: Column, quote: Column) -> Column:
-    """A quote of 25 characters or more whose normal form the document's holds."""
-    needle = normalise(F.substring(quote, 1, MAX_QUOTE))
-    return F.coalesce((F.length(quote) >= MIN_QUOTE) & (needle != "") & normalise(document).contains(needle), F.lit(False))
+    """A quote of 25 characters or more whose normal form the document's holds. One that the document holds as it is
+    needs no normal form of the document."""
+    def held(said: Column) -> Column:
+        return let(normalise(said), lambda needle: (needle != "") & (F.contains(document, said) | normalise(document).contains(needle)))
+
+    return F.coalesce((F.length(quote) >= MIN_QUOTE) & let(F.substring(quote, 1, MAX_QUOTE), held), F.lit(False))
 
 
 def verify(field: str, proposed: Column, quote: Column, document: Column) -> Column:
@@ -34,7 +37,7 @@ def verify(field: str, proposed: Column, quote: Column, document: Column) -> Col
         return F.struct(F.lit("REJECTED").alias("status"), F.lit(None).cast("string").alias("value"))
     parser, tolerance = VERIFIERS[field]
 
-    def judged(read: Column) -> Column:
+    def judged(quote: Column, read: Column) -> Column:
         if tolerance is None:
             same = normalise(proposed) == normalise(read)
         else:
@@ -43,7 +46,7 @@ def verify(field: str, proposed: Column, quote: Column, document: Column) -> Col
         status = F.when(~quote_is_real(document, quote), "QUOTE_NOT_FOUND").when(agrees, "CONFIRMED").otherwise("PARSER_DISAGREES")
         return let(status, lambda s: F.struct(s.alias("status"), F.when(s == "CONFIRMED", read.cast("string")).alias("value")))
 
-    return let(parser(quote), judged)
+    return let(quote, lambda said: let(parser(said), lambda read: judged(said, read)))
 
 
 def merged_spans(spans: Column) -> Column:
