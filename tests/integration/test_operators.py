@@ -420,3 +420,49 @@ def test_search_pages_by_word_prefix_and_no_term(spark):
     page = lambda chosen, k: [(n, len(chosen), r[0]) for n, r in enumerate(chosen, 1) if (k - 1) * 5 < n <= k * 5]
     fiscal = [r for r in order if "fiscal" in r[1]]
     assert {k: sorted(v) for k, v in got.items()} == {1: page(fiscal, 2), 2: [(1, 1, "0000001a-p")], 3: page(order, 1), 4: page(order, 3)}
+
+
+def test_similar_combinations_meet_by_three_keys(spark):
+    """All pairs by brute force, unknown years included; combinations never meet by a word of their names alone."""
+    import re
+
+    from tidemark.operators import resolve
+
+    rng = random.Random(10)
+    words = lambda pool, n: sorted(rng.sample(pool, n))
+    combos = {(tuple(words(["municipal", "acre", "rio", "sena"], rng.randint(1, 3))), tuple(words(["agente", "fiscal", "saude", "escolar", "geral"], rng.randint(1, 4))),
+               rng.choice([None, 2024, 2025, 2026]), rng.choice([None, "permanent", "temporary"])) for _ in range(150)}
+    rows = [(i, list(it), list(nt), y, b) for i, (it, nt, y, b) in enumerate(sorted(combos, key=str))]
+    mine = spark.createDataFrame(rows, "hub long, it array<string>, nt array<string>, year int, nboard string")
+    theirs = spark.createDataFrame(rows, "other long, kit array<string>, knt array<string>, kyear int, kboard string")
+    found = resolve._similar(mine, theirs)
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {}
+    for i, it, nt, y, b in rows:
+        for j, kit, knt, ky, kb in rows:
+            score = alike(nt, knt) + (0.08 if b is not None and b == kb else 0)
+            if alike(it, kit) >= 0.5 and (y is None or ky is None or y == ky) and score >= 0.62:
+                want[i, j] = round(score, 9)
+    got = [(r.hub, r.other, round(r.score, 9)) for r in found.collect()]
+    assert {(i, j): s for i, j, s in got} == want and len(got) == len(want) > len(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"(?:SortMergeJoin|HashJoin)\S*(?: \(\d+\))? \[(.*?)\], \[.*?\], Inner", plan)
+    assert keys and all(k.count("#") >= 3 for k in keys)
+
+
+def test_batch_moves_no_draft_beside_few_hubs(spark, monkeypatch):
+    """With few hubs the last step moves no draft and has one row a draft; with many (shuffled) the answers are the same."""
+    from tidemark.operators import resolve
+
+    rng = random.Random(11)
+    rows = [(f"d{i:03d}", i, date(2026, 1, 1 + rng.randint(0, 20)), rng.choice(["Prefeitura de Acre", "Prefeitura Municipal de Acre", "Acre Saude", "Camara de Sena", None]),
+             " ".join(rng.sample(["agente", "fiscal", "saude", "escolar"], rng.randint(1, 3))), rng.choice([None, "", "1/2026", "2/2026", "3/2026"]),
+             rng.choice([None, date(2025, 5, 1), date(2026, 5, 1)]), rng.choice([None, "PERMANENT"]), f"u{rng.randint(0, 40)}", rng.choice(["", f"h{rng.randint(0, 40)}"])) for i in range(90)]
+    d = spark.createDataFrame(rows, "id string, seq long, first_seen date, institution string, name string, number string, published date, board string, url string, document_hash string")
+    none = d.limit(0).withColumn("urls", F.array("url")).withColumn("hashes", F.array("document_hash"))
+    few = resolve.match_batch(d, none)
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(resolve, "SMALL", 0)
+    many = resolve.match_batch(d, none)
+    told = sorted(few.collect(), key=str)
+    assert sorted(many.collect(), key=str) == told and len(told) == len(rows) and len({r.reason for r in told}) == 6

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import history, intervals, merge, outbox, resolve
 from tidemark.plans.relational import _PAIRS, note, opp, pairs, q
+from tidemark.plans.views import spread
 
 
 @q("e01_institution_key", "SELECT o_orderkey AS id, concat('prefeitura-', replace(lower(n_name), '_', '-')) AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -60,6 +61,7 @@ def matches(spark, sf):
     """Even orders are stored, odd ones are drafts; each draft finds its opportunity and the rule."""
     o = opp(spark, sf).select(F.col("id").cast("string").alias("id"), "institution", "name", "number", "published", F.col("employment_type").alias("board"),
                               F.concat(F.lit("u"), F.col("id") % 5000).alias("url"), F.concat(F.lit("h"), F.col("id") % 4000).alias("document_hash"), F.col("start").alias("first_seen"), F.col("id").alias("n"))
+    o = spread(o, "id", 500_000)
     known = o.where("n % 2 = 0").withColumn("urls", F.array("url")).withColumn("hashes", F.array("document_hash"))
     return resolve.match(o.where("n % 2 = 1"), known)
 
@@ -90,7 +92,7 @@ def batch_matches(spark, sf):
     o = opp(spark, sf).withColumn("institution", body).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), "institution", "name", "number", "published", F.col("employment_type").alias("board"),
                               F.concat("institution", F.lit("/u"), F.col("id") % 97).alias("url"), F.concat("institution", F.lit("/h"), F.col("id") % 211).alias("document_hash"), F.col("start").alias("first_seen"))
     none = o.limit(0).withColumn("urls", F.array("url")).withColumn("hashes", F.array("document_hash"))
-    return resolve.match_batch(o, none)
+    return resolve.match_batch(spread(o, "id", 500_000), none)
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
