@@ -466,3 +466,21 @@ def test_batch_moves_no_draft_beside_few_hubs(spark, monkeypatch):
     many = resolve.match_batch(d, none)
     told = sorted(few.collect(), key=str)
     assert sorted(many.collect(), key=str) == told and len(told) == len(rows) and len({r.reason for r in told}) == 6
+
+
+def test_noted_equals_trying_every_identifier(spark):
+    """Codes against all identifiers: beginnings of one, of several, of none, with identifiers given twice; no row is paired or moved twice."""
+    rng = random.Random(24)
+    held = ["".join(rng.choices("ab", k=rng.randint(6, 14))) for _ in range(300)] + ["concurso-1", "concurso-10", "concurso-2é"]
+    codes = [rng.choice(held)[: rng.randint(6, 14)] for _ in range(300)] + ["concurso", "concurso-1", "concurso-10", "concurso-2", "concurso-3"]
+    asked = spark.createDataFrame([(i, f" {c}  nota {i} ") for i, c in enumerate(codes)] + [(900, "concurso-10"), (901, None)], "request long, argument string")
+    tracked = {p: "REGISTERED" for p in held[::3]}
+    out = serve.noted(asked, spark.createDataFrame([(p,) for p in held + held[:50]], "position string"), spark.createDataFrame(list(tracked.items()), "position string, status string"))
+    fit = {i: [p for p in set(held) if p.startswith(c)] for i, c in enumerate(codes) if len(c) >= 8}
+    want = {(i, ps[0], tracked.get(ps[0], "INTERESTED"), f"nota {i}") for i, ps in fit.items() if len(ps) == 1}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) and 50 < len(want) < len(fit)
+    # a note is moved once: one exchange by the first eight characters, and no join of notes with identifiers
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Join") == 1 and final.count("hashpartitioning(head") == 1

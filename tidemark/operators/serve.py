@@ -224,14 +224,22 @@ def context(questions: DataFrame, pairs: DataFrame, chars: int = CONTEXT_CHARS,
 def noted(requests: DataFrame, positions: DataFrame, tracking: DataFrame) -> DataFrame:
     """(request, position, status, note) of notes (request, argument: a code and a text): the code is the
     beginning, of eight characters or more, of one position's identifier; a position without a decision
-    becomes INTERESTED; a note is 1000 characters at most."""
+    becomes INTERESTED; a note is 1000 characters at most.
+
+    Codes and identifiers meet in one order: those that begin with a code follow it, so the code's position is the next
+    one, unless the one after that begins with it as well. Nothing is paired, and rows move once."""
     trimmed = F.trim("argument")
     code = F.regexp_extract(trimmed, r"^(\S+)", 1)
-    asked = requests.select("request", code.alias("code"), F.substring(F.regexp_replace(trimmed, r"^\S+\s*", ""), 1, 1000).alias("note")).where("length(code) >= 8 and note <> ''")
-    known = positions.select("position", F.substring("position", 1, 8).alias("head")).distinct()
-    hit = asked.join(known, F.substring("code", 1, 8) == F.col("head")).where(F.startswith("position", F.col("code")))
-    one = hit.groupBy("request", "note").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("position")).where("n = 1")
-    return one.join(tracking.select("position", "status"), "position", "left").select("request", "position", F.coalesce("status", F.lit("INTERESTED")).alias("status"), "note")
+    asked = requests.select(code.alias("code"), F.lit(False).alias("known"), "request", F.substring(F.regexp_replace(trimmed, r"^\S+\s*", ""), 1, 1000).alias("note")).where("length(code) >= 8 and note <> ''")
+    known = positions.where("length(position) >= 8").select("position").distinct().join(tracking.select("position", "status"), "position", "left")
+    lines = asked.unionByName(known.select(F.col("position").alias("code"), F.lit(True).alias("known"), "status"), allowMissingColumns=True).withColumn("head", F.substring("code", 1, 8))
+    down = Window.partitionBy("head").orderBy(F.desc("code"), F.desc("known")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the last of the rows so far is the row's own where it is a position, and then knows the one before it
+    after = lines.withColumn("other", F.last(F.when(F.col("known"), F.col("code")), True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    one = F.last(F.when(F.col("known"), F.struct(F.col("code").alias("position"), "status", "other")), True).over(down)
+    found = after.withColumn("one", one).where(~F.col("known"))
+    only = F.startswith("one.position", F.col("code")) & ~F.coalesce(F.startswith("one.other", F.col("code")), F.lit(False))
+    return found.where(only).select("request", "one.position", F.coalesce("one.status", F.lit("INTERESTED")).alias("status"), "note")
 
 
 def summary(p: dict[str, Column]) -> Column:
